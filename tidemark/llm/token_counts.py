@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import cut
 
 MARGIN = 64
-MEMO = 300_000
+MEMO = 500_000
 
 
 @cache
@@ -37,19 +37,26 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def count_batch(path: str, texts: list[str], memo: dict[str, int]) -> list[int]:
+def count_batch(path: str, texts: list[str], memo: dict[str, int], block: int = 200_000) -> list[int]:
     """Token counts; a space is a stable boundary of this vocabulary, so each distinct piece between spaces is encoded once.
 
-    memo is kept between batches and emptied when it holds MEMO pieces; results don't depend on it.
+    Texts are taken in blocks of about ``block`` characters. memo is kept between blocks and emptied when it holds MEMO
+    pieces; results don't depend on it.
     """
-    pieces = [t.split(" ") for t in texts]
-    new = list({w for p in pieces for w in p if w not in memo})
-    if new:
+    counts: list[int] = []
+    begin = size = 0
+    for end, t in enumerate(texts, 1):
+        size += len(t)
+        if size < block and end < len(texts):
+            continue
         if len(memo) > MEMO:
             memo.clear()
-            new = list({w for p in pieces for w in p})
+        pieces = [t.split(" ") for t in texts[begin:end]]
+        new = list({w for p in pieces for w in p if w not in memo})
         memo.update(zip(new, map(len, tokenizer(path).encode_batch_fast(new, add_special_tokens=False)), strict=True))
-    return [sum(map(memo.__getitem__, p)) for p in pieces]
+        counts += [sum(map(memo.__getitem__, p)) for p in pieces]
+        begin, size = end, 0
+    return counts
 
 
 def space_is_stable(path: str) -> bool:
