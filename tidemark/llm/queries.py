@@ -7,9 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.common import table
+from tidemark.llm import chat, decontaminate
+from tidemark.llm.common import scratch, table
+from tidemark.llm.packing import pack
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.token_counts import token_counts
+from tidemark.llm.url_filter import judge_urls
+from tidemark.llm.warc import read_warc, write_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,9 +26,39 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+#: A conversation that the query adds: its texts hold marks of the template.
+MARKED = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame(MARKED, "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.format_conversations(given.unionByName(added)))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), out)
+    return read_warc(spark, out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op2_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op2_simhash_near_dedup, op3_url_filter, op4_chat_format, op6_decontaminate, op7_warc, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    marked = ", ".join(f"({c}, {t}, '{r}', '{x}')" for c, t, r, x in MARKED)
+    turns = f"turns as (select conv_id, turn, role, text from conversations union all select * from (values {marked}) v(conv_id, turn, role, text)),"
+    return {"op4_chat_format": chat.SQL.replace("with ", f"with {turns} ", 1), "op6_decontaminate": decontaminate.SQL}
