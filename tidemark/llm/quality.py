@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -194,3 +195,16 @@ def judge(docs: DataFrame, model: Trees, least_words: int = 10, most_repeat: int
     out = rows.mapInPandas(_stats(model), f"doc_id long, {BASE}, score double")
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeat * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold))
+
+
+def kept_rows(docs: DataFrame, model: Trees, least_words: int = 10, most_repeat: int = 20, threshold: float = 0.0) -> DataFrame:
+    """The rows of docs that judge() keeps, with all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            both = [statistics(t or "") for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+            x = np.array([f for _, f in both]).reshape(len(both), len(FEATURES))
+            fine = [n >= least_words and 100 * repeat <= most_repeat * n for (n, *_, repeat), _ in both]
+            yield b.filter(pa.array(np.array(fine, bool) & (model.score(x) >= threshold)))
+
+    return docs.mapInArrow(run, docs.schema)

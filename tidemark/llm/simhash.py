@@ -9,11 +9,11 @@ verified by their distance.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import combinations, islice
 from math import comb
-import re
 
 import numpy as np
 import pandas as pd
@@ -28,6 +28,8 @@ from tidemark.llm.components import components
 BUCKET = 8
 #: Cost of a verified candidate in signatures.
 CANDIDATE = 0.5
+#: The largest threshold of a partition.
+MOST = 2
 
 
 # -- fingerprints ---------------------------------------------------------------------------------------------------
@@ -103,26 +105,40 @@ def distance(a: Column, b: Column, longs: int) -> Column:
 
 
 def co_occurrence(fps: DataFrame, longs: int) -> tuple[int, np.ndarray]:
-    """Number of fingerprints, and for each two bits in how many both are set; tasks add up matrices of their rows."""
+    """Number of fingerprints, and for each two bits in how many both are set.
+
+    Each task adds up the matrix of its rows and passes it on by blocks of 64 bits; blocks are added up as they come. The
+    driver sees one matrix.
+    """
     n_bits = 64 * longs
+    schema = "block int, n long, counts binary"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, n = np.zeros((n_bits, n_bits)), 0
+    def frame(n: int, total: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"block": range(longs), "n": n, "counts": [total[64 * i : 64 * i + 64].tobytes() for i in range(longs)]})
+
+    def of_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, n = np.zeros((n_bits, n_bits), np.int64), 0
         for b in batches:
-            x = np.unpackbits(np.array(b["fp"].tolist(), dtype=">i8").view(np.uint8).reshape(len(b), -1), axis=1).astype(np.float32) if len(b) else np.zeros((0, n_bits), np.float32)
-            total += x.T @ x
-            n += len(b)
-        yield pd.DataFrame({"bit": range(-1, n_bits), "row": [[float(n)], *total.tolist()]})
-
-    # summed by bit: n_bits + 1 short rows reach the driver
-    summed = fps.select("fp").mapInPandas(run, "bit int, row array<double>").select("bit", F.posexplode("row").alias("j", "v")).groupBy("bit", "j").agg(F.sum("v").alias("v")).collect()
-    both, n = np.zeros((n_bits, n_bits)), 0
-    for bit, j, v in summed:
-        if bit < 0:
-            n = int(v)
-        else:
-            both[bit, j] = v
-    return n, both
+            if len(b):
+                x = np.unpackbits(np.array(b["fp"].tolist(), dtype=">i8").view(np.uint8).reshape(len(b), -1), axis=1).astype(np.float32)
+                total += (x.T @ x).astype(np.int64)
+                n += len(b)
+        yield frame(n, total)
+
+    def of_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, list] = {}
+        for b in batches:
+            for block, n, counts in zip(b["block"], b["n"], b["counts"], strict=True):
+                held = sums.setdefault(block, [0, 0])
+                held[0] += n
+                held[1] = held[1] + np.frombuffer(counts, np.int64)
+        yield pd.DataFrame([(k, n, c.tobytes()) for k, (n, c) in sums.items()], columns=["block", "n", "counts"])
+
+    summed = fps.select("fp").mapInPandas(of_rows, schema).repartition(longs, "block").mapInPandas(of_blocks, schema).collect()
+    both = np.zeros((n_bits, n_bits))
+    for block, _, counts in summed:
+        both[64 * block : 64 * block + 64] = np.frombuffer(counts, np.int64).reshape(64, n_bits)
+    return summed[0]["n"] if summed else 0, both
 
 
 def grouped_bits(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
@@ -172,15 +188,15 @@ class Plan:
     cost: float
 
 
-def allocate(n: int, both: np.ndarray, tau: int) -> Plan:
-    """The cheapest of all numbers of partitions and of all thresholds t_i with sum(t_i + 1) = tau + 1, by dynamic programming."""
+def allocate(n: int, both: np.ndarray, tau: int, numbers: Iterable[int] | None = None) -> Plan:
+    """The cheapest of some numbers of partitions and of all thresholds t_i with sum(t_i + 1) = tau + 1, by dynamic programming."""
     best = None
-    for m in range(1, tau + 2):
+    for m in numbers or range(1, tau + 2):
         parts = grouped_bits(n, both, m)
         price = []
         for bits in parts:
-            near = within(n, both, bits, tau)
-            price.append([0.0] + [n * comb(len(bits), t) + CANDIDATE * n * n / 2 * near[t] for t in range(tau + 1)])
+            near = within(n, both, bits, MOST)
+            price.append([0.0] + [n * comb(len(bits), t) + CANDIDATE * n * n / 2 * near[t] if t <= min(MOST, len(bits)) else np.inf for t in range(tau + 1)])
         table: list[tuple[float, list[int]]] = [(0.0, [])] + [(np.inf, [])] * (tau + 1)
         for row in price:
             table = [min(((table[u - x][0] + row[x], [*table[u - x][1], x - 1]) for x in range(u + 1)), key=lambda y: y[0]) for u in range(tau + 2)]
@@ -243,3 +259,101 @@ def near_duplicates(docs: DataFrame, k: int = 3, tau: int = 2) -> DataFrame:
     by_fp = cut(named.join(classes, "root").select(F.col("fp").alias("of"), "component_id"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return fps.join(by_fp, fps["fp"] == by_fp["of"]).select("doc_id", hexed, "component_id")
+
+
+# -- near copies by shingles ----------------------------------------------------------------------------------------
+
+#: Near copies are looked for by fingerprints of so many longs over the distinct words of a text, in so many
+#: partitions, and verified up to this share of differing bits (0.067 are expected where a 5-word Jaccard of 0.8
+#: leaves 0.96 of the words).
+LONGS, PARTS, DIFFERING = 12, 34, 0.17
+
+
+def _key(fp: Column, bits: list[int], away: tuple[int, ...] = ()) -> Column:
+    """The bits of a partition, of a fingerprint of several longs, without those away."""
+    masks: dict[int, int] = {}
+    for b in set(bits) - set(away):
+        masks[b // 64] = masks.get(b // 64, 0) | 1 << (63 - b % 64)
+    return F.xxhash64(*[fp[s].bitwiseAND(F.lit(signed(m)).cast("long")) for s, m in sorted(masks.items())], F.lit(str((sorted(bits), away))))
+
+
+def candidate_links(fps: DataFrame, plan: Plan, longs: int, most: int) -> DataFrame:
+    """Pairs (a, b, bits) of texts (h, fp) that share a bucket and differ in at most ``most`` bits.
+
+    Buckets of up to BUCKET texts give all their pairs. Each text of a fuller bucket is paired with three centres of the
+    bucket (the smallest by three orders): as every text is in many buckets, and centres differ between them, close
+    groups stay connected, while the number of pairs is in proportion to the texts.
+    """
+    keys = [_key(F.col("fp"), bits, away) for bits, t in zip(plan.parts, plan.thresholds, strict=True) if t >= 0 for away in combinations(bits, t)]
+    sigs = fps.select("h", F.explode(F.array(*keys)).alias("key"))
+    orders = [F.min(F.struct(F.xxhash64("h", F.lit(i)).alias("o"), F.col("h").alias("h")))["h"].alias(f"c{i}") for i in range(3)]
+    sizes = stored(sigs.groupBy("key").agg(F.count("*").alias("size"), *orders).where("size > 1"), "sizes")
+    met = stored(sigs.join(sizes, "key"), "met")
+    small = met.where(F.col("size") <= BUCKET).groupBy("key").agg(F.array_sort(F.collect_set("h")).alias("hs"))
+    pairs = small.select("hs", F.posexplode("hs").alias("i", "a")).select("a", F.explode(F.expr(f"slice(hs, i + 2, {BUCKET})")).alias("b"))
+    stars = met.where(F.col("size") > BUCKET).select(F.col("h").alias("a"), F.explode(F.array("c0", "c1", "c2")).alias("b")).where("a != b")
+    edges = pairs.unionByName(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    x, y = fps.select(F.col("h").alias("a"), F.col("fp").alias("x")), fps.select(F.col("h").alias("b"), F.col("fp").alias("y"))
+    near = edges.join(x, "a").join(y, "b").select("a", "b", distance(F.col("x"), F.col("y"), longs).alias("bits"))
+    return stored(near.where(F.col("bits") <= most), "near")
+
+
+def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
+    """h, shingles (sorted distinct hashes) of docs (h, text)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i in range(0, len(b), 1000):
+                part = b.iloc[i : i + 1000]
+                sets = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t, k)])).view(np.int64) for t in part["text"]]
+                yield pd.DataFrame({"h": part["h"], "shingles": sets})
+
+    return docs.mapInPandas(run, "h long, shingles array<long>")
+
+
+def _verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    x, y = sets.select(F.col("h").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("h").alias("b"), F.col("shingles").alias("y"))
+    both = edges.select("a", "b").join(x, "a").join(y, "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    union = F.size("x") + F.size("y") - shared
+    return both.where((union == 0) | (shared >= F.lit(similarity) * union - 1e-9)).select("a", "b")
+
+
+def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each group of near copies: all its columns, the row with the smallest doc_id.
+
+    Texts (A-Z lower-cased) are near copies if the Jaccard similarity of their distinct k-word shingles is at least
+    ``similarity``; groups are the connected components. Candidates come from SimHash buckets and each link is verified
+    on the shingles. Equal texts are one group, null counts as empty, and texts without words are near copies of each
+    other. Null ids come last and ties are broken by the text's hash; repeated rows leave one. An empty table stays empty.
+    """
+    lowered = ascii_lower(F.coalesce("text", F.lit("")))
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("own"), F.xxhash64(lowered).alias("h"), lowered.alias("text"))
+
+    def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"id": b["id"].astype("Int64"), "own": b["own"], "h": b["h"], "fp": [fingerprint(t, 1, LONGS, True) for t in b["text"]]})
+
+    rows = stored(keyed.select("id", "own", "h", "text").mapInPandas(prints, "id long, own long, h long, fp array<long>"), "prints")
+    fps = stored(rows.groupBy("h").agg(F.first("fp").alias("fp")), "fps")
+    n, both = co_occurrence(fps, LONGS)
+    plan = allocate(n, both, PARTS - 1, [PARTS])
+    edges = candidate_links(fps, plan, LONGS, int(DIFFERING * 64 * LONGS))
+    ends = stored(edges.select(F.explode(F.array("a", "b")).alias("of")).distinct(), "ends")
+    texts = keyed.select("h", "text").join(ends, F.col("h") == F.col("of"), "left_semi")
+    sets = stored(shingle_sets(texts.groupBy("h").agg(F.first("text").alias("text")), k), "shingles")
+    # first the closest partner of each text, then all that these links don't connect yet
+    ways = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "bits"))
+    best = ways.groupBy("a").agg(F.min(F.struct("bits", "b"))["b"].alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sure = cut(_verified(best, sets, similarity))
+    roots = components(sure)
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    apart = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    links = sure.unionByName(cut(_verified(apart, sets, similarity)))
+    groups = components(links)
+    # the row that stays of each group
+    named = rows.select("id", "own", "h").join(groups, rows["h"] == groups["node"], "left").select("id", "own", F.coalesce("root", "h").alias("root"))
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("own").alias("own")))
+    stay = stored(named.groupBy("root").agg(first.alias("s")).select(F.col("s.id").alias("stay_id"), F.col("s.own").alias("stay_own")), "stay")
+    kept = keyed.select("row", "id", "own").join(stay, F.col("id").eqNullSafe(F.col("stay_id")) & (F.col("own") == F.col("stay_own")))
+    return kept.dropDuplicates(["stay_id", "stay_own"]).select("row.*")

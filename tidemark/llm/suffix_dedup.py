@@ -217,30 +217,38 @@ def repeated_windows(rows: DataFrame, length: int = 400, q: int = 64, widths: tu
     return out
 
 
-CUT = "doc_id long, h long, n_bytes long, n_removed long, n_spans long, kept binary"
+CUT = "n_bytes long, n_removed long, n_spans long, kept binary"
 
 
 def _cut(length: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for i in range(0, len(b), 200):
-                part, out = b.iloc[i : i + 200], []
-                for doc_id, h, text, at in zip(part["doc_id"], part["h"], part["text"], part["at"], strict=True):
-                    data = text.encode("utf-8", "surrogatepass")
-                    kept, end, removed, spans = [], 0, 0, 0
-                    # windows from start to start + n cover start to start + n + length
-                    for start, stop in sorted((m["x"] - m["hi"], m["x"] - m["lo"] + length) for m in (at if at is not None else ())):
-                        if start > end or not spans:
-                            kept.append(data[end:start])
-                            spans += 1
-                            removed += stop - start
-                        else:
-                            removed += max(stop - end, 0)
-                        end = max(end, stop)
-                    out.append((doc_id, h, len(data), removed, spans, b"".join([*kept, data[end:]])))
-                yield _frame(out, CUT)
-
-    return run
+    """Of a text and its repeated windows (or null): the number of its bytes, of those removed and of the removed runs, and the bytes left."""
+
+    @F.pandas_udf(CUT)
+    def cut(texts: pd.Series, windows: pd.Series) -> pd.DataFrame:
+        out = []
+        for text, at in zip(texts, windows, strict=True):
+            data = text.encode("utf-8", "surrogatepass")
+            kept, end, removed, spans = [], 0, 0, 0
+            # windows from one start to another cover all bytes to the end of the last
+            for start, stop in sorted((m["x"] - m["hi"], m["x"] - m["lo"] + length) for m in (at if at is not None else ())):
+                if start > end or not spans:
+                    kept.append(data[end:start])
+                    spans += 1
+                    removed += stop - start
+                else:
+                    removed += max(stop - end, 0)
+                end = max(end, stop)
+            out.append((len(data), removed, spans, b"".join([*kept, data[end:]])))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in CUT.split(", ")])
+
+    return cut
+
+
+def _marked(docs: DataFrame, length: int) -> DataFrame:
+    """docs with h, a text without nulls, and at: its repeated windows, or null."""
+    rows = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("h", F.xxhash64("text"))
+    windows = repeated_windows(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "h", "text"), length)
+    return _with(rows, _marks(windows), "left")
 
 
 def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
@@ -250,10 +258,25 @@ def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     and repeated ids are allowed. Strings are judged on the input; overlapping occurrences count. An empty table gives
     an empty result; further columns are ignored.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("h", F.xxhash64("text"))
-    windows = repeated_windows(rows, length)
-    return _with(rows, _marks(windows), "left").mapInPandas(_cut(length), CUT).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept")
+    cut = _marked(docs.select("doc_id", "text"), length).select("doc_id", _cut(length)("text", "at").alias("cut"))
+    return cut.select("doc_id", "cut.*")
+
+
+def strip_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
+    """docs with the repeated bytes cut out of text, and n_chars (if there is one) counted anew; all rows and columns stay.
+
+    As without_repeats; a character of which only a part is removed is removed as a whole.
+    """
+    given = docs.select(F.struct("*").alias("row"), "doc_id", "text")
+
+    @F.pandas_udf("string")
+    def text_of(kept: pd.Series) -> pd.Series:
+        return kept.map(lambda k: bytes(k).decode("utf-8", "ignore"))
+
+    new = text_of(_cut(length)("text", "at")["kept"])
+    out = _marked(given, length).select("row", F.when(F.col("at").isNull(), F.col("text")).otherwise(new).alias("text"))
+    changed = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
+    return out.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def digests(cut: DataFrame) -> DataFrame:
