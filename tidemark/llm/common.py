@@ -39,7 +39,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Remove the files of a stored table that nothing will read again."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ascii_lower(col: Column) -> Column:

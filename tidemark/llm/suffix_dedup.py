@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import forget, stored
 
 #: Bytes of text taken at a time, so that memory stays bounded for texts of any length.
 BLOCK = 1 << 19
@@ -188,35 +188,47 @@ def repeated_windows(rows: DataFrame, length: int = 400, q: int = 64, widths: tu
     spans, whole_key = ["doc_id", "h", "x", "lo", "hi"], ["f1", "f2", "lo", "hi"]
     found = stored(rows.mapInPandas(_anchored(length, q), ANCHOR), "anchors")
     alike = stored(found.join(_several(found, ["q"], "grams"), "q", "left_semi"), "alike")
-    decided, around = [], None
-    bucket, others = ["q"], []
+    forget(found)
+    decided, todo, parts = [], None, None
     for width in (0, *widths):
-        if width:
-            source = around if around is not None else _around(rows, alike, length)
-            alike = stored(source.mapInPandas(_split(width, length), PART), "parts")
-            bucket, others = ["cell", "c1", "c2"], ["around"]
-            alike = alike.join(_several(alike, bucket, "buckets"), bucket, "left_semi")
-        whole = _several(alike, whole_key, "whole")
-        same = alike.join(whole, whole_key, "left_semi")
-        decided.append(same.select(*spans))
+        if width == 0:
+            keys, bucket = alike, ["q"]
+        else:
+            source = _around(rows, todo, length) if parts is None else _semi(parts.select(*spans, "around"), todo, spans)
+            before, parts = parts, stored(source.mapInPandas(_split(width, length), PART), "parts")
+            if before is not None:
+                forget(before)
+            keys, bucket = parts.drop("around"), ["cell", "c1", "c2"]
+            keys = keys.join(_several(keys, bucket, "buckets"), bucket, "left_semi")
         if width == 1:
+            decided.append(stored(keys.select(*spans), "decided"))
+            forget(parts)
             break
-        rest = alike.join(whole, whole_key, "left_anti")
+        whole = _several(keys, whole_key, "whole").withColumn("same", F.lit(True))
+        flagged = stored(keys.join(whole, whole_key, "left"), "flagged")
+        if width == 0:
+            forget(alike)
+        same, rest = flagged.where("same"), flagged.where("same is null")
+        decided.append(same.select(*spans))
         # a part of an undecided anchor may equal one of a decided class, for which one member speaks
-        members = same.groupBy(*whole_key, *bucket).agg(F.first(F.struct("doc_id", "h", "x", *others)).alias("m")).select("m.*", *whole_key, *bucket)
-        buckets = stored(rest.select(*bucket).distinct(), "open")
-        speak = members.join(buckets, bucket, "left_semi")
-        todo = rest.select(*spans, *others).unionByName(speak.select(*spans, *others))
-        if width:
-            around = todo
-        else:
-            alike = todo
+        members = same.groupBy(*whole_key, *bucket).agg(F.first(F.struct("doc_id", "h", "x")).alias("m")).select("m.*", *whole_key, *bucket)
+        speak = members.join(stored(rest.select(*bucket).distinct(), "open"), bucket, "left_semi")
+        todo = rest.select(*spans).unionByName(speak.select(*spans))
     out = decided[0]
     for d in decided[1:]:
         out = out.unionByName(d)
     return out
 
 
+def _semi(df: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of df whose key, nulls included, is in other."""
+    other = other.select(*[F.col(c).alias(f"of_{c}") for c in on])
+    fits = F.lit(True)
+    for c in on:
+        fits = fits & df[c].eqNullSafe(other[f"of_{c}"])
+    return df.join(other, fits, "left_semi")
+
+
 CUT = "n_bytes long, n_removed long, n_spans long, kept binary"
 
 
