@@ -13,6 +13,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch. Texts are long, and a batch is held in memory several times over on its way to Python.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to BATCH_ROWS rows at most."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors and the driver see: spark.checkpoint.dir, or a new one where that is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)

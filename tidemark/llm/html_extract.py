@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import small_batches, stored
 from tidemark.llm.url_filter import host_and_path
 
 #: Elements whose text never is part of an article, or holds no text.
@@ -216,6 +216,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     Null and empty html have an empty text. The tree of a host is made of all its rows, those without a host share one;
     repeated rows and null ids are pages of their own. An empty table gives an empty result; further columns are ignored.
     """
+    small_batches(pages.sparkSession)
     host, _ = host_and_path(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     low = stored(low_branches(stored(style_tree(rows), "style-tree")), "low")

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import small_batches, stored
 
 END = 1  # the id after each document
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, open boolean, part long"
@@ -169,6 +169,7 @@ def pack(docs: DataFrame, path: str, size: int = 2048, open_windows: int = 64, f
     result; further columns are ignored. The merge of leftovers takes fan_in partitions' windows at a time: a bounded
     number of tokens a group.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     # written: which partition a piece was packed in must not change when an executor is lost
     pieces = stored(rows.mapInPandas(_packed(path, size, open_windows), PIECE), "pieces")

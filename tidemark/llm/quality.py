@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD
+from tidemark.llm.common import WORD, small_batches
 
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 SYMBOLS = "#*$%&|<>"
@@ -177,6 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 4000) -> Trees:
     Labels (doc_id, quality) of a repeated id count by their mean; null ids or qualities are ignored. Without any
     labelled row, the trees are empty and everything scores as even odds.
     """
+    small_batches(docs.sparkSession)
     chosen = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.avg("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # most ids at most
     got = rows.select("doc_id", "text").mapInPandas(_stats(None), f"doc_id long, {BASE}, features array<double>").join(F.broadcast(chosen), "doc_id").select("doc_id", "features", "quality").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
@@ -191,6 +192,7 @@ def judge(docs: DataFrame, model: Trees, least_words: int = 10, most_repeat: int
     table gives an empty result; further columns are ignored. kept: the base rules hold and the log odds of the trees
     are at least the threshold.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     out = rows.mapInPandas(_stats(model), f"doc_id long, {BASE}, score double")
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeat * F.col("n_words"))
@@ -200,6 +202,8 @@ def judge(docs: DataFrame, model: Trees, least_words: int = 10, most_repeat: int
 def kept_rows(docs: DataFrame, model: Trees, least_words: int = 10, most_repeat: int = 20, threshold: float = 0.0) -> DataFrame:
     """The rows of docs that judge() keeps, with all their columns."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             both = [statistics(t or "") for t in b.column(b.schema.get_field_index("text")).to_pylist()]

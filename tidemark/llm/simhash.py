@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, WORD, ascii_lower, cut, stored
+from tidemark.llm.common import WORD, ascii_lower, cut, small_batches, stored
 from tidemark.llm.components import components
 
 #: Up to so many fingerprints of a bucket are compared pair by pair; fuller buckets go by single-bit flips.
@@ -86,6 +86,8 @@ def fingerprint(text: str, k: int, longs: int, distinct: bool) -> list[int]:
 def fingerprints(docs: DataFrame, k: int, longs: int = 1, distinct: bool = False) -> DataFrame:
     """doc_id, fp array<long> of each row of docs; null texts count as empty, a text without words has fingerprint zero."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "fp": [fingerprint(t, k, longs, distinct) for t in b["text"]]})
@@ -327,6 +329,7 @@ def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFra
     on the shingles. Equal texts are one group, null counts as empty, and texts without words are near copies of each
     other. Null ids come last and ties are broken by the text's hash; repeated rows leave one. An empty table stays empty.
     """
+    small_batches(docs.sparkSession)
     lowered = ascii_lower(F.coalesce("text", F.lit("")))
     keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("own"), F.xxhash64(lowered).alias("h"), lowered.alias("text"))
 

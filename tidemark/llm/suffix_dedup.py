@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import forget, stored
+from tidemark.llm.common import forget, small_batches, stored
 
 #: Bytes of text taken at a time, so that memory stays bounded for texts of any length.
 BLOCK = 1 << 19
@@ -258,6 +258,7 @@ def _cut(length: int):
 
 def _marked(docs: DataFrame, length: int) -> DataFrame:
     """docs with h, a text without nulls, and at: its repeated windows, or null."""
+    small_batches(docs.sparkSession)
     rows = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("h", F.xxhash64("text"))
     windows = repeated_windows(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "h", "text"), length)
     return _with(rows, _marks(windows), "left")

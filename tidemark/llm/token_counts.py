@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, small_batches
 
 MARGIN = 64
 MEMO = 500_000
@@ -147,6 +147,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, huge: int = 32_7
     repeated ids each give a row. Further columns are ignored. Texts of over ``huge`` characters go by chunks of
     ``size`` characters that overlap by ``overlap``; where splicing fails, both grow eightfold.
     """
+    small_batches(docs.sparkSession)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import small_batches, stored
 
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -180,6 +180,7 @@ def write_warc(pages: DataFrame, out_dir: str, roll: int = 64 << 20, shard: int
     of about ``shard`` payload bytes.
     """
     spark = pages.sparkSession
+    small_batches(spark)
     payload = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha2(F.encode("payload", "UTF-8"), 256)).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
