@@ -18,14 +18,14 @@ def ancestors(tree: DataFrame, cap: int = CAP) -> DataFrame:
 
     One join with the edges a level, in a chain whose plan grows by one join a level however often it is used.
     """
-    known = tree.select(F.col("id").alias("_p"))
-    edges = tree.select(F.col("id").alias("_c"), F.col("parent_id").alias("_p")).where("_p is not null").join(known, "_p", "left_semi").dropDuplicates(["_c"])
+    edges = tree.select(F.col("id").alias("_c"), F.col("parent_id").alias("_p")).where("_p is not null")
     rows = tree.select("id", F.col("id").alias("_a0"))
     for d in range(1, cap + 1):
         rows = rows.join(edges.select(F.col("_c").alias(f"_c{d}"), F.col("_p").alias(f"_a{d}")), F.col(f"_a{d - 1}") == F.col(f"_c{d}"), "left").drop(f"_c{d}")
     chain = rows.select("id", F.array(*[f"_a{d}" for d in range(cap + 1)]).alias("_chain"))
     steps = chain.select("id", "_chain", F.posexplode("_chain").alias("distance", "ancestor"))
-    return steps.where("ancestor is not null and array_position(_chain, ancestor) = distance + 1").select("id", "ancestor", "distance")
+    seen = steps.where("ancestor is not null and array_position(_chain, ancestor) = distance + 1").select("id", "ancestor", "distance")
+    return seen.join(tree.select(F.col("id").alias("ancestor")), "ancestor", "left_semi").select("id", "ancestor", "distance")
 
 
 def descendants(tree: DataFrame, cap: int = CAP) -> DataFrame:
@@ -63,7 +63,7 @@ def used_taxonomy(tree: DataFrame, used: DataFrame, cap: int = CAP) -> DataFrame
     keep = ancestors(tree, cap).join(used.select("id").distinct(), "id", "left_semi").select(F.col("ancestor").alias("id")).distinct()
     kept = tree.join(keep, "id", "left_semi")
     children = kept.where("parent_id is not null").groupBy(F.col("parent_id").alias("id")).agg(F.array_sort(F.collect_list("id")).alias("child_ids"))
-    out = kept.join(trail(kept, cap), "id").join(children, "id", "left")
+    out = kept.join(trail(tree, cap), "id").join(children, "id", "left")  # what is above a kept node is kept
     return out.select("id", "name", F.when(F.size("path_ids") > 1, F.col("parent_id")).alias("parent_id"), (F.size("path_ids") - 1).alias("depth"), "path_ids", F.coalesce("child_ids", F.array().cast("array<string>")).alias("child_ids"))
 
 
