@@ -19,7 +19,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    mins = cut(_mins(edges, "a", "b"))
+    mins = _mins(edges, "a", "b")  # a node has few smaller neighbours after a large star
     rest = edges.join(mins, edges["a"] == mins["u"]).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return rest.unionByName(mins.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a != b").distinct()
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, ascii_lower, cut, small_batches, stored
+from tidemark.llm.common import WORD, ascii_lower, cut, forget, small_batches, stored
 from tidemark.llm.components import components
 
 #: Up to so many fingerprints of a bucket are compared pair by pair; fuller buckets go by single-bit flips.
@@ -271,12 +271,24 @@ def near_duplicates(docs: DataFrame, k: int = 3, tau: int = 2) -> DataFrame:
 LONGS, PARTS, DIFFERING = 12, 34, 0.17
 
 
-def _key(fp: Column, bits: list[int], away: tuple[int, ...] = ()) -> Column:
-    """The bits of a partition, of a fingerprint of several longs, without those away."""
-    masks: dict[int, int] = {}
-    for b in set(bits) - set(away):
-        masks[b // 64] = masks.get(b // 64, 0) | 1 << (63 - b % 64)
-    return F.xxhash64(*[fp[s].bitwiseAND(F.lit(signed(m)).cast("long")) for s, m in sorted(masks.items())], F.lit(str((sorted(bits), away))))
+def bucket_keys(fps: DataFrame, plan: Plan) -> DataFrame:
+    """h, key: the number of a partition (and of the bits left out of it) over its bits, for each text (h, fp).
+
+    Made in numpy, as a column for each of some dozens of wide masks makes plans and generated code that drivers keep.
+    """
+    masks = [(bits, away) for bits, t in zip(plan.parts, plan.thresholds, strict=True) if t >= 0 for away in combinations(bits, t)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if not len(b):
+                continue
+            x = np.unpackbits(np.array(b["fp"].tolist(), dtype=">i8").view(np.uint8).reshape(len(b), -1), axis=1)
+            for i, (bits, away) in enumerate(masks):
+                kept = [c for c in bits if c not in away]
+                value = x[:, kept].astype(np.int64) @ (np.int64(1) << np.arange(len(kept), dtype=np.int64))
+                yield pd.DataFrame({"h": b["h"], "key": value + (np.int64(i) << np.int64(40))})
+
+    return fps.mapInPandas(run, "h long, key long")
 
 
 def candidate_links(fps: DataFrame, plan: Plan, longs: int, most: int) -> DataFrame:
@@ -286,11 +298,11 @@ def candidate_links(fps: DataFrame, plan: Plan, longs: int, most: int) -> DataFr
     bucket (the smallest by three orders): as every text is in many buckets, and centres differ between them, close
     groups stay connected, while the number of pairs is in proportion to the texts.
     """
-    keys = [_key(F.col("fp"), bits, away) for bits, t in zip(plan.parts, plan.thresholds, strict=True) if t >= 0 for away in combinations(bits, t)]
-    sigs = fps.select("h", F.explode(F.array(*keys)).alias("key"))
+    sigs = stored(bucket_keys(fps, plan), "keys")
     orders = [F.min(F.struct(F.xxhash64("h", F.lit(i)).alias("o"), F.col("h").alias("h")))["h"].alias(f"c{i}") for i in range(3)]
     sizes = stored(sigs.groupBy("key").agg(F.count("*").alias("size"), *orders).where("size > 1"), "sizes")
     met = stored(sigs.join(sizes, "key"), "met")
+    forget(sigs)
     small = met.where(F.col("size") <= BUCKET).groupBy("key").agg(F.array_sort(F.collect_set("h")).alias("hs"))
     pairs = small.select("hs", F.posexplode("hs").alias("i", "a")).select("a", F.explode(F.expr(f"slice(hs, i + 2, {BUCKET})")).alias("b"))
     stars = met.where(F.col("size") > BUCKET).select(F.col("h").alias("a"), F.explode(F.array("c0", "c1", "c2")).alias("b")).where("a != b")
