@@ -93,7 +93,7 @@ def test_thresholds_sum_up():
 
 def test_near_copies(spark):
     base = [prose(200, s) for s in range(12)]
-    rows = [(i, t, "c") for i, t in enumerate(base)] + [(100 + i, t.replace(" ", " zz ", 1).upper(), "c") for i, t in enumerate(base[:6])] + [(None, base[0], "c"), (3, base[3], "c"), (900, None, "c"), (901, "", "c")]
+    rows = [(i, t, "c") for i, t in enumerate(base)] + [(100 + i, re.sub("[a-z]", lambda m: m[0].upper(), t.replace(" ", " zz ", 1)), "c") for i, t in enumerate(base[:6])] + [(None, base[0], "c"), (3, base[3], "c"), (900, None, "c"), (901, "", "c")]
     got = sorted(r["doc_id"] for r in simhash.near_copies(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got == [*range(12), 900]
     assert simhash.near_copies(spark.createDataFrame([], SCHEMA)).columns == ["doc_id", "text", "doc"]
