@@ -15,12 +15,14 @@ DIMS = ("titles", "team_dim", "facet_dim", "types")
 #: Words of a title, as rows.
 WORDS = "words as (select k, unnest(string_split(regexp_replace(title, '[^a-z0-9]+', ' ', 'g'), ' ')) as w, title, p_type, p_brand from titles)"
 TEAMS = "team_hits as (select distinct k, t.team_id, t.league_id, t.ordinal from words join team_dim t on t.team_id = w)"
+COLD = "not (facet_id = 'old' and k in (select k from words where w = 'cold'))"  # a shorter token within a longer one doesn't count
 FACETS = "facet_hits as (select distinct k, f.facet_id, f.facet_type, f.ordinal from words join facet_dim f on f.facet_id = w)"
 
 
 def pack_of(t: Tables) -> C.Pack:
     row = lambda df, kind, c: df.select(F.lit(kind).alias("kind"), F.col(c).alias("id"), F.col(c).alias("alias"), "ordinal", F.lit(0).alias("alias_ordinal"))
-    aliases = row(t.types, "league", "league_id").unionByName(row(t.team_dim, "team", "team_id")).unionByName(row(t.facet_dim, "facet", "facet_id"))
+    leagues = row(t.types, "league", "league_id").withColumn("alias", F.concat(F.lit("x"), "alias"))
+    aliases = leagues.unionByName(row(t.team_dim, "team", "team_id")).unionByName(row(t.facet_dim, "facet", "facet_id"))
     return C.Pack(aliases, t.team_dim.select(F.col("team_id").alias("id"), "league_id", F.lit(False).alias("national")), t.facet_dim.select(F.col("facet_id").alias("id"), "facet_type", F.col("ordinal").alias("sort_order")), keywords=("24",))
 
 
@@ -30,7 +32,7 @@ def records_of(t: Tables) -> DataFrame:
 
 
 def leagued_of(t: Tables) -> DataFrame:
-    return t.titles.select(F.col("k").alias("record"), F.col("title").alias("name"), F.col("p_type").alias("category"), F.array("p_type", "p_brand").alias("path"))
+    return t.titles.select(F.col("k").alias("record"), F.col("title").alias("name"), F.concat(F.lit("x"), "p_type").alias("category"), F.array(F.concat(F.lit("x"), "p_type"), "p_brand").alias("path"))
 
 
 @query(f"with {WORDS} select distinct k as record, 'team' as kind, t.team_id as id from words join team_dim t on t.team_id = w union all select distinct k, 'facet', f.facet_id from words join facet_dim f on f.facet_id = w", DIMS)
@@ -53,7 +55,7 @@ def base_status(t: Tables) -> DataFrame:
     return C.classify_base(leagued_of(t), pack_of(t)).withColumn("facets", F.array_join("facets", ","))
 
 
-@query(f"with {WORDS} select distinct k as record, 'team' as kind, w as id, 0.96 as score, 'title' as sources from words where w in (select team_id from team_dim) union all select distinct k, 'facet', w, 0.96, 'title' from words where w in (select facet_id from facet_dim) union all select k, 'league', p_type, 0.97, 'category,path' from titles", DIMS)
+@query(f"with {WORDS} select distinct k as record, 'team' as kind, w as id, 0.96 as score, 'title' as sources from words where w in (select team_id from team_dim) union all select distinct k, 'facet', w, 0.96, 'title' from words where w in (select facet_id from facet_dim) and not (w = 'old' and k in (select k from words where w = 'cold')) union all select k, 'league', p_type, 0.97, 'category,path' from titles", DIMS)
 def evidence_scores(t: Tables) -> DataFrame:
     evidence = C.build_evidence(leagued_of(t)).where("code is null")
     return C.evidence_candidates(evidence, pack_of(t)).withColumn("sources", F.array_join("sources", ","))
@@ -76,7 +78,7 @@ def season_pick(t: Tables) -> DataFrame:
 @query(f"""with {WORDS}, {TEAMS}, {FACETS} select k as record, 'team' as field, string_agg(distinct team_id, ',' order by team_id) as ids from team_hits group by k having count(*) > 1
     union all select k, 'league', string_agg(distinct league_id, ',' order by league_id) from team_hits group by k having count(distinct league_id) > 1
     union all select k, 'season', '2024/25,2025/26' from titles where k % 12 = 0
-    union all select k, 'version', string_agg(distinct facet_id, ',' order by facet_id) from facet_hits where facet_type = 'version' group by k having count(*) > 1""", DIMS)
+    union all select k, 'version', string_agg(distinct facet_id, ',' order by facet_id) from facet_hits where facet_type = 'version' and {COLD} group by k having count(*) > 1""", DIMS)
 def entity_conflicts(t: Tables) -> DataFrame:
     return _conflicts(t).withColumn("ids", F.array_join("ids", ","))
 
@@ -95,7 +97,7 @@ def _state_input(t: Tables) -> DataFrame:
 
 
 CONFLICTS = f"""{WORDS}, {TEAMS}, {FACETS}, found as (select k, 'team' as field from team_hits group by k having count(*) > 1 union all select k, 'league' from team_hits group by k having count(distinct league_id) > 1
-    union all select k, 'season' from titles where k % 12 = 0 union all select k, 'version' from facet_hits where facet_type = 'version' group by k having count(*) > 1),
+    union all select k, 'season' from titles where k % 12 = 0 union all select k, 'version' from facet_hits where facet_type = 'version' and {COLD} group by k having count(*) > 1),
     best as (select k, team_id, league_id from team_hits qualify row_number() over (partition by k order by length(team_id) desc, ordinal) = 1),
     given as (select k, json, k % 3 = 0 as clears from overrides), st as (select t.k, b.team_id, b.league_id, string_agg(f.field, ',' order by f.field) as conflicts, count(f.field) as n, count(*) filter (where f.field = 'team') as nt, count(*) filter (where f.field = 'league') as nl, count(*) filter (where f.field = 'season') as ns from titles t left join best b on b.k = t.k left join found f on f.k = t.k group by 1, 2, 3)"""
 

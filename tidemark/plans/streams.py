@@ -30,7 +30,7 @@ def _events(t: Tables) -> DataFrame:
 @query("select user_id, event_type, count(*) as n from (select distinct user_id, event_type from events) group by 1, 2")
 def stream_dedup(t: Tables) -> DataFrame:
     root = _folder(t)
-    messages = sync.dedup_messages(_events(t).select("user_id", "event_type", "ts"), ["user_id", "event_type"], "ts", "3650 days")
+    messages = sync.dedup_messages(_events(t).select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts")), ["user_id", "event_type"], "ts", "3650 days")
     messages.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/check").trigger(availableNow=True).start().awaitTermination()
     return t.spark.read.schema(messages.schema).parquet(f"{root}/out").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
