@@ -29,7 +29,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 MAIN = frozenset("article main".split())
 #: Words of class names, ids and roles that mark furniture.
 NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside header masthead footer foot cookie cookies consent notice notices gdpr popup modal overlay share sharing social related recommended newsletter subscribe subscription signup login search searchbox form comment comments commentlist disqus respond replies reply pagination pager widget toolbar contentinfo complementary skip".split())
-WORDS = re.compile(r"[A-Za-z]+")
+WORDS, TOKENS, NUMBER = re.compile(r"[a-z]+"), re.compile(r"[a-z0-9]+"), re.compile(r"\d{3,}")
 ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 TAG = re.compile(r"""</?([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 SPACE = re.compile(r"\s+")
@@ -52,8 +52,10 @@ def _names(attrs: str) -> tuple[str, bool]:
     """A signature of class, id and role, and whether they mark furniture."""
     if "=" not in attrs:
         return "", False
-    found = sorted({w.lower() for m in ATTR.finditer(attrs) for w in WORDS.findall(m[2] or m[3] or m[4] or "")})
-    return "." + ".".join(found) if found else "", not NAMES.isdisjoint(found) and "main" not in found
+    values = " ".join(m[2] or m[3] or m[4] or "" for m in ATTR.finditer(attrs)).lower()
+    found = set(WORDS.findall(values))
+    parts = sorted(set(TOKENS.findall(NUMBER.sub("", values))))  # long numbers name a page's own thing
+    return "." + ".".join(parts) if parts else "", not NAMES.isdisjoint(found) and "main" not in found
 
 
 def walk(html: str) -> Iterator[tuple[str, list[Node]]]:

@@ -133,7 +133,7 @@ class UrlModel:
         for kind, s in (("h", f"^{host}$"), ("p", f"^{path}$")):
             found = {crc32(f"{kind}{s[i : i + n]}".encode()) % len(self.weights) for n in range(self.low, self.high + 1) for i in range(len(s) - n + 1)}
             at += sorted(found)
-            values += [len(found) ** -0.5] * len(found)
+            values += [max(len(found), 1) ** -0.5] * len(found)
         return np.array(at, np.int64), np.array(values)
 
     def score(self, host: str, path: str) -> float:
