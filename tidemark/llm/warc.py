@@ -170,7 +170,7 @@ def shard_bounds(keys: DataFrame, target: int, grid: int = 1024) -> list[int]:
     return out
 
 
-def write_warc(pages: DataFrame, out_dir: str, roll: int = 64 << 20, shard: int = 256 << 20) -> DataFrame:
+def write_warc(pages: DataFrame, out_dir: str, roll: int = 64 << 20, shard: int = 64 << 20) -> DataFrame:
     """Write a record for each row of pages (page_id, url, html, ...) to out_dir, and return the manifest.
 
     A null html is an empty payload. Of records with equal payloads of at least LEAST bytes, that with the smallest
