@@ -99,6 +99,30 @@ def test_near_copies(spark):
     assert simhash.near_copies(spark.createDataFrame([], SCHEMA)).columns == ["doc_id", "text", "doc"]
 
 
+def kept_by_brute_force(texts, k=5, similarity=0.8):
+    """The smallest number of each group of near copies."""
+    sets = [{tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if (w := words(t)) else set() for t in texts]
+    alike = lambda x, y: (not x and not y) or len(x & y) >= similarity * len(x | y) - 1e-9
+    root = grouped(len(sets), lambda i, j: alike(sets[i], sets[j]))
+    return sorted({min(i for i in range(len(sets)) if root[i] == r) for r in set(root)})
+
+
+def edited(text, seed, share):
+    w, r = text.split(), random.Random(seed)
+    for i in r.sample(range(len(w)), max(1, round(share * len(w)))):
+        w[i] = f"{w[i]}{seed}"
+    return " ".join(w)
+
+
+def test_near_copies_of_a_hub(spark):
+    hub = prose(400, 77)
+    texts = [edited(hub, s, 0.02) for s in range(150)] + [hub] + [edited(hub, 1000 + s, 0.021) for s in range(150)]
+    texts += [" ".join([prose(120, 78), prose(60, 2000 + s)]) for s in range(60)] + ["", " \t\n", None]
+    expected = kept_by_brute_force(texts)
+    df = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], SCHEMA)
+    assert sorted(r["doc_id"] for r in simhash.near_copies(df).collect()) == expected
+
+
 def brute(texts, length):
     """Bytes removed, runs and what is left of each text, by a table of all windows."""
     seen = {}

@@ -295,8 +295,8 @@ def candidate_links(fps: DataFrame, plan: Plan, longs: int, most: int) -> DataFr
     """Pairs (a, b, bits) of texts (h, fp) that share a bucket and differ in at most ``most`` bits.
 
     Buckets of up to BUCKET texts give all their pairs. Each text of a fuller bucket is paired with three centres of the
-    bucket (the smallest by three orders): as every text is in many buckets, and centres differ between them, close
-    groups stay connected, while the number of pairs is in proportion to the texts.
+    bucket (the smallest by three orders, the same in buckets of the same texts), so that the number of pairs is in
+    proportion to the texts. What this leaves apart is found by prefix_pairs.
     """
     sigs = stored(bucket_keys(fps, plan), "keys")
     orders = [F.min(F.struct(F.xxhash64("h", F.lit(i)).alias("o"), F.col("h").alias("h")))["h"].alias(f"c{i}") for i in range(3)]
@@ -325,6 +325,96 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInPandas(run, "h long, shingles array<long>")
 
 
+# -- pairs that buckets leave apart ---------------------------------------------------------------------------------
+
+#: Shingles found in so many sampled texts at least go to the end of the order of shingles, the most frequent last; of
+#: these, so many at most are known to tasks. The sample has SAMPLED texts or a fiftieth of all, whichever is more.
+COMMON, MOST_COMMON, SAMPLED = 3, 200_000, 5_000
+#: Texts of a shingle that one task pairs with all others of it.
+SALT = 256
+
+
+def common_shingles(texts: DataFrame, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of a sample of texts (h, text; n different h), sorted, and the number of texts of each."""
+    scale = 1_000_000
+    share = min(scale, -(-scale * max(SAMPLED, n // 50) // max(n, 1)))
+    sample = texts.where(F.pmod(F.xxhash64("h"), F.lit(scale)) < share)
+    each = shingle_sets(sample, k).groupBy("h").agg(F.first("shingles").alias("shingles")).select(F.explode("shingles").alias("s"))
+    top = each.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "s").limit(MOST_COMMON).collect()
+    top = sorted((r["s"], r["n"]) for r in top)
+    return np.array([s for s, _ in top], np.int64), np.array([c for _, c in top], np.int64)
+
+
+def prefixes(texts: DataFrame, k: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """h, n (distinct shingles), at, key: the first n - ceil(similarity * n) + 1 shingles of each text, with their place.
+
+    Shingles are ordered by their frequency in a sample, then by their hash. Any order that is the same for all texts
+    lets no pair of this similarity miss each other's prefix; this one keeps frequent shingles out of it.
+    """
+    known, counts = common
+    schema = "h long, n int, at int, key long"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            held: list[pd.DataFrame] = []
+            size = 0
+            for h, t in zip(b["h"], b["text"], strict=True):
+                s = np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t, k)])).view(np.int64)
+                n = len(s)
+                if not n:
+                    continue
+                if len(known):
+                    i = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    s = s[np.lexsort((s, np.where(known[i] == s, counts[i], 0)))]
+                else:
+                    s = np.sort(s)
+                first = s[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
+                held.append(pd.DataFrame({"h": h, "n": n, "at": np.arange(len(first)), "key": first}))
+                size += len(first)
+                if size >= 50_000:
+                    yield pd.concat(held)
+                    held, size = [], 0
+            if held:
+                yield pd.concat(held)
+
+    return texts.mapInPandas(run, schema)
+
+
+def prefix_pairs(texts: DataFrame, roots: DataFrame, n: int, k: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of texts (h, text) of different groups (roots: node, root), all of this Jaccard similarity among them.
+
+    Two such texts share a shingle of their prefixes. Texts of a group needn't meet, so a shingle whose texts are all of
+    one group is dropped; the texts of any other meet pair by pair, in blocks of SALT. Pairs are left out only where
+    sizes, places in the order or the number of shared prefix shingles rule the similarity out.
+    """
+    keys = stored(prefixes(texts, k, similarity, common_shingles(texts, n, k)), "prefixes")
+    shared = stored(keys.groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x != y").select("key"), "shared")
+    several = stored(keys.join(shared, "key", "left_semi").distinct(), "several")
+    forget(keys)
+    rooted = several.join(roots, F.col("h") == F.col("node"), "left").select("key", "h", "n", "at", F.coalesce("root", "h").alias("root"))
+    rooted = stored(rooted, "rooted")
+    mixed = rooted.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("x"), F.max("root").alias("y")).where("x != y")
+    salts = F.ceil(F.col("size") / SALT).cast("int").alias("salts")
+    met = stored(rooted.join(stored(mixed.select("key", salts), "mixed"), "key"), "mixed-prefixes")
+    x = met.select("key", F.pmod(F.xxhash64("h"), F.col("salts")).cast("int").alias("salt"), *[F.col(c).alias(f"{c}_a") for c in ("h", "n", "at", "root")])
+    y = met.select("key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *[F.col(c).alias(f"{c}_b") for c in ("h", "n", "at", "root")])
+    # so many shingles are shared at least by similar texts, and at most by texts that hold this one at these places
+    least = F.lit(similarity / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) - 1e-6
+    most = F.least("at_a", "at_b") + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    pairs = x.join(y, ["key", "salt"]).where((F.col("h_a") < F.col("h_b")) & (F.col("root_a") != F.col("root_b")) & (most >= least))
+    found = pairs.groupBy(F.col("h_a").alias("a"), F.col("h_b").alias("b"), "n_a", "n_b").agg(F.count("*").alias("shared"))
+    # one of the two has all its shared shingles up to the end of its prefix in the other's prefix
+    rest = lambda c: F.ceil(F.lit(similarity) * F.col(c) - 1e-9) - 1
+    return found.where(F.col("shared") + F.greatest(rest("n_a"), rest("n_b")) >= least).select("a", "b")
+
+
+def _sets_of(edges: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """The shingle sets of the texts (h, text) that edges name."""
+    ends = stored(edges.select(F.explode(F.array("a", "b")).alias("of")).distinct(), "ends")
+    named = texts.join(ends, F.col("h") == F.col("of"), "left_semi")
+    return stored(shingle_sets(named.groupBy("h").agg(F.first("text").alias("text")), k), "shingles")
+
+
 def _verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     x, y = sets.select(F.col("h").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("h").alias("b"), F.col("shingles").alias("y"))
     both = edges.select("a", "b").join(x, "a").join(y, "b")
@@ -337,8 +427,8 @@ def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFra
     """docs with one row of each group of near copies: all its columns, the row with the smallest doc_id.
 
     Texts (A-Z lower-cased) are near copies if the Jaccard similarity of their distinct k-word shingles is at least
-    ``similarity``; groups are the connected components. Candidates come from SimHash buckets and each link is verified
-    on the shingles. Equal texts are one group, null counts as empty, and texts without words are near copies of each
+    ``similarity``; groups are the connected components. Candidates come from SimHash buckets, then, between the groups
+    that these leave apart, from a prefix filter that misses no pair; each link is verified on the shingles. Equal texts are one group, null counts as empty, and texts without words are near copies of each
     other. Null ids come last and ties are broken by the text's hash; repeated rows leave one. An empty table stays empty.
     """
     small_batches(docs.sparkSession)
@@ -354,9 +444,8 @@ def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFra
     n, both = co_occurrence(fps, LONGS)
     plan = allocate(n, both, PARTS - 1, [PARTS])
     edges = candidate_links(fps, plan, LONGS, int(DIFFERING * 64 * LONGS))
-    ends = stored(edges.select(F.explode(F.array("a", "b")).alias("of")).distinct(), "ends")
-    texts = keyed.select("h", "text").join(ends, F.col("h") == F.col("of"), "left_semi")
-    sets = stored(shingle_sets(texts.groupBy("h").agg(F.first("text").alias("text")), k), "shingles")
+    texts = keyed.select("h", "text")
+    sets = _sets_of(edges, texts, k)
     # first the closest partner of each text, then all that these links don't connect yet
     ways = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "bits"))
     best = ways.groupBy("a").agg(F.min(F.struct("bits", "b"))["b"].alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -365,6 +454,12 @@ def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFra
     of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     apart = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
     links = sure.unionByName(cut(_verified(apart, sets, similarity)))
+    # texts without words are one group
+    bare = cut(texts.where(~F.col("text").rlike(WORD)).select("h").distinct())
+    links = links.unionByName(bare.crossJoin(F.broadcast(bare.agg(F.min("h").alias("b")))).select(F.col("h").alias("a"), "b").where("a != b"))
+    # then all pairs between the groups so far
+    others = stored(prefix_pairs(texts, components(links), n, k, similarity), "others")
+    links = links.unionByName(cut(_verified(others, _sets_of(others, texts, k), similarity)))
     groups = components(links)
     # the row that stays of each group
     named = rows.select("id", "own", "h").join(groups, rows["h"] == groups["node"], "left").select("id", "own", F.coalesce("root", "h").alias("root"))
