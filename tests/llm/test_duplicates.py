@@ -123,6 +123,16 @@ def test_near_copies_of_a_hub(spark):
     assert sorted(r["doc_id"] for r in simhash.near_copies(df).collect()) == expected
 
 
+def test_short_near_copies(spark):
+    r = random.Random(8)
+    texts = []
+    for n, more in [(8, 1), (10, 1), (12, 1), (15, 1), (20, 3), (30, 3), (24, 7)] * 40:
+        w = [f"{r.choice('abcdef')}{r.randint(0, 5000)}" for _ in range(n)]
+        texts += [" ".join(w), " ".join(w + [f"t{r.randint(0, 5000)}" for _ in range(more)])]
+    df = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], SCHEMA)
+    assert sorted(x["doc_id"] for x in simhash.near_copies(df).collect()) == kept_by_brute_force(texts)
+
+
 def brute(texts, length):
     """Bytes removed, runs and what is left of each text, by a table of all windows."""
     seen = {}
