@@ -21,8 +21,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes that occur twice are cut out of the texts; n_chars is counted anew, and no row goes."""
-    return suffix_dedup.strip_repeats(docs)
+    """Strings of 400 bytes and passages of over 50 words that occur twice are cut out of the texts; n_chars is counted anew, and no row goes."""
+    return suffix_dedup.strip_repeats(docs, n_words=51)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import collections
 import random
 import re
 
+import corpus_pipeline
 import numpy as np
 import pytest
 import xxhash
@@ -164,3 +166,27 @@ def test_repeats(spark):
     stripped = suffix_dedup.strip_repeats(df.withColumn("n_chars", F.char_length("text"))).collect()
     assert sorted(x["text"] for x in stripped) == sorted(o[2].decode("utf-8", "ignore") for o in brute(data, 400))
     assert all(x["n_chars"] == len(x["text"]) for x in stripped) and suffix_dedup.without_repeats(df.limit(0)).count() == 0
+
+
+def test_repeated_words(spark):
+    r = random.Random(9)
+    some = lambda n: [r.choice("abcdefgh") * r.randint(1, 3) + str(r.randint(0, 40)) for _ in range(n)]
+    shared = [some(n) for n in (50, 51, 52, 60, 130)]
+    texts = [sum((r.choice([some(r.randint(1, 60)), r.choice(shared)]) for _ in range(r.randint(0, 5))), []) for _ in range(50)]
+    texts += [["x"] * 51, ["y"] * 52, some(500)]
+    seen = collections.Counter(tuple(w[i : i + 51]) for w in texts for i in range(len(w) - 50))
+    expected = []
+    for w in texts:
+        gone = {j for i in range(len(w) - 50) if seen[tuple(w[i : i + 51])] > 1 for j in range(i, i + 51)}
+        expected.append(" ".join(x for i, x in enumerate(w) if i not in gone))
+    # white space differs between the copies; no string of 400 bytes is there twice
+    rows = [(i, "".join(x + r.choice([" ", "\n", "\t", "  "]) for x in w), "c") for i, w in enumerate(texts)]
+    got = suffix_dedup.strip_repeats(spark.createDataFrame(rows, SCHEMA).repartition(3), n_words=51).collect()
+    assert [" ".join(W.findall(x["text"])) for x in sorted(got)] == expected
+
+
+def test_pipeline_passage_of_51_words(spark):
+    passage = " ".join(f"p{i:03}" for i in range(51))
+    rows = [(i, f"{prose(80, 300 + i)} {passage} {prose(80, 400 + i)}", "c") for i in range(2)]
+    got = corpus_pipeline.repeated_passages(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert [W.findall(x["text"]) for x in sorted(got)] == [W.findall(t.replace(passage, "")) for _, t, _ in rows]

@@ -10,11 +10,15 @@ still hold several anchors and aren't known to be equal throughout. The last ste
 exact but for collisions of 128-bit identifiers.
 
 Nothing is compared pair by pair: each step counts identifiers, so a passage may have any number of copies.
+
+The same is done with words for bytes, each word being the eight bytes of its hash, for passages of so many words.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -39,9 +43,28 @@ BYTES = _table()
 MULTIPLIERS = np.random.default_rng(11).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+@dataclass(frozen=True)
+class Unit:
+    """What windows are counted in: size bytes of what data gives of a text."""
+
+    size: int
+    q: int
+    widths: tuple[int, ...]
+
+    def data(self, text: str) -> bytes:
+        data = text.encode("utf-8", "surrogatepass")
+        if self.size == 1:
+            return data
+        found = data.split()  # at ASCII white space
+        return np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found)).tobytes()
+
+
+OF_BYTES, OF_WORDS = Unit(1, 64, (35, 5, 1)), Unit(8, 16, (12, 4, 1))
+
+
 def bucket_ids(data: np.ndarray, q: int) -> np.ndarray:
-    """Identifiers of the q-grams of data: those of 2k bytes are made of the identifiers at a place and k bytes later."""
-    ids, k = BYTES[data], 1
+    """Identifiers of the q-grams of data: those of 2k bytes (or words) are made of the identifiers at a place and k later."""
+    ids, k = BYTES[data] if data.dtype == np.uint8 else data, 1
     level = 0
     whole, done = None, 0
     with np.errstate(over="ignore"):
@@ -61,14 +84,15 @@ def bucket_ids(data: np.ndarray, q: int) -> np.ndarray:
         return whole ^ (whole >> np.uint64(32))
 
 
-def anchors(data: bytes, length: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: bytes, length: int, q: int, size: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Place, least and greatest d of each anchor of a text: the windows at x - d, for d from lo to hi, have their anchor at x."""
     span = length - q + 1  # q-grams of a window
-    n = len(data) - length + 1  # windows
+    units = np.frombuffer(data, np.uint8 if size == 1 else np.uint64)
+    n = len(units) - length + 1  # windows
     xs, los, his = [], [], []
     for at in range(0, n, BLOCK):
         count = min(BLOCK, n - at)
-        part = np.frombuffer(data, np.uint8, min(count + length - 1, len(data) - at), at)
+        part = units[at : at + count + length - 1]
         key = bucket_ids(part, q) >> np.uint64(SHIFT) << np.uint64(SHIFT) | np.arange(len(part) - q + 1, dtype=np.uint64)
         k = 1
         while 2 * k <= span:
@@ -96,14 +120,16 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _anchored(length: int, q: int):
+def _anchored(length: int, unit: Unit):
+    q, u = unit.q, unit.size
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows: list[tuple] = []
             for doc_id, h, text in zip(b["doc_id"], b["h"], b["text"], strict=True):
-                data = text.encode("utf-8", "surrogatepass")
-                for x, lo, hi in zip(*(a.tolist() for a in anchors(data, length, q)), strict=True):
-                    rows.append((doc_id, h, x, lo, hi, _signed(xxhash.xxh3_64_intdigest(data[x : x + q])), *ident(data[x - hi : x - lo + length])))
+                data = unit.data(text)
+                for x, lo, hi in zip(*(a.tolist() for a in anchors(data, length, q, u)), strict=True):
+                    rows.append((doc_id, h, x, lo, hi, _signed(xxhash.xxh3_64_intdigest(data[u * x : u * (x + q)])), *ident(data[u * (x - hi) : u * (x - lo + length)])))
                     if len(rows) >= 20_000:
                         yield _frame(rows, ANCHOR)
                         rows = []
@@ -123,19 +149,19 @@ def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
 PART = "doc_id long, h long, x long, lo int, hi int, cell int, c1 long, c2 long, f1 long, f2 long, around binary"
 
 
-def _split(width: int, length: int):
+def _split(width: int, length: int, u: int):
     """Parts of the next step. around holds the bytes from the start of the first window to the end of the last."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows: list[tuple] = []
             for doc_id, h, x, lo, hi, around in zip(b["doc_id"], b["h"], b["x"], b["lo"], b["hi"], b["around"], strict=True):
-                # byte p of the text is around[p - x + hi]
+                # byte p of the text is around[p - x + hi]; a word has u bytes
                 for cell in range(lo // width * width, hi + 1, width):
                     a, z = max(lo, cell), min(hi, cell + width - 1)
                     far = cell + width - 1  # the common string starts cell bytes before x and ends where a window at far does
-                    common = around[hi - cell : hi - far + length]
-                    whole = around[hi - z : hi - a + length]
+                    common = around[u * (hi - cell) : u * (hi - far + length)]
+                    whole = around[u * (hi - z) : u * (hi - a + length)]
                     rows.append((doc_id, h, x, a, z, cell, *ident(common), *ident(whole), whole))
                 if len(rows) >= 2_000:
                     yield _frame(rows, PART)
@@ -154,7 +180,7 @@ def _marks(windows: DataFrame) -> DataFrame:
     return windows.groupBy("doc_id", "h").agg(F.collect_set(F.struct("x", "lo", "hi")).alias("at"))
 
 
-def _around(rows: DataFrame, windows: DataFrame, length: int) -> DataFrame:
+def _around(rows: DataFrame, windows: DataFrame, length: int, unit: Unit) -> DataFrame:
     """doc_id, h, x, lo, hi, around for windows (doc_id, h, x, lo, hi) of rows (doc_id, h, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -162,10 +188,10 @@ def _around(rows: DataFrame, windows: DataFrame, length: int) -> DataFrame:
         for b in batches:
             out: list[tuple] = []
             for doc_id, h, text, at in zip(b["doc_id"], b["h"], b["text"], b["at"], strict=True):
-                data = text.encode("utf-8", "surrogatepass")
+                data, u = unit.data(text), unit.size
                 for m in at:
                     x, lo, hi = m["x"], m["lo"], m["hi"]
-                    out.append((doc_id, h, x, lo, hi, data[x - hi : x - lo + length]))
+                    out.append((doc_id, h, x, lo, hi, data[u * (x - hi) : u * (x - lo + length)]))
                     if len(out) >= 2_000:
                         yield _frame(out, schema)
                         out = []
@@ -175,27 +201,27 @@ def _around(rows: DataFrame, windows: DataFrame, length: int) -> DataFrame:
 
 
 def _with(rows: DataFrame, marks: DataFrame, how: str = "inner") -> DataFrame:
-    other = marks.select(F.col("doc_id").alias("of_id"), F.col("h").alias("of_h"), "at")
+    other = marks.withColumnsRenamed({"doc_id": "of_id", "h": "of_h"})
     return rows.join(other, rows["doc_id"].eqNullSafe(other["of_id"]) & (rows["h"] == other["of_h"]), how).drop("of_id", "of_h")
 
 
-def repeated_windows(rows: DataFrame, length: int = 400, q: int = 64, widths: tuple[int, ...] = (35, 5, 1)) -> DataFrame:
-    """(doc_id, h, x, lo, hi): the windows at x - hi to x - lo of these texts are those of length bytes that start elsewhere too.
+def repeated_windows(rows: DataFrame, length: int = 400, unit: Unit = OF_BYTES) -> DataFrame:
+    """(doc_id, h, x, lo, hi): the windows at x - hi to x - lo of these texts are those of length bytes (or words) that start elsewhere too.
 
-    rows has doc_id, h (a hash of the text; tells rows of a repeated id apart) and text without nulls. Each of widths
-    divides the one before; the last is 1.
+    rows has doc_id, h (a hash of the text; tells rows of a repeated id apart) and text without nulls. Each of the unit's
+    widths divides the one before; the last is 1.
     """
     spans, whole_key = ["doc_id", "h", "x", "lo", "hi"], ["f1", "f2", "lo", "hi"]
-    found = stored(rows.mapInPandas(_anchored(length, q), ANCHOR), "anchors")
+    found = stored(rows.mapInPandas(_anchored(length, unit), ANCHOR), "anchors")
     alike = stored(found.join(_several(found, ["q"], "grams"), "q", "left_semi"), "alike")
     forget(found)
     decided, todo, parts = [], None, None
-    for width in (0, *widths):
+    for width in (0, *unit.widths):
         if width == 0:
             keys, bucket = alike, ["q"]
         else:
-            source = _around(rows, todo, length) if parts is None else _semi(parts.select(*spans, "around"), todo, spans)
-            before, parts = parts, stored(source.mapInPandas(_split(width, length), PART), "parts")
+            source = _around(rows, todo, length, unit) if parts is None else _semi(parts.select(*spans, "around"), todo, spans)
+            before, parts = parts, stored(source.mapInPandas(_split(width, length, unit.size), PART), "parts")
             if before is not None:
                 forget(before)
             keys, bucket = parts.drop("around"), ["cell", "c1", "c2"]
@@ -232,17 +258,25 @@ def _semi(df: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
 CUT = "n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-def _cut(length: int):
-    """Of a text and its repeated windows (or null): the number of its bytes, of those removed and of the removed runs, and the bytes left."""
+def _spans(data: bytes, at, length: int, word_at, n_words: int) -> list[tuple[int, int]]:
+    """The bytes (from, to) that runs of windows cover, sorted; windows from one start to another cover all bytes to the end of the last."""
+    found = [(m["x"] - m["hi"], m["x"] - m["lo"] + length) for m in (at if at is not None else ())]
+    if word_at is not None:
+        ends = [m.span() for m in re.finditer(rb"\S+", data)]
+        found += [(ends[m["x"] - m["hi"]][0], ends[m["x"] - m["lo"] + n_words - 1][1]) for m in word_at]
+    return sorted(found)
+
+
+def _cut(length: int, n_words: int = 0):
+    """Of a text and its repeated windows of bytes and of words (or null): the number of its bytes, of those removed and of the removed runs, and the bytes left."""
 
     @F.pandas_udf(CUT)
-    def cut(texts: pd.Series, windows: pd.Series) -> pd.DataFrame:
+    def cut(texts: pd.Series, windows: pd.Series, of_words: pd.Series) -> pd.DataFrame:
         out = []
-        for text, at in zip(texts, windows, strict=True):
+        for text, at, word_at in zip(texts, windows, of_words, strict=True):
             data = text.encode("utf-8", "surrogatepass")
             kept, end, removed, spans = [], 0, 0, 0
-            # windows from one start to another cover all bytes to the end of the last
-            for start, stop in sorted((m["x"] - m["hi"], m["x"] - m["lo"] + length) for m in (at if at is not None else ())):
+            for start, stop in _spans(data, at, length, word_at, n_words):
                 if start > end or not spans:
                     kept.append(data[end:start])
                     spans += 1
@@ -256,12 +290,18 @@ def _cut(length: int):
     return cut
 
 
-def _marked(docs: DataFrame, length: int) -> DataFrame:
-    """docs with h, a text without nulls, and at: its repeated windows, or null."""
+def _marked(docs: DataFrame, length: int, n_words: int = 0) -> DataFrame:
+    """docs with h, a text without nulls, and at and word_at: its repeated windows of bytes and of words, or null."""
     small_batches(docs.sparkSession)
     rows = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("h", F.xxhash64("text"))
-    windows = repeated_windows(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "h", "text"), length)
-    return _with(rows, _marks(windows), "left")
+    texts = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "h", "text")
+    marks = _marks(repeated_windows(texts, length))
+    none = F.lit(None).cast(marks.schema["at"].dataType)
+    if not n_words:
+        return _with(rows, marks, "left").withColumn("word_at", none)
+    of_words = _marks(repeated_windows(texts, n_words, OF_WORDS)).select("doc_id", "h", none.alias("at"), F.col("at").alias("word_at"))
+    both = marks.withColumn("word_at", none).unionByName(of_words).groupBy("doc_id", "h").agg(F.first("at", True).alias("at"), F.first("word_at", True).alias("word_at"))
+    return _with(rows, both, "left")
 
 
 def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
@@ -271,14 +311,15 @@ def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     and repeated ids are allowed. Strings are judged on the input; overlapping occurrences count. An empty table gives
     an empty result; further columns are ignored.
     """
-    cut = _marked(docs.select("doc_id", "text"), length).select("doc_id", _cut(length)("text", "at").alias("cut"))
+    cut = _marked(docs.select("doc_id", "text"), length).select("doc_id", _cut(length)("text", "at", "word_at").alias("cut"))
     return cut.select("doc_id", "cut.*")
 
 
-def strip_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
+def strip_repeats(docs: DataFrame, length: int = 400, n_words: int = 0) -> DataFrame:
     """docs with the repeated bytes cut out of text, and n_chars (if there is one) counted anew; all rows and columns stay.
 
-    As without_repeats; a character of which only a part is removed is removed as a whole.
+    As without_repeats, and with n_words also what is covered by so many words that start anywhere else too, from the
+    first to the last, whatever ASCII white space is between them. Both are judged on the input. A character of which only a part is removed is removed as a whole.
     """
     given = docs.select(F.struct("*").alias("row"), "doc_id", "text")
 
@@ -286,8 +327,8 @@ def strip_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     def text_of(kept: pd.Series) -> pd.Series:
         return kept.map(lambda k: bytes(k).decode("utf-8", "ignore"))
 
-    new = text_of(_cut(length)("text", "at")["kept"])
-    out = _marked(given, length).select("row", F.when(F.col("at").isNull(), F.col("text")).otherwise(new).alias("text"))
+    new = text_of(_cut(length, n_words)("text", "at", "word_at")["kept"])
+    out = _marked(given, length, n_words).select("row", F.when(F.col("at").isNull() & F.col("word_at").isNull(), F.col("text")).otherwise(new).alias("text"))
     changed = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
     return out.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
