@@ -139,3 +139,10 @@ def test_quality_query(spark):
     assert quality.train(docs, labels.limit(0)).score(np.zeros((2, len(quality.FEATURES)))).tolist() == [0, 0]
     held = queries.queries()["op8_quality"](spark, "/root/testdata/sf0.1").where("not base_failed").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id")
     assert held.selectExpr("avg(cast(kept = (quality = 1) as int))").first()[0] > 0.95
+
+
+def test_main_beside_furniture():
+    names = lambda attrs: html_extract._names(attrs)[1:]
+    assert names("class='mainmenu'") == names("id='maintenance'") == (False, False)
+    assert names("class='main-menu'") == names("id='main-footer'") == (False, False)
+    assert names("id='main'") == names("class='content main'") == (False, True) and names("class='menu'") == (True, False)

@@ -48,14 +48,15 @@ class Node:
         self.text: list[str] = []
 
 
-def _names(attrs: str) -> tuple[str, bool]:
-    """A signature of class, id and role, and whether they mark furniture."""
+def _names(attrs: str) -> tuple[str, bool, bool]:
+    """A signature of class, id and role, and whether they mark furniture, and the article. The style tree judges what has words of both."""
     if "=" not in attrs:
-        return "", False
+        return "", False, False
     values = " ".join(m[2] or m[3] or m[4] or "" for m in ATTR.finditer(attrs)).lower()
     found = set(WORDS.findall(values))
     parts = sorted(set(TOKENS.findall(NUMBER.sub("", values))))  # long numbers name a page's own thing
-    return "." + ".".join(parts) if parts else "", not NAMES.isdisjoint(found) and "main" not in found
+    marked, main = not NAMES.isdisjoint(found), "main" in parts
+    return "." + ".".join(parts) if parts else "", marked and "main" not in found, main and not marked
 
 
 def walk(html: str) -> Iterator[tuple[str, list[Node]]]:
@@ -129,10 +130,10 @@ def walk(html: str) -> Iterator[tuple[str, list[Node]]]:
                 break
             if stack[k].tag in ("ul", "ol", "dl", "table", "article", "section", "div", "main", "body"):
                 break
-        signature, furniture = _names(attrs)
+        signature, furniture, main = _names(attrs)
         above = stack[-1]
         above.children.append(tag)
-        node = Node(tag, f"{above.path}/{tag}{signature}", above.out or tag in FURNITURE or (furniture and tag not in ("html", "body")), above.main or tag in MAIN or ".main" in signature)
+        node = Node(tag, f"{above.path}/{tag}{signature}", above.out or tag in FURNITURE or (furniture and tag not in ("html", "body")), above.main or tag in MAIN or main)
         if tag in RAW and not attrs.endswith("/"):
             close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
             if close is None:
