@@ -146,3 +146,10 @@ def test_main_beside_furniture():
     assert names("class='mainmenu'") == names("id='maintenance'") == (False, False)
     assert names("class='main-menu'") == names("id='main-footer'") == (False, False)
     assert names("id='main'") == names("class='content main'") == (False, True) and names("class='menu'") == (True, False)
+
+
+def test_short_items_inside_documents(spark):
+    docs = spark.createDataFrame([(1, "so Alpha beta  gamma and more words follow"), (2, "alpha beta"), (3, "beta gamma alpha is not it at all"), (4, "one two three four five six")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "alpha beta"), (8, "Six"), (9, "two three four five six")], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contained_items(docs, items, runs=True).collect()}
+    assert found == {(1, 7), (2, 7), (4, 8), (4, 9)}

@@ -45,11 +45,12 @@ def item_index(items: DataFrame, k: int, share: float) -> DataFrame:
     return ranked.select("item_id", "shingle", "n", (F.col("at") <= size).alias("in_sketch"))
 
 
-def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, share: float = 0.8) -> DataFrame:
+def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, share: float = 0.8, runs: bool = False) -> DataFrame:
     """doc_id, item_id, n_shingles (distinct, of the item), n_shared, containment: a row for each item contained in a document.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased. Null and empty texts contain nothing and are
-    contained in nothing; an item of fewer than k words is one shingle and only found as such. Documents of the same
+    contained in nothing; an item of fewer than k words is one shingle and only found as such, or with runs, wherever a
+    document has these words in a row. Documents of the same
     doc_id are judged together, as are items of the same item_id. Null ids are ignored, as they name nothing. Empty
     tables give an empty result; further columns are ignored.
     """
@@ -57,14 +58,22 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, share: float
     bounded = index.count() <= BROADCAST
     sent = F.broadcast if bounded else (lambda df: df)
     docs = docs.select("doc_id", "text").where("doc_id is not null")
-    rows = shingle_rows(docs, "doc_id", k)
-    short = index.groupBy("item_id").agg(F.first("n").alias("n"))
+    n_words = F.size(words(F.col("text")))
+    short = [r["k"] for r in items.select(n_words.alias("k")).where(F.col("k").between(1, k - 1)).distinct().collect()] if runs else []
+
+    def all_rows(df: DataFrame) -> DataFrame:
+        out = shingle_rows(df, "doc_id", k)
+        for fewer in short:
+            out = out.unionByName(shingle_rows(df, "doc_id", fewer))
+        return out
+
+    rows = all_rows(docs)
     sketch = index.where("in_sketch").select("shingle").distinct()
     # first the documents that hold anything of a sketch, then the exact containment of these
     candidates = rows.join(sent(sketch), "shingle", "left_semi").select("doc_id").distinct()
     found = cut(candidates)
     again = docs.join(found, "doc_id", "left_semi")
-    shared = shingle_rows(again, "doc_id", k).join(sent(index.select("item_id", "shingle", "n")), "shingle").groupBy("doc_id", "item_id", "n").agg(F.countDistinct("shingle").alias("n_shared"))
+    shared = all_rows(again).join(sent(index.select("item_id", "shingle", "n")), "shingle").groupBy("doc_id", "item_id", "n").agg(F.countDistinct("shingle").alias("n_shared"))
     return shared.where(F.col("n_shared") >= F.ceil(F.col("n") * F.lit(share) - 1e-9)).select("doc_id", "item_id", F.col("n").alias("n_shingles"), "n_shared", (F.col("n_shared") / F.col("n")).alias("containment"))
 
 
