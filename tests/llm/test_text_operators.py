@@ -153,3 +153,14 @@ def test_short_items_inside_documents(spark):
     items = spark.createDataFrame([(7, "alpha beta"), (8, "Six"), (9, "two three four five six")], "item_id long, text string")
     found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contained_items(docs, items, runs=True).collect()}
     assert found == {(1, 7), (2, 7), (4, 8), (4, 9)}
+
+
+def test_loss_digest_reads_the_mask(spark):
+    turns = [(1, 0, "user", "a 50% b</s>"), (1, 1, "assistant", "x</s>y %2F"), (1, 2, "assistant", "é</s>%"), (1, 3, "user", "z")]
+    out = chat.format_conversations(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    right = hashlib.sha256("x</s>y %2Fé</s>%".encode()).hexdigest()
+    assert chat.digests(out).first()["loss_sha256"] == right
+    off = out.selectExpr("conv_id", "formatted", "n_turns", "transform(loss_spans, s -> struct(s.start + 1 as start, s.length as length)) as loss_spans", "identical")
+    assert chat.digests(off).first()["loss_sha256"] != right
+    fewer = out.selectExpr("conv_id", "formatted", "n_turns", "slice(loss_spans, 1, 1) as loss_spans", "identical")
+    assert chat.digests(fewer).first()["loss_sha256"] != right

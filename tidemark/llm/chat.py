@@ -73,12 +73,19 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
     return together.select("conv_id", "formatted", F.size("t").cast("long").alias("n_turns"), spans.alias("loss_spans"), same.alias("identical"))
 
 
-def digests(formatted: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, all read back from the formatted text."""
-    read = formatted.select("conv_id", F.char_length("formatted").cast("long").alias("formatted_chars"), parse(F.col("formatted")).alias("turns"))
+def span_text(formatted: Column, span: Column) -> Column:
+    """What a loss span marks, unescaped by the level of its turn; as it is if no header ends where the span starts."""
+    head = F.substring_index(F.substring(formatted, F.lit(1), span["start"].cast("int")), END, -1)
+    body = F.substring(formatted, (span["start"] + 1).cast("int"), span["length"].cast("int"))
+    return F.when(head.rlike(HEADER + "$"), parse_turn(F.concat(head, body))["text"]).otherwise(body)
+
+
+def digests(formatted: DataFrame) -> DataFrame:
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, all read back from the formatted text, the loss by its spans."""
+    marked = F.array_join(F.transform("loss_spans", lambda s: span_text(F.col("formatted"), s)), "")
+    read = formatted.select("conv_id", F.char_length("formatted").cast("long").alias("formatted_chars"), parse(F.col("formatted")).alias("turns"), marked.alias("loss"))
     flat = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == loss_role), lambda t: t["text"]), "")
-    read = read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), flat.alias("flat"), loss.alias("loss"), "formatted_chars")
+    read = read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), flat.alias("flat"), "loss", "formatted_chars")
     return read.select("conv_id", "n_turns", F.sha2(F.encode("flat", "UTF-8"), 256).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"), F.sha2(F.encode("loss", "UTF-8"), 256).alias("loss_sha256"), "formatted_chars")
 
 
