@@ -9,7 +9,7 @@ import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
 
-from tidemark.llm.packing import pack
+from tidemark.llm.packing import Windows, pack
 from tidemark.llm.token_counts import token_counts
 
 SCHEMA = "doc_id long, text string, doc string"
@@ -52,3 +52,10 @@ def test_packing(spark, fan_in):
     ordered = got.sort_values(["sequence_id", "offset"])
     by = ordered.groupby("sequence_id")["length"]
     assert (ordered["offset"] == by.cumsum() - ordered["length"]).all() and by.sum().max() <= 2048
+
+
+def test_full_pieces_take_no_slot():
+    w = Windows(10, 2, 0)
+    assert w.place((1, 0, 6, 0, 6)) == [] == w.place((2, 0, 7, 0, 7))
+    assert w.place((3, 0, 10, 0, 10)) == [(3, 0, 10, 0, 10, 2, 0, False)]
+    assert len(w.place((4, 0, 3, 0, 3))) == len(w.place((5, 0, 4, 0, 4))) == 2 and not w.left

@@ -82,6 +82,9 @@ class Windows:
     def place(self, piece: tuple) -> list[tuple]:
         """Put a piece (its length is item 2) in a window; the rows of the window that goes out, if one does."""
         n, out = piece[2], []
+        if n == self.size:  # goes out at once and takes no slot
+            self.next_id += 1
+            return [(*piece[:5], self.next_id - 1, 0, False)]
         at = bisect_left(self.left, (n, -1))
         if at < len(self.left):
             space, window = self.left.pop(at)
