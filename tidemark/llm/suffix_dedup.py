@@ -255,36 +255,43 @@ def _semi(df: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
     return df.join(other, fits, "left_semi")
 
 
-CUT = "n_bytes long, n_removed long, n_spans long, kept binary"
+CUT = "n_bytes long, n_removed long, n_spans long, kept binary, text string"
 
 
-def _spans(data: bytes, at, length: int, word_at, n_words: int) -> list[tuple[int, int]]:
-    """The bytes (from, to) that runs of windows cover, sorted; windows from one start to another cover all bytes to the end of the last."""
-    found = [(m["x"] - m["hi"], m["x"] - m["lo"] + length) for m in (at if at is not None else ())]
-    if word_at is not None:
-        ends = [m.span() for m in re.finditer(rb"\S+", data)]
-        found += [(ends[m["x"] - m["hi"]][0], ends[m["x"] - m["lo"] + n_words - 1][1]) for m in word_at]
-    return sorted(found)
+def _of_words(data: bytes, word_at, n_words: int) -> list[tuple[int, int]]:
+    """The bytes (from, to) of runs of windows of words."""
+    ends = [m.span() for m in re.finditer(rb"\S+", data)]
+    return [(ends[m["x"] - m["hi"]][0], ends[m["x"] - m["lo"] + n_words - 1][1]) for m in word_at]
+
+
+def _without(data: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
+    """Bytes removed, maximal removed runs, and the bytes left by taking spans, which may overlap, out of data."""
+    kept, end, removed, runs = [], 0, 0, 0
+    for start, stop in sorted(spans):
+        if start > end or not runs:
+            kept.append(data[end:start])
+            runs += 1
+            removed += stop - start
+        else:
+            removed += max(stop - end, 0)
+        end = max(end, stop)
+    return removed, runs, b"".join([*kept, data[end:]])
 
 
 def _cut(length: int, n_words: int = 0):
-    """Of a text and its repeated windows of bytes and of words (or null): the number of its bytes, of those removed and of the removed runs, and the bytes left."""
+    """Of a text and its repeated windows of bytes and of words (or null): the number of its bytes, of those that the
+    windows of bytes remove and of the removed runs, the bytes that these leave, and the text that both leave."""
 
     @F.pandas_udf(CUT)
     def cut(texts: pd.Series, windows: pd.Series, of_words: pd.Series) -> pd.DataFrame:
         out = []
         for text, at, word_at in zip(texts, windows, of_words, strict=True):
             data = text.encode("utf-8", "surrogatepass")
-            kept, end, removed, spans = [], 0, 0, 0
-            for start, stop in _spans(data, at, length, word_at, n_words):
-                if start > end or not spans:
-                    kept.append(data[end:start])
-                    spans += 1
-                    removed += stop - start
-                else:
-                    removed += max(stop - end, 0)
-                end = max(end, stop)
-            out.append((len(data), removed, spans, b"".join([*kept, data[end:]])))
+            # windows from one start to another cover all bytes to the end of the last
+            spans = [(m["x"] - m["hi"], m["x"] - m["lo"] + length) for m in (at if at is not None else ())]
+            removed, runs, kept = _without(data, spans)
+            left = kept if word_at is None else _without(data, spans + _of_words(data, word_at, n_words))[2]
+            out.append((len(data), removed, runs, kept, left.decode("utf-8", "ignore")))
         return pd.DataFrame(out, columns=[c.split()[0] for c in CUT.split(", ")])
 
     return cut
@@ -304,34 +311,33 @@ def _marked(docs: DataFrame, length: int, n_words: int = 0) -> DataFrame:
     return _with(rows, both, "left")
 
 
-def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the bytes left) for each row of docs (doc_id, text, ...).
+def without_repeats(docs: DataFrame, length: int = 400, n_words: int = 0) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (the bytes left), text for each row of docs (doc_id, text, ...).
 
     Texts are taken as UTF-8; null counts as empty. Repeated rows are texts of their own, so each covers the other; null
     and repeated ids are allowed. Strings are judged on the input; overlapping occurrences count. An empty table gives
-    an empty result; further columns are ignored.
+    an empty result; further columns are ignored. The four columns after doc_id are about strings of ``length`` bytes
+    alone. text is the readable rest: with n_words, what is covered by so many words that start anywhere else too is
+    out of it besides (see strip_repeats).
     """
-    cut = _marked(docs.select("doc_id", "text"), length).select("doc_id", _cut(length)("text", "at", "word_at").alias("cut"))
-    return cut.select("doc_id", "cut.*")
+    marked = _marked(docs.select("doc_id", "text"), length, n_words)
+    return marked.select("doc_id", _cut(length, n_words)("text", "at", "word_at").alias("cut")).select("doc_id", "cut.*")
 
 
 def strip_repeats(docs: DataFrame, length: int = 400, n_words: int = 0) -> DataFrame:
     """docs with the repeated bytes cut out of text, and n_chars (if there is one) counted anew; all rows and columns stay.
 
     As without_repeats, and with n_words also what is covered by so many words that start anywhere else too, from the
-    first to the last, whatever ASCII white space is between them. Both are judged on the input. A character of which only a part is removed is removed as a whole.
+    first to the last, whatever ASCII white space is between them. Both are judged on the input. A character of which
+    only a part is removed is removed as a whole.
     """
     given = docs.select(F.struct("*").alias("row"), "doc_id", "text")
-
-    @F.pandas_udf("string")
-    def text_of(kept: pd.Series) -> pd.Series:
-        return kept.map(lambda k: bytes(k).decode("utf-8", "ignore"))
-
-    new = text_of(_cut(length, n_words)("text", "at", "word_at")["kept"])
+    new = _cut(length, n_words)("text", "at", "word_at")["text"]
     out = _marked(given, length, n_words).select("row", F.when(F.col("at").isNull() & F.col("word_at").isNull(), F.col("text")).otherwise(new).alias("text"))
     changed = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
     return out.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def digests(cut: DataFrame) -> DataFrame:
-    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, text of what without_repeats gives."""
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "text")
