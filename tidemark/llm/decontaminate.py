@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import ascii_lower, cut, words
 
-#: Item tables of up to so many shingles are broadcast (some 100 bytes each); larger ones are joined by a shuffle.
-BROADCAST = 200_000
+#: Item tables of up to so many shingles are broadcast (some 100 bytes each); larger ones are joined by a shuffle, of which
+#: a bitmap of the sketches with so many bits (a row for each 64 of them) holds off what they can't hold.
+BROADCAST, BITS = 200_000, 1 << 25
+#: Up to so many ids of candidate documents are broadcast.
+FOUND = 100_000
 #: Upper bounds of the size partitions grow by this factor.
 GROWTH = 2.0
 
@@ -45,6 +48,15 @@ def item_index(items: DataFrame, k: int, share: float) -> DataFrame:
     return ranked.select("item_id", "shingle", "n", (F.col("at") <= size).alias("in_sketch"))
 
 
+def maybe_held(rows: DataFrame, held: DataFrame, bits: int = BITS) -> DataFrame:
+    """Rows whose shingle may be in held: its bit is set in a bitmap of at most ``bits`` / 64 rows, which is broadcast."""
+    at = F.pmod(F.xxhash64("shingle"), F.lit(bits))
+    word, bit = F.floor(at / 64), F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64(shingle), {bits}), 64) as int))")
+    bitmap = held.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    hit = (word == F.col("_word")) & (F.col("_bits").bitwiseAND(bit) != 0)
+    return rows.join(F.broadcast(bitmap), hit, "left_semi")
+
+
 def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, share: float = 0.8, runs: bool = False) -> DataFrame:
     """doc_id, item_id, n_shingles (distinct, of the item), n_shared, containment: a row for each item contained in a document.
 
@@ -61,19 +73,18 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, share: float
     n_words = F.size(words(F.col("text")))
     short = [r["k"] for r in items.select(n_words.alias("k")).where(F.col("k").between(1, k - 1)).distinct().collect()] if runs else []
 
-    def all_rows(df: DataFrame) -> DataFrame:
+    def all_rows(df: DataFrame, held: DataFrame) -> DataFrame:
         out = shingle_rows(df, "doc_id", k)
         for fewer in short:
             out = out.unionByName(shingle_rows(df, "doc_id", fewer))
-        return out
+        return out if bounded else maybe_held(out, held)
 
-    rows = all_rows(docs)
     sketch = index.where("in_sketch").select("shingle").distinct()
     # first the documents that hold anything of a sketch, then the exact containment of these
-    candidates = rows.join(sent(sketch), "shingle", "left_semi").select("doc_id").distinct()
-    found = cut(candidates)
-    again = docs.join(found, "doc_id", "left_semi")
-    shared = all_rows(again).join(sent(index.select("item_id", "shingle", "n")), "shingle").groupBy("doc_id", "item_id", "n").agg(F.countDistinct("shingle").alias("n_shared"))
+    found = cut(all_rows(docs, sketch).join(sent(sketch), "shingle", "left_semi").select("doc_id").distinct())
+    again = docs.join(F.broadcast(found) if found.count() <= FOUND else found, "doc_id", "left_semi")
+    every = index.select("item_id", "shingle", "n")
+    shared = all_rows(again, every).join(sent(every), "shingle").groupBy("doc_id", "item_id", "n").agg(F.countDistinct("shingle").alias("n_shared"))
     return shared.where(F.col("n_shared") >= F.ceil(F.col("n") * F.lit(share) - 1e-9)).select("doc_id", "item_id", F.col("n").alias("n_shingles"), "n_shared", (F.col("n_shared") / F.col("n")).alias("containment"))
 
 
