@@ -26,10 +26,11 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go. Texts are judged by their own hash, so null and repeated ids don't matter."""
-    texts = docs.select(F.xxhash64("text").alias("doc_id"), "text")
-    found = decontaminate.contained_items(texts, table(spark, sf_dir, "benchmark"), runs=True).select(F.col("doc_id").alias("found")).distinct()
-    return docs.join(cut(found), F.xxhash64(docs["text"]) == F.col("found"), "left_anti")
+    """Documents that contain a benchmark item go. Texts are judged by their own MD5, so null and repeated ids don't matter."""
+    texts = docs.select(F.md5("text").alias("doc_id"), "text")
+    found = cut(decontaminate.contained_items(texts, table(spark, sf_dir, "benchmark"), runs=True).select(F.col("doc_id").alias("found")).distinct())
+    few = found.count() <= decontaminate.FOUND
+    return docs.join(F.broadcast(found) if few else found, F.md5(docs["text"]) == F.col("found"), "left_anti")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
