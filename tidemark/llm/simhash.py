@@ -67,33 +67,27 @@ def _mix(h: np.ndarray, salt: int) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-def fingerprint(text: str, k: int, longs: int, distinct: bool) -> list[int]:
-    """longs signed 64-bit numbers; a bit is set if it is in over half of the hashes. distinct: each hash counts once."""
-    ones, n = np.zeros(64 * longs, np.int64), 0
-    blocks: Iterator[np.ndarray] = shingle_hashes(text, k)
-    if distinct:
-        every = [*blocks]
-        blocks = iter([np.unique(np.concatenate(every))] if every else [])
-    for h in blocks:
+def fingerprint(text: str, k: int) -> int:
+    """A signed 64-bit number; a bit is set if it is in over half of the hashes of the shingles, repeats included."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in shingle_hashes(text, k):
         n += len(h)
         for i in range(0, len(h), 4096):
-            part = h[i : i + 4096]
-            for s in range(longs):
-                ones[64 * s : 64 * s + 64] += np.unpackbits(_mix(part, s).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return np.packbits(2 * ones > n).view(">i8").astype(np.int64).tolist() if n else [0] * longs
+            ones += np.unpackbits(h[i : i + 4096].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > n).view(">i8")[0]) if n else 0
 
 
-def fingerprints(docs: DataFrame, k: int, longs: int = 1, distinct: bool = False) -> DataFrame:
-    """doc_id, fp array<long> of each row of docs; null texts count as empty, a text without words has fingerprint zero."""
+def fingerprints(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, fp (long) of each row of docs; null texts count as empty, a text without words has fingerprint zero."""
 
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": [fingerprint(t, k, longs, distinct) for t in b["text"]]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": [fingerprint(t, k) for t in b["text"]]})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), ascii_lower(F.coalesce("text", F.lit(""))).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, fp array<long>")
+    return rows.mapInPandas(run, "doc_id long, fp long")
 
 
 def distance(a: Column, b: Column, longs: int) -> Column:
@@ -253,7 +247,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, tau: int = 2) -> DataFrame:
     without words have fingerprint zero and are linked like any other. Repeated rows and ids give a row each, with the
     same component. An empty table gives an empty result; further columns are ignored.
     """
-    fps = stored(fingerprints(docs, k).select("doc_id", F.col("fp")[0].alias("fp")), "fingerprints")
+    fps = stored(fingerprints(docs, k), "fingerprints")
     nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(nodes.select("fp"), tau))
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -268,7 +262,55 @@ def near_duplicates(docs: DataFrame, k: int = 3, tau: int = 2) -> DataFrame:
 #: Near copies are looked for by fingerprints of so many longs over the distinct words of a text, in so many
 #: partitions, and verified up to this share of differing bits (0.067 are expected where a 5-word Jaccard of 0.8
 #: leaves 0.96 of the words).
-LONGS, PARTS, DIFFERING = 12, 34, 0.17
+LONGS, PARTS, DIFFERING = 4, 12, 0.17
+#: Words of which a task remembers the hash.
+MEMO = 300_000
+
+
+class WordHashes(dict):
+    """XXH3 of words, remembered until there are MEMO of them."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= MEMO:
+            self.clear()
+        found = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return found
+
+
+def word_hashes(text: str, known: WordHashes, block: int = 65_536) -> np.ndarray:
+    """The hash of each word of a text, in order; its words are taken in blocks."""
+    found = (m.group() for m in re.finditer(WORD, text))
+    parts = []
+    while w := [*islice(found, block)]:
+        parts.append(np.fromiter(map(known.__getitem__, w), np.uint64, len(w)))
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
+def shingle_ids(words: np.ndarray, k: int) -> np.ndarray:
+    """The sorted distinct identifiers of the k-word shingles of a text; of fewer words, of the whole sequence."""
+    if not len(words):
+        return np.zeros(0, np.int64)
+    k = min(k, len(words))
+    n = len(words) - k + 1
+    ids = np.full(n, k, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(k):
+            ids = (ids ^ (ids >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + words[i : i + n]
+        ids = (ids ^ (ids >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+        ids ^= ids >> np.uint64(29)
+    return np.unique(ids.view(np.int64))
+
+
+def word_fingerprint(words: np.ndarray, longs: int, block: int = 8192) -> list[int]:
+    """longs signed 64-bit numbers over the distinct word hashes of a text; a bit is set if it is in over half of them."""
+    distinct = np.unique(words)
+    if not len(distinct):
+        return [0] * longs
+    ones = np.zeros(64 * longs, np.int64)
+    for i in range(0, len(distinct), block):
+        part = np.stack([_mix(distinct[i : i + block], s) for s in range(longs)], 1)
+        ones += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(len(part), -1), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(distinct)).view(">i8").astype(np.int64).tolist()
 
 
 def bucket_keys(fps: DataFrame, plan: Plan) -> DataFrame:
@@ -292,15 +334,14 @@ def bucket_keys(fps: DataFrame, plan: Plan) -> DataFrame:
 
 
 def candidate_links(fps: DataFrame, plan: Plan, longs: int, most: int) -> DataFrame:
-    """Pairs (a, b, bits) of texts (h, fp) that share a bucket and differ in at most ``most`` bits.
+    """Pairs (a, b) of texts (h, fp) that share a bucket and differ in at most ``most`` bits.
 
     Buckets of up to BUCKET texts give all their pairs. Each text of a fuller bucket is paired with three centres of the
     bucket (the smallest by three orders, the same in buckets of the same texts), so that the number of pairs is in
-    proportion to the texts. What this leaves apart is found by prefix_pairs.
+    proportion to the texts. What this leaves apart is found by the prefix filter.
     """
     sigs = stored(bucket_keys(fps, plan), "keys")
-    orders = [F.min(F.struct(F.xxhash64("h", F.lit(i)).alias("o"), F.col("h").alias("h")))["h"].alias(f"c{i}") for i in range(3)]
-    sizes = stored(sigs.groupBy("key").agg(F.count("*").alias("size"), *orders).where("size > 1"), "sizes")
+    sizes = stored(sigs.groupBy("key").agg(F.count("*").alias("size"), *_centres(3)).where("size > 1"), "sizes")
     met = stored(sigs.join(sizes, "key"), "met")
     forget(sigs)
     small = met.where(F.col("size") <= BUCKET).groupBy("key").agg(F.array_sort(F.collect_set("h")).alias("hs"))
@@ -308,41 +349,47 @@ def candidate_links(fps: DataFrame, plan: Plan, longs: int, most: int) -> DataFr
     stars = met.where(F.col("size") > BUCKET).select(F.col("h").alias("a"), F.explode(F.array("c0", "c1", "c2")).alias("b")).where("a != b")
     edges = pairs.unionByName(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
     x, y = fps.select(F.col("h").alias("a"), F.col("fp").alias("x")), fps.select(F.col("h").alias("b"), F.col("fp").alias("y"))
-    near = edges.join(x, "a").join(y, "b").select("a", "b", distance(F.col("x"), F.col("y"), longs).alias("bits"))
-    return stored(near.where(F.col("bits") <= most), "near")
-
-
-def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """h, shingles (sorted distinct hashes) of docs (h, text)."""
+    return edges.join(x, "a").join(y, "b").where(distance(F.col("x"), F.col("y"), longs) <= most).select("a", "b")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for i in range(0, len(b), 1000):
-                part = b.iloc[i : i + 1000]
-                sets = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t, k)])).view(np.int64) for t in part["text"]]
-                yield pd.DataFrame({"h": part["h"], "shingles": sets})
 
-    return docs.mapInPandas(run, "h long, shingles array<long>")
+def _centres(n: int, of: str = "h") -> list[Column]:
+    """The smallest text of a group by each of n orders."""
+    return [F.min(F.struct(F.xxhash64("h", F.lit(i)).alias("o"), F.col(of).alias("v")))["v"].alias(f"c{i}") for i in range(n)]
 
 
 # -- pairs that buckets leave apart ---------------------------------------------------------------------------------
 
 #: Shingles found in so many sampled texts at least go to the end of the order of shingles, the most frequent last; of
-#: these, so many at most are known to tasks. The sample has SAMPLED texts or a fiftieth of all, whichever is more.
-COMMON, MOST_COMMON, SAMPLED = 3, 200_000, 5_000
+#: these, so many at most are known to tasks. The sample has SAMPLED texts or a tenth of all, whichever is more. Both only
+#: make the order better or worse: any order is a right one.
+COMMON, MOST_COMMON, SAMPLED = 2, 400_000, 5_000
 #: Texts of a shingle that one task pairs with all others of it.
 SALT = 256
 
 
+def shingle_sets(texts: DataFrame, k: int) -> DataFrame:
+    """h, shingles (sorted, distinct) of texts (h, text)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = WordHashes()
+        for b in batches:
+            for i in range(0, len(b), 250):
+                part = b.iloc[i : i + 250]
+                yield pd.DataFrame({"h": part["h"], "shingles": [shingle_ids(word_hashes(t, known), k) for t in part["text"]]})
+
+    return texts.mapInPandas(run, "h long, shingles array<long>")
+
+
 def common_shingles(texts: DataFrame, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles of a sample of texts (h, text; n different h), sorted, and the number of texts of each."""
     scale = 1_000_000
-    share = min(scale, -(-scale * max(SAMPLED, n // 50) // max(n, 1)))
-    sample = texts.where(F.pmod(F.xxhash64("h"), F.lit(scale)) < share)
-    each = shingle_sets(sample, k).groupBy("h").agg(F.first("shingles").alias("shingles")).select(F.explode("shingles").alias("s"))
-    top = each.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "s").limit(MOST_COMMON).collect()
-    top = sorted((r["s"], r["n"]) for r in top)
-    return np.array([s for s, _ in top], np.int64), np.array([c for _, c in top], np.int64)
+    share = min(scale, -(-scale * max(SAMPLED, n // 10) // max(n, 1)))
+    sample = texts.where(F.pmod(F.xxhash64("h"), F.lit(scale)) < share).groupBy("h").agg(F.first("text").alias("text"))
+    each = shingle_sets(sample, k).select(F.explode("shingles").alias("s"))
+    top = each.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "s").limit(MOST_COMMON).toArrow()
+    s, c = (np.array(top[i], np.int64) for i in ("s", "n"))
+    by = np.argsort(s)
+    return s[by], c[by].astype(np.int32)
 
 
 def prefixes(texts: DataFrame, k: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -352,70 +399,83 @@ def prefixes(texts: DataFrame, k: int, similarity: float, common: tuple[np.ndarr
     lets no pair of this similarity miss each other's prefix; this one keeps frequent shingles out of it.
     """
     known, counts = common
-    schema = "h long, n int, at int, key long"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = WordHashes()
         for b in batches:
-            held: list[pd.DataFrame] = []
+            held: list[tuple] = []
             size = 0
             for h, t in zip(b["h"], b["text"], strict=True):
-                s = np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t, k)])).view(np.int64)
+                s = shingle_ids(word_hashes(t, words), k)
                 n = len(s)
                 if not n:
                     continue
                 if len(known):
                     i = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    s = s[np.lexsort((s, np.where(known[i] == s, counts[i], 0)))]
-                else:
-                    s = np.sort(s)
-                first = s[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
-                held.append(pd.DataFrame({"h": h, "n": n, "at": np.arange(len(first)), "key": first}))
-                size += len(first)
+                    s = s[np.argsort(np.where(known[i] == s, counts[i], 0), kind="stable")]
+                held.append((h, n, s[: n - int(np.ceil(similarity * n - 1e-9)) + 1]))
+                size += len(held[-1][2])
                 if size >= 50_000:
-                    yield pd.concat(held)
+                    yield _prefix_rows(held)
                     held, size = [], 0
             if held:
-                yield pd.concat(held)
+                yield _prefix_rows(held)
+
+    return texts.mapInPandas(run, "h long, n int, at int, key long")
+
+
+def _prefix_rows(held: list[tuple]) -> pd.DataFrame:
+    sizes = [len(s) for *_, s in held]
+    at = np.concatenate([np.arange(m) for m in sizes])
+    return pd.DataFrame({"h": np.repeat([h for h, *_ in held], sizes), "n": np.repeat([n for _, n, _ in held], sizes), "at": at, "key": np.concatenate([s for *_, s in held])})
 
-    return texts.mapInPandas(run, schema)
 
+def _may_reach(similarity: float, a: str, b: str) -> Column:
+    """Whether two texts that share a shingle at their places in the order may have so many shingles in common."""
+    least = F.lit(similarity / (1 + similarity)) * (F.col(f"n_{a}") + F.col(f"n_{b}")) - 1e-6
+    most = F.least(f"at_{a}", f"at_{b}") + F.least(F.col(f"n_{a}") - F.col(f"at_{a}"), F.col(f"n_{b}") - F.col(f"at_{b}"))
+    return most >= least
 
-def prefix_pairs(texts: DataFrame, roots: DataFrame, n: int, k: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) of texts (h, text) of different groups (roots: node, root), all of this Jaccard similarity among them.
 
-    Two such texts share a shingle of their prefixes. Texts of a group needn't meet, so a shingle whose texts are all of
-    one group is dropped; the texts of any other meet pair by pair, in blocks of SALT. Pairs are left out only where
-    sizes, places in the order or the number of shared prefix shingles rule the similarity out.
+def prefix_stars(shared: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b): each text of a prefix shingle with two centres of it. A group of copies shares its centres, so this is in proportion to the rows."""
+    row = F.struct("h", "n", "at")
+    centres = shared.groupBy("key").agg(*[F.min(F.struct(F.xxhash64("h", F.lit(i)).alias("o"), row.alias("v")))["v"].alias(f"c{i}") for i in range(2)])
+    met = shared.join(stored(centres, "centres"), "key").select(F.col("h").alias("h_x"), F.col("n").alias("n_x"), F.col("at").alias("at_x"), F.explode(F.array("c0", "c1")).alias("c"))
+    met = met.select("*", F.col("c.h").alias("h_y"), F.col("c.n").alias("n_y"), F.col("c.at").alias("at_y")).where("h_x != h_y").where(_may_reach(similarity, "x", "y"))
+    return met.select(F.least("h_x", "h_y").alias("a"), F.greatest("h_x", "h_y").alias("b")).distinct()
+
+
+def prefix_pairs(shared: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of texts of different groups (roots: node, root), all of this Jaccard similarity among them.
+
+    shared has the prefix rows (h, n, at, key) of shingles that several texts have. Two similar texts share one of them.
+    Texts of a group needn't meet, so the texts of a shingle's largest group only meet those outside of it, and these
+    each other, in blocks of SALT. Pairs are left out only where sizes, places in the order or the number of shared
+    prefix shingles rule the similarity out.
     """
-    keys = stored(prefixes(texts, k, similarity, common_shingles(texts, n, k)), "prefixes")
-    shared = stored(keys.groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x != y").select("key"), "shared")
-    several = stored(keys.join(shared, "key", "left_semi").distinct(), "several")
-    forget(keys)
-    rooted = several.join(roots, F.col("h") == F.col("node"), "left").select("key", "h", "n", "at", F.coalesce("root", "h").alias("root"))
+    rooted = shared.join(roots, F.col("h") == F.col("node"), "left").select("key", "h", "n", "at", F.coalesce("root", "h").alias("root"))
     rooted = stored(rooted, "rooted")
-    mixed = rooted.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("x"), F.max("root").alias("y")).where("x != y")
-    salts = F.ceil(F.col("size") / SALT).cast("int").alias("salts")
-    met = stored(rooted.join(stored(mixed.select("key", salts), "mixed"), "key"), "mixed-prefixes")
-    x = met.select("key", F.pmod(F.xxhash64("h"), F.col("salts")).cast("int").alias("salt"), *[F.col(c).alias(f"{c}_a") for c in ("h", "n", "at", "root")])
-    y = met.select("key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *[F.col(c).alias(f"{c}_b") for c in ("h", "n", "at", "root")])
-    # so many shingles are shared at least by similar texts, and at most by texts that hold this one at these places
-    least = F.lit(similarity / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) - 1e-6
-    most = F.least("at_a", "at_b") + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    pairs = x.join(y, ["key", "salt"]).where((F.col("h_a") < F.col("h_b")) & (F.col("root_a") != F.col("root_b")) & (most >= least))
-    found = pairs.groupBy(F.col("h_a").alias("a"), F.col("h_b").alias("b"), "n_a", "n_b").agg(F.count("*").alias("shared"))
+    groups = rooted.groupBy("key", "root").agg(F.count("*").alias("m"))
+    mixed = groups.groupBy("key").agg(F.count("*").alias("groups"), F.sum("m").alias("size"), F.max("m").alias("largest"), F.max_by("root", F.struct("m", "root")).alias("main")).where("groups > 1")
+    salts = F.ceil((F.col("size") - F.col("largest")) / SALT).cast("int").alias("salts")
+    met = stored(rooted.join(stored(mixed.select("key", "main", salts), "mixed"), "key"), "mixed-prefixes")
+    named = lambda side: [F.col(c).alias(f"{c}_{side}") for c in ("h", "n", "at", "root")]
+    x = met.where("root != main").select("key", F.pmod(F.xxhash64("h"), F.col("salts")).cast("int").alias("salt"), *named("x"))
+    y = met.select("key", "main", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *named("y"))
+    once = (F.col("root_y") == F.col("main")) | (F.col("h_x") < F.col("h_y"))
+    pairs = x.join(y, ["key", "salt"]).where((F.col("root_x") != F.col("root_y")) & once & _may_reach(similarity, "x", "y"))
+    first = F.col("h_x") < F.col("h_y")
+    sides = [F.least("h_x", "h_y").alias("a"), F.greatest("h_x", "h_y").alias("b"), F.when(first, F.col("n_x")).otherwise(F.col("n_y")).alias("n_a"), F.when(first, F.col("n_y")).otherwise(F.col("n_x")).alias("n_b")]
+    found = pairs.select(*sides).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
     # one of the two has all its shared shingles up to the end of its prefix in the other's prefix
     rest = lambda c: F.ceil(F.lit(similarity) * F.col(c) - 1e-9) - 1
+    least = F.lit(similarity / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) - 1e-6
     return found.where(F.col("shared") + F.greatest(rest("n_a"), rest("n_b")) >= least).select("a", "b")
 
 
-def _sets_of(edges: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """The shingle sets of the texts (h, text) that edges name."""
-    ends = stored(edges.select(F.explode(F.array("a", "b")).alias("of")).distinct(), "ends")
-    named = texts.join(ends, F.col("h") == F.col("of"), "left_semi")
-    return stored(shingle_sets(named.groupBy("h").agg(F.first("text").alias("text")), k), "shingles")
-
-
-def _verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The edges (a, b) whose texts have this Jaccard similarity; sets has h and shingles of each."""
     x, y = sets.select(F.col("h").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("h").alias("b"), F.col("shingles").alias("y"))
     both = edges.select("a", "b").join(x, "a").join(y, "b")
     shared = F.size(F.array_intersect("x", "y"))
@@ -423,47 +483,63 @@ def _verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.where((union == 0) | (shared >= F.lit(similarity) * union - 1e-9)).select("a", "b")
 
 
+def near_groups(texts: DataFrame, fps: DataFrame, k: int, similarity: float) -> DataFrame:
+    """(node, root) of the texts (h, text) that are near copies of another; fps has h and fp of each different text.
+
+    Candidates come from SimHash buckets and from the stars of prefix shingles; then all pairs between the groups found
+    so far that the prefix filter can't rule out. Each link is verified on the shingles.
+    """
+    n, both = co_occurrence(fps, LONGS)
+    near = candidate_links(fps, allocate(n, both, PARTS - 1, [PARTS]), LONGS, int(DIFFERING * 64 * LONGS))
+    keys = stored(prefixes(texts, k, similarity, common_shingles(texts, n, k)), "prefixes")
+    several = keys.groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x != y").select("key")
+    shared = stored(keys.join(stored(several, "several"), "key", "left_semi").distinct(), "shared")
+    forget(keys)
+    edges = stored(near.unionByName(prefix_stars(shared, similarity)).distinct(), "edges")
+    ends = stored(edges.select(F.explode(F.array("a", "b")).alias("of")).unionByName(shared.select(F.col("h").alias("of"))).distinct(), "ends")
+    named = texts.join(ends, F.col("h") == F.col("of"), "left_semi")
+    sets = stored(shingle_sets(named.groupBy("h").agg(F.first("text").alias("text")), k), "shingles")
+    # texts without words are one group
+    bare = fps.where(F.col("empty")).select("h")
+    bare = bare.crossJoin(F.broadcast(bare.agg(F.min("h").alias("b")))).select(F.col("h").alias("a"), "b").where("a != b")
+    links = cut(verified(edges, sets, similarity).unionByName(bare))
+    roots = components(links)
+    more = cut(verified(stored(prefix_pairs(shared, roots, similarity), "others"), sets, similarity))
+    return roots if more.isEmpty() else components(links.unionByName(more))
+
+
 def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of near copies: all its columns, the row with the smallest doc_id.
 
     Texts (A-Z lower-cased) are near copies if the Jaccard similarity of their distinct k-word shingles is at least
-    ``similarity``; groups are the connected components. Candidates come from SimHash buckets, then, between the groups
-    that these leave apart, from a prefix filter that misses no pair; each link is verified on the shingles. Equal texts are one group, null counts as empty, and texts without words are near copies of each
-    other. Null ids come last and ties are broken by the text's hash; repeated rows leave one. An empty table stays empty.
+    ``similarity``; groups are the connected components. Equal texts are one group, null counts as empty, and texts
+    without words are near copies of each other. Null ids come last and ties are broken by the text's hash; repeated
+    rows leave one. An empty table stays empty. Texts are known by 128 bits: one that shares 64 of them with another
+    text keeps its row, as do its equals, apart from all groups.
     """
     small_batches(docs.sparkSession)
-    lowered = ascii_lower(F.coalesce("text", F.lit("")))
-    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("own"), F.xxhash64(lowered).alias("h"), lowered.alias("text"))
+    given = F.coalesce("text", F.lit(""))
+    lowered = ascii_lower(given)
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(given).alias("own"), F.xxhash64(lowered).alias("h"), F.xxhash64(F.lit(1), lowered).alias("h2"), lowered.alias("text"))
 
     def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = WordHashes()
         for b in batches:
-            yield pd.DataFrame({"id": b["id"].astype("Int64"), "own": b["own"], "h": b["h"], "fp": [fingerprint(t, 1, LONGS, True) for t in b["text"]]})
-
-    rows = stored(keyed.select("id", "own", "h", "text").mapInPandas(prints, "id long, own long, h long, fp array<long>"), "prints")
-    fps = stored(rows.groupBy("h").agg(F.first("fp").alias("fp")), "fps")
-    n, both = co_occurrence(fps, LONGS)
-    plan = allocate(n, both, PARTS - 1, [PARTS])
-    edges = candidate_links(fps, plan, LONGS, int(DIFFERING * 64 * LONGS))
-    texts = keyed.select("h", "text")
-    sets = _sets_of(edges, texts, k)
-    # first the closest partner of each text, then all that these links don't connect yet
-    ways = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "bits"))
-    best = ways.groupBy("a").agg(F.min(F.struct("bits", "b"))["b"].alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    sure = cut(_verified(best, sets, similarity))
-    roots = components(sure)
-    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    apart = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    links = sure.unionByName(cut(_verified(apart, sets, similarity)))
-    # texts without words are one group
-    bare = cut(texts.where(~F.col("text").rlike(WORD)).select("h").distinct())
-    links = links.unionByName(bare.crossJoin(F.broadcast(bare.agg(F.min("h").alias("b")))).select(F.col("h").alias("a"), "b").where("a != b"))
-    # then all pairs between the groups so far
-    others = stored(prefix_pairs(texts, components(links), n, k, similarity), "others")
-    links = links.unionByName(cut(_verified(others, _sets_of(others, texts, k), similarity)))
-    groups = components(links)
+            words = [word_hashes(t, known) for t in b["text"]]
+            yield pd.DataFrame({"id": b["id"].astype("Int64"), "own": b["own"], "h": b["h"], "h2": b["h2"], "empty": [not len(w) for w in words], "fp": [word_fingerprint(w, LONGS) for w in words]})
+
+    rows = stored(keyed.select("id", "own", "h", "h2", "text").mapInPandas(prints, "id long, own long, h long, h2 long, empty boolean, fp array<long>"), "prints")
+    fps = stored(rows.groupBy("h").agg(F.first("fp").alias("fp"), F.first("empty").alias("empty"), F.min("h2").alias("h2"), F.max("h2").alias("other")), "fps")
+    twice = stored(fps.where("h2 != other").select(F.col("h").alias("_h"), F.col("h2").alias("_h2")), "twice")
+    texts = keyed.select("h", "h2", "text")
+    if not twice.isEmpty():
+        texts = texts.join(twice, F.col("h") == F.col("_h"), "left").where(F.col("_h").isNull() | (F.col("h2") == F.col("_h2")))
+    groups = near_groups(texts.select("h", "text"), fps, k, similarity)
     # the row that stays of each group
-    named = rows.select("id", "own", "h").join(groups, rows["h"] == groups["node"], "left").select("id", "own", F.coalesce("root", "h").alias("root"))
+    named = rows.join(groups, rows["h"] == groups["node"], "left").join(twice, F.col("h") == F.col("_h"), "left")
+    apart = F.col("_h").isNotNull() & (F.col("h2") != F.col("_h2"))
+    named = named.select("id", "own", F.when(apart, F.col("h")).otherwise(F.coalesce("root", "h")).alias("root"), F.when(apart, F.col("h2")).alias("of"))
     first = F.min(F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("own").alias("own")))
-    stay = stored(named.groupBy("root").agg(first.alias("s")).select(F.col("s.id").alias("stay_id"), F.col("s.own").alias("stay_own")), "stay")
+    stay = stored(named.groupBy("root", "of").agg(first.alias("s")).select(F.col("s.id").alias("stay_id"), F.col("s.own").alias("stay_own")), "stay")
     kept = keyed.select("row", "id", "own").join(stay, F.col("id").eqNullSafe(F.col("stay_id")) & (F.col("own") == F.col("stay_own")))
     return kept.dropDuplicates(["stay_id", "stay_own"]).select("row.*")
