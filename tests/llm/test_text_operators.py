@@ -99,11 +99,76 @@ def test_extraction(spark):
     assert html_extract.main_text("<a " * 50_000 + "<!--" * 1000) == ""
 
 
+def test_what_is_no_furniture():
+    page = "<body><nav>menu</nav>{}<footer>foot</footer></body>"
+    text = lambda body: html_extract.main_text(page.format(body))
+    assert text('<article class="ad-story share"><p>one</p></article>') == "one"
+    assert text("<form><nav>x</nav><article><p>one</p></article></form>") == "one"
+    assert text("<form><h1>T</h1><p>one</p></form>") == "T\n\none"
+    assert text('<div class="post-related-item"><p>one</p></div>') == "one"
+    assert text("<article><header><h1>T</h1></header><p>one</p></article>") == "T\n\none"
+    assert text('<div class="mainmenu"><p>one</p></div>') == "one" and text('<div class="main-menu"><p>x</p></div><main>one</main>') == "one"
+    assert text('<div id="comments"><p>c</p></div><div>one</div>') == "one" and text("<main></main><div>one</div>") == "one"
+
+
+def test_deep_pages():
+    n = 60_000
+    assert html_extract.main_text("<div>" * n + "x" + "</div>" * n) == "x"
+    assert html_extract.main_text("<x-y>" * n + "x" + "<p>y") == "x\n\ny"
+    assert len(html_extract.page_nodes("<div>a" * n)) == n + 1
+    assert html_extract.main_text("<svg>" * n + "x") == "x"
+
+
+def renamed(html):
+    """The page with neutral names for its tags and classes."""
+    for old, new in (("nav", "k1"), ("footer", "k4"), ("article", "k3")):
+        html = html.replace(f"<{old}>", f'<div class="{new}">').replace(f"</{old}>", "</div>")
+    return html.replace('class="ad"', 'class="k2"')
+
+
+def test_style_tree_alone(spark):
+    """With neutral names the tree has to find the article; without a tree all is kept."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").toPandas()
+    rows = [(p, u, renamed(h), "clash") for p, u, h in zip(pages["page_id"], pages["url"], pages["html"], strict=True)]
+    many = pages["url"].str.extract("://([^/?#]*)")[0].value_counts()
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, paths string")).collect()}
+    of_many = [(p, h) for p, u, h in zip(pages["page_id"], pages["url"], pages["html"], strict=True) if many[u.split("/")[2].split("?")[0].split("#")[0]] >= 8]
+    assert len(of_many) > 50
+    right = [got[p] == html_extract.main_text(h) for p, h in of_many]
+    assert np.mean(right) > 0.95
+    assert not any(html_extract.main_text(renamed(h)) == html_extract.main_text(h) for _, h in of_many)
+    named = {r["page_id"]: r["text"] for r in html_extract.extract_text(spark.createDataFrame(pages)).collect()}
+    assert all(named[p] == html_extract.main_text(h) for p, h in zip(pages["page_id"], pages["html"], strict=True))
+
+
+def test_importance_against_brute_force(spark):
+    pages = [(i, "http://h.test/", f"<body><div class=a>same</div><div class=b>{'<p>x</p>' * (i % 3)}{i}</div></body>") for i in range(9)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("'h.test' as host", "html")
+    got = {r["path"]: (r["pages"], round(r["importance"], 9)) for r in html_extract.style_tree(df).collect()}
+    seen = {}
+    for _, _, html in pages:
+        for path, *kinds in html_extract.page_nodes(html):
+            seen.setdefault(path, []).append(kinds)
+
+    def entropy(values):
+        p = np.array([values.count(v) for v in set(values)]) / len(values)
+        return -(p * np.log(p)).sum() / np.log(len(values))
+
+    for path, kinds in seen.items():
+        presentation, content = ([k[i] for k in kinds] for i in (0, 1))
+        assert got[path] == (len(kinds), round(0.6 * entropy(presentation) + 0.4 * entropy(content), 9) + 0.0)
+    assert len(got) == len(seen)
+
+
 def test_style_tree_drops_what_all_pages_share(spark):
     page = "<body><div class=x1><p>Same words on each page</p></div><div class=x2><p>Text {0}</p><p>More {0}</p></div></body>"
+    schema = "page_id long, url string, html string, values string"
     rows = [(i, f"http://h{i % 2}.test/{i}", page.format(i), "clash") for i in range(12)] + [(50, "http://one.test/", page.format(50), ""), (51, None, None, ""), (51, None, None, "")]
-    got = {r["page_id"]: r["text"] for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, low string")).collect()}
+    rows += [(60 + i, "http://copies.test/", page.format(0), "") for i in range(9)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_text(spark.createDataFrame(rows, schema)).collect()}
     assert got[3] == "Text 3\n\nMore 3" and got[50].startswith("Same words") and got[51] == ""
+    assert got[60] == "Same words on each page\n\nText 0\n\nMore 0"
+    assert html_extract.extract_text(spark.createDataFrame([], schema)).count() == 0
 
 
 def test_repeated_words_in_both_ways(monkeypatch):
@@ -141,13 +206,6 @@ def test_quality_query(spark):
     assert held.selectExpr("avg(cast(kept = (quality = 1) as int))").first()[0] > 0.95
 
 
-def test_main_beside_furniture():
-    names = lambda attrs: html_extract._names(attrs)[1:]
-    assert names("class='mainmenu'") == names("id='maintenance'") == (False, False)
-    assert names("class='main-menu'") == names("id='main-footer'") == (False, False)
-    assert names("id='main'") == names("class='content main'") == (False, True) and names("class='menu'") == (True, False)
-
-
 def test_short_items_inside_documents(spark):
     docs = spark.createDataFrame([(1, "so Alpha beta  gamma and more words follow"), (2, "alpha beta"), (3, "beta gamma alpha is not it at all"), (4, "one two three four five six")], "doc_id long, text string")
     items = spark.createDataFrame([(7, "alpha beta"), (8, "Six"), (9, "two three four five six")], "item_id long, text string")
