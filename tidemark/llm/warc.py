@@ -1,7 +1,8 @@
 """WARC archives: a deterministic sharded writer and a streaming reader.
 
-Records are range-sorted by page_id into shards whose bounds follow from the table alone. A task streams its shards
-into gzip files (one member a record) and rolls a file at a compressed size. Files get temporary names of their own
+Records are range-sorted by page_id and payload digest into shards whose bounds follow from the table alone: sizes are
+summed up along a Spark sort, and a shard starts where the sum passes its share. A task streams one shard into gzip
+files (one member a record) and rolls a file at a compressed size. Files get temporary names of their own
 attempt; the manifest, written by Spark, names the files of the attempts that counted, and only then they are moved
 to their final names. A lost executor thus leaves nothing but files that no manifest names.
 """
@@ -12,11 +13,12 @@ import hashlib
 import io
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import small_batches, stored
@@ -24,6 +26,8 @@ from tidemark.llm.common import small_batches, stored
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LEAST = 100  # bytes of a payload that is worth a revisit
+#: Bytes that a record counts besides its payload; shards of a table at most.
+HEAD, MOST_SHARDS = 512, 20_000
 MANIFEST = "shard long, part long, temp string, name string, records long, bytes long, sha256 string"
 
 
@@ -130,54 +134,57 @@ def _moved(out_dir: str):
     return run
 
 
-def _cell_of(bounds: list[int]):
-    """The index of the first bound that is not below an id; 0 for null ids."""
-    at = np.array(bounds, np.int64)
+def _key() -> list[Column]:
+    """What records are sorted by: page_id, nulls first, then the first 16 digits of the digest."""
+    return [F.col("page_id").isNotNull().alias("has"), F.coalesce("page_id", F.lit(0).cast("long")).alias("id"), F.substring("digest", 1, 16).alias("tie")]
 
-    @F.pandas_udf("long")
-    def cell(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.where(ids.notna(), np.searchsorted(at, ids.fillna(0).to_numpy(np.int64)), 0), dtype="int64")
 
-    return cell
+def shard_spans(keys: DataFrame, most: int, least: int) -> tuple[list[tuple], list[tuple[int, int]]]:
+    """First key of each shard, sorted, and its numbers (one, or a span of shards for a key that fills several).
 
-
-def shard_bounds(keys: DataFrame, target: int, grid: int = 1024) -> list[int]:
-    """Upper bounds (inclusive) of page_id for shards of about target payload bytes; keys has page_id and payload_bytes.
-
-    A grid over the ids is refined where a cell holds more than the target, until it holds one id. The driver sees a
-    row for each filled cell.
+    keys has page_id, digest and payload_bytes. Shards are of about a 64th of all bytes, within ``least`` and ``most``,
+    or larger where there would be over MOST_SHARDS; the driver sees a row for each, that many at most.
     """
-    low, high = keys.agg(F.min("page_id"), F.max("page_id")).first()
-    if low is None:
-        return []
-
-    def cells(a: int, b: int) -> list[int]:
-        return sorted({a + (b - a) * (i + 1) // grid for i in range(grid)} | {b})
-
-    bounds = cells(low - 1, high)
-    while True:
-        filled = dict(keys.where("page_id is not null").groupBy(_cell_of(bounds)("page_id").alias("cell")).agg(F.sum("payload_bytes")).collect())
-        coarse = [i for i, n in filled.items() if n > target and bounds[i] - (bounds[i - 1] if i else low - 1) > 1]
-        if not coarse:
-            break
-        bounds = sorted(set(bounds).union(*(cells(bounds[i - 1] if i else low - 1, bounds[i]) for i in coarse)))
-    out, size = [], 0
-    for i in sorted(filled):
-        size += filled[i]
-        if size >= target:
-            out.append(bounds[i])
-            size = 0
-    return out
-
-
-def write_warc(pages: DataFrame, out_dir: str, roll: int = 64 << 20, shard: int = 64 << 20) -> DataFrame:
+    each = stored(keys.select(*_key(), "payload_bytes").groupBy("has", "id", "tie").agg(F.sum(F.col("payload_bytes") + HEAD).alias("size")), "warc-sizes")
+    total = each.agg(F.sum("size")).first()[0] or 0
+    target = max(1, total // MOST_SHARDS + 1, min(most, max(least, total // 64)))
+    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(each.repartitionByRange(parts, "has", "id", "tie").withColumn("part", F.spark_partition_id()), "warc-ranges")
+    before = dealt.groupBy("part").agg(F.sum("size").alias("n")).withColumn("before", F.sum("n").over(W.orderBy("part")) - F.col("n")).drop("n")  # a row a part
+    start = F.col("before") + F.sum("size").over(W.partitionBy("part").orderBy("has", "id", "tie")) - F.col("size")
+    at = dealt.join(F.broadcast(before), "part").select("has", "id", "tie", F.floor(start / target).alias("shard"), (F.floor((start + F.col("size") - 1) / target)).alias("last"))
+    spans = at.groupBy("shard").agg(F.min(F.struct("has", "id", "tie")).alias("first"), F.max(F.when(F.col("last") > F.col("shard") + 1, F.struct("has", "id", "tie", "last"))).alias("wide")).collect()
+    found = {}
+    for r in spans:
+        found[tuple(r["first"])] = (r["shard"], r["shard"])
+        if r["wide"] is not None:  # a key of over a shard's size gets the shards that it fills alone
+            *key, last = r["wide"]
+            found[tuple(key)] = (r["shard"] + 1, last - 1)
+    firsts = sorted(found)
+    spans = [found[k] for k in firsts]
+    return firsts, spans
+
+
+def _spans_of(firsts: list[tuple], spans: list[tuple[int, int]]):
+    """The span of shards of each record's key."""
+
+    @F.pandas_udf("first long, last long")
+    def span(has: pd.Series, ids: pd.Series, ties: pd.Series) -> pd.DataFrame:
+        at = [spans[max(0, bisect_right(firsts, k) - 1)] for k in zip(has, ids, ties, strict=True)]
+        return pd.DataFrame(at, columns=["first", "last"], dtype="int64")
+
+    return span
+
+
+def write_warc(pages: DataFrame, out_dir: str, roll: int = 64 << 20, shard: int = 64 << 20, least: int = 4 << 20) -> DataFrame:
     """Write a record for each row of pages (page_id, url, html, ...) to out_dir, and return the manifest.
 
     A null html is an empty payload. Of records with equal payloads of at least LEAST bytes, that with the smallest
     page_id is a response (all such rows if the id repeats) and the others revisit it; null ids never are revisited or
     revisit, and sort first. Repeated rows give a record each. An empty table gives an empty manifest and no file;
-    further columns are ignored. The same rows give the same files. Files roll at ``roll`` compressed bytes, shards are
-    of about ``shard`` payload bytes.
+    further columns are ignored. Files roll at ``roll`` compressed bytes, shards are of ``least`` to ``shard`` payload
+    bytes (see shard_spans). The same rows give the same files; only the records of one id and payload that fill several
+    shards are dealt to these by their place in the input.
     """
     spark = pages.sparkSession
     small_batches(spark)
@@ -188,13 +195,16 @@ def write_warc(pages: DataFrame, out_dir: str, roll: int = 64 << 20, shard: int
     known = keys.where((F.col("payload_bytes") >= LEAST) & F.col("page_id").isNotNull())
     firsts = stored(known.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("last > first").select("digest", "first"), "warc-firsts")
     revisits = known.join(firsts, "digest").where("page_id > first").select("page_id", "digest", "first").distinct()
-    bounds = shard_bounds(keys, shard)
-    shard_of = _cell_of(bounds)
+    starts, spans = shard_spans(keys, shard, least)
+    span = _spans_of(starts, spans or [(0, 0)])(*_key())
     null = F.lit(None).cast("string")
-    refs = revisits.select("page_id", "digest", F.lit(0).alias("kind"), null.alias("url"), null.alias("payload"), "first")
-    every = rows.select("page_id", "digest", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("first")).unionByName(refs)
-    every = every.select(shard_of("page_id").alias("shard"), *every.columns)
-    dealt = every.repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
+    every = rows.select("page_id", "digest", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("first"), span.alias("s"))
+    every = every.withColumn("shard", F.col("s.first") + F.pmod(F.monotonically_increasing_id(), F.col("s.last") - F.col("s.first") + 1))
+    refs = revisits.select("page_id", "digest", F.lit(0).alias("kind"), null.alias("url"), null.alias("payload"), "first", span.alias("s"))
+    refs = refs.withColumn("shard", F.explode(F.sequence("s.first", "s.last")))
+    columns = ["shard", "page_id", "digest", "kind", "url", "payload", "first"]
+    n = max((last for _, last in spans), default=0) + 1
+    dealt = every.select(columns).unionByName(refs.select(columns)).repartitionById(n, F.col("shard").cast("int")).sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
     fs, folder = filesystem(out_dir)
     fs.create_dir(f"{folder}/_temporary", recursive=True)
     manifest = stored(dealt.mapInPandas(_write(out_dir, roll), MANIFEST), "warc-manifest")
@@ -285,5 +295,14 @@ def read_warc(spark: SparkSession, out_dir: str, payloads: bool = False) -> Data
     Digests and lengths of responses are checked against their payload; a damaged one fails the job.
     """
     manifest = spark.read.schema(MANIFEST).parquet(f"{out_dir}/_manifest").select("name")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.repartition(parts, "name").mapInPandas(_read(out_dir, payloads), READ + ", payload binary" * payloads)
+    return manifest.repartition(max(1, min(manifest.count(), MOST_SHARDS))).mapInPandas(_read(out_dir, payloads), READ + ", payload binary" * payloads)
+
+
+#: What op7_warc gives, over a view "pages".
+SQL = """
+with p as (select page_id, coalesce(html, '') as payload from pages),
+d as (select page_id, cast(strlen(payload) as bigint) as payload_bytes, sha256(payload) as payload_digest from p),
+f as (select payload_digest, min(page_id) as first from d where payload_bytes >= 100 group by 1)
+select page_id, payload_bytes, d.payload_digest, case when first < page_id then 'revisit' else 'response' end as record_type, case when first < page_id then first end as refers_to
+from d left join f on f.payload_digest = d.payload_digest
+"""
