@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 from zlib import crc32
@@ -16,88 +17,98 @@ from tidemark.llm.common import ascii_lower
 #: (rule, verdict): a host, then a path from its first slash on.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
-#: The small labelled table: our own examples of addresses to allow and to block.
+#: The small labelled table: addresses of our own invention, none of a host that a table here has.
 LABELLED = tuple((u, "allow") for u in """
-https://www.cityherald.test/en/2024/budget-vote
-https://blog.gardening.test/en/412
-https://docs.toolchain.test/guide/install.html
-http://library.university.test/de/921/
-https://news.riverside.test/fr/77?page=2&ref=x
-https://en.encyclopedia.test/wiki/Granite
-https://m.weather.test/es/18#top
-http://www.museum.test/en/665.html
-https://recipes.kitchen.test/en/bread/1204
-https://blog.tinkerers.test/en/333/
-http://history.archive.test/de/54.html
-https://www.theater.test/fr/981
-https://thermal.energy.test/en/700?utm_source=feed
-http://blog.northern.test/en/12
-https://www.athletics.test/en/430#top
-https://m.thread.test/en/88
-https://blog.teaching.test/es/230/
-http://www.rethinking.test/en/593?page=2&ref=x
-https://station.transit.test/de/342
-https://forum.cyclists.test/en/thread/2201
-http://research.institute.test/papers/1998/17.pdf
-https://www.parliament.test/fr/debates/540.html
-https://notes.mathematics.test/en/671
-https://blog.theories.test/en/875?utm_source=feed
-https://health.clinic.test/en/advice/45
-http://www.festival.test/es/programme
-https://court.records.test/en/opinion/90
-https://m.tension.test/en/101/
-https://blog.authors.test/en/369#top
-https://www.shipping.test/de/252.html
-http://twelfth-night.test/en/217?page=2&ref=x
-https://thirdly.test/fr/414
-https://www.healthand.test/en/9?utm_source=feed
-http://thanthem.test/de/180/
-https://breathhe.test/en/785.html
-https://www.bathon.test/en/148.html
-http://smooththing.test/en/14
-https://earthwhile.test/es/575?utm_source=feed
-https://www.monthly-athlete.test/en/926/
-http://mouththan.test/en/231#top
-https://station-nation.test/en/680
-https://m.northland.test/fr/10
+https://www.cityherald.com/en/2024/budget-vote
+https://blog.gardening.org/en/412
+https://docs.toolchain.net/guide/install.html
+http://library.university.org/de/921/
+https://news.riverside.com/fr/77?page=2&ref=x
+https://en.encyclopedia.org/wiki/Granite
+https://m.weather.net/es/18#top
+http://www.museum.org/en/665.html
+https://recipes.kitchen.com/en/bread/1204
+https://blog.tinkerers.net/en/333/
+http://history.archive.org/de/54.html
+https://www.theater.net/fr/981
+https://thermal.energy.com/en/700?utm_source=feed
+http://blog.northern.net/en/12
+https://www.athletics.org/en/430#top
+https://m.needlework.com/en/88
+https://blog.teaching.net/es/230/
+http://www.philosophy.org/en/593?page=2&ref=x
+https://timetable.railways.com/de/342
+https://forum.cyclists.net/en/thread/2201
+http://research.institute.org/papers/1998/17.pdf
+https://www.parliament.net/fr/debates/540.html
+https://notes.mathematics.com/en/671
+https://blog.astronomy.net/en/875?utm_source=feed
+https://health.clinic.org/en/advice/45
+http://www.festival.com/es/programme
+https://court.records.net/en/opinion/90
+https://m.economics.org/en/101/
+https://blog.authors.com/en/369#top
+https://www.shipping.net/de/252.html
+http://twelfth-night.org/en/217?page=2&ref=x
+https://orchestra.com/fr/414
+https://www.birdwatch.net/en/9?utm_source=feed
+http://volcano.org/de/180/
+https://greenhouse.com/en/785.html
+https://www.harbour.net/en/148.html
+http://carpentry.org/en/14
+https://earthworks.com/es/575?utm_source=feed
+https://www.monthly-review.net/en/926/
+http://lighthouse.org/en/231#top
+https://grammar.com/en/680
+https://m.mountain.net/fr/10
 """.split()) + tuple((u, "block") for u in """
-http://www.casino-win.test/en/14?page=2&ref=x
-https://best-casino-slots.test/bonus/free
-https://www.cheap-pills.test/fr/176/
-http://buy-cheap-pills-online.test/order/now
-https://spam-farm.test/en/728?utm_source=feed
-http://spam-links-farm.test/en/3
-https://ads-track.test/en/584
-http://click.ads-tracker.test/de/9?utm_source=feed
-http://m.free-bets.test/en/27#top
-https://free-bets-today.test/win/bonus
-http://win-money-fast.test/en/500
-https://casino-bonus-win.test/fr/60.html
-https://www.online-pills-shop.test/en/680
-http://free-spins-casino.test/en/926/
-https://track-ads-popup.test/en/41
-http://www.spam-mail.test/es/318
-https://m.bets-live-win.test/en/77
-http://cheap-watches-replica.test/de/963
-https://www.cheap-loans-fast.test/en/12?ref=x
-http://adult-free-cams.test/en/6
-https://pills-discount.test/en/450?page=2&ref=x
-http://farm-backlinks-spam.test/en/88/
-https://free-bets.test/de/963?page=2&ref=x
-http://ads-popunder.test/en/115
-https://www.poker-win-casino.test/en/231#top
-http://cheap-pills-rx.test/en/471
-https://spam-blast.test/en/9
-http://bets-odds-free.test/fr/10
-https://win-iphone-free.test/en/2
-http://ads-track-click.test/en/533/
-http://adult-videos-x.test/en/41
-https://www.xxx-adult.test/de/77.html
-http://adult-chat-x.test/en/302#top
-https://m.adult-x-dating.test/es/8
-https://casino-win-jackpot.test/en/61
-http://casino-winners.test/fr/438
-http://cheap-pills-store.test/en/27#top
+http://www.royal-casino.com/en/140?page=2
+https://lucky-slots-casino.net/bonus/spin
+https://www.grand-jackpot-casino.org/fr/17/
+http://poker-vegas-win.com/en/5
+https://mega-win-lottery.net/en/72?utm_source=mail
+http://you-win-a-prize.org/claim/now
+https://discount-pharmacy-pills.com/en/584
+http://diet-pills-store.net/order/9
+http://m.viagra-pills.org/en/27#top
+https://generic-meds-cheap.com/shop/11
+http://cheap-replica-watches.net/en/500
+https://cheap-loans-today.org/apply/60.html
+https://www.payday-cash-fast.com/en/680
+http://sports-bets-online.net/odds/926/
+https://live-bets-odds.org/en/41
+http://www.bets-and-odds.com/es/318
+https://m.free-spins.net/en/77
+http://free-ringtones-free-games.org/de/963
+https://www.free-iphone-offer.com/en/12?ref=x
+http://adult-cams-live.net/en/6
+https://adult-dating-hot.org/en/450?page=2
+http://xxx-adult-videos.com/en/88/
+https://escort-adult-chat.net/de/963?page=2
+http://ads-server-popunder.org/en/115
+https://www.click-ads-network.com/en/231#top
+http://banner-ads-exchange.net/en/471
+https://track-clicks.org/en/9
+http://pixel-track-visitors.com/fr/10
+https://affiliate-track-link.net/en/2
+http://mail-spam-blast.org/en/533/
+https://bulk-spam-sender.com/en/41
+https://www.comment-spam-tool.net/de/77.html
+http://link-farm-exchange.org/en/302#top
+https://m.backlink-farm-seo.com/es/8
+https://seo-spam-links.net/en/61
+http://keygen-crack-warez.org/fr/438
+http://work-from-home-cash.com/en/27#top
+https://miracle-weight-loss.net/buy/3
+http://crypto-doubler-cash.org/en/19
+https://hot-stock-tips-win.com/en/204
+http://casino-bets-bonus.net/en/33
+https://online-casino-reviews.org/en/8
+https://guestbook-spam.org/en/15
+http://spam-bot-service.com/de/6
+https://content-farm-articles.com/en/70
+http://www.click-farm-likes.net/fr/9
+https://adult-toys-shop.com/en/3
 """.split())
 
 
@@ -120,6 +131,11 @@ def best_rule(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = R
     return chain(lambda r: r[0]), chain(lambda r: r[1])
 
 
+#: What a path weighs against the host.
+PATH = 0.2
+DIGIT = re.compile("[0-9]")
+
+
 @dataclass(frozen=True)
 class UrlModel:
     weights: np.ndarray
@@ -128,12 +144,13 @@ class UrlModel:
     high: int = 5
 
     def slots(self, host: str, path: str) -> tuple[np.ndarray, np.ndarray]:
-        """The hashed n-grams of host and path, each slot once, and their values: each of the two has length one."""
+        """The hashed n-grams of host and path, each slot once, and their values: the host's have length one, the path's PATH. Digits are all alike."""
         at, values = [], []
-        for kind, s in (("h", f"^{host}$"), ("p", f"^{path}$")):
+        for kind, length, s in (("h", 1.0, f"^{host}$"), ("p", PATH, f"^{path}$")):
+            s = DIGIT.sub("0", s)
             found = {crc32(f"{kind}{s[i : i + n]}".encode()) % len(self.weights) for n in range(self.low, self.high + 1) for i in range(len(s) - n + 1)}
             at += sorted(found)
-            values += [max(len(found), 1) ** -0.5] * len(found)
+            values += [length * max(len(found), 1) ** -0.5] * len(found)
         return np.array(at, np.int64), np.array(values)
 
     def score(self, host: str, path: str) -> float:
@@ -171,12 +188,13 @@ def default_model() -> UrlModel:
     return train(tuple((*split_url(u), v) for u, v in LABELLED))
 
 
-def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, model: UrlModel | None = None, threshold: float = 0.5) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, model: UrlModel | None = None, threshold: float = 0.3) -> DataFrame:
     """page_id, host, path, rule, score, verdict for each row of pages (page_id, url, ...).
 
     A null url or one without '://' has an empty host and path; no rule fits it and the model judges it like any other.
     Repeated rows give a row each; an empty table gives an empty result; further columns are ignored. score is the
-    model's log odds of block, of rows that a rule decides as well; over ``threshold`` the model blocks.
+    model's log odds of block, of rows that a rule decides as well; over ``threshold`` the model blocks (above even odds, as addresses to block are
+    rarer than in the labelled table).
     """
     fitted = model or default_model()
 
