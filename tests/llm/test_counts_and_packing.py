@@ -9,8 +9,8 @@ import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
 
-from tidemark.llm.packing import Windows, pack
-from tidemark.llm.token_counts import token_counts
+from tidemark.llm.packing import Windows, pack, token_blocks
+from tidemark.llm.token_counts import space_is_stable, token_counts
 
 SCHEMA = "doc_id long, text string, doc string"
 
@@ -59,3 +59,21 @@ def test_full_pieces_take_no_slot():
     assert w.place((1, 0, 6, 0, 6)) == [] == w.place((2, 0, 7, 0, 7))
     assert w.place((3, 0, 10, 0, 10)) == [(3, 0, 10, 0, 10, 2, 0, False)]
     assert len(w.place((4, 0, 3, 0, 3))) == len(w.place((5, 0, 4, 0, 4))) == 2 and not w.left
+
+
+def test_both_encoders_agree():
+    """Ids by tiktoken, where packing takes them, are those of tokenizers, over all code points below U+0250."""
+    path = P.path("byte_bpe_50k.json")
+    t, r = Tokenizer.from_file(path), random.Random(4)
+    points = [chr(c) for c in range(0x250)]
+    for n in range(400):
+        some = r.sample(points, 12) + [" ", " ", "\n", "a", "e", "1", "'s", "<|endoftext|>"]
+        text = "".join(r.choice(some if n % 2 else points) for _ in range(r.randint(1, 300)))
+        ids = [i for b in token_blocks(text, path) for i in b.tolist()]
+        assert ids == t.encode(text, add_special_tokens=False).ids, text
+    long = "some words and  more\n" * 30_000
+    assert [i for b in token_blocks(long, path, 5000) for i in b.tolist()] == t.encode(long, add_special_tokens=False).ids
+
+
+def test_stable_spaces():
+    assert space_is_stable(P.path("word_bpe_49k.json")) and not space_is_stable(P.path("byte_bpe_50k.json"))

@@ -183,6 +183,9 @@ def test_repeated_words(spark):
     rows = [(i, "".join(x + r.choice([" ", "\n", "\t", "  "]) for x in w), "c") for i, w in enumerate(texts)]
     got = suffix_dedup.strip_repeats(spark.createDataFrame(rows, SCHEMA).repartition(3), n_words=51).collect()
     assert [" ".join(W.findall(x["text"])) for x in sorted(got)] == expected
+    texts_left = suffix_dedup.digests(suffix_dedup.without_repeats(spark.createDataFrame(rows, SCHEMA).repartition(3), n_words=51)).collect()
+    assert [" ".join(W.findall(x["text"])) for x in sorted(texts_left, key=lambda x: x["doc_id"])] == expected
+    assert all(x["n_removed"] == 0 == x["n_spans"] and x["n_bytes"] == len(rows[x["doc_id"]][1]) for x in texts_left)
 
 
 def test_pipeline_passage_of_51_words(spark):

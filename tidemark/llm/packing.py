@@ -13,6 +13,7 @@ import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -120,8 +121,7 @@ def _packed(path: str, size: int, most: int):
         """(doc_id, start, length, crc, tokens): cut at each full sequence."""
         found, total, held = [], 0, []
         count = 0
-        blocks = [*token_blocks(text, path), np.array([END], np.uint32)] if len(text) < 1 << 20 else (*(), *token_blocks(text, path), np.array([END], np.uint32))
-        for ids in blocks:
+        for ids in chain(token_blocks(text, path), [np.array([END], np.uint32)]):
             held.append(ids)
             count += len(ids)
             if count >= size:

@@ -174,13 +174,15 @@ def _stats(model: Trees | None):
 def train(docs: DataFrame, labels: DataFrame, most: int = 4000) -> Trees:
     """Trees from the labelled rows of docs: those of the ``most`` labelled ids with the smallest hashes, a bounded sample.
 
-    Labels (doc_id, quality) of a repeated id count by their mean; null ids or qualities are ignored. Without any
-    labelled row, the trees are empty and everything scores as even odds.
+    Labels (doc_id, quality) of a repeated id count by their mean; null ids or qualities are ignored. Of the rows of a
+    repeated id, that with the smallest features counts. Without any labelled row, the trees are empty and everything
+    scores as even odds.
     """
     small_batches(docs.sparkSession)
     chosen = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.avg("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # most ids at most
-    got = rows.select("doc_id", "text").mapInPandas(_stats(None), f"doc_id long, {BASE}, features array<double>").join(F.broadcast(chosen), "doc_id").select("doc_id", "features", "quality").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    got = rows.select("doc_id", "text").mapInPandas(_stats(None), f"doc_id long, {BASE}, features array<double>").join(F.broadcast(chosen), "doc_id")
+    got = got.groupBy("doc_id").agg(F.min(F.struct("features", "quality")).alias("r")).select("r.*", "doc_id").orderBy("doc_id").collect()
     x = np.array([r["features"] for r in got], float).reshape(len(got), len(FEATURES))
     return fit(x, np.array([float(r["quality"] >= 0.5) for r in got]), [*FEATURES.values()])
 
@@ -200,7 +202,8 @@ def judge(docs: DataFrame, model: Trees, least_words: int = 10, most_repeat: int
 
 
 def kept_rows(docs: DataFrame, model: Trees, least_words: int = 10, most_repeat: int = 20, threshold: float = 0.0) -> DataFrame:
-    """The rows of docs that judge() keeps, with all their columns."""
+    """The rows of docs that judge() keeps, with all their columns: null and empty texts go, repeated rows and null ids are
+    judged row by row, an empty table stays empty."""
 
     small_batches(docs.sparkSession)
 

@@ -7,27 +7,29 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, decontaminate, quality, suffix_dedup
+from tidemark.llm import chat, decontaminate, quality, suffix_dedup, warc
 from tidemark.llm.common import scratch, table
 from tidemark.llm.html_extract import extract_text
 from tidemark.llm.packing import pack
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.token_counts import token_counts
 from tidemark.llm.url_filter import judge_urls
-from tidemark.llm.warc import read_warc, write_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents; null texts have none."""
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of all documents; null texts have fingerprint zero."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict of all pages; a null url has an empty host and path."""
     return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -36,31 +38,37 @@ MARKED = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[I
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read back from all formatted conversations and one whose texts hold marks of the template."""
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     added = spark.createDataFrame(MARKED, "conv_id long, turn long, role string, text string")
     return chat.digests(chat.format_conversations(given.unionByName(added)))
 
 
 def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages; null html has an empty one."""
     return extract_text(table(spark, sf_dir, "pages"))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that documents contain, over all documents."""
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of all pages, as they are read back from the archives."""
     out = scratch(spark, "warc")
-    write_warc(table(spark, sf_dir, "pages"), out)
-    return read_warc(spark, out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    warc.write_warc(table(spark, sf_dir, "pages"), out)
+    return warc.read_warc(spark, out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict of all documents; null texts fail the base rules."""
     docs = table(spark, sf_dir, "documents")
     return quality.judge(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places; a null text is its end id."""
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -76,4 +84,4 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     marked = ", ".join(f"({c}, {t}, '{r}', '{x}')" for c, t, r, x in MARKED)
     turns = f"turns as (select conv_id, turn, role, text from conversations union all select * from (values {marked}) v(conv_id, turn, role, text)),"
-    return {"op4_chat_format": chat.SQL.replace("with ", f"with {turns} ", 1), "op6_decontaminate": decontaminate.SQL}
+    return {"op4_chat_format": chat.SQL.replace("with ", f"with {turns} ", 1), "op6_decontaminate": decontaminate.SQL, "op7_warc": warc.SQL}
