@@ -334,27 +334,26 @@ def bucket_keys(fps: DataFrame, plan: Plan) -> DataFrame:
 
 
 def candidate_links(fps: DataFrame, plan: Plan, longs: int, most: int) -> DataFrame:
-    """Pairs (a, b) of texts (h, fp) that share a bucket and differ in at most ``most`` bits.
+    """Pairs (a, b) of texts (h, fp) that share a bucket and differ in at most ``most`` bits: the closest found of each text.
 
-    Buckets of up to BUCKET texts give all their pairs. Each text of a fuller bucket is paired with three centres of the
-    bucket (the smallest by three orders, the same in buckets of the same texts), so that the number of pairs is in
-    proportion to the texts. What this leaves apart is found by the prefix filter.
+    Buckets of up to BUCKET texts give all their pairs. Each text of a fuller bucket is paired with its centre (the
+    smallest by a hash, the same in buckets of the same texts), so that the number of pairs is in proportion to the
+    texts. What this leaves apart is found by the prefix filter.
     """
     sigs = stored(bucket_keys(fps, plan), "keys")
-    sizes = stored(sigs.groupBy("key").agg(F.count("*").alias("size"), *_centres(3)).where("size > 1"), "sizes")
+    centre = F.min(F.struct(F.xxhash64("h", F.lit(0)).alias("o"), F.col("h").alias("v")))["v"].alias("centre")
+    sizes = stored(sigs.groupBy("key").agg(F.count("*").alias("size"), centre).where("size > 1"), "sizes")
     met = stored(sigs.join(sizes, "key"), "met")
     forget(sigs)
     small = met.where(F.col("size") <= BUCKET).groupBy("key").agg(F.array_sort(F.collect_set("h")).alias("hs"))
     pairs = small.select("hs", F.posexplode("hs").alias("i", "a")).select("a", F.explode(F.expr(f"slice(hs, i + 2, {BUCKET})")).alias("b"))
-    stars = met.where(F.col("size") > BUCKET).select(F.col("h").alias("a"), F.explode(F.array("c0", "c1", "c2")).alias("b")).where("a != b")
+    stars = met.where(F.col("size") > BUCKET).select(F.col("h").alias("a"), F.col("centre").alias("b")).where("a != b")
     edges = pairs.unionByName(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
     x, y = fps.select(F.col("h").alias("a"), F.col("fp").alias("x")), fps.select(F.col("h").alias("b"), F.col("fp").alias("y"))
-    return edges.join(x, "a").join(y, "b").where(distance(F.col("x"), F.col("y"), longs) <= most).select("a", "b")
-
-
-def _centres(n: int, of: str = "h") -> list[Column]:
-    """The smallest text of a group by each of n orders."""
-    return [F.min(F.struct(F.xxhash64("h", F.lit(i)).alias("o"), F.col(of).alias("v")))["v"].alias(f"c{i}") for i in range(n)]
+    near = edges.join(x, "a").join(y, "b").select("a", "b", distance(F.col("x"), F.col("y"), longs).alias("bits")).where(F.col("bits") <= most)
+    ways = near.select(F.explode(F.array(F.struct("a", "b", "bits"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "bits"))).alias("e")).select("e.*")
+    best = ways.groupBy("a").agg(F.min(F.struct("bits", "b"))["b"].alias("b"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 # -- pairs that buckets leave apart ---------------------------------------------------------------------------------
@@ -365,6 +364,8 @@ def _centres(n: int, of: str = "h") -> list[Column]:
 COMMON, MOST_COMMON, SAMPLED = 2, 400_000, 5_000
 #: Texts of a shingle that one task pairs with all others of it.
 SALT = 256
+#: Tables of one long a row are broadcast up to so many rows.
+BROADCAST = 2_000_000
 
 
 def shingle_sets(texts: DataFrame, k: int) -> DataFrame:
@@ -483,6 +484,11 @@ def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where((union == 0) | (shared >= F.lit(similarity) * union - 1e-9)).select("a", "b")
 
 
+def _sent(df: DataFrame) -> DataFrame:
+    """A stored table of one long a row, to be broadcast behind a count."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df
+
+
 def near_groups(texts: DataFrame, fps: DataFrame, k: int, similarity: float) -> DataFrame:
     """(node, root) of the texts (h, text) that are near copies of another; fps has h and fp of each different text.
 
@@ -493,11 +499,11 @@ def near_groups(texts: DataFrame, fps: DataFrame, k: int, similarity: float) ->
     near = candidate_links(fps, allocate(n, both, PARTS - 1, [PARTS]), LONGS, int(DIFFERING * 64 * LONGS))
     keys = stored(prefixes(texts, k, similarity, common_shingles(texts, n, k)), "prefixes")
     several = keys.groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x != y").select("key")
-    shared = stored(keys.join(stored(several, "several"), "key", "left_semi").distinct(), "shared")
+    shared = stored(keys.join(_sent(stored(several, "several")), "key", "left_semi").distinct(), "shared")
     forget(keys)
     edges = stored(near.unionByName(prefix_stars(shared, similarity)).distinct(), "edges")
     ends = stored(edges.select(F.explode(F.array("a", "b")).alias("of")).unionByName(shared.select(F.col("h").alias("of"))).distinct(), "ends")
-    named = texts.join(ends, F.col("h") == F.col("of"), "left_semi")
+    named = texts.join(_sent(ends), F.col("h") == F.col("of"), "left_semi")
     sets = stored(shingle_sets(named.groupBy("h").agg(F.first("text").alias("text")), k), "shingles")
     # texts without words are one group
     bare = fps.where(F.col("empty")).select("h")
