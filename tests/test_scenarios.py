@@ -120,7 +120,7 @@ def test_html_jobs(spark):
     pages = spark.createDataFrame([(1, "https://h.test/list", html), (2, "https://h.test/x", None)], "page_id long, url string, html string")
     item = html_pages.extract_listing(pages, r"/albums/(\d+)").collect()
     assert [(r["item_id"], r["item_url"], r["title"], r["cover"], r["image_count"], r["signal"]) for r in item] == [("7", "https://h.test/albums/7", "T", "https://c.test/1.jpg", 12, "s1")]
-    assert [tuple(r) for r in html_pages.extract_categories(pages).collect()] == [("3", "Embedded", None)]
+    assert [tuple(r) for r in html_pages.extract_categories(pages, embedded=r"(?s)categoryData: (\[.*?\]), settings").collect()] == [("3", "Embedded", None)]
     detail = {r["page_id"]: r for r in html_pages.extract_details(pages).collect()}
     assert detail[1]["name"] == "A ring" and detail[1]["images"] == ["https://p.test/s/1/x.jpg"] and detail[2]["images"] == []
 
@@ -158,3 +158,23 @@ def test_sync_stream_replays_and_blocks(spark, tmp_path):
         feed = spark.readStream.schema(schema).parquet(str(tmp_path / "runs"))
         streams.sync_stream(feed, str(tmp_path / "index"), str(tmp_path / f"check{n}")).awaitTermination()
         assert sorted(p.name for p in (tmp_path / "index").iterdir()) == ["v=r1"]  # r2 lost nearly all rows: quarantined
+
+
+def test_blocked_runs_write_nothing(spark, tmp_path):
+    schema = f"run_id string, {CUR}"
+    row = lambda run, i: (run, str(i), "f", "c", ["c"])
+    rows = [row("r1", i) for i in range(400)] + [row("r2", i) for i in range(10)] + [row("r3", i) for i in range(390)] + [("r4", None, None, None, None)] + [row("r5", i) for i in range(380)]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "runs"))
+    feed = spark.readStream.schema(schema).parquet(str(tmp_path / "runs"))
+    streams.sync_stream(feed, str(tmp_path / "index"), str(tmp_path / "check"), complete=lambda run: run != "r3").awaitTermination()
+    assert streams.promoted_runs(spark, str(tmp_path / "index")) == ["r1", "r5"]  # r2 is a catastrophe, r3 incomplete, r4 empty
+    last = streams.promoted_index(spark, str(tmp_path / "index"))
+    assert last.where("status = 'missing'").count() == 20 and last.first()["version"] == "r5"
+
+
+def test_deeply_nested_results(spark):
+    text = '{"a": 7}'
+    for _ in range(9):
+        text = f'{{"results": [{text}, {{"a": 1}}]}}'
+    assert snapshots.flatten_results(spark.createDataFrame([(text,)], "payload string")).count() == 10
+    assert snapshots.flatten_results(spark.createDataFrame([], "payload string")).count() == 0

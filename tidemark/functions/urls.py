@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.ids import SCOPE_ID, opaque_id
 
-#: Query parameters that say how a list is shown, not what it lists.
-TRANSIENT = ("page", "tab", "uid", "referrercate", "isSubCate")
+#: Query parameters that say how a list is shown, not what it lists; callers pass those of their source.
+TRANSIENT = ("page", "sort", "view")
 
 
 def host_of(url: Column) -> Column:
@@ -23,12 +23,12 @@ def query_of(url: Column) -> Column:
     return F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
 
 
-def scope_key(url: Column) -> Column:
+def scope_key(url: Column, transient: tuple[str, ...] = TRANSIENT) -> Column:
     """Host and path in one form, with the lasting parameters sorted."""
     path = F.regexp_replace(path_of(url), "/{2,}", "/")
     path = F.when(F.length(path) > 1, F.regexp_replace(path, "/+$", "")).when(path == "", "/").otherwise(path)
     path = F.when(path == "", "/").otherwise(path)
-    kept = F.array_sort(F.filter(F.split(query_of(url), "&"), lambda p: (p != "") & ~F.substring_index(p, "=", 1).isin(*TRANSIENT)))
+    kept = F.array_sort(F.filter(F.split(query_of(url), "&"), lambda p: (p != "") & ~F.substring_index(p, "=", 1).isin(*transient)))
     query = F.array_join(kept, "&")
     return F.concat(host_of(url), path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
 
@@ -38,8 +38,8 @@ def scope_kind(url: Column) -> Column:
     return F.when(path.rlike(r"(?i)/categories/\d+$"), "category").when(path.rlike(r"(?i)/albums$"), "catalog").otherwise("source")
 
 
-def scope_identity(url: Column, provider: str) -> Column:
-    return F.struct(opaque_id("s", scope_key(url), provider, SCOPE_ID).alias("id"), scope_kind(url).alias("kind"))
+def scope_identity(url: Column, provider: str, transient: tuple[str, ...] = TRANSIENT) -> Column:
+    return F.struct(opaque_id("s", scope_key(url, transient), provider, SCOPE_ID).alias("id"), scope_kind(url).alias("kind"))
 
 
 def absolute_url(base: Column, href: Column) -> Column:

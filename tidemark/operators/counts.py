@@ -21,10 +21,9 @@ def status_counts(df: DataFrame, status: str, values: list[str]) -> DataFrame:
     return df.agg(*[F.count_if(F.coalesce(F.col(status) == v, F.lit(False))).alias(v) for v in values], F.count("*").alias("total"))
 
 
-def state_histogram(df: DataFrame, state: str, states: list[str]) -> DataFrame:
-    """Every state with its count, 0 included."""
-    spark = df.sparkSession
-    every = spark.createDataFrame([(s,) for s in states], f"{state} string")
+def state_histogram(df: DataFrame, state: str, states: list[str] | DataFrame) -> DataFrame:
+    """Every state (of a list, or of a table's column of that name) with its count, 0 included."""
+    every = states.select(state).distinct() if isinstance(states, DataFrame) else df.sparkSession.createDataFrame([(s,) for s in states], f"{state} string")
     return every.join(df.groupBy(state).agg(F.count("*").alias("total")), state, "left").select(state, F.coalesce("total", F.lit(0)).alias("total"))
 
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators.tables import find_leaks, orphans
-
-#: Checks that describe a catalog, but are no faults.
-METRICS = ("products", "states_current", "review_required", "research_required", "conflicts")
+#: The count checks in their order. Those in METRICS describe a catalog and are no faults by themselves.
+CHECKS = ("products", "states_current", "version_gap", "override_flag", "leaks", "category_missing", "primary_media_missing", "image_count", "media_orphans", "category_orphans", "facet_orphans", "category_count", "team_count", "league_count", "facet_count", "intelligence_current", "intelligence_gap", "intelligence_override_flag", "review_required", "research_required", "conflicts", "navigation_meta", "merchandising_meta")
+METRICS = ("products", "states_current", "intelligence_current", "review_required", "research_required", "conflicts", "navigation_meta", "merchandising_meta")
 
 
 def count_mismatches(dim: DataFrame, facts: DataFrame, key: str) -> DataFrame:
@@ -28,28 +28,67 @@ def version_gaps(products: DataFrame, state: DataFrame, overrides: DataFrame, ve
     return missing.unionByName(flags.select(F.lit("override_flag").alias("gap"), "k"))
 
 
-def run_battery(t: dict[str, DataFrame], version: str, patterns: list[str]) -> DataFrame:
-    """check_no, name, total of each count check over products (k, category_id, team_id, league_id, image_count, primary_media_id, text columns),
-    categories, teams, leagues, facets, product_categories, product_facets, product_media, media, state and overrides."""
-    p, m, s = t["products"], t["media"].where("active"), t["state"]
-    empty = lambda df: df.agg(F.count("*").alias("total"))
-    media_n = t["product_media"].groupBy("k").agg(F.count("*").alias("n"))
-    gaps = version_gaps(p, s, t["overrides"], version)
-    checks = [
-        ("products", p), ("states_current", s.where(F.col("version") == version).join(p, "k", "left_semi")), ("version_gap", gaps.where("gap = 'version'")), ("override_flag", gaps.where("gap = 'override_flag'")),
-        ("leaks", find_leaks(p, "k", [c for c, kind in p.dtypes if kind == "string"], patterns).select("k").distinct()), ("category_missing", p.join(t["categories"], "category_id", "left_anti")),
-        ("primary_media_missing", p.where("image_count > 0").join(m.select(F.col("media_id").alias("primary_media_id")), "primary_media_id", "left_anti")),
-        ("image_count", p.join(media_n, "k", "left").where("image_count <> coalesce(n, 0)")), ("media_orphans", orphans(t["product_media"], [(p, "k"), (m, "media_id")])),
-        ("category_orphans", orphans(t["product_categories"], [(p, "k"), (t["categories"], "category_id")])), ("facet_orphans", orphans(t["product_facets"], [(p, "k"), (t["facets"], "facet_id")])),
-        ("category_count", count_mismatches(t["categories"], t["product_categories"], "category_id")), ("team_count", count_mismatches(t["teams"], p, "team_id")),
-        ("league_count", count_mismatches(t["leagues"], p, "league_id")), ("facet_count", count_mismatches(t["facets"], t["product_facets"], "facet_id")),
-        ("review_required", s.where("review_required")), ("research_required", s.where("research_required")), ("conflicts", s.where("conflict_count > 0")),
-    ]
-    return reduce(DataFrame.unionByName, [empty(df).select(F.lit(i).alias("check_no"), F.lit(name).alias("name"), "total") for i, (name, df) in enumerate(checks)])
+def _meta_checks(meta: DataFrame, contract: int) -> dict[str, Column]:
+    """Aggregates of a meta table (key, value): rows with a filled navigation array, and with valid merchandising data."""
+    value = F.trim("value")
+    valid = F.try_parse_json(value)
+    number = lambda path: F.try_variant_get(valid, path, "int")  # noqa: E731  a text of a number counts as one
+    navigation = (F.col("key") == "navigation") & valid.isNotNull() & value.startswith("[") & (value != "[]")
+    merchandising = (F.col("key") == "merchandising") & (number("$.contractVersion") == contract) & (number("$.navigationItems") > 0)
+    count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    return {"navigation_meta": count(navigation), "merchandising_meta": count(merchandising)}
+
+
+def run_battery(t: dict[str, DataFrame], version: str, patterns: list[str], contract: int = 1) -> DataFrame:
+    """check_no, name, total of each count check, in the order of CHECKS.
+
+    t: products (k, category_id, team_id, league_id, image_count, primary_media_id, text columns), categories, teams,
+    leagues, facets, product_categories, product_facets, product_media, media, state (k, version, override_applied),
+    intelligence (k, version, override_applied, review_required, research_required, conflict_count, state_json),
+    overrides and meta (key, value). Each table is read for one aggregate, with its parents joined to it as flags.
+    """
+    flag = lambda df, key, name: df.select(key, F.lit(True).alias(name)).distinct()
+    p, m = t["products"], t["media"].where("active")
+    has_override = flag(t["overrides"], "k", "_override")
+    is_product, is_media = flag(p, "k", "_product"), flag(m, "media_id", "_media")
+    texts = [c for c, kind in p.dtypes if kind == "string"]
+    leak = reduce(lambda a, b: a | b, [F.lower(F.coalesce(F.col(c), F.lit(""))).contains(x) for c in texts for x in patterns], F.lit(False))
+    no = lambda c: F.coalesce(F.col(c), F.lit(False)) == F.lit(False)
+    count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    current = {"state": F.col("version") == version, "intelligence": (F.col("version") == version) & F.try_parse_json("state_json").isNotNull()}
+
+    rows = p.withColumn("_leak", leak).join(flag(t["categories"], "category_id", "_category"), "category_id", "left")
+    rows = rows.join(is_media.withColumnRenamed("media_id", "primary_media_id"), "primary_media_id", "left").join(t["product_media"].groupBy("k").agg(F.count("*").alias("_n")), "k", "left")
+    for name, now in current.items():
+        rows = rows.join(t[name].where(now).select("k", F.lit(True).alias(f"_{name}")).distinct(), "k", "left")
+    aggregates = [rows.agg(
+        F.count("*").alias("products"), count(F.col("_state")).alias("states_current"), count(no("_state")).alias("version_gap"), count(F.col("_leak")).alias("leaks"), count(no("_category")).alias("category_missing"),
+        count((F.col("image_count") > 0) & no("_media")).alias("primary_media_missing"), count(F.col("image_count") != F.coalesce("_n", F.lit(0))).alias("image_count"),
+        count(F.col("_intelligence")).alias("intelligence_current"), count(no("_intelligence")).alias("intelligence_gap"),
+    )]
+    mismatch = count(F.col("override_applied") == no("_override"))
+    aggregates.append(t["state"].join(has_override, "k", "left").agg(mismatch.alias("override_flag")))
+    aggregates.append(t["intelligence"].join(has_override, "k", "left").agg(mismatch.alias("intelligence_override_flag"), count(F.col("review_required")).alias("review_required"), count(F.col("research_required")).alias("research_required"), count(F.col("conflict_count") > 0).alias("conflicts")))
+    bridges = (("media_orphans", t["product_media"], is_media, "media_id", "_media"), ("category_orphans", t["product_categories"], flag(t["categories"], "category_id", "_category"), "category_id", "_category"), ("facet_orphans", t["product_facets"], flag(t["facets"], "facet_id", "_facet"), "facet_id", "_facet"))
+    for name, bridge, parent, key, has in bridges:
+        aggregates.append(bridge.join(is_product, "k", "left").join(parent, key, "left").agg(count(no("_product") | no(has)).alias(name)))
+    dims = (("category_count", t["categories"], t["product_categories"], "category_id"), ("team_count", t["teams"], p, "team_id"), ("league_count", t["leagues"], p, "league_id"), ("facet_count", t["facets"], t["product_facets"], "facet_id"))
+    for name, dim, facts, key in dims:
+        aggregates.append(count_mismatches(dim, facts, key).agg(F.count("*").alias(name)))
+    aggregates.append(t["meta"].agg(*[c.alias(name) for name, c in _meta_checks(t["meta"], contract).items()]))
+    listed = lambda df: df.select(F.explode(F.array(*[F.struct(F.lit(CHECKS.index(c)).alias("check_no"), F.lit(c).alias("name"), F.col(c).alias("total")) for c in df.columns])).alias("c")).select("c.*")
+    return reduce(DataFrame.unionByName, [listed(df) for df in aggregates])
 
 
 def findings(battery: DataFrame) -> DataFrame:
-    return battery.where((F.col("total") > 0) & ~F.col("name").isin(*METRICS)).select("check_no", "name", "total")
+    """check_no, name, total of the checks that found a fault: counts that should be zero, an empty catalog, states or
+    intelligence that aren't there for every product, and meta rows that aren't there once. One small table, one task."""
+    total = lambda name: F.max(F.when(F.col("name") == name, F.col("total"))).over(W.partitionBy())
+    fault = (
+        F.when(F.col("name") == "products", F.col("total") < 1).when(F.col("name").isin("states_current", "intelligence_current"), F.col("total") != F.col("_products"))
+        .when(F.col("name").isin("navigation_meta", "merchandising_meta"), F.col("total") != 1).when(F.col("name").isin(*METRICS), False).otherwise(F.col("total") > 0)
+    )
+    return battery.withColumn("_products", total("products")).where(fault).select("check_no", "name", "total")
 
 
 def cap_findings(found: DataFrame, n: int = 32) -> DataFrame:

@@ -7,12 +7,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.urls import image_group_key, image_score
+from tidemark.sources.shared import stored
 
 Order = list[str | Column]
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: Order) -> DataFrame:
-    """The first row of each key; the order should be total."""
+    """The first row of each key; the order should be total. By columns alone it is an aggregate, which combines before the shuffle."""
+    if all(isinstance(c, str) for c in order):
+        rest = [c for c in df.columns if c not in keys]
+        picked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
+        return picked.select(*[c if c in keys else F.col(f"_row.{c}") for c in df.columns])
     return df.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_rank = 1").drop("_rank")
 
 
@@ -41,7 +46,7 @@ def assign_positions(df: DataFrame, keys: list[str], order: Order, name: str = "
 
 
 def small_ordinal(dim: DataFrame, by: str) -> DataFrame:
-    """The dense number of each row of a small dictionary, by a column without ties; counted per bucket, not in one task."""
+    """The dense number of each row of a small dictionary, by a column without ties. One task numbers it, so it is for dictionaries only."""
     return dim.withColumn("ordinal", (F.row_number().over(W.partitionBy(F.lit(0)).orderBy(by)) - 1).cast("long"))
 
 
@@ -118,13 +123,11 @@ def order_dim(dim: DataFrame, kind: str) -> DataFrame:
 def global_positions(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
     """A running number from 0 over all rows by a total order: range-sorted, numbered within parts, shifted by the parts before.
 
-    The parts are written by a checkpoint, so that their bounds are the same for both reads; only a count for each part
-    is gathered.
+    The parts are stored, so that their bounds are the same for both reads; only a count for each part is gathered.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_no", F.monotonically_increasing_id())
-    if df.sparkSession.sparkContext.getCheckpointDir():
-        dealt = dealt.checkpoint()
+    dealt = stored(dealt, "positions")
     counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_no").alias("_first"))
     before = counts.select("_part", "_first", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))  # one row a part
     return dealt.join(F.broadcast(before), "_part").withColumn(name, F.col("_no") - F.col("_first") + F.col("_before")).drop("_part", "_no", "_first", "_before")

@@ -243,14 +243,13 @@ def leak_gate(df: DataFrame, patterns: list[str]) -> int:
     return df.where(hit).count()
 
 
-NOT_NAVIGATION = ("product category search", "purchase tutorial", "information", "^size$", "product video", "patch")
-
-
-def is_navigation_category(col: Column, patterns: tuple[str, ...] = NOT_NAVIGATION, uncategorised: str = "uncategorised") -> Column:
+def is_navigation_category(col: Column, patterns: tuple[str, ...] = (), uncategorised: str = "uncategorised") -> Column:
+    """Whether a category's name can stand in a navigation: neither blank, nor the catch-all, nor one of the caller's patterns."""
     from tidemark.functions.text import fold
 
     text = F.coalesce(col, F.lit(""))
-    return (text != "") & (fold(text) != uncategorised) & ~text.rlike("(?iu)" + "|".join(patterns))
+    shown = (text != "") & (fold(text) != uncategorised)
+    return shown & ~text.rlike("(?iu)" + "|".join(f"(?:{p})" for p in patterns)) if patterns else shown
 
 
 def bad_ids(df: DataFrame, rules: dict[str, str]) -> DataFrame:

@@ -25,18 +25,21 @@ def battery_tables(t: Tables) -> dict[str, DataFrame]:
     for name, (key, facts) in dims.items():
         out[name] = dim_counts(facts.distinct(), facts, key)
     state = t.titles.where("k % 30 <> 0").select("k", F.when(k % 20 == 0, "v1").otherwise("v2").alias("version"), (k % 11 == 0).alias("override_applied"), (k % 9 == 0).alias("review_required"), (k % 8 == 0).alias("research_required"), (k % 3).alias("conflict_count"))
-    return out | {"state": state, "overrides": t.overrides.select("k")}
+    intelligence = state.where("k % 25 <> 0").withColumn("state_json", F.when(k % 35 == 0, "{bad").otherwise(F.to_json(F.struct("k"))))
+    meta = t.region.select(F.when(F.col("r_regionkey") == 0, "navigation").when(F.col("r_regionkey") < 3, "merchandising").otherwise("other").alias("key"), F.when(F.col("r_regionkey") == 0, F.to_json(F.array("r_name"))).otherwise(F.concat(F.lit('{"contractVersion":"1","navigationItems":'), F.col("r_regionkey").cast("string"), F.lit("}"))).alias("value"))
+    return out | {"state": state, "intelligence": intelligence, "overrides": t.overrides.select("k"), "meta": meta}
 
 
 BATTERY = """media as (select product_key as k, media_id from product_media), n as (select k, count(*) as n, min(media_id) as pm from media group by k),
     p as (select t.k, split_part(t.p_name, ' ', 2) as team_id, t.p_type as league_id, case when t.k % 50 = 0 then 'gone' else t.p_brand end as category_id, case when t.k % 40 = 0 then t.title || ' HTTP://x' else t.title end as text, coalesce(n.n, 0) + case when t.k % 60 = 0 then 1 else 0 end as image_count, n.pm as pm, coalesce(n.n, 0) as n from titles t left join n on n.k = t.k),
-    s as (select k, case when k % 20 = 0 then 'v1' else 'v2' end as version, k % 11 = 0 as flag, k % 9 = 0 as review, k % 8 = 0 as research, k % 3 as conflicts from titles where k % 30 <> 0), ok as (select media_id from media_sources where active),
+    s as (select k, case when k % 20 = 0 then 'v1' else 'v2' end as version, k % 11 = 0 as flag, k % 9 = 0 as review, k % 8 = 0 as research, k % 3 as conflicts from titles where k % 30 <> 0), i as (select *, k % 35 <> 0 as good from s where k % 25 <> 0), ok as (select media_id from media_sources where active),
     facets as (select facet, count(*) as n, count(*) filter (where k % 70 <> 0) as actual from (select k, split_part(p_name, ' ', 1) as facet from titles) group by facet),
     battery as (select 0 as check_no, 'products' as name, (select count(*) from p) as total union all select 1, 'states_current', (select count(*) from s where version = 'v2') union all select 2, 'version_gap', (select count(*) from p where k not in (select k from s where version = 'v2'))
     union all select 3, 'override_flag', (select count(*) from s where flag <> (k in (select k from overrides))) union all select 4, 'leaks', (select count(*) from p where contains(lower(text), 'http://')) union all select 5, 'category_missing', (select count(*) from p where category_id not in (select p_brand from titles))
     union all select 6, 'primary_media_missing', (select count(*) from p where image_count > 0 and (pm is null or pm not in (select media_id from ok))) union all select 7, 'image_count', (select count(*) from p where image_count <> n) union all select 8, 'media_orphans', (select count(*) from media where k not in (select k from p) or media_id not in (select media_id from ok))
     union all select 9, 'category_orphans', 0 union all select 10, 'facet_orphans', 0 union all select 11, 'category_count', 0 union all select 12, 'team_count', 0 union all select 13, 'league_count', 0 union all select 14, 'facet_count', (select count(*) from facets where n <> actual)
-    union all select 15, 'review_required', (select count(*) from s where review) union all select 16, 'research_required', (select count(*) from s where research) union all select 17, 'conflicts', (select count(*) from s where conflicts > 0))"""
+    union all select 15, 'intelligence_current', (select count(*) from i where version = 'v2' and good) union all select 16, 'intelligence_gap', (select count(*) from p where k not in (select k from i where version = 'v2' and good)) union all select 17, 'intelligence_override_flag', (select count(*) from i where flag <> (k in (select k from overrides)))
+    union all select 18, 'review_required', (select count(*) from i where review) union all select 19, 'research_required', (select count(*) from i where research) union all select 20, 'conflicts', (select count(*) from i where conflicts > 0) union all select 21, 'navigation_meta', 1 union all select 22, 'merchandising_meta', 2)"""
 NEEDS = ("titles", "product_media", "media_sources", "overrides")
 
 
@@ -49,7 +52,7 @@ def integrity_battery(t: Tables) -> DataFrame:
     return _battery(t)
 
 
-@query(f"with {BATTERY}, f as (select *, row_number() over (order by check_no) as r from battery where total > 0 and name not in ('products', 'states_current', 'review_required', 'research_required', 'conflicts')) select 'verification__' || string_agg(name, '__' order by r) as code from f where r <= 3", NEEDS)
+@query(f"with {BATTERY}, f as (select *, row_number() over (order by check_no) as r from battery where case when name = 'products' then total < 1 when name in ('states_current', 'intelligence_current') then total <> (select total from battery where check_no = 0) when name like '%_meta' then total <> 1 when name in ('review_required', 'research_required', 'conflicts') then false else total > 0 end) select 'verification__' || string_agg(name, '__' order by r) as code from f where r <= 3", NEEDS)
 def failure_code(t: Tables) -> DataFrame:
     return quality.failure_code(quality.findings(_battery(t)))
 

@@ -219,8 +219,8 @@ def bad_ids(t: Tables) -> DataFrame:
 
 @query("select l_returnflag as state, count(*) as total from lineitem group by 1 union all select 'Z', 0")
 def state_histogram(t: Tables) -> DataFrame:
-    states = sorted(r[0] for r in t.lineitem.select("l_returnflag").distinct().limit(50).collect())
-    return counts.state_histogram(t.lineitem.select(F.col("l_returnflag").alias("state")), "state", [*states, "Z"])
+    rows = t.lineitem.select(F.col("l_returnflag").alias("state"))
+    return counts.state_histogram(rows, "state", rows.distinct().unionByName(t.spark.createDataFrame([("Z",)], "state string")))
 
 
 @query("select count(*) filter (where status = 'O') as \"O\", count(*) filter (where status = 'F') as \"F\", count(*) as total from state_runs", ("state_runs",))

@@ -2,24 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.plans.registry import query
 from tidemark.sources.fixtures import Tables
+from tidemark.sources.shared import new_folder
 from tidemark.streaming import sync
 
 
 def _folder(t: Tables) -> str:
-    shared = t.spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        import tempfile
-
-        shared = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-        t.spark.conf.set("spark.checkpoint.dir", shared)
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return new_folder(t.spark, "stream")
 
 
 def _events(t: Tables) -> DataFrame:
@@ -48,13 +41,19 @@ def stream_misses(t: Tables) -> DataFrame:
     return t.spark.read.schema(out.schema).parquet(f"{root}/out").withColumn("source_id", F.col("source_id").cast("long"))
 
 
-@query("""select source_id, 'active' as status, 0 as miss_count from cur_obs union all select cast(k as varchar), case when k % 17 = 0 then 'active' else 'active' end, 0 from prev_index where false
-    union all select source_id, 'missing', 1 from prev_index where source_id not in (select source_id from cur_obs)""", ("prev_index", "cur_obs"))
+@query("""with runs as (select source_id, 1 as seen from cur_obs union all select source_id, 0 from prev_index where source_id not in (select source_id from cur_obs)),
+    n as (select (select count(*) from cur_obs) as r2, (select count(*) from runs) as known, (select count(*) from cur_obs where k % 10 = 1) as r3),
+    d as (select known >= 100 and known - r3 >= 100 and r3 < 0.5 * known as blocked from n)
+    select r.source_id, case when blocked then case when seen = 1 then 'active' else 'missing' end when c.k % 10 = 1 then 'active' else 'missing' end as status, case when blocked then 1 - seen when c.k % 10 = 1 then 0 else 2 - seen end as miss_count, case when blocked then 'r2' else 'r3' end as version
+    from runs r cross join d left join cur_obs c on c.source_id = r.source_id""", ("prev_index", "cur_obs"))
 def stream_sync(t: Tables) -> DataFrame:
     root = _folder(t)
     cols = ["source_id", "fingerprint", "category_id", "category_path_ids"]
     runs = t.prev_index.select(F.lit("r1").alias("run_id"), *cols).unionByName(t.cur_obs.select(F.lit("r2").alias("run_id"), *cols))
+    runs = runs.unionByName(t.cur_obs.where("k % 10 = 1").select(F.lit("r3").alias("run_id"), *cols))  # nearly all is gone: to be blocked
+    empty = t.spark.createDataFrame([("r4",)], "run_id string")
+    runs = runs.unionByName(empty, allowMissingColumns=True)
     runs.write.parquet(f"{root}/runs")
     feed = t.spark.readStream.schema(runs.schema).parquet(f"{root}/runs")
     sync.sync_stream(feed, f"{root}/index", f"{root}/check").awaitTermination()
-    return t.spark.read.parquet(f"{root}/index/v=r2").select("source_id", "status", "miss_count")
+    return sync.promoted_index(t.spark, f"{root}/index").select("source_id", "status", "miss_count", "version")

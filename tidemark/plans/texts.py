@@ -25,12 +25,11 @@ def clean_titles(t: Tables) -> DataFrame:
 
 
 @query(r"""with c as (select doc_id, trim(regexp_replace(raw, '[\s\x{00A0}]+', ' ', 'g')) as a from texts),
-    b as (select doc_id, regexp_replace(a, 'https?://\S+', '', 'gi') as a from c),
-    d as (select doc_id, regexp_replace(a, '(?:whatsapp|wechat|telegram)\s*[:+]?\s*[A-Za-z0-9_+@.-]+', '', 'gi') as a from b),
-    e as (select doc_id, trim(regexp_replace(a, '\b(?:www\.)?[a-z0-9.-]+\.(?:com|net|org|cn)(?:/\S*)?', '', 'gi')) as a from d)
-    select doc_id, sha256(case when contains(lower(a), 'wholesale') then '' else substr(a, 1, 600) end) as description from e""", ("texts",))
+    b as (select doc_id, regexp_replace(a, '[a-z][a-z0-9+.-]*://[^ ]*', '', 'gi') as a from c),
+    e as (select doc_id, trim(regexp_replace(a, '\b(?:whatsapp|signal|mail)\b *[:=]? *[^ ]+', '', 'gi')) as a from b)
+    select doc_id, sha256(case when contains(lower(a), 'license') then '' else substr(a, 1, 600) end) as description from e""", ("texts",))
 def safe_descriptions(t: Tables) -> DataFrame:
-    return t.texts.select("doc_id", F.sha2(text.safe_description(F.col("raw")), 256).alias("description"))
+    return t.texts.select("doc_id", F.sha2(text.safe_description(F.col("raw"), ("license",)), 256).alias("description"))
 
 
 @query(r"""select k, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(title, '\bhot\b', 'Heated', 'gi'), '\blarge\b', 'XL', 'gi'), '\bsmall\b', 'Mini', 'gi'), '\bring\b', 'Ring Set', 'gi')) as name from titles""", ("titles",))
@@ -69,7 +68,7 @@ def content_fingerprints(t: Tables) -> DataFrame:
 
 
 @query(r"""with u as (select page_id, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)) as host, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1) as path, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) as q from pages),
-    n as (select *, regexp_replace(path, '/+', '/', 'g') as p, list_sort(list_filter(string_split(q, '&'), lambda x : x <> '' and split_part(x, '=', 1) not in ('page', 'tab', 'uid', 'referrercate', 'isSubCate'))) as kept from u),
+    n as (select *, regexp_replace(path, '/+', '/', 'g') as p, list_sort(list_filter(string_split(q, '&'), lambda x : x <> '' and split_part(x, '=', 1) not in ('page', 'sort', 'view'))) as kept from u),
     m as (select *, host || case when length(p) > 1 then coalesce(nullif(regexp_replace(p, '/+$', ''), ''), '/') when p = '' then '/' else p end || case when len(kept) > 0 then '?' || array_to_string(kept, '&') else '' end as key from n)
     select page_id, key, 's_' || substr(sha256('tidemark:scope-id:v1|web|' || key), 1, 20) as scope_id, case when regexp_matches(regexp_replace(p, '/+$', ''), '(?i)/categories/\d+$') then 'category' when regexp_matches(regexp_replace(p, '/+$', ''), '(?i)/albums$') then 'catalog' else 'source' end as kind from m""")
 def scope_identity(t: Tables) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,14 +24,16 @@ def read_catalog_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame
     return out | {"meta": doc.select("generatedAt")}
 
 
-def flatten_results(df: DataFrame, col: str = "payload", levels: int = 4) -> DataFrame:
-    """value (JSON text) of each element of the results arrays of a JSON payload, nested up to ``levels`` deep."""
+def flatten_results(df: DataFrame, col: str = "payload") -> DataFrame:
+    """value (JSON text) of each element of the results arrays of a JSON payload, however deep these are nested; a small job a level."""
     out, now = [], df.select(F.col(col).alias("value"))
-    for _ in range(levels):
-        found = F.from_json(F.get_json_object("value", "$.results"), "array<string>")
-        out.append(now.where(F.get_json_object("value", "$.results").isNull()))
-        now = now.select(F.explode(found).alias("value"))
-    return reduce(DataFrame.unionByName, out)
+    inner = F.get_json_object("value", "$.results")
+    while True:
+        out.append(now.where(inner.isNull()))
+        deeper = now.where(inner.isNotNull())
+        if deeper.isEmpty():
+            return reduce(DataFrame.unionByName, out)
+        now = deeper.select(F.explode(F.from_json(inner, "array<string>")).alias("value"))
 
 
 def json_array_rows(df: DataFrame, key: str, col: str, schema: str = "array<string>") -> DataFrame:
@@ -72,22 +76,19 @@ def check_details(df: DataFrame) -> DataFrame:
 def publish_snapshot(tables: dict[str, DataFrame], root: str, run_id: str) -> str:
     """Write all tables below root/v=run_id, then point root/_current at them; an empty table is refused.
 
-    Readers follow the pointer (read_published), so they see the whole old or the whole new snapshot.
+    Readers follow the pointer (read_published), so they see the whole old or the whole new snapshot. Pointers are ordered
+    by the time of publishing; those of two writers never have one name.
     """
     spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{root}/v={run_id}/{name}")
         if spark.read.parquet(f"{root}/v={run_id}/{name}").isEmpty():
             raise ValueError(f"{name} is empty")
-    spark.createDataFrame([(run_id, ",".join(tables))], "run_id string, tables string").coalesce(1).write.mode("append").json(f"{root}/_current/seq={spark.read.json(f'{root}/_current').count() if _exists(spark, f'{root}/_current') else 0:08d}")
+    seq = f"s{time.time_ns():020d}-{uuid.uuid4().hex}"
+    spark.createDataFrame([(run_id, ",".join(tables))], "run_id string, tables string").coalesce(1).write.json(f"{root}/_current/seq={seq}")
     return run_id
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def read_published(spark: SparkSession, root: str, name: str) -> DataFrame:
     run = spark.read.json(f"{root}/_current").orderBy(F.desc("seq")).first()["run_id"]
     return spark.read.parquet(f"{root}/v={run}/{name}")

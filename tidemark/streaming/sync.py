@@ -6,13 +6,13 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.ranking import latest_per_key
-from tidemark.operators.sync import Policy, plan_safe_delta, promote
+from tidemark.operators.sync import Policy, decide_safety, plan_delta, promote
 
 
 def dedup_messages(stream: DataFrame, keys: list[str], time: str, watermark: str = "1 hour") -> DataFrame:
@@ -25,39 +25,48 @@ def reject_late_runs(batch: DataFrame, promoted: str | None) -> DataFrame:
     return batch if promoted is None else batch.where(F.col("run_id") > promoted)
 
 
+def promoted_runs(spark: SparkSession, index_root: str) -> list[str]:
+    """The ids of the runs whose index is complete below index_root, in order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(index_root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    done = [s.getPath() for s in fs.listStatus(path) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    return sorted(p.getName().removeprefix("v=") for p in done)
+
+
+def promoted_index(spark: SparkSession, index_root: str) -> DataFrame:
+    """The last promoted index, with the run that it comes from as version."""
+    run = promoted_runs(spark, index_root)[-1]
+    return spark.read.parquet(f"{index_root}/v={run}").withColumn("version", F.lit(run))
+
+
 def sync_stream(source: DataFrame, index_root: str, checkpoint: str, complete: Callable[[str], bool] = lambda run: True, policy: Policy = Policy(), threshold: int = 3) -> StreamingQuery:
     """Compare each run of a stream of observations (run_id, source_id, fingerprint, category_id, category_path_ids) with the
     last promoted index below index_root (v=<run id>), and write the next one if the run may be trusted.
 
-    A run must come whole within a micro-batch. Runs go in the order of their ids; those not after the promoted one are
-    dropped, so that a replayed batch changes nothing. Blocked runs leave the index as it is.
+    A run must come whole within a micro-batch; a row without a source_id only says that the run took place. Runs go in
+    the order of their ids; those not after the promoted one are dropped, so that a replayed batch changes nothing. The
+    safety decision is made once a run, on its counts; a run that it blocks (incomplete, empty, a catastrophic drop)
+    writes nothing and leaves the index as it is.
     """
 
-    def versions(spark) -> list[str]:
-        fs_path = spark._jvm.org.apache.hadoop.fs.Path(index_root)
-        fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-        if not fs.exists(fs_path):
-            return []
-        names = [s.getPath() for s in fs.listStatus(fs_path)]
-        done = [p for p in names if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return sorted(p.getName().removeprefix("v=") for p in done)
-
     def batch(df: DataFrame, _: int) -> None:
         spark = df.sparkSession
-        known = versions(spark)
-        now = known[-1] if known else None
+        done = promoted_runs(spark, index_root)
+        now = done[-1] if done else None
         fresh = reject_late_runs(df, now)
         for (run,) in fresh.select("run_id").distinct().orderBy("run_id").collect():  # a row a run
-            seen = fresh.where(F.col("run_id") == run).drop("run_id").dropDuplicates(["source_id"])
+            seen = fresh.where((F.col("run_id") == run) & F.col("source_id").isNotNull()).drop("run_id").dropDuplicates(["source_id"])
             if now is None:
                 prev = seen.limit(0).selectExpr("source_id", "fingerprint", "category_id", "category_path_ids", "cast(null as string) detail_fingerprint", "'active' status", "0 miss_count", "current_timestamp() changed_at")
             else:
                 prev = spark.read.parquet(f"{index_root}/v={now}")
-            scan = spark.createDataFrame([(complete(run), 0)], "complete boolean, failures int")
-            events = plan_safe_delta(prev, seen, scan, threshold, policy)
-            if not events.select("outcome").limit(1).where("outcome <> 'proceed'").isEmpty():
+            counts = (run, complete(run), 0, seen.count(), prev.where("status <> 'deleted'").count())
+            scan = spark.createDataFrame([counts], "scope string, complete boolean, failures int, observed long, known long")
+            if decide_safety(scan, policy).first()["outcome"] != "proceed":
                 continue
-            promote(prev, seen, events, F.current_timestamp()).write.mode("overwrite").parquet(f"{index_root}/v={run}")
+            promote(prev, seen, plan_delta(prev, seen, threshold), F.current_timestamp()).write.mode("overwrite").parquet(f"{index_root}/v={run}")
             now = run
 
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
