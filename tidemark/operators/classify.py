@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scoring import base_confidence, json_has, knowledge_state, season_candidates
 from tidemark.functions.text import clean_ws, fold
-from tidemark.operators.counts import aggregate_matches
+from tidemark.operators.counts import aggregate_matches, dim_counts
 from tidemark.operators.ranking import dedupe_seasons, first_per_key
-from tidemark.operators.tables import is_navigation_category
+from tidemark.operators.tables import is_navigation_category, meta_rows, prune_zero, resolve_path
+from tidemark.sources.shared import small, stored
 
 
 @dataclass(frozen=True)
@@ -32,6 +33,7 @@ class Pack:
     base_facet: str | None = None
     national_league: str | None = None
     keywords: tuple[str, ...] = ()
+    not_navigation: tuple[str, ...] = ()
     thresholds: dict[str, float] = field(default_factory=lambda: {"needsReview": 0.51})
 
 
@@ -61,18 +63,36 @@ def match_aliases(texts: DataFrame, pack: Pack, kind: str | None = None, min_len
     return found.withColumn("whole", F.col("token") == F.col("_folded")).drop("_folded")
 
 
-def detect_league(records: DataFrame, pack: Pack) -> DataFrame:
+def record_fields(records: DataFrame) -> DataFrame:
+    """record, field, source, pos, text of records (record, name, category, path): one row a field. Path elements are
+    path[0], path[1], ...; context is the category and its path together, whole that and the name."""
+    context = F.concat_ws(" ", "category", F.array_join("path", " "))
+    row = lambda field, source, pos, text: F.struct(field.alias("field"), F.lit(source).alias("source"), pos.cast("int").alias("pos"), text.alias("text"))
+    fixed = [row(F.lit(f), f, F.lit(0), c) for f, c in (("title", F.col("name")), ("category", F.col("category")), ("context", context), ("whole", F.concat_ws(" ", "name", context)))]
+    path = F.transform("path", lambda p, i: row(F.concat(F.lit("path["), i.cast("string"), F.lit("]")), "path", i + 1, p))
+    return records.select("record", F.explode(F.concat(F.array(*fixed), F.coalesce(path, F.array().cast("array<struct<field:string,source:string,pos:int,text:string>>")))).alias("f")).select("record", "f.*")
+
+
+def alias_hits(records: DataFrame, pack: Pack) -> DataFrame:
+    """record, field, source, pos, kind, id, token, ordinal, whole of all aliases in all fields of records, found in one pass
+    and stored: what the detections and candidates below are drawn from."""
+    found = match_aliases(record_fields(records), pack)
+    return stored(found.select("record", "field", "source", "pos", "kind", "id", "token", "ordinal", "whole"), "alias-hits")
+
+
+def detect_league(records: DataFrame, pack: Pack, hits: DataFrame | None = None) -> DataFrame:
     """record, league_id of records (record, name, category, path): by the category and its path, else by the name.
 
     Within a text: priority phrases, then dictionary order without generic aliases and leagues of priority phrases, then the generic ones.
     """
-    context = F.concat_ws(" ", "category", F.array_join("path", " "))
-    texts = records.select("record", F.explode(F.array(F.struct(F.lit(0).alias("turn"), context.alias("text")), F.struct(F.lit(1).alias("turn"), F.col("name").alias("text")))).alias("t")).select("record", "t.*")
+    hits = alias_hits(records, pack) if hits is None else hits
+    turn = F.when(F.col("field") == "context", 0).otherwise(1)
     special = [league for _, league in pack.priority]
     generic = F.col("token").isin(*pack.generic) if pack.generic else F.lit(False)
     rank = F.when(generic, 2).otherwise(1)
-    found = match_aliases(texts, pack, "league").where(~F.col("id").isin(*special) if special else F.lit(True))
-    found = found.select("record", "turn", rank.alias("rank"), "ordinal", F.col("id").alias("league_id"))
+    found = hits.where((F.col("kind") == "league") & F.col("field").isin("context", "title")).where(~F.col("id").isin(*special) if special else F.lit(True))
+    found = found.select("record", turn.alias("turn"), rank.alias("rank"), "ordinal", F.col("id").alias("league_id"))
+    texts = record_fields(records).where(F.col("field").isin("context", "title")).select("record", turn.alias("turn"), "text")
     for i, (phrase, league) in enumerate(pack.priority):
         hit = texts.where(fold(F.coalesce("text", F.lit(""))).contains(phrase))
         found = found.unionByName(hit.select("record", "turn", F.lit(0).alias("rank"), F.lit(i).cast("long").alias("ordinal"), F.lit(league).alias("league_id")))
@@ -80,41 +100,40 @@ def detect_league(records: DataFrame, pack: Pack) -> DataFrame:
     return best
 
 
-def detect_team(records: DataFrame, leagues: DataFrame, pack: Pack) -> DataFrame:
+def detect_team(records: DataFrame, leagues: DataFrame, pack: Pack, hits: DataFrame | None = None) -> DataFrame:
     """record, team_id: an alias that equals a category field, the last path element first; else the longest alias of three
     letters or more in the whole text. Both within the record's league, if it has one; national teams always may be."""
+    hits = (alias_hits(records, pack) if hits is None else hits).where("kind = 'team'")
     known = leagues.select("record", F.col("league_id").alias("_league"))
-    teams = F.broadcast(pack.teams.select("id", F.col("league_id").alias("_team_league"), "national"))
-    fields = F.concat(F.array("category"), F.coalesce("path", F.array().cast("array<string>")))
-    exact = records.select("record", F.posexplode(fields).alias("pos", "text"))
-    exact = match_aliases(exact, pack, "team").where("whole").select("record", "id", (-F.col("pos")).alias("a"), F.col("ordinal").alias("b"), F.lit(0).alias("turn"))
-    whole = records.select("record", F.concat_ws(" ", "name", "category", F.array_join("path", " ")).alias("text"))
-    whole = match_aliases(whole, pack, "team", 3).select("record", "id", (-F.length("token")).alias("a"), F.col("ordinal").alias("b"), F.lit(1).alias("turn"))
-    both = exact.unionByName(whole).join(teams, "id").join(known, "record", "left")
+    teams = small(pack.teams.select("id", F.col("league_id").alias("_team_league"), "national"))
+    in_field = F.col("source").isin("category", "path") & F.col("whole")
+    in_text = (F.col("source") == "whole") & (F.length("token") >= 3)
+    found = hits.where(in_field | in_text).select("record", "id", F.when(in_field, -F.col("pos")).otherwise(-F.length("token")).alias("a"), F.col("ordinal").alias("b"), F.when(in_field, 0).otherwise(1).alias("turn"))
+    both = found.join(teams, "id").join(known, "record", "left")
     fits = F.col("_league").isNull() | (F.col("_team_league") == F.col("_league")) | F.col("national")
     return both.where(fits).groupBy("record").agg(F.min(F.struct("turn", "a", "b", "id"))["id"].alias("team_id"))
 
 
 def backfill_league(records: DataFrame, pack: Pack) -> DataFrame:
     """records (record, league_id, team_id) with the league that the team implies where there is none."""
-    teams = F.broadcast(pack.teams.select(F.col("id").alias("team_id"), F.col("league_id").alias("_of"), "national"))
+    teams = small(pack.teams.select(F.col("id").alias("team_id"), F.col("league_id").alias("_of"), "national"))
     default = F.when(F.col("national"), F.lit(pack.national_league)) if pack.national_league else F.lit(None).cast("string")
     return records.join(teams, "team_id", "left").withColumn("league_id", F.coalesce("league_id", "_of", default)).drop("_of", "national")
 
 
-def detect_facets(records: DataFrame, pack: Pack) -> DataFrame:
+def detect_facets(records: DataFrame, pack: Pack, hits: DataFrame | None = None) -> DataFrame:
     """record, facets (ids by sort order): all whose alias is contained, and the base facet that some of them imply."""
-    text = records.select("record", F.concat_ws(" ", "name", "category", F.array_join("path", " ")).alias("text"))
-    found = match_aliases(text, pack, "facet").select("record", "id").distinct()
+    hits = alias_hits(records, pack) if hits is None else hits
+    found = hits.where("kind = 'facet' and field = 'whole'").select("record", "id").distinct()
     if pack.base_facet:
         found = found.unionByName(found.where(F.col("id").isin(*pack.implies)).select("record", F.lit(pack.base_facet).alias("id"))).distinct()
-    ordered = found.join(F.broadcast(pack.facets.select("id", "sort_order")), "id")
+    ordered = found.join(small(pack.facets.select("id", "sort_order")), "id")
     return ordered.groupBy("record").agg(F.transform(F.array_sort(F.collect_list(F.struct("sort_order", "id"))), lambda f: f["id"]).alias("facets"))
 
 
-def base_status(df: DataFrame) -> DataFrame:
+def base_status(df: DataFrame, not_navigation: tuple[str, ...] = ()) -> DataFrame:
     """df (team_id, league_id, facets, category) with signals, status and confidence."""
-    navigable = is_navigation_category(F.col("category"))
+    navigable = is_navigation_category(F.col("category"), not_navigation)
     signals = F.col("team_id").isNotNull().cast("int") + F.col("league_id").isNotNull().cast("int") + (F.coalesce(F.size("facets"), F.lit(0)) > 0).cast("int") + navigable.cast("int")
     out = df.withColumn("signals", signals)
     return out.withColumn("status", F.when(F.col("signals") >= 2, "automatic").when(F.col("signals") == 1, "needs_review").otherwise("unknown")).withColumn("confidence", base_confidence(F.col("signals"), F.col("team_id").isNotNull()))
@@ -148,11 +167,8 @@ def build_evidence(products: DataFrame, most_path: int = 32, most_text: int = 50
     return products.select("record", F.substring(name, 1, most_text).alias("name"), F.substring(category, 1, most_text).alias("category"), F.slice(path, 1, most_path).alias("path"), code.alias("code"))
 
 
-def evidence_fields(evidence: DataFrame) -> DataFrame:
-    """record, source, field, text: one row a field; path elements are path[0], path[1], ..."""
-    path = F.transform("path", lambda p, i: F.struct(F.concat(F.lit("path["), i.cast("string"), F.lit("]")).alias("field"), F.lit("path").alias("source"), p.alias("text")))
-    fixed = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(f).alias("source"), F.col(c).alias("text")) for f, c in (("title", "name"), ("category", "category"))])
-    return evidence.select("record", F.explode(F.concat(fixed, path)).alias("f")).select("record", "f.*")
+#: The fields that evidence is drawn from.
+SOURCES = ("title", "category", "path")
 
 
 def suppress_shorter(matches: DataFrame, keys: tuple[str, ...] = ("record", "field", "kind")) -> DataFrame:
@@ -165,9 +181,10 @@ def suppress_shorter(matches: DataFrame, keys: tuple[str, ...] = ("record", "fie
     return matches.join(of, list(keys)).where(~longer).drop("_all")
 
 
-def evidence_candidates(evidence: DataFrame, pack: Pack) -> DataFrame:
+def evidence_candidates(evidence: DataFrame, pack: Pack, hits: DataFrame | None = None) -> DataFrame:
     """record, kind, id, score, sources of all aliases in the evidence; generic league aliases count only as whole fields."""
-    found = match_aliases(evidence_fields(evidence), pack).where((F.col("kind") != "team") | (F.length("token") >= 3))
+    hits = alias_hits(evidence, pack) if hits is None else hits
+    found = hits.where(F.col("source").isin(*SOURCES)).where((F.col("kind") != "team") | (F.length("token") >= 3))
     if pack.generic:
         found = found.where((F.col("kind") != "league") | ~F.col("token").isin(*pack.generic) | F.col("whole"))
     weight = F.lit(0.0)
@@ -179,7 +196,7 @@ def evidence_candidates(evidence: DataFrame, pack: Pack) -> DataFrame:
 
 def pick_season(evidence: DataFrame) -> DataFrame:
     """record, label, confidence, rank of all seasons in the evidence; evidence may have a column season (attribute)."""
-    fields = evidence_fields(evidence)
+    fields = record_fields(evidence).where(F.col("source").isin(*SOURCES)).select("record", "field", "source", "text")
     if "season" in evidence.columns:
         fields = fields.unionByName(evidence.select("record", F.lit("season").alias("field"), F.lit("attribute").alias("source"), F.col("season").alias("text")))
     weight = F.lit(0.0)
@@ -191,11 +208,11 @@ def pick_season(evidence: DataFrame) -> DataFrame:
 
 def find_conflicts(candidates: DataFrame, seasons: DataFrame, pack: Pack) -> DataFrame:
     """record, field, ids (sorted): fields with several strong candidates."""
-    team_leagues = F.broadcast(pack.teams.select("id", F.col("league_id").alias("of")))
+    team_leagues = small(pack.teams.select("id", F.col("league_id").alias("of")))
     strong = candidates.where("score >= 0.9")
     teams = strong.where("kind = 'team'")
     leagues = strong.where("kind = 'league'").select("record", "id").unionByName(teams.join(team_leagues, "id").where("of is not null").select("record", F.col("of").alias("id")))
-    versions = candidates.where("kind = 'facet'").join(F.broadcast(pack.facets.where("facet_type = 'version'").select("id")), "id")
+    versions = candidates.where("kind = 'facet'").join(small(pack.facets.where("facet_type = 'version'").select("id")), "id")
     parts = (("team", teams.select("record", "id")), ("league", leagues), ("season", seasons.where("confidence >= 0.88").select("record", F.col("label").alias("id"))), ("version", versions.select("record", "id")))
     out = None
     for name, df in parts:
@@ -260,7 +277,7 @@ def apply_overrides(classified: DataFrame, overrides: DataFrame, pack: Pack) ->
     their conflict; other conflicts keep the review. Ids unknown to the pack are rejected: the row keeps its automatic
     values and override_error says so. The automatic values stay in automatic_*.
     """
-    teams = F.broadcast(pack.teams.select(F.col("id").alias("_new_team"), F.col("league_id").alias("_of")))
+    teams = small(pack.teams.select(F.col("id").alias("_new_team"), F.col("league_id").alias("_of")))
     value = lambda k: F.get_json_object("json", f"$.{k}")
     rows = classified.join(overrides, "record", "left").withColumn("_has_team", json_has(F.col("json"), "teamId")).withColumn("_has_league", json_has(F.col("json"), "leagueId"))
     rows = rows.withColumn("_new_team", F.when(F.col("_has_team"), value("teamId"))).join(teams.withColumn("_known", F.lit(True)), "_new_team", "left")
@@ -289,12 +306,23 @@ def intelligence_state(df: DataFrame, fields: list[str], version: str) -> DataFr
     return df.select("record", overall.alias("knowledge_state"), F.size("conflicts").alias("conflict_count"), ((F.col("status") == "needs_review") | (F.size("conflicts") > 0)).alias("review_required"), (F.size(listed) > 0).alias("research_required"), listed.alias("reasons"), F.to_json(body).alias("state_json"))
 
 
-def classify_base(products: DataFrame, pack: Pack) -> DataFrame:
+#: Bytes of a state's JSON at most (fixed value).
+STATE_BYTES = 64 * 1024
+
+
+def state_columns(state: DataFrame, most: int = STATE_BYTES) -> DataFrame:
+    """state (of intelligence_state) with state_bytes and state_error; a JSON of more bytes is no valid state and is left out."""
+    size = F.octet_length("state_json")
+    return state.withColumns({"state_bytes": size, "state_error": F.when(size > most, "state_too_large"), "state_json": F.when(size <= most, F.col("state_json"))})
+
+
+def classify_base(products: DataFrame, pack: Pack, hits: DataFrame | None = None) -> DataFrame:
     """record, league_id, team_id, facets, signals, status, confidence of products (record, name, category, path)."""
-    leagues = detect_league(products, pack)
-    out = products.select("record", "category").join(leagues, "record", "left").join(detect_team(products, leagues, pack), "record", "left")
-    out = backfill_league(out, pack).join(detect_facets(products, pack), "record", "left")
-    return base_status(out).select("record", "league_id", "team_id", F.coalesce("facets", F.array().cast("array<string>")).alias("facets"), "signals", "status", "confidence")
+    hits = alias_hits(products, pack) if hits is None else hits
+    leagues = detect_league(products, pack, hits)
+    out = products.select("record", "category").join(leagues, "record", "left").join(detect_team(products, leagues, pack, hits), "record", "left")
+    out = backfill_league(out, pack).join(detect_facets(products, pack, hits), "record", "left")
+    return base_status(out, pack.not_navigation).select("record", "league_id", "team_id", F.coalesce("facets", F.array().cast("array<string>")).alias("facets"), "signals", "status", "confidence")
 
 
 def stale_products(products: DataFrame, events: DataFrame, state: DataFrame, version: str) -> DataFrame:
@@ -328,3 +356,46 @@ def build_navigation(items: DataFrame, counts: DataFrame, keep_zero: bool = Fals
     return out.where(shown).select("id", "kind", "ref", "sort_order", F.when(F.col("_some"), F.col("total")).otherwise(0).alias("total"))
 
 
+
+
+def conflicts_by_record(evidence: DataFrame, pack: Pack, hits: DataFrame, seasons: DataFrame) -> DataFrame:
+    """record, conflicts (sorted fields) of the records that have any."""
+    found = find_conflicts(evidence_candidates(evidence, pack, hits), seasons, pack)
+    return found.groupBy("record").agg(F.array_sort(F.collect_set("field")).alias("conflicts"))
+
+
+def classify_catalog(t: dict[str, DataFrame], pack: Pack, version: str, key: str) -> dict[str, DataFrame]:
+    """A whole classification run; an empty catalog fails.
+
+    t: products (record, name, category, category_path_ids), categories (id, name), overrides (record, json), leagues
+    (id), teams (id), facets (id). Gives products (record, team_id, league_id, facets, status, confidence, conflicts,
+    override_applied, ...), product_facets (record, facet_id: all of them anew), state (the stored intelligence), leagues,
+    teams and facets with product_count (those without products go), and meta (key, value). All of it is drawn from one
+    stored pass over the texts and one stored table of classified products.
+    """
+    products = t["products"]
+    if products.isEmpty():
+        raise ValueError("the catalog is empty")
+    names = resolve_path(products, "record", "category_path_ids", t["categories"]).withColumnRenamed("path_names", "path")
+    evidence = stored(build_evidence(products.select("record", "name", "category").join(names, "record", "left")), "evidence")
+    hits = alias_hits(evidence, pack)
+    seasons = stored(pick_season(evidence), "seasons")
+    none = F.array().cast("array<string>")
+    rows = classify_base(evidence, pack, hits).join(conflicts_by_record(evidence, pack, hits, seasons), "record", "left")
+    rows = stored(review_status(rows.withColumn("conflicts", F.coalesce("conflicts", none))), "classified")
+    overridden = apply_overrides(rows, t["overrides"].select("record", "json"), pack).join(rows.select("record", "facets"), "record")
+    done = stored(overridden, "overridden")
+    facets = done.select("record", F.explode("facets").alias("facet_id"))
+    best = lambda kind, name: evidence_candidates(evidence, pack, hits).where(F.col("kind") == kind).groupBy("record").agg(F.max("score").alias(name))
+    scored = rows.join(best("team", "team_score"), "record", "left").join(best("league", "league_score"), "record", "left").join(seasons.where("rank = 1").select("record", F.col("confidence").alias("season_score")), "record", "left")
+    state = state_columns(intelligence_state(field_confidence(scored.withColumn("facet_count", F.size("facets"))), ["team", "league", "facet", "season"], version))
+    state = state.join(done.select("record", "override_applied"), "record")
+    counted = lambda dim, facts, column: prune_zero(dim_counts(dim.withColumnRenamed("id", column), facts, column), "product_count").withColumnRenamed(column, "id")
+    n = lambda s: F.count_if(F.col("status") == s)
+    totals = done.agg(n("automatic").alias("classified"), n("needs_review").alias("needsReview"), n("unknown").alias("unknown"), F.count("*").alias("products"))
+    meta = totals.select(F.lit("classification").alias("name"), F.lit(version).alias("version"), F.lit(key).alias("key"), "*")
+    short = totals.select(F.lit("normalization").alias("name"), F.lit(version).alias("version"), F.lit(None).cast("string").alias("key"), "classified", "needsReview", "unknown", F.lit(None).cast("long").alias("products"))
+    return {
+        "products": done, "product_facets": facets, "state": state, "meta": meta_rows(meta.unionByName(short).withColumnRenamed("name", "_name"), "_name"),
+        "leagues": counted(t["leagues"], done, "league_id"), "teams": counted(t["teams"], done, "team_id"), "facets": counted(t["facets"], facets, "facet_id"),
+    }

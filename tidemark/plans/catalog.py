@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.urls import IMAGE_SCORES
-from tidemark.operators import counts, ranking, tables, taxonomy
+from tidemark.operators import counts, ranking, sync, tables, taxonomy
 from tidemark.plans.registry import query
 from tidemark.sources import html_pages, snapshots
 from tidemark.sources.fixtures import Tables
+from tidemark.sources.shared import new_folder
 
 CLOSURE = "closure as (select id, id as ancestor, 0 as distance from tree union all select a.id, b.id, 1 from tree a join tree b on b.id = a.parent_id union all select a.id, c.id, 2 from tree a join tree b on b.id = a.parent_id join tree c on c.id = b.parent_id)"
 DIRECT = "direct as (select id, count(*) as n from members group by id)"
@@ -281,7 +282,8 @@ def page_listing(t: Tables) -> DataFrame:
     return html_pages.extract_listing(t.pages, r"^/(.+)$").select("page_id", "item_id", "title")
 
 
-@query()
+@query(rf"""with a as (select page_id, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*?href="[^"]*"[^>]*>.*?</a>', 0)) as x from pages), b as (select regexp_extract(x, 'href="/([^"]+)"', 1) as id, trim(regexp_replace({DECODE.format("regexp_replace(regexp_extract(x, '(?is)>(.*?)</a>', 1), '<[^>]*>', ' ', 'g')")}, '\s+', ' ', 'g')) as name from a)
+    select id, min(name) as name, cast(null as varchar) as parent_id from b where id <> '' and name <> '' and not regexp_matches(name, '^[0-9]+$') and lower(name) not in ('all categories', 'all') group by id""")
 def page_categories(t: Tables) -> DataFrame:
     return html_pages.extract_categories(t.pages, r"^/(.+)$")
 
@@ -289,3 +291,112 @@ def page_categories(t: Tables) -> DataFrame:
 @query("select league_id, team_id from team_dim union select league_id, league_id from types", ("team_dim", "types"))
 def supported_leagues(t: Tables) -> DataFrame:
     return tables.supported_leagues(t.team_dim.select("team_id", "league_id"), t.types.select(F.col("league_id").alias("team_id"), "league_id"), ["team_id"])
+
+
+# -- listings, projections, sources ---------------------------------------------------------------------------------
+
+
+@query("""select team_id, league_id, product_count, row_number() over (order by product_count desc, team_id) as place from (select d.team_id, d.league_id, count(*) as product_count from team_dim d join part on split_part(p_name, ' ', 2) = d.team_id where p_partkey % 3 = 0 group by 1, 2) where league_id <> 'PROMO'""", ("team_dim",))
+def dim_listing(t: Tables) -> DataFrame:
+    """Teams that have products, without one league, most products first."""
+    facts = t.part.where("p_partkey % 3 = 0").select(F.split("p_name", " ")[1].alias("team_id"))
+    dim = counts.dim_counts(t.team_dim, facts, "team_id").withColumns({"name": F.col("team_id"), "shown": F.col("league_id") != "PROMO"})
+    listed = ranking.order_dim(tables.list_dim(dim, shown=True), "team")
+    return ranking.global_positions(listed.withColumn("_down", -F.col("product_count")), ["_down", "name"], "place").select("team_id", "league_id", "product_count", (F.col("place") + 1).alias("place"))
+
+
+@query("select count(*) as leaks from texts where contains(lower(raw), 'https://')", ("texts",))
+def published_leaks(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame([(tables.leak_gate(t.texts.select("raw"), ["https://"]),)], "leaks long")
+
+
+@query("select * from (select 'observations' as name, count(*) as n from cur_obs union all select 'categories', count(distinct category_id) from cur_obs) union all select 'blocked', 0", ("cur_obs",))
+def staged_run(t: Tables) -> DataFrame:
+    """Counts of what a run stages, and of a blocked one, which stages nothing."""
+    root = new_folder(t.spark, "stage")
+    parts = {"observations": t.cur_obs, "categories": t.cur_obs.select("category_id").distinct()}
+    found = sync.stage_run(root, "r1", parts, "proceed")
+    return t.spark.createDataFrame([*found.items(), ("blocked", len(sync.stage_run(root, "r2", parts, "quarantine")))], "name string, n long")
+
+
+@query("select 'catalog' as scope_id, source_id as public_id from prev_index where status = 'active'", ("prev_index",))
+def migrated_members(t: Tables) -> DataFrame:
+    return sync.migrate_ledger_v1(t.prev_index.select(F.col("source_id").alias("public_id"), "status"), "catalog")
+
+
+@query("""select 'entity_type' as kind, league_id as id, cast(sum(n) as bigint) as total from (select d.team_id, d.league_id, count(*) as n from team_dim d join part on split_part(p_name, ' ', 2) = d.team_id group by 1, 2) group by league_id union all select 'facet', split_part(p_name, ' ', 1), count(*) from part group by 2""", ("team_dim",))
+def navigation_counts(t: Tables) -> DataFrame:
+    teams = counts.dim_counts(t.team_dim, t.part.select(F.split("p_name", " ")[1].alias("team_id")), "team_id")
+    facets = t.part.groupBy(F.split("p_name", " ")[0].alias("facet_id")).agg(F.count("*").alias("product_count"))
+    return counts.navigation_counts(teams.withColumnRenamed("league_id", "entity_type"), facets)
+
+
+@query("select l_orderkey, l_linenumber, s_acctbal > 0 as active from lineitem join supplier on s_suppkey = l_suppkey")
+def matched_media(t: Tables) -> DataFrame:
+    """Every line with its source; a line without one fails the run."""
+    sources = t.media_sources.withColumnRenamed("media_id", "l_suppkey")
+    return tables.require_total_match(t.lineitem.select("l_suppkey", "l_orderkey", "l_linenumber"), sources, ["l_suppkey"]).drop("l_suppkey")
+
+
+@query("""with m as (select distinct event_type as scope_id, user_id as member from events) select distinct member from m where scope_id = 'error' and member not in (select member from m where scope_id <> 'error')""")
+def removable_members(t: Tables) -> DataFrame:
+    members = t.events.select(F.col("event_type").alias("scope_id"), F.col("user_id").alias("member")).distinct()
+    return tables.removable(members.where("scope_id = 'error'").select("member"), members.where("scope_id <> 'error'"), ["member"])
+
+
+@query("select product_id, brand from products", ("products",))
+def public_projection(t: Tables) -> DataFrame:
+    return tables.public_columns(t.products, ["product_id", "brand", "image"])
+
+
+@query("""select k as product_id, case when k % 3 = 0 then 'u' || k || ',v' when k % 3 = 1 then 'r' || k else '' end as urls, case when k % 3 = 0 then 'u' || k || ',v' when k % 3 = 1 then 't' || k else '' end as thumbs from titles""", ("titles",))
+def media_views(t: Tables) -> DataFrame:
+    k = F.col("k").cast("string")
+    kind = F.col("k") % 3
+    rich = F.array(F.struct(F.concat(F.lit("r"), k).alias("url"), F.concat(F.lit("t"), k).alias("thumb"), F.lit("").alias("download")))
+    rows = t.titles.select(F.col("k").alias("product_id"), F.when(kind == 0, F.array(F.concat(F.lit("u"), k), F.lit(""), F.lit("v"))).alias("images"), F.when(kind == 1, rich).alias("media"))
+    return tables.media_view(rows).select("product_id", F.array_join("media.url", ",").alias("urls"), F.array_join("media.thumb", ",").alias("thumbs"))
+
+
+@query("""with f as (select s_nationkey as n, string_agg(s_name || chr(10), '' order by s_suppkey) as content from supplier group by 1), g as (select *, sha256(content) as hash, strlen(content) as bytes from f)
+    select 'file' as kind, 'm_' || substr(hash, 1, 20) as id, bytes from g union all select 'format txt', cast(count(*) as varchar), cast(sum(bytes) as bigint) from g union all select 'unreferenced', cast(count(*) as varchar), cast(sum(bytes) as bigint) from g where n % 2 = 1""")
+def media_files(t: Tables) -> DataFrame:
+    """Files written by Spark, one a nation, read back as media: their ids, formats, and those that nothing refers to."""
+    root = new_folder(t.spark, "media")
+    t.supplier.repartition(1, "s_nationkey").sortWithinPartitions("s_nationkey", "s_suppkey").select("s_nationkey", "s_name").write.partitionBy("s_nationkey").text(root)
+    files = snapshots.read_media(t.spark, root).where("format = 'txt'")
+    referenced = files.where(F.regexp_extract("path", r"s_nationkey=(\d+)", 1).cast("int") % 2 == 0)
+    out = files.select(F.lit("file").alias("kind"), F.col("media_id").alias("id"), "bytes")
+    out = out.unionByName(counts.media_formats(files).select(F.concat(F.lit("format "), "format").alias("kind"), F.col("total").cast("string").alias("id"), "bytes"))
+    return out.unionByName(snapshots.unreferenced_media(files, referenced).select(F.lit("unreferenced").alias("kind"), F.col("files").cast("string").alias("id"), "bytes"))
+
+
+@query("select 'product' as kind, p_name as id from part where p_partkey % 50 = 0 union all select 'node', n_name from nation union all select 'generated', 'today'")
+def catalog_snapshot(t: Tables) -> DataFrame:
+    """A snapshot document, written by Spark, and read as products, taxonomy and meta."""
+    listed = lambda df, *cols: df.agg(F.collect_list(F.struct(*cols)).alias("x"))
+    products = listed(t.part.where("p_partkey % 50 = 0"), F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name")).withColumnRenamed("x", "products")
+    taxonomy = listed(t.nation, F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name")).withColumnRenamed("x", "taxonomy")
+    root = new_folder(t.spark, "snapshot")
+    products.crossJoin(taxonomy).withColumn("generatedAt", F.lit("today")).write.json(root)  # one row
+    doc = snapshots.read_catalog_snapshot(t.spark, root)
+    out = doc["products"].select(F.lit("product").alias("kind"), F.col("name").alias("id")).unionByName(doc["taxonomy"].select(F.lit("node").alias("kind"), F.col("name").alias("id")))
+    return out.unionByName(doc["meta"].select(F.lit("generated").alias("kind"), F.col("generatedAt").alias("id")))
+
+
+@query("select n_name as name, n_regionkey as region from nation")
+def nested_results(t: Tables) -> DataFrame:
+    """Rows of payloads whose results hold results: nations below regions below one document."""
+    leaf = F.to_json(F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")))
+    wrap = lambda c: F.concat(F.lit('{"results":['), F.array_join(F.collect_list(c), ","), F.lit("]}"))
+    one = t.nation.groupBy("n_regionkey").agg(wrap(leaf).alias("r")).agg(wrap(F.col("r")).alias("payload"))
+    return snapshots.flatten_results(one).select(F.get_json_object("value", "$.name").alias("name"), F.get_json_object("value", "$.region").cast("long").alias("region"))
+
+
+@query("select n_nationkey as id, 'second' as run from nation where n_regionkey <> 0")
+def published_snapshot(t: Tables) -> DataFrame:
+    """Two snapshots published one after the other; readers see the whole second one."""
+    root, rows = new_folder(t.spark, "published"), t.nation.select(F.col("n_nationkey").alias("id"), "n_regionkey")
+    snapshots.publish_snapshot({"rows": rows.select("id", F.lit("first").alias("run"))}, root, "first")
+    snapshots.publish_snapshot({"rows": rows.where("n_regionkey <> 0").select("id", F.lit("second").alias("run"))}, root, "second")
+    return snapshots.read_published(t.spark, root, "rows")

@@ -10,20 +10,24 @@ from tidemark.operators.counts import exception_metrics
 from tidemark.operators.ranking import top_candidate
 from tidemark.plans.registry import query
 from tidemark.sources.fixtures import Tables
+from tidemark.sources.shared import stored
 
 DIMS = ("titles", "team_dim", "facet_dim", "types")
 #: Words of a title, as rows.
-WORDS = "words as (select k, unnest(string_split(regexp_replace(title, '[^a-z0-9]+', ' ', 'g'), ' ')) as w, title, p_type, p_brand from titles)"
-TEAMS = "team_hits as (select distinct k, t.team_id, t.league_id, t.ordinal from words join team_dim t on t.team_id = w)"
+WORDS = "words as materialized (select k, unnest(string_split(regexp_replace(title, '[^a-z0-9]+', ' ', 'g'), ' ')) as w, title, p_type, p_brand from titles)"
+TEAMS = "team_hits as materialized (select distinct k, t.team_id, t.league_id, t.ordinal from words join team_dim t on t.team_id = w)"
 COLD = "not (facet_id = 'old' and k in (select k from words where w = 'cold'))"  # a shorter token within a longer one doesn't count
-FACETS = "facet_hits as (select distinct k, f.facet_id, f.facet_type, f.ordinal from words join facet_dim f on f.facet_id = w)"
+FACETS = "facet_hits as materialized (select distinct k, f.facet_id, f.facet_type, f.ordinal from words join facet_dim f on f.facet_id = w)"
 
 
 def pack_of(t: Tables) -> C.Pack:
     row = lambda df, kind, c: df.select(F.lit(kind).alias("kind"), F.col(c).alias("id"), F.col(c).alias("alias"), "ordinal", F.lit(0).alias("alias_ordinal"))
     leagues = row(t.types, "league", "league_id").withColumn("alias", F.concat(F.lit("x"), "alias"))
     aliases = leagues.unionByName(row(t.team_dim, "team", "team_id")).unionByName(row(t.facet_dim, "facet", "facet_id"))
-    return C.Pack(aliases, t.team_dim.select(F.col("team_id").alias("id"), "league_id", F.lit(False).alias("national")), t.facet_dim.select(F.col("facet_id").alias("id"), "facet_type", F.col("ordinal").alias("sort_order")), keywords=("24",))
+    teams = t.team_dim.select(F.col("team_id").alias("id"), "league_id", F.lit(False).alias("national"))
+    facets = t.facet_dim.select(F.col("facet_id").alias("id"), "facet_type", F.col("ordinal").alias("sort_order"))
+    # a user's dictionaries are tables; these are derived, so they are stored once
+    return C.Pack(stored(aliases, "aliases"), stored(teams, "teams"), stored(facets, "facets"), keywords=("24",))
 
 
 def records_of(t: Tables) -> DataFrame:
@@ -42,9 +46,13 @@ def alias_matches(t: Tables) -> DataFrame:
 
 @query(f"with {WORDS}, {TEAMS}, best as (select k, team_id from team_hits qualify row_number() over (partition by k order by length(team_id) desc, ordinal) = 1) select t.k as record, d.league_id, b.team_id from titles t left join best b on b.k = t.k left join team_dim d on d.team_id = b.team_id", DIMS)
 def detected_teams(t: Tables) -> DataFrame:
-    records, pack = records_of(t), pack_of(t)
-    leagues = C.detect_league(records, pack)
-    teams = records.select("record").join(leagues, "record", "left").join(C.detect_team(records, leagues, pack), "record", "left")
+    records, pack = stored(records_of(t), "records"), pack_of(t)
+    return _teams(records, pack, C.alias_hits(records, pack))
+
+
+def _teams(records: DataFrame, pack: C.Pack, hits: DataFrame) -> DataFrame:
+    leagues = C.detect_league(records, pack, hits)
+    teams = records.select("record").join(leagues, "record", "left").join(C.detect_team(records, leagues, pack, hits), "record", "left")
     return C.backfill_league(teams, pack).select("record", "league_id", "team_id")
 
 
@@ -80,20 +88,18 @@ def season_pick(t: Tables) -> DataFrame:
     union all select k, 'season', '2024/25,2025/26' from titles where k % 12 = 0
     union all select k, 'version', string_agg(distinct facet_id, ',' order by facet_id) from facet_hits where facet_type = 'version' and {COLD} group by k having count(*) > 1""", DIMS)
 def entity_conflicts(t: Tables) -> DataFrame:
-    return _conflicts(t).withColumn("ids", F.array_join("ids", ","))
-
-
-def _conflicts(t: Tables) -> DataFrame:
-    pack, evidence = pack_of(t), C.build_evidence(records_of(t))
-    return C.find_conflicts(C.evidence_candidates(evidence, pack), C.pick_season(evidence), pack)
+    pack, evidence = pack_of(t), stored(C.build_evidence(records_of(t)), "evidence")
+    found = C.find_conflicts(stored(C.evidence_candidates(evidence, pack), "candidates"), C.pick_season(evidence), pack)
+    return found.withColumn("ids", F.array_join("ids", ","))
 
 
-def _state_input(t: Tables) -> DataFrame:
-    """Records with the conflicts of their fields, and status and confidence of a base run."""
-    by_record = _conflicts(t).groupBy("record").agg(F.array_sort(F.collect_set("field")).alias("conflicts"))
-    base = detected_teams(t).withColumns({"status": F.lit("automatic"), "confidence": F.lit(0.95)})
-    rows = base.join(by_record, "record", "left").withColumn("conflicts", F.coalesce("conflicts", F.array().cast("array<string>")))
-    return C.review_status(rows)
+def _state_input(t: Tables) -> tuple[DataFrame, DataFrame, C.Pack]:
+    """Records with the conflicts of their fields, and status and confidence of a base run; their seasons; the pack."""
+    pack, evidence = pack_of(t), stored(C.build_evidence(records_of(t)), "evidence")
+    hits, seasons = C.alias_hits(evidence, pack), C.pick_season(evidence)
+    base = _teams(evidence, pack, hits).withColumns({"status": F.lit("automatic"), "confidence": F.lit(0.95)})
+    rows = base.join(C.conflicts_by_record(evidence, pack, hits, seasons), "record", "left").withColumn("conflicts", F.coalesce("conflicts", F.array().cast("array<string>")))
+    return C.review_status(rows), seasons, pack
 
 
 CONFLICTS = f"""{WORDS}, {TEAMS}, {FACETS}, found as (select k, 'team' as field from team_hits group by k having count(*) > 1 union all select k, 'league' from team_hits group by k having count(distinct league_id) > 1
@@ -106,16 +112,18 @@ CONFLICTS = f"""{WORDS}, {TEAMS}, {FACETS}, found as (select k, 'team' as field
     select k as record, case when json is null then team_id when clears then null else 'bolt' end as team_id, case when json is null or clears then r.league_id else (select d.league_id from team_dim d where d.team_id = 'bolt') end as league_id, rest as conflicts,
     case when json is not null and rest = 0 then 'automatic' when n > 0 then 'needs_review' else 'automatic' end as status, case when json is not null and rest = 0 then 1.0 when rest > 0 or n > 0 then 0.5 else 0.95 end as confidence, json is not null as override_applied from r""", (*DIMS, "overrides"))
 def overrides_applied(t: Tables) -> DataFrame:
-    out = C.apply_overrides(_state_input(t), t.overrides.withColumnRenamed("k", "record"), pack_of(t))
+    rows, _, pack = _state_input(t)
+    out = C.apply_overrides(rows, t.overrides.withColumnRenamed("k", "record"), pack)
     return out.select("record", "team_id", "league_id", F.size("conflicts").cast("long").alias("conflicts"), "status", "confidence", "override_applied")
 
 
 @query(f"""with {CONFLICTS}, x as (select k, n, nt, ns, team_id is not null as has, k % 4 = 0 and ns = 0 as season from st)
     select k as record, case when n > 0 then 'CONFLICT' else 'VERIFIED' end as knowledge_state, n as conflict_count, n > 0 as review_required, case when nt > 0 then 'CONFLICT' when has then 'VERIFIED' else 'UNKNOWN' end as team_state, n > 0 or not has or not season as research_required from x""", (*DIMS, "overrides"))
 def intelligence_states(t: Tables) -> DataFrame:
-    season = C.pick_season(C.build_evidence(records_of(t))).where("rank = 1").select("record", F.col("confidence").alias("season_score"))
-    rows = _state_input(t).join(season, "record", "left").withColumns({"team_score": F.when(F.col("team_id").isNotNull(), 0.96), "league_score": F.lit(None).cast("double"), "facet_count": F.lit(1)})
-    state = C.intelligence_state(C.field_confidence(rows), ["team", "season"], "v1")
+    rows, seasons, _ = _state_input(t)
+    season = seasons.where("rank = 1").select("record", F.col("confidence").alias("season_score"))
+    rows = rows.join(season, "record", "left").withColumns({"team_score": F.when(F.col("team_id").isNotNull(), 0.96), "league_score": F.lit(None).cast("double"), "facet_count": F.lit(1)})
+    state = C.state_columns(C.intelligence_state(C.field_confidence(rows), ["team", "season"], "v1"))
     return state.select("record", "knowledge_state", F.col("conflict_count").cast("long").alias("conflict_count"), "review_required", F.get_json_object("state_json", "$.claims.team").alias("team_state"), "research_required")
 
 
@@ -174,3 +182,25 @@ def stale_products(t: Tables) -> DataFrame:
 def claims(t: Tables) -> DataFrame:
     rows = t.titles.select(F.col("k").alias("record"), F.split("p_name", " ")[1].alias("team_id"), F.lit(0.96).alias("team_confidence"))
     return C.build_claims(rows, ["team"]).select("record", F.col("claims")["team"]["value"].alias("team"))
+
+
+@query(f"""with {WORDS}, {TEAMS}, {FACETS}, own as (select k, league_id from team_hits union select k, p_type from titles), found as (select k, 'team' as field from team_hits group by k having count(*) > 1 union all select k, 'league' from own group by k having count(*) > 1
+    union all select k, 'season' from titles where k % 12 = 0 union all select k, 'version' from facet_hits where facet_type = 'version' and {COLD} group by k having count(*) > 1),
+    best as (select h.k, h.team_id from team_hits h join titles t on t.k = h.k where h.league_id = t.p_type qualify row_number() over (partition by h.k order by length(h.team_id) desc, h.ordinal) = 1),
+    st as (select t.k, t.p_type, b.team_id, count(f.field) as n, count(*) filter (where f.field = 'team') as nt, count(*) filter (where f.field = 'league') as nl from titles t left join best b on b.k = t.k left join found f on f.k = t.k group by 1, 2, 3),
+    r as (select st.*, json, case when json is null then n when st.k % 3 = 0 then n - nt else n - nt - nl end as rest from st left join overrides o on o.k = st.k),
+    e as (select k, case when json is null then team_id when k % 3 = 0 then null else 'bolt' end as team_id, case when json is null or k % 3 = 0 then p_type else (select d.league_id from team_dim d where d.team_id = 'bolt') end as league_id, case when json is not null and rest = 0 then 'automatic' when n > 0 then 'needs_review' else 'automatic' end as status from r)
+    select 'status' as kind, status as id, count(*) as n from e group by status union all select 'team', team_id, count(*) from e where team_id is not null group by team_id union all select 'league', league_id, count(*) from e group by league_id union all select 'facet', facet_id, count(*) from facet_hits group by facet_id""", (*DIMS, "overrides"))
+def classified_catalog(t: Tables) -> DataFrame:
+    """Counts of a whole classification run: statuses as its meta row has them, and the dimensions it keeps."""
+    path = F.array(F.concat(F.lit("x"), "p_type"), "p_brand")
+    products = t.titles.select(F.col("k").alias("record"), F.col("title").alias("name"), F.concat(F.lit("x"), "p_type").alias("category"), path.alias("category_path_ids"))
+    categories = t.titles.select(F.explode(path).alias("id")).distinct().withColumn("name", F.col("id"))
+    pack = pack_of(t)
+    dims = {"leagues": t.types.select(F.col("league_id").alias("id")), "teams": pack.teams.select("id"), "facets": pack.facets.select("id")}
+    out = C.classify_catalog({"products": products, "categories": categories, "overrides": t.overrides.withColumnRenamed("k", "record"), **dims}, pack, "v1", "key")
+    total = lambda name, field: F.struct(F.lit(name).alias("id"), F.get_json_object("value", f"$.{field}").cast("long").alias("n"))
+    meta = out["meta"].where("key = 'classification'").select(F.explode(F.array(total("automatic", "classified"), total("needs_review", "needsReview"), total("unknown", "unknown"))).alias("c")).select(F.lit("status").alias("kind"), "c.*").where("n > 0")
+    for kind in ("team", "league", "facet"):
+        meta = meta.unionByName(out[f"{kind}s"].select(F.lit(kind).alias("kind"), "id", F.col("product_count").alias("n")))
+    return meta

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import sync, tables
+from tidemark.operators.counts import apply_counters as apply_counts
 from tidemark.operators.ranking import latest_per_key, next_miss_count
 from tidemark.plans.registry import query
 from tidemark.sources.fixtures import Tables
@@ -191,6 +192,19 @@ def apply_delta(t: Tables) -> DataFrame:
     return _applied(t).select("source_id", "outcome", "name", "category_id", "alive")
 
 
+OUTCOMES = ("kept", "created", "updated", "moved", "removed", "not_product", "deferred", "retry", "ignored")
+
+
+@query(f"""with {DELTA}, d as (select source_id, case when k % 29 = 0 then 'information' else 'product' end as kind, case when k % 31 = 0 then '' else 'detail ' || k end as name, cast(k % 5 as integer) as images from cur_obs where k % 37 <> 0),
+    e as (select v.source_id, v.type, c.category_id from events_of v left join cur_obs c on c.source_id = v.source_id), p as (select source_id, 'name ' || k as name, category_id, 1 as images from prev_index),
+    j as (select coalesce(p.source_id, e.source_id) as source_id, p.source_id is not null as had, p.name as pname, p.category_id as pcat, e.type, e.category_id as ecat, d.source_id is not null as detail, d.kind, d.name as dname, d.images as dimages from p full join e on e.source_id = p.source_id left join d on d.source_id = e.source_id),
+    o as (select *, case when type is null then 'kept' when type = 'REMOVED' then case when had then 'removed' else 'ignored' end when type = 'MISSING' then 'kept' when type = 'MOVED' then case when had then 'moved' else 'ignored' end
+      when not detail then 'retry' when kind <> 'product' then 'not_product' when dname = '' or dimages = 0 then 'deferred' when not had then 'created' else 'updated' end as outcome from j)
+    select {', '.join(f"count(*) filter (where outcome = '{o}') as {o}" for o in OUTCOMES)} from o""", BOTH)
+def apply_counters(t: Tables) -> DataFrame:
+    return apply_counts(_applied(t), [*OUTCOMES])
+
+
 def _applied(t: Tables) -> DataFrame:
     k = F.col("k")
     s = k.cast("string")

@@ -53,7 +53,7 @@ def with_tables(*names: str) -> str:
 
     for n in names:
         add(n)
-    return "with " + ", ".join(f"{n} as ({CTES[n]})" for n in sorted(need, key=[*CTES].index)) + " "
+    return "with " + ", ".join(f"{n} as materialized ({CTES[n]})" for n in sorted(need, key=[*CTES].index)) + " "
 
 
 class Tables:
