@@ -93,7 +93,9 @@ def test_thresholds_sum_up():
         assert sum(t + 1 for t in plan.thresholds) == 3 and sorted(b for p in plan.parts for b in p) == [*range(64)]
 
 
-def test_near_copies(spark):
+@pytest.mark.parametrize("most", [simhash.BROADCAST, 0])
+def test_near_copies(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "BROADCAST", most)
     base = [prose(200, s) for s in range(12)]
     rows = [(i, t, "c") for i, t in enumerate(base)] + [(100 + i, re.sub("[a-z]", lambda m: m[0].upper(), t.replace(" ", " zz ", 1)), "c") for i, t in enumerate(base[:6])] + [(None, base[0], "c"), (3, base[3], "c"), (900, None, "c"), (901, "", "c")]
     got = sorted(r["doc_id"] for r in simhash.near_copies(spark.createDataFrame(rows, SCHEMA)).collect())

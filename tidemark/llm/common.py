@@ -14,12 +14,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-#: Rows of an Arrow batch. Texts are long, and a batch is held in memory several times over on its way to Python.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch. Texts are long, and a batch is held in memory several times over on its way to Python.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hold the session's Arrow batches to BATCH_ROWS rows at most."""
+    """Hold the session's Arrow batches to BATCH_ROWS rows at most, and to about BATCH_BYTES."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))

@@ -264,7 +264,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, tau: int = 2) -> DataFrame:
 #: leaves 0.96 of the words).
 LONGS, PARTS, DIFFERING = 4, 12, 0.17
 #: Words of which a task remembers the hash.
-MEMO = 300_000
+MEMO = 50_000
 
 
 class WordHashes(dict):
@@ -364,7 +364,7 @@ def candidate_links(fps: DataFrame, plan: Plan, longs: int, most: int) -> DataFr
 COMMON, MOST_COMMON, SAMPLED = 2, 400_000, 5_000
 #: Texts of a shingle that one task pairs with all others of it.
 SALT = 256
-#: Tables of one long a row are broadcast up to so many rows.
+#: Tables of one or two longs a row are broadcast up to so many rows.
 BROADCAST = 2_000_000
 
 
@@ -547,5 +547,21 @@ def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFra
     named = named.select("id", "own", F.when(apart, F.col("h")).otherwise(F.coalesce("root", "h")).alias("root"), F.when(apart, F.col("h2")).alias("of"))
     first = F.min(F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("own").alias("own")))
     stay = stored(named.groupBy("root", "of").agg(first.alias("s")).select(F.col("s.id").alias("stay_id"), F.col("s.own").alias("stay_own")), "stay")
-    kept = keyed.select("row", "id", "own").join(stay, F.col("id").eqNullSafe(F.col("stay_id")) & (F.col("own") == F.col("stay_own")))
-    return kept.dropDuplicates(["stay_id", "stay_own"]).select("row.*")
+    return _of_pairs(keyed.select("row", "id", "own"), rows, stay).select("row.*")
+
+
+def _of_pairs(keyed: DataFrame, rows: DataFrame, stay: DataFrame) -> DataFrame:
+    """One row of keyed (row, id, own) for each pair of stay (stay_id, stay_own); rows has the pairs of all rows.
+
+    Where few pairs go and few repeat, these are broadcast and no text is shuffled.
+    """
+    same = lambda other: keyed["id"].eqNullSafe(other["of_id"]) & (keyed["own"] == other["of_own"])
+    pairs = rows.groupBy(F.col("id").alias("of_id"), F.col("own").alias("of_own")).agg(F.count("*").alias("n"))
+    both = pairs.join(stay, F.col("of_id").eqNullSafe(F.col("stay_id")) & (F.col("of_own") == F.col("stay_own")), "left")
+    odd = stored(both.select("of_id", "of_own", F.col("stay_own").isNull().alias("goes"), (F.col("n") > 1).alias("repeats")).where("goes or repeats"), "odd-pairs")
+    if odd.count() <= BROADCAST:
+        few = F.broadcast(odd)
+        twice = F.broadcast(odd.where("not goes").select("of_id", "of_own"))
+        return keyed.join(few, same(few), "left_anti").unionByName(keyed.join(twice, same(twice)).dropDuplicates(["id", "own"]).select("row", "id", "own"))
+    kept = keyed.join(stay, F.col("id").eqNullSafe(F.col("stay_id")) & (F.col("own") == F.col("stay_own")))
+    return kept.dropDuplicates(["stay_id", "stay_own"]).select("row", "id", "own")
