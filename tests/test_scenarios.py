@@ -121,7 +121,7 @@ def test_html_jobs(spark):
     item = html_pages.extract_listing(pages, r"/albums/(\d+)").collect()
     assert [(r["item_id"], r["item_url"], r["title"], r["cover"], r["image_count"], r["signal"]) for r in item] == [("7", "https://h.test/albums/7", "T", "https://c.test/1.jpg", 12, "s1")]
     assert [tuple(r) for r in html_pages.extract_categories(pages, embedded=r"(?s)categoryData: (\[.*?\]), settings").collect()] == [("3", "Embedded", None)]
-    detail = {r["page_id"]: r for r in html_pages.extract_details(pages).collect()}
+    detail = {r["page_id"]: r for r in html_pages.extract_details(pages, trailers=(r" \| album .*$",)).collect()}
     assert detail[1]["name"] == "A ring" and detail[1]["images"] == ["https://p.test/s/1/x.jpg"] and detail[2]["images"] == []
 
 

@@ -21,7 +21,7 @@ def fold_text(t: Tables) -> DataFrame:
 
 @query(f"select k, {CLEAN.format('title')} as cleaned, substr({CLEAN.format('title')}, 1, 240) as title from titles", ("titles",))
 def clean_titles(t: Tables) -> DataFrame:
-    return t.titles.select("k", text.clean_ws(F.col("title")).alias("cleaned"), text.clean_title(F.concat("title", F.lit(" | album | shop x"))).alias("title"))
+    return t.titles.select("k", text.clean_ws(F.col("title")).alias("cleaned"), text.clean_title(F.concat("title", F.lit(" | album | shop x")), trailers=(r" \| album .*$",)).alias("title"))
 
 
 @query(r"""with c as (select doc_id, trim(regexp_replace(raw, '[\s\x{00A0}]+', ' ', 'g')) as a from texts),
