@@ -46,7 +46,10 @@ class Policy:
 
 
 def decide_safety(scans: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """For each row of scans (scope, complete, failures, observed, known): outcome, reason and what the run may do."""
+    """For each row of scans (scope, complete, failures, observed, known): outcome, reason and what the run may do.
+
+    The names of reasons and outcomes are fixed values.
+    """
     drop = F.greatest(F.col("known") - F.col("observed"), F.lit(0))
     ratio = F.when(F.col("known") > 0, F.least(F.lit(1.0), F.col("observed") / F.col("known")))
     reason = (
