@@ -438,13 +438,29 @@ def _may_reach(similarity: float, a: str, b: str) -> Column:
     return most >= least
 
 
+def _likely(pairs: DataFrame, similarity: float) -> DataFrame:
+    """Of rows (h_x, n_x, h_y, n_y), one a shared shingle, the pairs (a, b) with so many of them that the similarity is possible.
+
+    One of two similar texts has all its shared shingles up to the end of its prefix in the other's prefix.
+    """
+    first = F.col("h_x") < F.col("h_y")
+    sides = [F.least("h_x", "h_y").alias("a"), F.greatest("h_x", "h_y").alias("b"), F.when(first, F.col("n_x")).otherwise(F.col("n_y")).alias("n_a"), F.when(first, F.col("n_y")).otherwise(F.col("n_x")).alias("n_b")]
+    found = pairs.select(*sides).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
+    rest = lambda c: F.ceil(F.lit(similarity) * F.col(c) - 1e-9) - 1
+    least = F.lit(similarity / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) - 1e-6
+    return found.where(F.col("shared") + F.greatest(rest("n_a"), rest("n_b")) >= least).select("a", "b")
+
+
 def prefix_stars(shared: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b): each text of a prefix shingle with two centres of it. A group of copies shares its centres, so this is in proportion to the rows."""
-    row = F.struct("h", "n", "at")
-    centres = shared.groupBy("key").agg(*[F.min(F.struct(F.xxhash64("h", F.lit(i)).alias("o"), row.alias("v")))["v"].alias(f"c{i}") for i in range(2)])
-    met = shared.join(stored(centres, "centres"), "key").select(F.col("h").alias("h_x"), F.col("n").alias("n_x"), F.col("at").alias("at_x"), F.explode(F.array("c0", "c1")).alias("c"))
-    met = met.select("*", F.col("c.h").alias("h_y"), F.col("c.n").alias("n_y"), F.col("c.at").alias("at_y")).where("h_x != h_y").where(_may_reach(similarity, "x", "y"))
-    return met.select(F.least("h_x", "h_y").alias("a"), F.greatest("h_x", "h_y").alias("b")).distinct()
+    """Pairs (a, b) of texts of prefix shingles with the shingles' centres, if these are so many that they can be similar.
+
+    The centre is the smallest text by a hash, so a group of copies has the same one in most of its shingles. The rows are
+    in proportion to the texts; what this leaves apart, prefix_pairs finds.
+    """
+    centre = F.min(F.struct(F.xxhash64("h", F.lit(0)).alias("o"), F.struct("h", "n", "at").alias("v")))["v"].alias("c")
+    centres = stored(shared.groupBy("key").agg(centre), "centres")
+    met = shared.join(centres, "key").select(F.col("h").alias("h_x"), F.col("n").alias("n_x"), F.col("at").alias("at_x"), F.col("c.h").alias("h_y"), F.col("c.n").alias("n_y"), F.col("c.at").alias("at_y"))
+    return _likely(met.where("h_x != h_y").where(_may_reach(similarity, "x", "y")), similarity)
 
 
 def prefix_pairs(shared: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
@@ -466,13 +482,7 @@ def prefix_pairs(shared: DataFrame, roots: DataFrame, similarity: float) -> Data
     y = met.select("key", "main", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *named("y"))
     once = (F.col("root_y") == F.col("main")) | (F.col("h_x") < F.col("h_y"))
     pairs = x.join(y, ["key", "salt"]).where((F.col("root_x") != F.col("root_y")) & once & _may_reach(similarity, "x", "y"))
-    first = F.col("h_x") < F.col("h_y")
-    sides = [F.least("h_x", "h_y").alias("a"), F.greatest("h_x", "h_y").alias("b"), F.when(first, F.col("n_x")).otherwise(F.col("n_y")).alias("n_a"), F.when(first, F.col("n_y")).otherwise(F.col("n_x")).alias("n_b")]
-    found = pairs.select(*sides).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
-    # one of the two has all its shared shingles up to the end of its prefix in the other's prefix
-    rest = lambda c: F.ceil(F.lit(similarity) * F.col(c) - 1e-9) - 1
-    least = F.lit(similarity / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) - 1e-6
-    return found.where(F.col("shared") + F.greatest(rest("n_a"), rest("n_b")) >= least).select("a", "b")
+    return _likely(pairs, similarity)
 
 
 def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -492,7 +502,7 @@ def _sent(df: DataFrame) -> DataFrame:
 def near_groups(texts: DataFrame, fps: DataFrame, k: int, similarity: float) -> DataFrame:
     """(node, root) of the texts (h, text) that are near copies of another; fps has h and fp of each different text.
 
-    Candidates come from SimHash buckets and from the stars of prefix shingles; then all pairs between the groups found
+    Candidates come from SimHash buckets and from stars of prefix shingles; then all pairs between the groups found
     so far that the prefix filter can't rule out. Each link is verified on the shingles.
     """
     n, both = co_occurrence(fps, LONGS)
@@ -502,18 +512,25 @@ def near_groups(texts: DataFrame, fps: DataFrame, k: int, similarity: float) ->
     shared = stored(keys.join(_sent(stored(several, "several")), "key", "left_semi").distinct(), "shared")
     forget(keys)
     edges = stored(near.unionByName(prefix_stars(shared, similarity)).distinct(), "edges")
-    ends = stored(edges.select(F.explode(F.array("a", "b")).alias("of")).unionByName(shared.select(F.col("h").alias("of"))).distinct(), "ends")
-    named = texts.join(_sent(ends), F.col("h") == F.col("of"), "left_semi")
-    sets = stored(shingle_sets(named.groupBy("h").agg(F.first("text").alias("text")), k), "shingles")
     # texts without words are one group
     bare = fps.where(F.col("empty")).select("h")
     bare = bare.crossJoin(F.broadcast(bare.agg(F.min("h").alias("b")))).select(F.col("h").alias("a"), "b").where("a != b")
-    links = cut(verified(edges, sets, similarity).unionByName(bare))
+    links = cut(verified(edges, _sets_of(edges, texts, k), similarity).unionByName(bare))
     roots = components(links)
-    more = cut(verified(stored(prefix_pairs(shared, roots, similarity), "others"), sets, similarity))
+    others = stored(prefix_pairs(shared, roots, similarity), "others")
+    if others.isEmpty():
+        return roots
+    more = cut(verified(others, _sets_of(others, texts, k), similarity))
     return roots if more.isEmpty() else components(links.unionByName(more))
 
 
+def _sets_of(edges: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """h, shingles of the texts (h, text) that edges name."""
+    ends = stored(edges.select(F.explode(F.array("a", "b")).alias("of")).distinct(), "ends")
+    named = texts.join(_sent(ends), F.col("h") == F.col("of"), "left_semi")
+    return stored(shingle_sets(named.groupBy("h").agg(F.first("text").alias("text")), k), "shingles")
+
+
 def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of near copies: all its columns, the row with the smallest doc_id.
 
