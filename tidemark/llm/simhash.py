@@ -334,7 +334,8 @@ def bucket_keys(fps: DataFrame, plan: Plan) -> DataFrame:
 
 
 def candidate_links(fps: DataFrame, plan: Plan, longs: int, most: int) -> DataFrame:
-    """Pairs (a, b) of texts (h, fp) that share a bucket and differ in at most ``most`` bits: the closest found of each text.
+    """Pairs (a, b) of texts (h, fp) that share a bucket and differ in at most ``most`` bits: of each text the
+    closest found, and two by a hash, which texts of one group mostly have in common.
 
     Buckets of up to BUCKET texts give all their pairs. Each text of a fuller bucket is paired with its centre (the
     smallest by a hash, the same in buckets of the same texts), so that the number of pairs is in proportion to the
@@ -352,7 +353,8 @@ def candidate_links(fps: DataFrame, plan: Plan, longs: int, most: int) -> DataFr
     x, y = fps.select(F.col("h").alias("a"), F.col("fp").alias("x")), fps.select(F.col("h").alias("b"), F.col("fp").alias("y"))
     near = edges.join(x, "a").join(y, "b").select("a", "b", distance(F.col("x"), F.col("y"), longs).alias("bits")).where(F.col("bits") <= most)
     ways = near.select(F.explode(F.array(F.struct("a", "b", "bits"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "bits"))).alias("e")).select("e.*")
-    best = ways.groupBy("a").agg(F.min(F.struct("bits", "b"))["b"].alias("b"))
+    by = [F.struct("bits", "b"), *[F.struct(F.xxhash64("b", F.lit(i)).alias("o"), "b") for i in range(2)]]
+    best = ways.groupBy("a").agg(F.array(*[F.min(o)["b"] for o in by]).alias("bs")).select("a", F.explode(F.array_distinct("bs")).alias("b"))
     return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -438,29 +440,31 @@ def _may_reach(similarity: float, a: str, b: str) -> Column:
     return most >= least
 
 
-def _likely(pairs: DataFrame, similarity: float) -> DataFrame:
+def _likely(pairs: DataFrame, similarity: float, share: float = 1.0) -> DataFrame:
     """Of rows (h_x, n_x, h_y, n_y), one a shared shingle, the pairs (a, b) with so many of them that the similarity is possible.
 
-    One of two similar texts has all its shared shingles up to the end of its prefix in the other's prefix.
+    One of two similar texts has all its shared shingles up to the end of its prefix in the other's prefix. share: of the
+    number needed, for rows that don't have all shared shingles.
     """
     first = F.col("h_x") < F.col("h_y")
     sides = [F.least("h_x", "h_y").alias("a"), F.greatest("h_x", "h_y").alias("b"), F.when(first, F.col("n_x")).otherwise(F.col("n_y")).alias("n_a"), F.when(first, F.col("n_y")).otherwise(F.col("n_x")).alias("n_b")]
     found = pairs.select(*sides).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
     rest = lambda c: F.ceil(F.lit(similarity) * F.col(c) - 1e-9) - 1
     least = F.lit(similarity / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) - 1e-6
-    return found.where(F.col("shared") + F.greatest(rest("n_a"), rest("n_b")) >= least).select("a", "b")
+    return found.where(F.col("shared") >= F.lit(share) * (least - F.greatest(rest("n_a"), rest("n_b")))).select("a", "b")
 
 
 def prefix_stars(shared: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of texts of prefix shingles with the shingles' centres, if these are so many that they can be similar.
+    """Pairs (a, b) of texts of prefix shingles with two centres of each, if they meet in a third of the shingles they need.
 
-    The centre is the smallest text by a hash, so a group of copies has the same one in most of its shingles. The rows are
-    in proportion to the texts; what this leaves apart, prefix_pairs finds.
+    Centres are the smallest texts by two hashes, so a group of copies has the same ones in most of its shingles. The rows
+    are in proportion to the texts; what this leaves apart, prefix_pairs finds.
     """
-    centre = F.min(F.struct(F.xxhash64("h", F.lit(0)).alias("o"), F.struct("h", "n", "at").alias("v")))["v"].alias("c")
-    centres = stored(shared.groupBy("key").agg(centre), "centres")
-    met = shared.join(centres, "key").select(F.col("h").alias("h_x"), F.col("n").alias("n_x"), F.col("at").alias("at_x"), F.col("c.h").alias("h_y"), F.col("c.n").alias("n_y"), F.col("c.at").alias("at_y"))
-    return _likely(met.where("h_x != h_y").where(_may_reach(similarity, "x", "y")), similarity)
+    row = F.struct("h", "n", "at")
+    centres = shared.groupBy("key").agg(*[F.min(F.struct(F.xxhash64("h", F.lit(i)).alias("o"), row.alias("v")))["v"].alias(f"c{i}") for i in range(2)])
+    met = shared.join(stored(centres, "centres"), "key").select(F.col("h").alias("h_x"), F.col("n").alias("n_x"), F.col("at").alias("at_x"), F.explode(F.array_distinct(F.array("c0", "c1"))).alias("c"))
+    met = met.select("h_x", "n_x", "at_x", F.col("c.h").alias("h_y"), F.col("c.n").alias("n_y"), F.col("c.at").alias("at_y"))
+    return _likely(met.where("h_x != h_y").where(_may_reach(similarity, "x", "y")), similarity, 1 / 3)
 
 
 def prefix_pairs(shared: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
