@@ -7,13 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, decontaminate, quality, suffix_dedup, warc
+from tidemark.llm import chat, decontaminate, exact_dedup, quality, suffix_dedup, warc
 from tidemark.llm.common import scratch, table
 from tidemark.llm.html_extract import extract_text
 from tidemark.llm.packing import pack
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.token_counts import token_counts
 from tidemark.llm.url_filter import judge_urls
+from tidemark.llm.whitening import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,11 +78,21 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(suffix_dedup.without_repeats(table(spark, sf_dir, "documents"), n_words=51))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 32 leading whitened components of all valid embeddings."""
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which row stays for each of all documents; null texts are empty ones."""
+    return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op2_simhash_near_dedup, op3_url_filter, op4_chat_format, op5_html_extract, op6_decontaminate, op7_warc, op8_quality, op9_packing, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op2_simhash_near_dedup, op3_url_filter, op4_chat_format, op5_html_extract, op6_decontaminate, op7_warc, op8_quality, op9_packing, op10_suffix_dedup, op11_whitening, op12_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
     marked = ", ".join(f"({c}, {t}, '{r}', '{x}')" for c, t, r, x in MARKED)
     turns = f"turns as (select conv_id, turn, role, text from conversations union all select * from (values {marked}) v(conv_id, turn, role, text)),"
-    return {"op4_chat_format": chat.SQL.replace("with ", f"with {turns} ", 1), "op6_decontaminate": decontaminate.SQL, "op7_warc": warc.SQL}
+    return {"op4_chat_format": chat.SQL.replace("with ", f"with {turns} ", 1), "op6_decontaminate": decontaminate.SQL, "op7_warc": warc.SQL, "op12_exact_dedup": exact_dedup.SQL}
