@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+import collections
 import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tidemark.llm.hard_negatives import Best, hard_negatives, levels, summaries
 from tidemark.llm.slicing import count_above, leading
 from tidemark.llm.whitening import whiten
 
@@ -75,3 +78,68 @@ def test_whitening_of_large_entries(spark):
     assert got["deviation"].isna().tolist() == [True, True, False]
     with pytest.raises(Exception, match="larger than"):
         whiten(vectors(spark, [(1, [2.0**40]), (2, [1.0])])).collect()
+
+
+@pytest.mark.parametrize("width", [1, 2, 7, 8, 64])
+def test_bounds(width):
+    rng = np.random.default_rng(width)
+    a, b = (rng.integers(-200, 200, (60, width)).astype(float) + 90 * i for i in range(2))
+    a[0] = 0
+    score, before = a @ b.T, None
+    for starts in levels(width):
+        (m, d), (n, e) = summaries(a, starts), summaries(b, starts)
+        low, high = m @ n.T - d @ e.T, m @ n.T + d @ e.T
+        assert (low <= score + 1e-6).all() and (score <= high + 1e-6).all()
+        before = high if before is None else before
+
+
+def test_best():
+    rng = np.random.default_rng(1)
+    best, held = Best(5, 3), collections.defaultdict(dict)
+    for _ in range(20):
+        rows = rng.integers(0, [5, 30, 40], (50, 3))
+        for s, score, i in rows:
+            held[s][i] = max(score, held[s].get(i, -1))
+        ok = rows[:, 1] >= best.least[rows[:, 0]]
+        best.add(*rows[ok].T)
+    expected = [(s, score, i) for s in range(5) for i, score in sorted(held[s].items(), key=lambda x: (-x[1], x[0]))[:3]]
+    assert list(zip(best.slot, best.score, best.id, strict=True)) == expected
+
+
+def brute_force(rows, every):
+    v = [(i, label, [math.floor(256 * float(np.float32(c))) for c in x]) for i, x, label in rows if x is not None and i is not None and label is not None and all(c is not None and math.isfinite(c) for c in x) and len(x) == 8]
+    out = set()
+    anchors = {}
+    for i, label, x in sorted(v):
+        if i % every == 0:
+            anchors.setdefault(i, (label, x))
+    for i, (label, x) in anchors.items():
+        same, other = {}, {}
+        for j, m, y in v:
+            if i != j:
+                s = sum(a * b for a, b in zip(x, y, strict=True))
+                side = same if m == label else other
+                side[j] = max(s, side.get(j, s))
+        for p, ps in sorted(same.items(), key=lambda e: (-e[1], e[0]))[:5]:
+            fit = [(j, s) for j, s in other.items() if 80 * ps <= 100 * s <= 100 * ps]
+            for r, (j, s) in enumerate(sorted(fit, key=lambda e: (-e[1], e[0]))[:5], 1):
+                out.add((i, p, r, j, ps, s))
+    return out
+
+
+@pytest.mark.parametrize("block", [4096, 7])
+def test_hard_negatives(spark, block):
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((6, 8))
+    rows = [(i, (centres[i % 6] + 0.3 * rng.standard_normal(8)).tolist(), int(rng.integers(0, 3))) for i in range(300)]
+    rows += [(300 + i, rows[5][1], i % 2) for i in range(40)] + rows[:20]  # ties and repeated rows
+    rows += [(10, (2 * centres[0]).tolist(), 2), (500, None, 1), (510, [1.0] * 8, None), (None, [1.0] * 8, 1), (520, [float("nan")] * 8, 1), (530, [1.0] * 7 + [None], 1), (540, [1.0], 1), (550, [0.0] * 8, 1)]
+    df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "vec_id long, embedding array<float>, label int, x string, mean string").repartition(5)
+    got = list(map(tuple, hard_negatives(df, F.col("vec_id") % 10 == 0, block=block).collect()))
+    assert len(got) == len(set(got)) and set(got) == brute_force(rows, 10) and len(got) > 300
+
+
+def test_hard_negatives_of_little(spark):
+    schema = "vec_id long, embedding array<float>, label int"
+    for rows in ([], [(1, [1.0], 1)], [(0, [1.0], 1)], [(0, None, 1)], [(0, [], 1)]):
+        assert hard_negatives(spark.createDataFrame(rows, schema), F.col("vec_id") % 10 == 0).count() == 0

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, exact_dedup, quality, suffix_dedup, warc
+from tidemark.llm import chat, decontaminate, exact_dedup, hard_negatives, quality, suffix_dedup, warc
 from tidemark.llm.common import scratch, table
 from tidemark.llm.html_extract import extract_text
 from tidemark.llm.packing import pack
@@ -88,11 +89,17 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of all embeddings whose vec_id is divisible by 100; labels of ids divisible by 7 move on by one."""
+    given = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return hard_negatives.hard_negatives(given, F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op2_simhash_near_dedup, op3_url_filter, op4_chat_format, op5_html_extract, op6_decontaminate, op7_warc, op8_quality, op9_packing, op10_suffix_dedup, op11_whitening, op12_exact_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op2_simhash_near_dedup, op3_url_filter, op4_chat_format, op5_html_extract, op6_decontaminate, op7_warc, op8_quality, op9_packing, op10_suffix_dedup, op11_whitening, op12_exact_dedup, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
     marked = ", ".join(f"({c}, {t}, '{r}', '{x}')" for c, t, r, x in MARKED)
     turns = f"turns as (select conv_id, turn, role, text from conversations union all select * from (values {marked}) v(conv_id, turn, role, text)),"
-    return {"op4_chat_format": chat.SQL.replace("with ", f"with {turns} ", 1), "op6_decontaminate": decontaminate.SQL, "op7_warc": warc.SQL, "op12_exact_dedup": exact_dedup.SQL}
+    return {"op4_chat_format": chat.SQL.replace("with ", f"with {turns} ", 1), "op6_decontaminate": decontaminate.SQL, "op7_warc": warc.SQL, "op12_exact_dedup": exact_dedup.SQL, "op13_hard_negatives": hard_negatives.SQL}
