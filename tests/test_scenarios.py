@@ -9,7 +9,6 @@ from tidemark.functions import scoring, text
 from tidemark.functions.ids import opaque_id
 from tidemark.operators import classify, quality, ranking, sync, tables, taxonomy
 from tidemark.sources import html_pages, snapshots
-from tidemark.streaming import sync as streams
 
 PREV = "source_id string, fingerprint string, category_id string, category_path_ids array<string>, detail_fingerprint string, status string, miss_count int"
 CUR = "source_id string, fingerprint string, category_id string, category_path_ids array<string>"
@@ -150,28 +149,6 @@ def test_media_view_and_gates(spark):
     assert tables.leak_gate(states.withColumn("x", F.lit("HTTP://a")), ["http://"]) == 2
 
 
-def test_sync_stream_replays_and_blocks(spark, tmp_path):
-    schema = f"run_id string, {CUR}"
-    rows = [("r1", str(i), "f", "c", ["c"]) for i in range(300)] + [("r2", "1", "f", "c", ["c"])]
-    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "runs"))
-    for n in range(2):
-        feed = spark.readStream.schema(schema).parquet(str(tmp_path / "runs"))
-        streams.sync_stream(feed, str(tmp_path / "index"), str(tmp_path / f"check{n}")).awaitTermination()
-        assert sorted(p.name for p in (tmp_path / "index").iterdir()) == ["v=r1"]  # r2 lost nearly all rows: quarantined
-
-
-def test_blocked_runs_write_nothing(spark, tmp_path):
-    schema = f"run_id string, {CUR}"
-    row = lambda run, i: (run, str(i), "f", "c", ["c"])
-    rows = [row("r1", i) for i in range(400)] + [row("r2", i) for i in range(10)] + [row("r3", i) for i in range(390)] + [("r4", None, None, None, None)] + [row("r5", i) for i in range(380)]
-    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "runs"))
-    feed = spark.readStream.schema(schema).parquet(str(tmp_path / "runs"))
-    streams.sync_stream(feed, str(tmp_path / "index"), str(tmp_path / "check"), complete=lambda run: run != "r3").awaitTermination()
-    assert streams.promoted_runs(spark, str(tmp_path / "index")) == ["r1", "r5"]  # r2 is a catastrophe, r3 incomplete, r4 empty
-    last = streams.promoted_index(spark, str(tmp_path / "index"))
-    assert last.where("status = 'missing'").count() == 20 and last.first()["version"] == "r5"
-
-
 def test_deeply_nested_results(spark):
     text = '{"a": 7}'
     for _ in range(9):

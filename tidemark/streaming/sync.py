@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.ranking import latest_per_key
 from tidemark.operators.sync import Policy, decide_safety, plan_delta, promote
+from tidemark.streaming.runs import GATHERED, gather_runs
+from tidemark.streaming.stateful import state_store
+
+OBSERVED = "source_id string, fingerprint string, category_id string, category_path_ids array<string>"
 
 
 def dedup_messages(stream: DataFrame, keys: list[str], time: str, watermark: str = "1 hour") -> DataFrame:
@@ -31,7 +30,7 @@ def promoted_runs(spark: SparkSession, index_root: str) -> list[str]:
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(path):
         return []
-    done = [s.getPath() for s in fs.listStatus(path) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    done = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("v=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
     return sorted(p.getName().removeprefix("v=") for p in done)
 
 
@@ -41,76 +40,84 @@ def promoted_index(spark: SparkSession, index_root: str) -> DataFrame:
     return spark.read.parquet(f"{index_root}/v={run}").withColumn("version", F.lit(run))
 
 
-def sync_stream(source: DataFrame, index_root: str, checkpoint: str, complete: Callable[[str], bool] = lambda run: True, policy: Policy = Policy(), threshold: int = 3) -> StreamingQuery:
-    """Compare each run of a stream of observations (run_id, source_id, fingerprint, category_id, category_path_ids) with the
-    last promoted index below index_root (v=<run id>), and write the next one if the run may be trusted.
+STAGED = f"{GATHERED}, batch long"
 
-    A run must come whole within a micro-batch; a row without a source_id only says that the run took place. Runs go in
-    the order of their ids; those not after the promoted one are dropped, so that a replayed batch changes nothing. The
-    safety decision is made once a run, on its counts; a run that it blocks (incomplete, empty, a catastrophic drop)
-    writes nothing and leaves the index as it is.
-    """
 
-    def batch(df: DataFrame, _: int) -> None:
-        spark = df.sparkSession
-        done = promoted_runs(spark, index_root)
-        now = done[-1] if done else None
-        fresh = reject_late_runs(df, now)
-        for (run,) in fresh.select("run_id").distinct().orderBy("run_id").collect():  # a row a run
-            seen = fresh.where((F.col("run_id") == run) & F.col("source_id").isNotNull()).drop("run_id").dropDuplicates(["source_id"])
-            if now is None:
-                prev = seen.limit(0).selectExpr("source_id", "fingerprint", "category_id", "category_path_ids", "cast(null as string) detail_fingerprint", "'active' status", "0 miss_count", "current_timestamp() changed_at")
-            else:
-                prev = spark.read.parquet(f"{index_root}/v={now}")
-            counts = (run, complete(run), 0, seen.count(), prev.where("status <> 'deleted'").count())
-            scan = spark.createDataFrame([counts], "scope string, complete boolean, failures int, observed long, known long")
-            if decide_safety(scan, policy).first()["outcome"] != "proceed":
-                continue
-            promote(prev, seen, plan_delta(prev, seen, threshold), F.current_timestamp()).write.mode("overwrite").parquet(f"{index_root}/v={run}")
-            now = run
+def write_header(spark: SparkSession, root: str, run: str, outcome: str, reason: str | None, observed: int, known: int) -> None:
+    """One row on a run below root/headers, whatever became of it."""
+    row = spark.createDataFrame([(run, outcome, reason, observed, known)], "run_id string, outcome string, reason string, observed long, known long")
+    row.coalesce(1).write.mode("overwrite").parquet(f"{root}/headers/of={run}")
+
 
-    return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_headers(spark: SparkSession, index_root: str) -> DataFrame:
+    """run_id, outcome, reason, observed, known of each run that was decided."""
+    return spark.read.parquet(f"{index_root}/headers").drop("of")
 
 
-MISSES = "source_id string, run_id string, type string, miss_count long"
+def _forget_staged(rows: DataFrame) -> None:
+    """Remove the folders of a run's staged rows."""
+    spark = rows.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in rows.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def miss_counter(stream: DataFrame, threshold: int = 3) -> DataFrame:
-    """Events MISSING, REMOVED and RESTORED of each item of a feed (source_id, run_id, observed), as its runs come.
+def sync_stream(source: DataFrame, index_root: str, checkpoint: str, policy: Policy = Policy(), threshold: int = 3, delay: str = "1 hour", patience_ms: int = 86_400_000, shards: int = 32) -> StreamingQuery:
+    """Compare each run of a stream of observations (run_id, at, source_id, fingerprint, category_id, category_path_ids) with
+    the last promoted index below index_root (v=<run id>), and write the next one if the run may be trusted.
 
-    The feed says of each known item at the end of a run whether it was observed. State: the misses in a row and whether
-    the item is removed; runs not after the last one of an item are ignored.
+    A run may be dealt over any number of micro-batches: its rows are held in keyed state until the marker comes, a row with
+    ``expected`` (its number of distinct items) and ``failures``, then staged below index_root/staged, and compared once as
+    many items are there. Runs go in the order of their ids; those not after the promoted one are dropped, so that a
+    replayed batch changes nothing. The safety decision is made once a run, on its counts; a run that it blocks (empty, a
+    catastrophic drop, failures) or that hasn't become complete in ``patience_ms`` of event time after its first row leaves the index as it
+    is. Each decision leaves a header (run_headers).
     """
 
-    def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        misses, removed, last = state.get if state.exists else (0, False, "")
-        rows = pd.concat(list(batches)).drop_duplicates("run_id").sort_values("run_id")
-        out = []
-        for run, observed in zip(rows["run_id"], rows["observed"], strict=True):
-            if run <= last:
-                continue
-            last = run
-            if observed:
-                if misses:
-                    out.append((key[0], run, "RESTORED", 0))
-                misses, removed = 0, False
-            elif not removed:
-                misses += 1
-                removed = misses >= threshold
-                out.append((key[0], run, "REMOVED" if removed else "MISSING", misses))
-        state.update((int(misses), bool(removed), last))
-        yield pd.DataFrame(out, columns=["source_id", "run_id", "type", "miss_count"])
-
-    return stream.groupBy("source_id").applyInPandasWithState(step, MISSES, "misses long, removed boolean, last string", "append", GroupStateTimeout.NoTimeout)
+    def settle(spark: SparkSession, run: str, now: str | None) -> bool:
+        """Whether the run was promoted."""
+        rows = spark.read.schema(STAGED).parquet(f"{index_root}/staged").where(F.col("run_id") == run)
+        if now is not None and run <= now:
+            _forget_staged(rows)
+            return False
+        item = F.from_json("payload", OBSERVED)
+        seen = rows.where("kind = 'row'").select(item.alias("o")).select("o.*").dropDuplicates(["source_id"])
+        on = rows.agg(F.max("expected").alias("expected"), F.max("failures").alias("failures"), F.bool_or(F.col("kind") == "expired").alias("expired")).first()
+        observed = seen.count()
+        complete = on["expected"] == observed
+        if not complete and not on["expired"]:
+            return False
+        if now is None:
+            prev = seen.limit(0).selectExpr("source_id", "fingerprint", "category_id", "category_path_ids", "cast(null as string) detail_fingerprint", "'active' status", "0 miss_count", "current_timestamp() changed_at")
+        else:
+            prev = spark.read.parquet(f"{index_root}/v={now}")
+        known = prev.where("status <> 'deleted'").count()
+        scan = spark.createDataFrame([(run, complete, on["failures"] or 0, observed, known)], "scope string, complete boolean, failures int, observed long, known long")
+        decision = decide_safety(scan, policy).first()
+        ok = decision["outcome"] == "proceed"
+        if ok:
+            promote(prev, seen, plan_delta(prev, seen, threshold), F.current_timestamp()).write.mode("overwrite").parquet(f"{index_root}/v={run}")
+        write_header(spark, index_root, run, decision["outcome"], decision["reason"], observed, known)
+        _forget_staged(rows)
+        return ok
+
+    def batch(df: DataFrame, number: int) -> None:
+        spark = df.sparkSession
+        path = f"{index_root}/staged/batch={number}"
+        df.write.mode("overwrite").partitionBy("run_id").parquet(path)
+        done = promoted_runs(spark, index_root)
+        now = done[-1] if done else None
+        for (run,) in spark.read.schema(GATHERED).parquet(path).select("run_id").distinct().orderBy("run_id").collect():  # a row a run
+            if settle(spark, run, now):
+                now = run
+
+    gathered = gather_runs(source, "source_id", ["source_id", "fingerprint", "category_id", "category_path_ids"], delay, patience_ms, shards)
+    with state_store(source.sparkSession):
+        return gathered.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def fold_outcomes(attempts: DataFrame, most: int = 4) -> DataFrame:
-    """item, state, attempt: the last attempt of each item; a retry after ``most`` attempts is deferred. Batch form."""
+    """item, state, attempt: the last attempt of each item; a retry after ``most`` attempts is deferred. The batch form of outcomes.item_states."""
     last = latest_per_key(attempts.select("item", "attempt", "outcome"), ["item"], ["attempt"])
     state = F.when((F.col("outcome") == "retry") & (F.col("attempt") >= most), "deferred").otherwise(F.col("outcome"))
     return last.select("item", state.alias("state"), "attempt")
-
-
-def fold_outcomes_stream(attempts: DataFrame) -> DataFrame:
-    """The same as a running aggregate, for update mode."""
-    return attempts.groupBy("item").agg(F.max_by("outcome", "attempt").alias("outcome"), F.max("attempt").alias("attempt"))
