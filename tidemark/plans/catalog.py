@@ -288,6 +288,16 @@ def page_categories(t: Tables) -> DataFrame:
     return html_pages.extract_categories(t.pages, r"^/(.+)$")
 
 
+@query(r"""with a as (select page_id, url, x, pos from (select page_id, url, unnest(regexp_extract_all(html, '(?:<li>)?<a\b[^>]*?href="/[^"]+"')) as x, generate_subscripts(regexp_extract_all(html, '(?:<li>)?<a\b[^>]*?href="/[^"]+"'), 1) as pos from pages)),
+    b as (select page_id, url, regexp_extract(x, 'href="/([^"]+)"', 1) as item_id, min_by(x, pos) as x from a group by 1, 2, 3), o as (select *, regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1) as origin from b where starts_with(x, '<li>'))
+    select page_id, item_id, origin || '/' || item_id as item_url, 'é' || item_id as title, origin || split_part('/t/' || item_id || '.jpg', ',', 1) as cover, 12 as image_count, 'i-' || item_id as signal from o""")
+def page_cards(t: Tables) -> DataFrame:
+    """Items of lists whose cards got bare and single-quoted attributes, a srcset, character references and an inner count."""
+    card = """<li data-id=i-$1><img srcset='/t/$1.jpg 1x, /b/$1.jpg 2x'><i class="x photo-count">&#x31;2</i><a title='&eacute;$1' href=/$1>"""
+    pages = t.pages.withColumn("html", F.regexp_replace("html", r'<li><a href="/([^"]+)">', card))
+    return html_pages.extract_listing(pages, r"^/(.+)$", cards=("li",)).where("signal is not null")
+
+
 @query("select league_id, team_id from team_dim union select league_id, league_id from types", ("team_dim", "types"))
 def supported_leagues(t: Tables) -> DataFrame:
     return tables.supported_leagues(t.team_dim.select("team_id", "league_id"), t.types.select(F.col("league_id").alias("team_id"), "league_id"), ["team_id"])
