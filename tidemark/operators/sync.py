@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import clean_ws
@@ -89,9 +89,14 @@ def plan_delta(prev: DataFrame, cur: DataFrame, threshold: int = 3, infer_missin
 
     One full join on the source id; categories are compared null-safe and paths by value.
     """
-    threshold = max(2, int(threshold or 3))
     both = prev.select("source_id", F.struct("fingerprint", "category_id", "category_path_ids", "detail_fingerprint", "status", "miss_count").alias("p")).join(cur.select("source_id", F.struct("fingerprint", "category_id", "category_path_ids").alias("c")), "source_id", "full_outer")
-    p, c = F.col("p"), F.col("c")
+    kind, misses, reason = change_of(F.col("p"), F.col("c"), threshold, infer_missing)
+    events = both.select("source_id", kind.alias("type"), misses.alias("miss_count"), reason.alias("reason"))
+    return events.where("type is not null").withColumn("needs_detail", F.col("type").isin("NEW", "RESTORED", "CHANGED", "CHANGED_MOVED"))
+
+
+def change_of(p: Column, c: Column, threshold: int = 3, infer_missing: bool | Column = True) -> tuple[Column, Column, Column]:
+    """Type, misses and reason of the change from an index row p to an observation c, either null where it is absent."""
     moved = ~p["category_id"].eqNullSafe(c["category_id"]) | ~p["category_path_ids"].eqNullSafe(c["category_path_ids"])
     changed = ~p["fingerprint"].eqNullSafe(c["fingerprint"])
     pending = F.coalesce(p["detail_fingerprint"], F.lit("")) == ""
@@ -99,11 +104,11 @@ def plan_delta(prev: DataFrame, cur: DataFrame, threshold: int = 3, infer_missin
     misses = p["miss_count"] + 1
     gone = c.isNull() & absence & (p["status"] != "deleted")
     kind = (
-        F.when(gone, F.when(misses >= threshold, "REMOVED").otherwise("MISSING")).when(c.isNull(), None).when(p.isNull(), "NEW").when(p["status"].isin("missing", "deleted"), "RESTORED")
+        F.when(gone, F.when(misses >= max(2, int(threshold or 3)), "REMOVED").otherwise("MISSING")).when(c.isNull(), None).when(p.isNull(), "NEW").when(p["status"].isin("missing", "deleted"), "RESTORED")
         .when(changed & moved, "CHANGED_MOVED").when(changed | pending, "CHANGED").when(moved, "MOVED")
     )
-    events = both.select("source_id", kind.alias("type"), F.when(gone, misses).alias("miss_count"), F.when(c.isNotNull() & p.isNotNull() & p["status"].isin("active"), F.when(changed, "listing-changed").when(pending, "detail-pending")).alias("reason"))
-    return events.where("type is not null").withColumn("needs_detail", F.col("type").isin("NEW", "RESTORED", "CHANGED", "CHANGED_MOVED"))
+    reason = F.when(c.isNotNull() & p.isNotNull() & p["status"].isin("active"), F.when(changed, "listing-changed").when(pending, "detail-pending"))
+    return kind, F.when(gone, misses), reason
 
 
 def plan_safe_delta(prev: DataFrame, cur: DataFrame, scan: DataFrame, threshold: int = 3, policy: Policy = Policy()) -> DataFrame:
@@ -149,16 +154,24 @@ def baseline_events(cur: DataFrame, prev: DataFrame, products: DataFrame) -> Dat
 # -- stage, verify, promote -----------------------------------------------------------------------------------------
 
 
-def stage_run(root: str, run_id: str, tables: dict[str, DataFrame], outcome: str) -> dict[str, int]:
-    """Write a run's tables below root/run_id and return their counts; a blocked run writes none but its header."""
+def stage_run(root: str, run_id: str, tables: dict[str, DataFrame], outcome: str, reason: str | None = None) -> dict[str, int]:
+    """Write a run's tables below root/run_id and return their counts; a blocked run writes none. Either writes its header
+    (run_headers): run_id, outcome, reason, tables with their counts."""
     counts = {}
     for name, df in tables.items() if outcome == "proceed" else ():
         path = f"{root}/run_id={run_id}/{name}"
         df.write.mode("overwrite").parquet(path)
         counts[name] = df.sparkSession.read.parquet(path).count()
+    spark = next(iter(tables.values())).sparkSession
+    spark.createDataFrame([(outcome, reason, counts)], "outcome string, reason string, tables map<string,long>").coalesce(1).write.mode("overwrite").parquet(f"{root}/_headers/run_id={run_id}")
     return counts
 
 
+def run_headers(spark: SparkSession, root: str) -> DataFrame:
+    """run_id, outcome, reason, tables of all runs staged below root, blocked ones included."""
+    return spark.read.schema("outcome string, reason string, tables map<string,long>, run_id string").parquet(f"{root}/_headers")
+
+
 def seal_run(staged: DataFrame) -> DataFrame:
     """state of each run (run_id, outcome, expected, actual, details_pending)."""
     state = (
@@ -176,10 +189,19 @@ def promote(index: DataFrame, observations: DataFrame, events: DataFrame, now: C
     i = index.select("source_id", F.struct(*[c for c in index.columns if c != "source_id"]).alias("i"))
     all3 = i.join(o, "source_id", "full_outer").join(e, "source_id", "left")
     i, o, e = F.col("i"), F.col("o"), F.col("e")
+    kind, misses = F.when(e.isNotNull(), e["type"]), F.when(e.isNotNull(), e["misses"])
+    return all3.select("source_id", *promoted_row(i, o, kind, misses, now))
+
+
+def promoted_row(i: Column, o: Column, kind: Column, misses: Column, now: Column) -> list[Column]:
+    """The columns of the next index row, from the old row i, the observation o and the event between them (null for none)."""
     took = lambda c: F.when(o.isNotNull(), o[c]).otherwise(i[c]).alias(c)
-    gone = e["type"].isin("MISSING", "REMOVED")
-    status = F.when(o.isNotNull(), "active").when(gone, F.when(e["type"] == "REMOVED", "deleted").otherwise("missing")).otherwise(i["status"])
-    return all3.select("source_id", took("fingerprint"), took("category_id"), took("category_path_ids"), i["detail_fingerprint"].alias("detail_fingerprint"), status.alias("status"), F.when(o.isNotNull(), 0).when(gone, e["misses"]).otherwise(i["miss_count"]).cast("int").alias("miss_count"), F.when(e.isNotNull(), now).otherwise(i["changed_at"]).alias("changed_at"))
+    gone = kind.isin("MISSING", "REMOVED")
+    status = F.when(o.isNotNull(), "active").when(gone, F.when(kind == "REMOVED", "deleted").otherwise("missing")).otherwise(i["status"])
+    return [
+        took("fingerprint"), took("category_id"), took("category_path_ids"), i["detail_fingerprint"].alias("detail_fingerprint"), status.alias("status"),
+        F.when(o.isNotNull(), 0).when(gone, misses).otherwise(i["miss_count"]).cast("int").alias("miss_count"), F.when(kind.isNotNull(), now).otherwise(i["changed_at"]).alias("changed_at"),
+    ]
 
 
 def apply_delta(products: DataFrame, events: DataFrame, details: DataFrame) -> DataFrame:

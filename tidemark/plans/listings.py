@@ -10,6 +10,8 @@ from tidemark.operators.counts import apply_counters as apply_counts
 from tidemark.operators.ranking import latest_per_key, next_miss_count
 from tidemark.plans.registry import query
 from tidemark.sources.fixtures import Tables
+from tidemark.sources.indexes import ListingIndex
+from tidemark.sources.shared import new_folder
 
 DELTA = """delta as (select coalesce(p.source_id, c.source_id) as source_id,
     case when c.source_id is null then case when p.status = 'deleted' then null when p.miss_count + 1 >= 3 then 'REMOVED' else 'MISSING' end
@@ -87,6 +89,18 @@ def promote_index(t: Tables) -> DataFrame:
     return sync.promote(index, t.cur_obs, _delta(t), F.lit("2024-02-01").cast("timestamp")).drop("category_path_ids")
 
 
+@query(f"""with {DELTA} select coalesce(p.source_id, c.source_id) as source_id, coalesce(c.fingerprint, p.fingerprint) as fingerprint, coalesce(c.category_id, p.category_id) as category_id, p.detail_fingerprint,
+    case when c.source_id is not null then 'active' when e.type = 'REMOVED' then 'deleted' when e.type = 'MISSING' then 'missing' else p.status end as status,
+    case when c.source_id is not null then 0 when e.type is not null then e.miss_count else p.miss_count end as miss_count, cast(case when e.type is not null then timestamp '2024-02-01' else timestamp '2024-01-01' end as timestamp) as changed_at
+    from prev_index p full join cur_obs c on c.source_id = p.source_id left join events_of e on e.source_id = coalesce(p.source_id, c.source_id)""", BOTH)
+def promote_in_buckets(t: Tables) -> DataFrame:
+    """promote_index on an index in hash buckets, to which only the rows that differ are added."""
+    index = ListingIndex(t.spark, new_folder(t.spark, "index"), 16)
+    index.rewrite(t.prev_index.withColumn("changed_at", F.lit("2024-01-01").cast("timestamp")))
+    index.promote(t.cur_obs, F.lit("2024-02-01").cast("timestamp"))
+    return index.table().drop("category_path_ids")
+
+
 @query("""with runs as (select *, max(run) over () as last from scope_runs), cur as (select scope_id, member, content_hash from runs where run = last), old as (select distinct scope_id, member from runs where run < last and run >= last - 6),
     st as (select member as public_id, case when member % 9 = 0 then 'removed' else 'active' end as status, max(content_hash) as content_hash from runs where run < last and run >= last - 6 group by member),
     obs as (select member as public_id, content_hash from cur where scope_id = 'click'), lost as (select member as public_id from old where scope_id = 'click' and member not in (select public_id from obs))

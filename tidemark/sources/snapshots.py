@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import time
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.commits import Conflict, commit, latest, remove
+
 SNAPSHOT = """taxonomy array<struct<id:string,name:string,parentId:string,childIds:array<string>,depth:int>>,
     products array<struct<id:string,name:string,category:string,categoryId:string,categoryPathIds:array<string>,description:string,images:array<string>,
     media:array<struct<url:string,thumb:string,download:string>>>>, generatedAt string"""
@@ -73,22 +73,26 @@ def check_details(df: DataFrame) -> DataFrame:
     return violations(df, "source_id", {"name": F.trim(F.col("name")) != "", "images": F.size("images") > 0, "kind": F.col("kind").isin("product", "navigation", "information")})
 
 
-def publish_snapshot(tables: dict[str, DataFrame], root: str, run_id: str) -> str:
-    """Write all tables below root/v=run_id, then point root/_current at them; an empty table is refused.
+def publish_snapshot(tables: dict[str, DataFrame], root: str, run_id: str, after: int | None = None) -> int:
+    """Write all tables below root/v=run_id, then commit a pointer to them, and return its number; an empty table is refused.
 
-    Readers follow the pointer (read_published), so they see the whole old or the whole new snapshot. Pointers are ordered
-    by the time of publishing; those of two writers never have one name.
+    Readers follow the last pointer (read_published), so they see the whole old or the whole new snapshot. Pointers are
+    numbered, and a number is taken once, whatever the writers' clocks say. With ``after``, the number that this snapshot
+    was made from, a pointer that came in between raises Conflict and the tables written go.
     """
     spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{root}/v={run_id}/{name}")
         if spark.read.parquet(f"{root}/v={run_id}/{name}").isEmpty():
             raise ValueError(f"{name} is empty")
-    seq = f"s{time.time_ns():020d}-{uuid.uuid4().hex}"
-    spark.createDataFrame([(run_id, ",".join(tables))], "run_id string, tables string").coalesce(1).write.json(f"{root}/_current/seq={seq}")
-    return run_id
+    while True:
+        number = (latest(spark, root)[0] if after is None else after) + 1
+        if commit(spark, root, number, {"run_id": run_id, "tables": list(tables)}):
+            return number
+        if after is not None:
+            remove(spark, f"{root}/v={run_id}")
+            raise Conflict(f"{number} is taken")
 
 
 def read_published(spark: SparkSession, root: str, name: str) -> DataFrame:
-    run = spark.read.json(f"{root}/_current").orderBy(F.desc("seq")).first()["run_id"]
-    return spark.read.parquet(f"{root}/v={run}/{name}")
+    return spark.read.parquet(f"{root}/v={latest(spark, root)[1]['run_id']}/{name}")
