@@ -91,8 +91,8 @@ def test_league_team_and_facets(spark):
 
 
 def test_override_clears_or_sets(spark):
-    rows = [(i, "t", "l", "needs_review", 0.5, ["team"]) for i in range(4)]
-    df = spark.createDataFrame(rows, "record long, team_id string, league_id string, status string, confidence double, conflicts array<string>")
+    rows = [(i, "t", "l", "needs_review", 0.5, ["team"], "automatic", 0.9) for i in range(4)]
+    df = spark.createDataFrame(rows, "record long, team_id string, league_id string, status string, confidence double, conflicts array<string>, base_status string, base_confidence double")
     over = spark.createDataFrame([(0, '{"teamId":null}'), (1, '{"teamId":"u"}'), (2, '{"teamId":"nobody"}')], "record long, json string")
     pack = classify.Pack(spark.createDataFrame([], "kind string, id string, alias string, ordinal long, alias_ordinal int"), spark.createDataFrame([("u", "m", False)], "id string, league_id string, national boolean"), spark.createDataFrame([], "id string, facet_type string, sort_order int"))
     got = {r["record"]: (r["team_id"], r["league_id"], r["status"], r["override_applied"], r["override_error"]) for r in classify.apply_overrides(df, over, pack).collect()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -21,7 +22,7 @@ class Pack:
     """A knowledge pack: dictionaries as small tables.
 
     aliases: kind (league, team, facet), id, alias, ordinal, alias_ordinal; teams: id, league_id, national; facets: id,
-    facet_type, sort_order. Aliases of facets in implies bring in base_facet.
+    facet_type, sort_order. Aliases of facets in implies bring in base_facet. navigation: id, name, kind, sort_order.
     """
 
     aliases: DataFrame
@@ -35,6 +36,10 @@ class Pack:
     keywords: tuple[str, ...] = ()
     not_navigation: tuple[str, ...] = ()
     thresholds: dict[str, float] = field(default_factory=lambda: {"needsReview": 0.51})
+    key: str = "pack"
+    domain: str = "domain"
+    version: int = 1
+    navigation: DataFrame | None = None
 
 
 #: Dictionaries of up to so many phrases are broadcast; larger ones are joined by a shuffle.
@@ -244,9 +249,10 @@ def field_confidence(df: DataFrame) -> DataFrame:
 
 
 def review_status(df: DataFrame) -> DataFrame:
-    """A record with a conflict needs review, at half confidence at most."""
+    """A record with a conflict needs review, at half confidence at most; base_status and base_confidence are those before."""
     conflict = F.size("conflicts") > 0
-    return df.withColumn("status", F.when(conflict, "needs_review").otherwise(F.col("status"))).withColumn("confidence", F.when(conflict, F.least(F.lit(0.5), "confidence")).otherwise(F.col("confidence")))
+    out = df.withColumns({"base_status": F.col("status"), "base_confidence": F.col("confidence")})
+    return out.withColumn("status", F.when(conflict, "needs_review").otherwise(F.col("status"))).withColumn("confidence", F.when(conflict, F.least(F.lit(0.5), "confidence")).otherwise(F.col("confidence")))
 
 
 PackClassifier = Callable[[DataFrame, Pack], DataFrame]
@@ -264,46 +270,159 @@ def route_domains(results: list[tuple[str, DataFrame]]) -> DataFrame:
     return first_per_key(out, ["record"], [F.desc("confidence"), F.col("domain") == "unknown", "pack"])
 
 
-def build_claims(df: DataFrame, fields: list[str]) -> DataFrame:
-    """record, claims: a map of each field to its value, confidence and source."""
-    entries = [x for f in fields for x in (F.lit(f), F.struct(F.col(f"{f}_id").cast("string").alias("value"), F.col(f"{f}_confidence").alias("confidence"), F.lit("automatic").alias("source")))]
-    return df.select("record", F.create_map(*entries).alias("claims"))
+#: The fields of an override, the sizes of its labels, the number of its facets, and its statuses.
+OVERRIDE_KEYS = ("displayName", "displayCategoryName", "teamId", "leagueId", "facetIds", "classificationStatus", "classificationConfidence")
+LABEL_SIZES = {"displayName": 240, "displayCategoryName": 160}
+MOST_FACETS, ID_SIZE = 24, 80
+STATUSES = ("automatic", "needs_review", "unknown")
+URL = r"(?i)https?://"
 
 
-def apply_overrides(classified: DataFrame, overrides: DataFrame, pack: Pack) -> DataFrame:
-    """classified (record, team_id, league_id, status, confidence, conflicts) with merchants' overrides (record, json).
+def build_claims(df: DataFrame, fields: list[str]) -> DataFrame:
+    """record, claims: a map of each field to its value, confidence, sources of evidence, and source.
 
-    A key that is present decides, null clears; a team brings its league unless a league is given. Overridden fields lose
-    their conflict; other conflicts keep the review. Ids unknown to the pack are rejected: the row keeps its automatic
-    values and override_error says so. The automatic values stay in automatic_*.
+    A field has <field>_id (or a column of its plural: its values as a JSON array), <field>_confidence and maybe
+    <field>_sources. What is in override_fields comes from the merchant, has confidence 1 and no evidence.
+    """
+    return df.select("record", _claims(df.columns, fields, "", True).alias("claims"))
+
+
+def _claims(columns: list[str], fields: list[str], prefix: str, effective: bool, states: dict[str, Column] | None = None) -> Column:
+    """A map of claims from columns with a prefix, or without one where there is no such column."""
+    named = lambda c: F.col(prefix + c) if prefix + c in columns else F.col(c) if c in columns else None
+    nothing = F.array().cast("array<string>")
+    entries: list[Column] = []
+    for f in fields:
+        one, several = named(f"{f}_id"), named(f"{f}s")
+        value = one.cast("string") if one is not None else F.to_json(several) if several is not None else F.lit(None).cast("string")
+        by = F.array_contains(F.col("override_fields"), f) if effective and "override_fields" in columns else F.lit(False)
+        sources = named(f"{f}_sources")
+        parts = [
+            value.alias("value"), F.when(by, 1.0).otherwise(F.coalesce(named(f"{f}_confidence"), F.lit(0.0)).cast("double")).alias("confidence"),
+            *([states[f].alias("state")] if states else []), F.when(by, nothing).otherwise(F.coalesce(F.array_distinct(sources), nothing) if sources is not None else nothing).alias("sources"),
+            F.when(by, "merchant_override").otherwise("inference").alias("source"),
+        ]
+        entries += [F.lit(f), F.struct(*parts)]
+    return F.create_map(*entries)
+
+
+def parse_overrides(overrides: DataFrame, pack: Pack, unwanted: str = URL) -> DataFrame:
+    """record, given (the keys present), the values, and override_error of merchants' overrides (record, json).
+
+    Errors, the first of them: bad_json, unknown_key, bad_team, bad_league, bad_facets (no array of up to 24 ids),
+    bad_label (blank, too long or not a text), unsafe_label (fits ``unwanted``), bad_status, bad_confidence, unknown_team, unknown_league, unknown_facet. A
+    null team or league clears. Of several overrides of a record the smallest JSON counts.
     """
-    teams = small(pack.teams.select(F.col("id").alias("_new_team"), F.col("league_id").alias("_of")))
-    value = lambda k: F.get_json_object("json", f"$.{k}")
-    rows = classified.join(overrides, "record", "left").withColumn("_has_team", json_has(F.col("json"), "teamId")).withColumn("_has_league", json_has(F.col("json"), "leagueId"))
-    rows = rows.withColumn("_new_team", F.when(F.col("_has_team"), value("teamId"))).join(teams.withColumn("_known", F.lit(True)), "_new_team", "left")
-    bad = F.col("_new_team").isNotNull() & F.col("_known").isNull()
-    team = F.when(F.col("_has_team") & ~bad, F.col("_new_team")).otherwise(F.col("team_id"))
-    league = F.when(bad, F.col("league_id")).when(F.col("_has_league"), value("leagueId")).when(F.col("_has_team") & F.col("_new_team").isNotNull(), F.col("_of")).otherwise(F.col("league_id"))
-    given = F.filter(F.array(F.when(F.col("_has_team"), "team"), F.when(F.col("_has_league") | (F.col("_has_team") & F.col("_new_team").isNotNull()), "league")), lambda f: f.isNotNull())
-    rest = F.array_except("conflicts", given)
-    out = rows.withColumns({"automatic_team_id": F.col("team_id"), "automatic_league_id": F.col("league_id"), "override_applied": F.col("json").isNotNull() & ~bad, "override_error": F.when(bad, "unknown_team")})
-    out = out.withColumns({"_team": team, "_league": league, "_rest": F.when(F.col("override_applied"), rest).otherwise(F.col("conflicts"))})
-    clear = F.col("override_applied") & (F.size("_rest") == 0)
-    return out.select("record", F.col("_team").alias("team_id"), F.col("_league").alias("league_id"), F.col("_rest").alias("conflicts"), F.when(clear, "automatic").otherwise(F.col("status")).alias("status"), F.when(clear, 1.0).when(F.size("_rest") > 0, F.least(F.lit(0.5), "confidence")).otherwise(F.col("confidence")).alias("confidence"), "automatic_team_id", "automatic_league_id", "override_applied", "override_error", F.when(F.col("override_applied") & (F.col("_has_team")), "merchant_override").otherwise("automatic").alias("team_source"))
+    text = lambda k: F.get_json_object("json", f"$.{k}")
+    has = lambda k: F.array_contains("given", k)
+    kind = lambda k: F.schema_of_variant(F.try_variant_get(F.try_parse_json("json"), f"$.{k}", "variant"))
+    rows = overrides.groupBy("record").agg(F.min("json").alias("json")).where("json is not null and trim(json) <> ''")
+    parsed = F.try_parse_json("json")
+    is_object = F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
+    rows = rows.withColumn("given", F.coalesce(F.when(is_object, F.json_object_keys("json")), F.array().cast("array<string>")))
+    ids = F.transform(F.from_json(text("facetIds"), "array<string>"), lambda i: F.trim(i))
+    values = {
+        "_team": F.trim(text("teamId")), "_league": F.trim(text("leagueId")), "_facets": F.when(has("facetIds"), F.array_distinct(ids)), "_n_facets": F.size(ids), "_name": F.trim(text("displayName")),
+        "_category": F.trim(text("displayCategoryName")), "_status": text("classificationStatus"), "_confidence": F.try_variant_get(parsed, "$.classificationConfidence", "double"),
+    }
+    rows = rows.withColumns(values)
+    an_id = lambda k, c: F.coalesce((kind(k) == "VOID") | ((kind(k) == "STRING") & F.length(c).between(1, ID_SIZE)), F.lit(False))
+    label = lambda k, c: F.coalesce((kind(k) == "STRING") & F.length(c).between(1, LABEL_SIZES[k]), F.lit(False))
+    facets_ok = (kind("facetIds") == "ARRAY<STRING>") & (F.col("_n_facets") <= MOST_FACETS) & F.forall("_facets", lambda i: F.length(i).between(1, ID_SIZE)) | (F.col("_n_facets") == 0)
+    wrong = lambda k, ok: has(k) & ~F.coalesce(ok, F.lit(False))
+    error = (
+        F.when(~is_object, "bad_json").when(F.size(F.array_except("given", F.array(*[F.lit(k) for k in OVERRIDE_KEYS]))) > 0, "unknown_key")
+        .when(wrong("teamId", an_id("teamId", F.col("_team"))), "bad_team").when(wrong("leagueId", an_id("leagueId", F.col("_league"))), "bad_league").when(wrong("facetIds", facets_ok), "bad_facets")
+        .when(wrong("displayName", label("displayName", F.col("_name"))) | wrong("displayCategoryName", label("displayCategoryName", F.col("_category"))), "bad_label")
+        .when(F.coalesce(F.concat_ws(" ", "_name", "_category").rlike(unwanted), F.lit(False)), "unsafe_label")
+        .when(wrong("classificationStatus", F.col("_status").isin(*STATUSES)), "bad_status").when(wrong("classificationConfidence", F.col("_confidence").between(0, 1)), "bad_confidence")
+    )
+    rows = rows.withColumn("_error", error)
+    teams = small(pack.teams.groupBy(F.col("id").alias("_team")).agg(F.first("league_id").alias("_of"), F.lit(True).alias("_known")))
+    leagues = small(pack.aliases.where("kind = 'league'").select("id").unionByName(pack.teams.select(F.col("league_id").alias("id"))).distinct().select(F.col("id").alias("_league"), F.lit(True).alias("_known_league")))
+    known = small(pack.facets.select(F.col("id").alias("_facet")).distinct())
+    strange = rows.select("record", F.explode("_facets").alias("_facet")).join(known, "_facet", "left_anti").select("record", F.lit(True).alias("_strange")).distinct()
+    rows = rows.join(teams, "_team", "left").join(leagues, "_league", "left").join(strange, "record", "left")
+    unknown = F.when(F.col("_team").isNotNull() & F.col("_known").isNull(), "unknown_team").when(F.col("_league").isNotNull() & F.col("_known_league").isNull(), "unknown_league").when(F.col("_strange"), "unknown_facet")
+    return rows.select("record", "given", "_team", "_of", "_league", "_facets", "_name", "_category", "_status", "_confidence", F.coalesce("_error", unknown).alias("override_error"))
+
+
+def apply_overrides(classified: DataFrame, overrides: DataFrame, pack: Pack, unwanted: str = URL) -> DataFrame:
+    """classified (record, team_id, league_id, status, confidence, conflicts, and what else it has) with merchants' overrides.
+
+    A key that is present decides, null clears. A team brings its league unless a league is given; facets settle the
+    conflicts of facets and versions. Fields overridden lose their conflict and get confidence 1; while other conflicts are left, the
+    record needs review at half confidence at most, else it has the status and confidence it had before the review, unless the
+    override names them. An override with an error (parse_overrides) changes nothing. Added: override_applied, override_error,
+    override_fields, display_name and display_category_name (given ones, else those of classified), team_source, and
+    automatic_<column> of all columns that an override may change.
+    """
+    has = lambda k: F.array_contains("_given", k)
+    own = [c for c in ("team_id", "league_id", "facets", "status", "confidence", "conflicts", "team_confidence", "league_confidence", "facet_confidence") if c in classified.columns]
+    rows = classified.join(parse_overrides(overrides, pack, unwanted).withColumnRenamed("given", "_given"), "record", "left")
+    ok = F.col("_given").isNotNull() & F.col("override_error").isNull()
+    rows = rows.withColumn("override_applied", ok)
+    ok = F.col("override_applied")
+    rows = rows.withColumn("_given", F.when(ok, F.col("_given")).otherwise(F.array().cast("array<string>")))
+    brings = has("teamId") & F.col("_of").isNotNull()
+    fields = F.filter(F.array(F.when(has("teamId"), "team"), F.when(has("leagueId") | brings, "league"), F.when(has("facetIds"), "facet")), lambda f: f.isNotNull())
+    settled = F.concat("override_fields", F.when(has("facetIds"), F.array(F.lit("facets"), F.lit("version"))).otherwise(F.array().cast("array<string>")))
+    rows = rows.withColumn("override_fields", fields).withColumn("_rest", F.array_except("conflicts", settled))
+    before = lambda c: F.col(f"base_{c}" if f"base_{c}" in classified.columns else c)
+    left = F.size("_rest") > 0
+    new = {
+        "team_id": F.when(has("teamId"), F.col("_team")).otherwise(F.col("team_id")),
+        "league_id": F.when(has("leagueId"), F.col("_league")).when(brings, F.col("_of")).otherwise(F.col("league_id")),
+        "conflicts": F.when(ok, F.col("_rest")).otherwise(F.col("conflicts")),
+        "status": F.when(~ok, F.col("status")).when(has("classificationStatus"), F.col("_status")).when(left, "needs_review").otherwise(before("status")),
+        "confidence": F.when(~ok, F.col("confidence")).when(has("classificationConfidence"), F.col("_confidence")).when(left, F.least(F.lit(0.5), before("confidence"))).otherwise(before("confidence")),
+        **({"facets": F.when(has("facetIds"), F.col("_facets")).otherwise(F.col("facets"))} if "facets" in own else {}),
+        **{f"{f}_confidence": F.when(F.array_contains("override_fields", f), 1.0).otherwise(F.col(f"{f}_confidence")) for f in ("team", "league", "facet") if f"{f}_confidence" in own},
+    }
+    shown = {c: F.coalesce(F.when(has(k), F.col(v)), F.col(c) if c in classified.columns else F.lit(None).cast("string")) for c, k, v in (("display_name", "displayName", "_name"), ("display_category_name", "displayCategoryName", "_category"))}
+    rest = [c for c in classified.columns if c not in (*new, *shown)]
+    return rows.select(
+        *rest, *[v.alias(k) for k, v in (new | shown).items()], *[F.col(c).alias(f"automatic_{c}") for c in own], "override_applied", "override_error", "override_fields",
+        F.when(F.array_contains("override_fields", "team"), "merchant_override").otherwise("automatic").alias("team_source"),
+    )
+
+
+def _view(columns: list[str], fields: list[str], prefix: str) -> tuple[Column, Column, dict[str, Column]]:
+    """The view of a classification as a struct, its knowledge state, and that of each field."""
+    named = lambda c: F.col(prefix + c if prefix + c in columns else c)
+    effective = not prefix
+    conflicts = named("conflicts")
+    by = lambda f: F.array_contains("override_fields", f) if effective and "override_fields" in columns else F.lit(False)
+    score = lambda f: F.when(by(f), 1.0).otherwise(F.coalesce(named(f"{f}_confidence"), F.lit(0.0)))
+    states = {f: knowledge_state(score(f), F.array_contains(conflicts, f)) for f in fields}
+    overall = knowledge_state(named("confidence"), F.size(conflicts) > 0, None, named("status"))
+    review = (named("status") == "needs_review") | (F.size(conflicts) > 0)
+    body = F.struct(named("status").alias("status"), named("confidence").alias("confidence"), overall.alias("knowledgeState"), _claims(columns, fields, prefix, effective, states).alias("claims"), conflicts.alias("conflicts"), review.alias("reviewRequired"))
+    return body, overall, states
 
 
 def intelligence_state(df: DataFrame, fields: list[str], version: str) -> DataFrame:
     """record, knowledge_state, conflict_count, review_required, research_required, reasons, state_json.
 
-    df has confidence, status, conflicts and <field>_confidence (of the automatic view) for each field.
+    df has confidence, status, conflicts and for each field what build_claims takes; after apply_overrides these are the
+    effective values, and the automatic ones are in automatic_* (where there is no such column, both views agree). A domain
+    and domain_confidence may be there too. The first columns are of the effective view; reasons to look further (``knowledge_*``, ``field_*``) are of the
+    automatic one. The JSON holds both views, each with its claims: value, confidence, state, sources, source.
     """
-    states = {f: knowledge_state(F.col(f"{f}_confidence"), F.array_contains("conflicts", f)) for f in fields}
-    overall = knowledge_state(F.col("confidence"), F.size("conflicts") > 0, None, F.col("status"))
-    reasons = [F.when(overall.isin("UNKNOWN", "UNCERTAIN", "STALE", "CONFLICT"), F.concat(F.lit("knowledge_"), F.lower(overall)))]
-    reasons += [F.when(s.isin("UNKNOWN", "CONFLICT", "STALE"), F.concat(F.lit("field_"), F.lower(s))) for s in states.values()]
+    effective, overall, _ = _view(df.columns, fields, "")
+    automatic, first, states = _view(df.columns, fields, "automatic_")
+    open_ = ("UNKNOWN", "UNCERTAIN", "CONFLICT", "STALE")
+    reasons = [F.when(first.isin(*open_), F.concat(F.lit("knowledge_"), F.lower(first)))] + [F.when(s.isin(*open_), F.concat(F.lit("field_"), F.lower(s))) for s in states.values()]
     listed = F.array_sort(F.array_distinct(F.filter(F.array(*reasons), lambda r: r.isNotNull())))
-    body = F.struct(F.lit(version).alias("classifierVersion"), overall.alias("knowledgeState"), F.struct(*[s.alias(f) for f, s in states.items()]).alias("claims"), F.col("conflicts").alias("conflicts"))
-    return df.select("record", overall.alias("knowledge_state"), F.size("conflicts").alias("conflict_count"), ((F.col("status") == "needs_review") | (F.size("conflicts") > 0)).alias("review_required"), (F.size(listed) > 0).alias("research_required"), listed.alias("reasons"), F.to_json(body).alias("state_json"))
+    domain = F.col("domain") if "domain" in df.columns else F.lit("unknown")
+    sure = F.col("domain_confidence") if "domain_confidence" in df.columns else F.lit(0.0)
+    of = F.struct(domain.alias("id"), sure.alias("confidence"), knowledge_state(sure, None, None, F.when(domain == "unknown", "unknown")).alias("knowledgeState"))
+    applied = F.col("override_applied") if "override_applied" in df.columns else F.lit(False)
+    body = F.struct(F.lit(version).alias("classifierVersion"), of.alias("domain"), automatic.alias("automatic"), effective.alias("effective"), applied.alias("overrideApplied"), F.struct((F.size(listed) > 0).alias("required"), listed.alias("reasonCodes")).alias("research"))
+    return df.select(
+        "record", overall.alias("knowledge_state"), F.size("conflicts").alias("conflict_count"), ((F.col("status") == "needs_review") | (F.size("conflicts") > 0)).alias("review_required"),
+        (F.size(listed) > 0).alias("research_required"), listed.alias("reasons"), F.to_json(body).alias("state_json"),
+    )
 
 
 #: Bytes of a state's JSON at most (fixed value).
@@ -331,17 +450,38 @@ def stale_products(products: DataFrame, events: DataFrame, state: DataFrame, ver
     return products.join(events.select("record"), "record", "left_semi").unionByName(products.join(current, "record", "left_anti")).distinct()
 
 
-def validate_pack(pack: Pack) -> DataFrame:
-    """check, id of each fault in a pack's dictionaries."""
+#: What keys of packs, domains, dictionaries and navigation look like, and how much a navigation holds.
+KEYS = {"pack": r"^[a-z0-9][a-z0-9-]{0,63}$", "domain": r"^[a-z0-9][a-z0-9-]{0,31}$", "id": r"^[A-Za-z0-9][A-Za-z0-9_-]{0,63}$", "item": r"^[a-z0-9][a-z0-9:_-]{0,95}$", "kind": r"^[a-z][a-z0-9_-]{0,47}$"}
+MOST_ITEMS, LABEL_SIZE, MOST_ORDER = 64, 120, 10_000
+
+
+def validate_pack(pack: Pack, unwanted: str = URL) -> DataFrame:
+    """check, id of each fault of a pack: its key, domain, version and thresholds (0 to 1), its dictionaries (ids unique and
+    well formed, aliases of one id, teams with an alias), and its navigation (at most 64 items, unique, with safe labels)."""
     ids = pack.aliases.groupBy("kind", "id").agg(F.countDistinct("ordinal").alias("n"))
-    bad_key = pack.aliases.where(~F.col("id").rlike(r"^[A-Za-z0-9][A-Za-z0-9_-]{0,63}$")).select("id").distinct()
     repeated = pack.aliases.withColumn("token", fold(F.col("alias"))).groupBy("kind", "token").agg(F.countDistinct("id").alias("n"), F.min("id").alias("id")).where("n > 1")
-    no_alias = pack.teams.select("id").join(pack.aliases.where("kind = 'team'").select("id"), "id", "left_anti")
-    parts = (("ordinal_repeats", ids.where("n > 1").select("id")), ("bad_key", bad_key), ("alias_of_several", repeated.select("id")), ("team_without_alias", no_alias))
-    out = None
+    twice = lambda df: df.groupBy("id").count().where("count > 1").select("id")
+    blank = lambda df: df.where("id is null or trim(id) = ''").select("id")
+    parts: list[tuple[str, DataFrame]] = [
+        ("ordinal_repeats", ids.where("n > 1").select("id")), ("bad_key", pack.aliases.where(~F.col("id").rlike(KEYS["id"])).select("id").distinct()), ("alias_of_several", repeated.select("id")),
+        ("team_without_alias", pack.teams.select("id").join(pack.aliases.where("kind = 'team'").select("id"), "id", "left_anti")),
+        ("team_repeats", twice(pack.teams)), ("facet_repeats", twice(pack.facets)), ("team_blank", blank(pack.teams)), ("facet_blank", blank(pack.facets)),
+    ]
+    if pack.navigation is not None:
+        items = pack.navigation
+        label = clean_ws(F.coalesce("name", F.lit("")))
+        fits = lambda c, k: F.coalesce(F.lower(F.trim(c)).rlike(KEYS[k]), F.lit(False))
+        parts += [
+            ("navigation_too_long", items.agg(F.count("*").alias("n")).where(F.col("n") > MOST_ITEMS).select(F.col("n").cast("string").alias("id"))), ("navigation_repeats", twice(items.withColumn("id", F.lower(F.trim("id"))))),
+            ("navigation_bad_id", items.where(~fits("id", "item")).select("id")), ("navigation_bad_kind", items.where(~fits("kind", "kind")).select("id")),
+            ("navigation_bad_label", items.where((label == "") | (F.length(label) > LABEL_SIZE) | label.rlike(unwanted)).select("id")), ("navigation_bad_order", items.where(~F.coalesce(F.col("sort_order").between(0, MOST_ORDER), F.lit(False))).select("id")),
+        ]
+    spark = pack.aliases.sparkSession
+    plain = [("pack_bad_key", pack.key)] * (not re.match(KEYS["pack"], pack.key)) + [("pack_bad_domain", pack.domain)] * (not re.match(KEYS["domain"], pack.domain)) + [("pack_bad_version", str(pack.version))] * (pack.version < 1)
+    plain += [("bad_threshold", k) for k, v in pack.thresholds.items() if not k or not 0 <= v <= 1]
+    out = spark.createDataFrame(plain, "check string, id string")
     for name, df in parts:
-        rows = df.select(F.lit(name).alias("check"), "id")
-        out = rows if out is None else out.unionByName(rows)
+        out = out.unionByName(df.select(F.lit(name).alias("check"), "id"))
     return out
 
 
@@ -383,12 +523,12 @@ def classify_catalog(t: dict[str, DataFrame], pack: Pack, version: str, key: str
     none = F.array().cast("array<string>")
     rows = classify_base(evidence, pack, hits).join(conflicts_by_record(evidence, pack, hits, seasons), "record", "left")
     rows = stored(review_status(rows.withColumn("conflicts", F.coalesce("conflicts", none))), "classified")
-    overridden = apply_overrides(rows, t["overrides"].select("record", "json"), pack).join(rows.select("record", "facets"), "record")
-    done = stored(overridden, "overridden")
-    facets = done.select("record", F.explode("facets").alias("facet_id"))
     best = lambda kind, name: evidence_candidates(evidence, pack, hits).where(F.col("kind") == kind).groupBy("record").agg(F.max("score").alias(name))
-    scored = rows.join(best("team", "team_score"), "record", "left").join(best("league", "league_score"), "record", "left").join(seasons.where("rank = 1").select("record", F.col("confidence").alias("season_score")), "record", "left")
-    state = state_columns(intelligence_state(field_confidence(scored.withColumn("facet_count", F.size("facets"))), ["team", "league", "facet", "season"], version))
+    scored = rows.join(best("team", "team_score"), "record", "left").join(best("league", "league_score"), "record", "left").join(seasons.where("rank = 1").select("record", F.col("label").alias("season_id"), F.col("confidence").alias("season_score")), "record", "left")
+    sure = field_confidence(scored.withColumn("facet_count", F.size("facets"))).drop("team_score", "league_score", "season_score", "facet_count")
+    done = stored(apply_overrides(sure, t["overrides"].select("record", "json"), pack), "overridden")
+    facets = done.select("record", F.explode("facets").alias("facet_id"))
+    state = state_columns(intelligence_state(done, ["team", "league", "facet", "season"], version))
     state = state.join(done.select("record", "override_applied"), "record")
     counted = lambda dim, facts, column: prune_zero(dim_counts(dim.withColumnRenamed("id", column), facts, column), "product_count").withColumnRenamed(column, "id")
     n = lambda s: F.count_if(F.col("status") == s)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import scoring
 from tidemark.operators import classify as C
 from tidemark.operators.counts import exception_metrics
 from tidemark.operators.ranking import top_candidate
@@ -110,7 +111,7 @@ CONFLICTS = f"""{WORDS}, {TEAMS}, {FACETS}, found as (select k, 'team' as field
 
 @query(f"""with {CONFLICTS}, r as (select st.*, g.json, g.clears, case when g.json is null then n when g.clears then n - nt else n - nt - nl end as rest from st left join given g on g.k = st.k)
     select k as record, case when json is null then team_id when clears then null else 'bolt' end as team_id, case when json is null or clears then r.league_id else (select d.league_id from team_dim d where d.team_id = 'bolt') end as league_id, rest as conflicts,
-    case when json is not null and rest = 0 then 'automatic' when n > 0 then 'needs_review' else 'automatic' end as status, case when json is not null and rest = 0 then 1.0 when rest > 0 or n > 0 then 0.5 else 0.95 end as confidence, json is not null as override_applied from r""", (*DIMS, "overrides"))
+    case when json is not null and rest = 0 then 'automatic' when n > 0 then 'needs_review' else 'automatic' end as status, case when json is not null and rest = 0 then 0.95 when rest > 0 or n > 0 then 0.5 else 0.95 end as confidence, json is not null as override_applied from r""", (*DIMS, "overrides"))
 def overrides_applied(t: Tables) -> DataFrame:
     rows, _, pack = _state_input(t)
     out = C.apply_overrides(rows, t.overrides.withColumnRenamed("k", "record"), pack)
@@ -124,7 +125,7 @@ def intelligence_states(t: Tables) -> DataFrame:
     season = seasons.where("rank = 1").select("record", F.col("confidence").alias("season_score"))
     rows = rows.join(season, "record", "left").withColumns({"team_score": F.when(F.col("team_id").isNotNull(), 0.96), "league_score": F.lit(None).cast("double"), "facet_count": F.lit(1)})
     state = C.state_columns(C.intelligence_state(C.field_confidence(rows), ["team", "season"], "v1"))
-    return state.select("record", "knowledge_state", F.col("conflict_count").cast("long").alias("conflict_count"), "review_required", F.get_json_object("state_json", "$.claims.team").alias("team_state"), "research_required")
+    return state.select("record", "knowledge_state", F.col("conflict_count").cast("long").alias("conflict_count"), "review_required", F.get_json_object("state_json", "$.automatic.claims.team.state").alias("team_state"), "research_required")
 
 
 @query(f"with {CONFLICTS} select count(*) filter (where n > 0) as review, count(*) filter (where n > 0 or team_id is null or not (k % 4 = 0 and ns = 0)) as research, count(*) filter (where n > 0) as conflicts from st", (*DIMS, "overrides"))
@@ -164,11 +165,46 @@ def navigation(t: Tables) -> DataFrame:
     return C.build_navigation(items, counts).select("id", "sort_order", "total")
 
 
-@query("select 'alias_of_several' as \"check\", min(team_id) as id from team_dim group by substr(team_id, 1, 1) having count(*) > 1", ("team_dim",))
+@query("""select 'alias_of_several' as "check", min(team_id) as id from team_dim group by substr(team_id, 1, 1) having count(*) > 1 union all select 'bad_threshold', 'needsReview' union all select 'pack_bad_key', 'Bad Key' union all select 'team_repeats', team_id from team_dim where ordinal % 3 = 0
+    union all select 'navigation_bad_label', team_id from team_dim where ordinal % 4 = 0 union all select 'navigation_bad_order', team_id from team_dim where ordinal % 5 = 0 union all select 'navigation_bad_kind', team_id from team_dim where ordinal % 7 = 0
+    union all select 'navigation_repeats', team_id from team_dim where ordinal % 2 = 0 union all select 'navigation_too_long', cast(c as varchar) from (select count(*) + count(*) filter (where ordinal % 2 = 0) as c from team_dim) where c > 64""", ("team_dim",))
 def pack_faults(t: Tables) -> DataFrame:
     pack = pack_of(t)
     teams = pack.aliases.where("kind = 'team'").withColumn("alias", F.substring("alias", 1, 1))
-    return C.validate_pack(C.Pack(teams, pack.teams, pack.facets))
+    o = F.col("ordinal")
+    items = t.team_dim.select(F.col("team_id").alias("id"), F.when(o % 4 == 0, "see HTTPS://x.test").otherwise("Name").alias("name"), F.when(o % 7 == 0, "9 kinds").otherwise("team").alias("kind"), F.when(o % 5 == 0, 10_001).otherwise(o).alias("sort_order"), "ordinal")
+    again = items.where(o % 2 == 0).select(F.upper("id").alias("id"), F.lit("Other").alias("name"), F.lit("team").alias("kind"), F.lit(1).cast("long").alias("sort_order"))
+    twice = pack.teams.unionByName(pack.teams.join(t.team_dim.where(o % 3 == 0).select(F.col("team_id").alias("id")), "id", "left_semi"))
+    return C.validate_pack(C.Pack(teams, twice, pack.facets, thresholds={"needsReview": 1.5, "known": 1.0}, key="Bad Key", navigation=items.drop("ordinal").unionByName(again)))
+
+
+#: Overrides by the last digit of a record.
+GIVEN = ['{"teamId":null}', '{"teamId":"bolt"}', '{"leagueId":"nowhere"}', '{"facetIds":["hot","hot"]}', '{"displayName":"see http://x"}', '{"facetIds":["nothing"]}', '{"classificationStatus":"unknown","classificationConfidence":0.25}', '{"teamId":"bolt","color":1}', 'no json', '{"leagueId":null,"displayName":" Fine name "}']
+
+
+@query("""select k as record, case k % 10 when 0 then null when 1 then 'bolt' else 'x' end as team_id, case k % 10 when 1 then (select league_id from team_dim where team_id = 'bolt') when 9 then null else 'y' end as league_id, case k % 10 when 3 then 'hot' else 'old' end as facets,
+    case when k % 10 in (0, 1) then 'version' when k % 10 = 3 then 'team' else 'team,version' end as conflicts, case k % 10 when 6 then 'unknown' else 'needs_review' end as status, case k % 10 when 6 then 0.25 else 0.5 end as confidence, case when k % 10 in (0, 1) then 1.0 else 0.45 end as team_confidence,
+    case k % 10 when 9 then 'Fine name' end as display_name, k % 10 in (0, 1, 3, 6, 9) as override_applied, case k % 10 when 2 then 'unknown_league' when 4 then 'unsafe_label' when 5 then 'unknown_facet' when 7 then 'unknown_key' when 8 then 'bad_json' end as override_error,
+    case k % 10 when 0 then 'merchant_override' when 1 then 'merchant_override' else 'inference' end as team_claim, case when k % 10 in (0, 1) then 'VERIFIED' else 'CONFLICT' end as team_state, 'CONFLICT' as automatic_state, 'field_conflict,knowledge_conflict' as reasons from titles""", ("team_dim", "titles"))
+def override_rules(t: Tables) -> DataFrame:
+    """Each kind of override on records with conflicts of team and version, and both views of the state that follows."""
+    k = F.col("k")
+    rows = t.titles.select(
+        k.alias("record"), F.lit("x").alias("team_id"), F.lit("y").alias("league_id"), F.array(F.lit("old")).alias("facets"), F.lit("needs_review").alias("status"), F.lit(0.5).alias("confidence"), F.lit("automatic").alias("base_status"), F.lit(0.95).alias("base_confidence"),
+        F.array(F.lit("team"), F.lit("version")).alias("conflicts"), F.lit(0.45).alias("team_confidence"),
+    )
+    given = t.titles.select(k.alias("record"), F.get(F.array(*[F.lit(g) for g in GIVEN]), (k % 10).cast("int")).alias("json"))
+    out = C.apply_overrides(rows, given, pack_of(t))
+    state = C.intelligence_state(out, ["team"], "v1")
+    part = lambda p: F.get_json_object("state_json", p)
+    seen = state.select("record", part("$.effective.claims.team.source").alias("team_claim"), part("$.effective.claims.team.state").alias("team_state"), part("$.automatic.knowledgeState").alias("automatic_state"), F.array_join("reasons", ",").alias("reasons"))
+    return out.select("record", "team_id", "league_id", F.array_join("facets", ",").alias("facets"), F.array_join("conflicts", ",").alias("conflicts"), "status", "confidence", "team_confidence", "display_name", "override_applied", "override_error").join(seen, "record")
+
+
+@query("select event_id, case when event_id % 5 <> 0 then cast(json_extract_string(props, '$.k') as integer) end as k, event_id % 5 <> 0 as good from events")
+def safe_json(t: Tables) -> DataFrame:
+    value = scoring.safe_json(F.when(F.col("event_id") % 5 == 0, F.concat("props", F.lit("x"))).otherwise(F.col("props")), "k int")
+    return t.events.select("event_id", value["k"].alias("k"), value.isNotNull().alias("good"))
 
 
 @query("select k as record from titles where k % 5 = 0 or k % 7 <> 0", ("titles",))
@@ -178,10 +214,12 @@ def stale_products(t: Tables) -> DataFrame:
     return C.stale_products(records, records.where("record % 5 = 0"), state, "v2")
 
 
-@query("select k as record, team_id as team from titles left join (select k as kk, w as team_id from (select k, unnest(string_split(p_name, ' ')) as w from titles) where w in (select team_id from team_dim)) on kk = k", DIMS)
+@query("""select k as record, split_part(p_name, ' ', 2) as team, case when k % 4 = 0 then 1.0 else 0.96 end as confidence, case when k % 4 = 0 then '' else 'title' end as sources, case when k % 4 = 0 then 'merchant_override' else 'inference' end as source from titles""", ("titles",))
 def claims(t: Tables) -> DataFrame:
-    rows = t.titles.select(F.col("k").alias("record"), F.split("p_name", " ")[1].alias("team_id"), F.lit(0.96).alias("team_confidence"))
-    return C.build_claims(rows, ["team"]).select("record", F.col("claims")["team"]["value"].alias("team"))
+    """The team of each record with its evidence; a fourth of them comes from the merchant."""
+    rows = t.titles.select(F.col("k").alias("record"), F.split("p_name", " ")[1].alias("team_id"), F.lit(0.96).alias("team_confidence"), F.array(F.lit("title"), F.lit("title")).alias("team_sources"), F.when(F.col("k") % 4 == 0, F.array(F.lit("team"))).otherwise(F.array().cast("array<string>")).alias("override_fields"))
+    team = F.col("claims")["team"]
+    return C.build_claims(rows, ["team"]).select("record", team["value"].alias("team"), team["confidence"].alias("confidence"), F.array_join(team["sources"], ",").alias("sources"), team["source"].alias("source"))
 
 
 @query(f"""with {WORDS}, {TEAMS}, {FACETS}, own as (select k, league_id from team_hits union select k, p_type from titles), found as (select k, 'team' as field from team_hits group by k having count(*) > 1 union all select k, 'league' from own group by k having count(*) > 1
