@@ -56,14 +56,19 @@ def json_int(col: Column, path: str) -> Column:
     return F.try_variant_get(F.try_parse_json(col), path, "int")
 
 
+def is_json(col: Column) -> Column:
+    """Whether a text is one JSON value with nothing after it."""
+    return F.coalesce(F.json_array_length(F.concat(F.lit("["), col, F.lit("]"))) == 1, F.lit(False))
+
+
 def safe_json(col: Column, schema: str) -> Column:
     """A JSON text as a value of a schema; null for bad JSON or none, nulls inside for fields of another type."""
-    return F.from_json(F.when(F.try_parse_json(col).isNotNull(), col), schema)
+    return F.from_json(F.when(is_json(col), col), schema)
 
 
 def json_has(col: Column, key: str) -> Column:
     """Whether a JSON object has a key, a null value included."""
-    return F.coalesce(F.array_contains(F.json_object_keys(F.when(F.try_parse_json(col).isNotNull(), col)), key), F.lit(False))
+    return F.coalesce(F.array_contains(F.json_object_keys(F.when(is_json(col), col)), key), F.lit(False))
 
 
 def minutes_after(ts: Column, minutes: int) -> Column:

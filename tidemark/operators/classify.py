@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.scoring import base_confidence, json_has, knowledge_state, season_candidates
+from tidemark.functions.scoring import base_confidence, is_json, knowledge_state, season_candidates
 from tidemark.functions.text import clean_ws, fold
 from tidemark.operators.counts import aggregate_matches, dim_counts
 from tidemark.operators.ranking import dedupe_seasons, first_per_key
@@ -318,7 +318,7 @@ def parse_overrides(overrides: DataFrame, pack: Pack, unwanted: str = URL) -> Da
     kind = lambda k: F.schema_of_variant(F.try_variant_get(F.try_parse_json("json"), f"$.{k}", "variant"))
     rows = overrides.groupBy("record").agg(F.min("json").alias("json")).where("json is not null and trim(json) <> ''")
     parsed = F.try_parse_json("json")
-    is_object = F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
+    is_object = is_json(F.col("json")) & F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
     rows = rows.withColumn("given", F.coalesce(F.when(is_object, F.json_object_keys("json")), F.array().cast("array<string>")))
     ids = F.transform(F.from_json(text("facetIds"), "array<string>"), lambda i: F.trim(i))
     values = {

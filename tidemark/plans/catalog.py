@@ -348,9 +348,10 @@ def matched_media(t: Tables) -> DataFrame:
     return tables.require_total_match(t.lineitem.select("l_suppkey", "l_orderkey", "l_linenumber"), sources, ["l_suppkey"]).drop("l_suppkey")
 
 
-@query("""with m as (select distinct event_type as scope_id, user_id as member from events) select distinct member from m where scope_id = 'error' and member not in (select member from m where scope_id <> 'error')""")
+@query("""with m as (select distinct event_type as scope_id, cast(user_id as varchar) || '|' || cast(cast(ts as date) as varchar) as member from events), n as (select member, count(*) as scopes, max(scope_id) as one from m group by 1) select member from n where scopes = 1 and one = 'error'""")
 def removable_members(t: Tables) -> DataFrame:
-    members = t.events.select(F.col("event_type").alias("scope_id"), F.col("user_id").alias("member")).distinct()
+    """Users' days with errors and nothing else."""
+    members = t.events.select(F.col("event_type").alias("scope_id"), F.concat_ws("|", "user_id", F.date_format("ts", "yyyy-MM-dd")).alias("member")).distinct()
     return tables.removable(members.where("scope_id = 'error'").select("member"), members.where("scope_id <> 'error'"), ["member"])
 
 
@@ -381,17 +382,17 @@ def media_files(t: Tables) -> DataFrame:
     return out.unionByName(snapshots.unreferenced_media(files, referenced).select(F.lit("unreferenced").alias("kind"), F.col("files").cast("string").alias("id"), "bytes"))
 
 
-@query("select 'product' as kind, p_name as id from part where p_partkey % 50 = 0 union all select 'node', n_name from nation union all select 'generated', 'today'")
+@query("select 'product' as kind, p_name as id from part union all select 'node', n_name from nation union all select 'generated', 'today'")
 def catalog_snapshot(t: Tables) -> DataFrame:
-    """A snapshot document, written by Spark, and read as products, taxonomy and meta."""
-    listed = lambda df, *cols: df.agg(F.collect_list(F.struct(*cols)).alias("x"))
-    products = listed(t.part.where("p_partkey % 50 = 0"), F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name")).withColumnRenamed("x", "products")
-    taxonomy = listed(t.nation, F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name")).withColumnRenamed("x", "taxonomy")
+    """Snapshot documents of at most 1,000 parts, written by Spark, and read as products, taxonomy and meta."""
+    listed = lambda *cols: F.collect_list(F.struct(*cols))
+    products = t.part.groupBy(F.expr("p_partkey div 1000").alias("no")).agg(listed(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name")).alias("products"))
+    taxonomy = F.broadcast(t.nation.agg(listed(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name")).alias("taxonomy")))
     root = new_folder(t.spark, "snapshot")
-    products.crossJoin(taxonomy).withColumn("generatedAt", F.lit("today")).write.json(root)  # one row
+    products.crossJoin(taxonomy).withColumn("generatedAt", F.lit("today")).write.partitionBy("no").json(root)  # the taxonomy is one row
     doc = snapshots.read_catalog_snapshot(t.spark, root)
-    out = doc["products"].select(F.lit("product").alias("kind"), F.col("name").alias("id")).unionByName(doc["taxonomy"].select(F.lit("node").alias("kind"), F.col("name").alias("id")))
-    return out.unionByName(doc["meta"].select(F.lit("generated").alias("kind"), F.col("generatedAt").alias("id")))
+    out = doc["products"].select(F.lit("product").alias("kind"), F.col("name").alias("id")).unionByName(doc["taxonomy"].select(F.lit("node").alias("kind"), F.col("name").alias("id")).distinct())
+    return out.unionByName(doc["meta"].select(F.lit("generated").alias("kind"), F.col("generatedAt").alias("id")).distinct())
 
 
 @query("select n_name as name, n_regionkey as region from nation")

@@ -17,8 +17,8 @@ DIMS = ("titles", "team_dim", "facet_dim", "types")
 #: Words of a title, as rows.
 WORDS = "words as materialized (select k, unnest(string_split(regexp_replace(title, '[^a-z0-9]+', ' ', 'g'), ' ')) as w, title, p_type, p_brand from titles)"
 TEAMS = "team_hits as materialized (select distinct k, t.team_id, t.league_id, t.ordinal from words join team_dim t on t.team_id = w)"
-COLD = "not (facet_id = 'old' and k in (select k from words where w = 'cold'))"  # a shorter token within a longer one doesn't count
-FACETS = "facet_hits as materialized (select distinct k, f.facet_id, f.facet_type, f.ordinal from words join facet_dim f on f.facet_id = w)"
+COLD = "not (facet_id = 'old' and cold)"  # a shorter token within a longer one doesn't count
+FACETS = "facet_hits as materialized (select distinct words.k, f.facet_id, f.facet_type, f.ordinal, c.k is not null as cold from words join facet_dim f on f.facet_id = w left join (select distinct k from words where w = 'cold') c on c.k = words.k)"
 
 
 def pack_of(t: Tables) -> C.Pack:
@@ -64,7 +64,7 @@ def base_status(t: Tables) -> DataFrame:
     return C.classify_base(leagued_of(t), pack_of(t)).withColumn("facets", F.array_join("facets", ","))
 
 
-@query(f"with {WORDS} select distinct k as record, 'team' as kind, w as id, 0.96 as score, 'title' as sources from words where w in (select team_id from team_dim) union all select distinct k, 'facet', w, 0.96, 'title' from words where w in (select facet_id from facet_dim) and not (w = 'old' and k in (select k from words where w = 'cold')) union all select k, 'league', p_type, 0.97, 'category,path' from titles", DIMS)
+@query(f"with {WORDS}, {TEAMS}, {FACETS} select k as record, 'team' as kind, team_id as id, 0.96 as score, 'title' as sources from team_hits union all select k, 'facet', facet_id, 0.96, 'title' from facet_hits where {COLD} union all select k, 'league', p_type, 0.97, 'category,path' from titles", DIMS)
 def evidence_scores(t: Tables) -> DataFrame:
     evidence = C.build_evidence(leagued_of(t)).where("code is null")
     return C.evidence_candidates(evidence, pack_of(t)).withColumn("sources", F.array_join("sources", ","))
@@ -133,7 +133,7 @@ def exception_counts(t: Tables) -> DataFrame:
     return exception_metrics(intelligence_states(t))
 
 
-@query(f"with {WORDS}, {TEAMS}, {FACETS} select t.k as record, case when exists (select 1 from team_hits h where h.k = t.k) then 0.96 when exists (select 1 from facet_hits f where f.k = t.k) then 0.96 when t.k % 4 = 0 then 0.78 else 0.25 end as confidence, case when exists (select 1 from team_hits h where h.k = t.k) or exists (select 1 from facet_hits f where f.k = t.k) or t.k % 4 = 0 then 'a' else 'b' end as pack from titles t", DIMS)
+@query(f"with {WORDS}, {TEAMS}, {FACETS}, hit as (select k from team_hits union select k from facet_hits) select t.k as record, case when h.k is not null then 0.96 when t.k % 4 = 0 then 0.78 else 0.25 end as confidence, case when h.k is not null or t.k % 4 = 0 then 'a' else 'b' end as pack from titles t left join hit h on h.k = t.k", DIMS)
 def routed_domains(t: Tables) -> DataFrame:
     pack, evidence = pack_of(t), C.build_evidence(records_of(t))
     a = C.domain_confidence(C.evidence_candidates(evidence, pack), evidence.select("record", F.col("name").alias("text")), pack)
