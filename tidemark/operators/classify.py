@@ -531,11 +531,46 @@ def classify_catalog(t: dict[str, DataFrame], pack: Pack, version: str, key: str
     state = state_columns(intelligence_state(done, ["team", "league", "facet", "season"], version))
     state = state.join(done.select("record", "override_applied"), "record")
     counted = lambda dim, facts, column: prune_zero(dim_counts(dim.withColumnRenamed("id", column), facts, column), "product_count").withColumnRenamed(column, "id")
+    return {
+        "products": done, "product_facets": facets, "state": state, "meta": _classification_meta(done, version, key),
+        "leagues": counted(t["leagues"], done, "league_id"), "teams": counted(t["teams"], done, "team_id"), "facets": counted(t["facets"], facets, "facet_id"),
+    }
+
+
+def _classification_meta(done: DataFrame, version: str, key: str) -> DataFrame:
     n = lambda s: F.count_if(F.col("status") == s)
     totals = done.agg(n("automatic").alias("classified"), n("needs_review").alias("needsReview"), n("unknown").alias("unknown"), F.count("*").alias("products"))
     meta = totals.select(F.lit("classification").alias("name"), F.lit(version).alias("version"), F.lit(key).alias("key"), "*")
     short = totals.select(F.lit("normalization").alias("name"), F.lit(version).alias("version"), F.lit(None).cast("string").alias("key"), "classified", "needsReview", "unknown", F.lit(None).cast("long").alias("products"))
-    return {
-        "products": done, "product_facets": facets, "state": state, "meta": meta_rows(meta.unionByName(short).withColumnRenamed("name", "_name"), "_name"),
-        "leagues": counted(t["leagues"], done, "league_id"), "teams": counted(t["teams"], done, "team_id"), "facets": counted(t["facets"], facets, "facet_id"),
-    }
+    return meta_rows(meta.unionByName(short).withColumnRenamed("name", "_name"), "_name")
+
+
+def merge_counts(dim: DataFrame, before: DataFrame, added: DataFrame, gone: DataFrame, column: str) -> DataFrame:
+    """dim (id, ...) with product_count: the counts before (id, product_count; none is 0) and one for each fact added, less one
+    for each that is gone; those without products go. Only the facts that changed are read."""
+    signed = added.select(F.col(column).alias("id"), F.lit(1).alias("d")).unionByName(gone.select(F.col(column).alias("id"), F.lit(-1).alias("d")))
+    parts = before.select("id", F.col("product_count").cast("long").alias("d")).unionByName(signed.where("id is not null").select("id", F.col("d").cast("long").alias("d")))
+    return dim.drop("product_count").join(parts.groupBy("id").agg(F.sum("d").alias("product_count")), "id").where("product_count <> 0")
+
+
+def reclassify_catalog(t: dict[str, DataFrame], before: dict[str, DataFrame], events: DataFrame, pack: Pack, version: str, key: str) -> dict[str, DataFrame]:
+    """What classify_catalog gives for t, from the stored tables of an earlier run (before) and the records of events.
+
+    Classified again are products that an event names, that the run before didn't have, or whose state is of another version;
+    products that t no longer has go. All other rows are taken over, and counts move by signed differences. An override
+    that changed has to come with an event. before has to be stored tables of another place than the result's.
+    """
+    products = t["products"]
+    kept_state = before["state"].select("record", F.get_json_object("state_json", "$.classifierVersion").alias("version"))
+    stale = stored(stale_products(products, events, kept_state, version), "stale")
+    gone = before["products"].select("record").join(products.select("record"), "record", "left_anti")
+    touched = small(stored(stale.select("record").unionByName(gone).distinct(), "touched"))
+    if stale.isEmpty():
+        now = {k: before[k].limit(0) for k in ("products", "product_facets", "state")}
+    else:
+        now = classify_catalog(t | {"products": stale}, pack, version, key)
+    out = {k: before[k].join(touched, "record", "left_anti").unionByName(now[k]) for k in ("products", "product_facets", "state")}
+    old = {k: stored(before[k].join(touched, "record", "left_semi"), "old") for k in ("products", "product_facets")}
+    for name, table, column in (("leagues", "products", "league_id"), ("teams", "products", "team_id"), ("facets", "product_facets", "facet_id")):
+        out[name] = merge_counts(t[name], before[name], now[table], old[table], column)
+    return out | {"meta": _classification_meta(out["products"], version, key)}

@@ -231,14 +231,41 @@ def claims(t: Tables) -> DataFrame:
     select 'status' as kind, status as id, count(*) as n from e group by status union all select 'team', team_id, count(*) from e where team_id is not null group by team_id union all select 'league', league_id, count(*) from e group by league_id union all select 'facet', facet_id, count(*) from facet_hits group by facet_id""", (*DIMS, "overrides"))
 def classified_catalog(t: Tables) -> DataFrame:
     """Counts of a whole classification run: statuses as its meta row has them, and the dimensions it keeps."""
+    tables, pack = _catalog(t)
+    return _run_counts(C.classify_catalog(tables, pack, "v1", "key"))
+
+
+def _catalog(t: Tables) -> tuple[dict[str, DataFrame], C.Pack]:
     path = F.array(F.concat(F.lit("x"), "p_type"), "p_brand")
     products = t.titles.select(F.col("k").alias("record"), F.col("title").alias("name"), F.concat(F.lit("x"), "p_type").alias("category"), path.alias("category_path_ids"))
     categories = t.titles.select(F.explode(path).alias("id")).distinct().withColumn("name", F.col("id"))
     pack = pack_of(t)
     dims = {"leagues": t.types.select(F.col("league_id").alias("id")), "teams": pack.teams.select("id"), "facets": pack.facets.select("id")}
-    out = C.classify_catalog({"products": products, "categories": categories, "overrides": t.overrides.withColumnRenamed("k", "record"), **dims}, pack, "v1", "key")
+    return {"products": products, "categories": categories, "overrides": t.overrides.withColumnRenamed("k", "record"), **dims}, pack
+
+
+def _run_counts(out: dict[str, DataFrame]) -> DataFrame:
     total = lambda name, field: F.struct(F.lit(name).alias("id"), F.get_json_object("value", f"$.{field}").cast("long").alias("n"))
     meta = out["meta"].where("key = 'classification'").select(F.explode(F.array(total("automatic", "classified"), total("needs_review", "needsReview"), total("unknown", "unknown"))).alias("c")).select(F.lit("status").alias("kind"), "c.*").where("n > 0")
     for kind in ("team", "league", "facet"):
         meta = meta.unionByName(out[f"{kind}s"].select(F.lit(kind).alias("kind"), "id", F.col("product_count").alias("n")))
     return meta
+
+
+@query(f"""with {WORDS}, {TEAMS}, {FACETS}, own as (select k, league_id from team_hits union select k, p_type from titles), found as (select k, 'team' as field from team_hits group by k having count(*) > 1 union all select k, 'league' from own group by k having count(*) > 1
+    union all select k, 'season' from titles where k % 12 = 0 union all select k, 'version' from facet_hits where facet_type = 'version' and {COLD} group by k having count(*) > 1),
+    best as (select h.k, h.team_id from team_hits h join titles t on t.k = h.k where h.league_id = t.p_type qualify row_number() over (partition by h.k order by length(h.team_id) desc, h.ordinal) = 1),
+    st as (select t.k, t.p_type, b.team_id, count(f.field) as n, count(*) filter (where f.field = 'team') as nt, count(*) filter (where f.field = 'league') as nl from titles t left join best b on b.k = t.k left join found f on f.k = t.k group by 1, 2, 3),
+    r as (select st.*, json, case when json is null then n when st.k % 3 = 0 then n - nt else n - nt - nl end as rest from st left join overrides o on o.k = st.k),
+    e as (select k, case when json is null then team_id when k % 3 = 0 then null else 'bolt' end as team_id, case when json is null or k % 3 = 0 then p_type else (select d.league_id from team_dim d where d.team_id = 'bolt') end as league_id, case when json is not null and rest = 0 then 'automatic' when n > 0 then 'needs_review' else 'automatic' end as status from r)
+    select 'status' as kind, status as id, count(*) as n from e group by status union all select 'team', team_id, count(*) from e where team_id is not null group by team_id union all select 'league', league_id, count(*) from e group by league_id union all select 'facet', facet_id, count(*) from facet_hits group by facet_id""", (*DIMS, "overrides"))
+def reclassified_catalog(t: Tables) -> DataFrame:
+    """The counts of classified_catalog from an earlier run in which a fifth of the products had other names and a seventh
+    was missing, and some were there that are no more."""
+    tables, pack = _catalog(t)
+    r = F.col("record")
+    earlier = tables["products"].where(r % 7 != 3).withColumn("name", F.when(r % 5 == 0, F.lit("cold bolt 24/25")).otherwise(F.col("name")))
+    earlier = earlier.unionByName(tables["products"].where(r % 11 == 0).withColumn("record", -1 - r))
+    before = C.classify_catalog(tables | {"products": earlier}, pack, "v1", "key")
+    before = {k: stored(df, f"run-{k}") for k, df in before.items()}
+    return _run_counts(C.reclassify_catalog(tables, before, tables["products"].where(r % 5 == 0).select("record"), pack, "v1", "key"))
