@@ -57,15 +57,51 @@ def phrases(pack: Pack, kind: str | None = None) -> tuple[DataFrame, int]:
 def match_aliases(texts: DataFrame, pack: Pack, kind: str | None = None, min_len: int = 0) -> DataFrame:
     """texts' columns with kind, id, token, ordinal, whole: each alias that a text contains as whole words.
 
-    A folded text has its words one space apart, so containment is equality with a run of words: an equi-join on all
-    runs up to the longest alias, never a comparison of each text with each alias.
+    A folded text has its words one space apart, so containment is equality with a run of words. Dictionaries of short
+    aliases are met by an equi-join on all runs of up to their words; longer ones by their rarest pair of words (rare_gram_matches). No
+    text is compared with each alias.
     """
     dim, longest = phrases(pack, kind)
-    w = F.split("_folded", " ")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size(w))), lambda n: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))))
     rows = texts.withColumn("_folded", fold(F.coalesce("text", F.lit("")))).where("_folded <> ''")
-    found = rows.withColumn("token", F.explode(F.array_distinct(runs))).join(dim, "token").where(F.length("token") >= min_len)
-    return found.withColumn("whole", F.col("token") == F.col("_folded")).drop("_folded")
+    if longest > SHORT:
+        found = rare_gram_matches(rows, dim)
+    else:
+        w = F.split("_folded", " ")
+        runs = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size(w))), lambda n: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))))
+        found = rows.withColumn("token", F.explode(F.array_distinct(runs))).join(dim, "token")
+    return found.where(F.length("token") >= min_len).withColumn("whole", F.col("token") == F.col("_folded")).drop("_folded")
+
+
+#: Aliases of up to so many words are found among all runs of words; that makes at most so many rows a word.
+SHORT = 3
+
+
+def grams(folded: Column) -> Column:
+    """The distinct words and pairs of neighbouring words of a folded text."""
+    w = F.split(folded, " ")
+    return F.array_distinct(F.concat(w, F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))))
+
+
+def rare_gram_candidates(rows: DataFrame, dim: DataFrame) -> DataFrame:
+    """rows (with _folded) with the aliases of dim (token, ...) whose rarest gram they hold.
+
+    An alias is looked for by one gram: its word, or of several words the pair that the fewest texts hold, counted in one pass
+    over the texts. Aliases with a pair that no text holds are out at once. So the rows follow the hits, not the number of
+    aliases or their words.
+    """
+    several = F.col("token").contains(" ")
+    own = dim.select("token").distinct().withColumn("gram", F.explode(F.filter(grams(F.col("token")), lambda g: ~several | g.contains(" "))))
+    wanted = small(stored(own, "grams"))
+    held = rows.select(F.explode(grams(F.col("_folded"))).alias("gram")).join(small(wanted.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    ranked = wanted.join(held, "gram", "left").groupBy("token").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count_if(F.col("n").isNull()).alias("unseen"))
+    anchors = dim.join(small(stored(ranked.where("unseen = 0").select("token", "gram"), "anchors")), "token")
+    return rows.withColumn("gram", F.explode(grams(F.col("_folded")))).join(small(anchors), "gram").drop("gram")
+
+
+def rare_gram_matches(rows: DataFrame, dim: DataFrame) -> DataFrame:
+    """rare_gram_candidates, verified."""
+    padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    return rare_gram_candidates(rows, dim).where(padded(F.col("_folded")).contains(padded(F.col("token"))))
 
 
 def record_fields(records: DataFrame) -> DataFrame:

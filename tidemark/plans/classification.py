@@ -45,6 +45,17 @@ def alias_matches(t: Tables) -> DataFrame:
     return C.match_aliases(records_of(t).select("record", F.col("name").alias("text")), pack_of(t)).select("record", "kind", "id")
 
 
+@query("""with d as (select distinct p_name || ' ' || p_type as alias, p_type as id from part where p_partkey % 2 = 0), a as (select alias, id, trim(regexp_replace(lower(alias), '[^a-z0-9]+', ' ', 'g')) as token from d), p as (select k, trim(regexp_replace(lower(title || ' ' || p_type || ' ' || p_brand), '[^a-z0-9]+', ' ', 'g')) as text from titles)
+    select p.k as record, a.token, a.id, p.text = a.token as whole from p join a on contains(' ' || p.text || ' ', ' ' || a.token || ' ')""", ("titles",))
+def long_alias_matches(t: Tables) -> DataFrame:
+    """Names with their types as aliases of up to six words, among all titles with their types and brands."""
+    names = t.part.where("p_partkey % 2 = 0").select(F.lit("name").alias("kind"), F.col("p_type").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("alias")).distinct()
+    aliases = names.withColumns({"ordinal": F.lit(0).cast("long"), "alias_ordinal": F.lit(0)})
+    texts = t.titles.select(F.col("k").alias("record"), F.concat_ws(" ", "title", "p_type", "p_brand").alias("text"))
+    empty = t.spark.createDataFrame([], "id string, league_id string, national boolean, facet_type string, sort_order int")
+    return C.match_aliases(texts, C.Pack(stored(aliases, "aliases"), empty, empty)).select("record", "token", "id", "whole")
+
+
 @query(f"with {WORDS}, {TEAMS}, best as (select k, team_id from team_hits qualify row_number() over (partition by k order by length(team_id) desc, ordinal) = 1) select t.k as record, d.league_id, b.team_id from titles t left join best b on b.k = t.k left join team_dim d on d.team_id = b.team_id", DIMS)
 def detected_teams(t: Tables) -> DataFrame:
     records, pack = stored(records_of(t), "records"), pack_of(t)
