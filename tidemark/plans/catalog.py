@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.urls import IMAGE_SCORES
 from tidemark.operators import counts, ranking, sync, tables, taxonomy
+from tidemark.operators.search import PagedTable, SearchIndex
 from tidemark.plans.registry import query
 from tidemark.sources import html_pages, snapshots
 from tidemark.sources.fixtures import Tables
@@ -87,6 +88,23 @@ def search_page(t: Tables) -> DataFrame:
     return ranking.page(found, q.page, q.limit).select("product_id", "sort_order", "total", F.col("total_pages").cast("long").alias("total_pages"), "has_previous", "has_more")
 
 
+@query("select product_id, search_text from products where search_text like '%d_bolt%' union all select product_id, search_text from products where contains(search_text, 'brand#13')", ("products",))
+def indexed_search(t: Tables) -> DataFrame:
+    """Two searches by posting lists of trigrams: one with a wildcard, one without."""
+    index = SearchIndex(t.spark, new_folder(t.spark, "search"), parts=16)
+    index.build(t.products)
+    return index.search("d_bolt").unionByName(index.search("brand#13"))
+
+
+@query("""select l_orderkey, l_linenumber, n as total, cast(ceil(n / 30.0) as bigint) as total_pages, true as has_previous, p < ceil(n / 30.0) as has_more from lineitem, (select count(*) as n, cast(ceil(count(*) / 30.0) as bigint) // 2 as p from lineitem) order by l_orderkey, l_linenumber limit 30 offset (select (cast(ceil(count(*) / 30.0) as bigint) // 2 - 1) * 30 from lineitem)""")
+def deep_page(t: Tables) -> DataFrame:
+    """The page in the middle of all lines."""
+    table = PagedTable(t.spark, new_folder(t.spark, "pages"))
+    table.build(t.lineitem.select("l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"], 10_000)
+    total = table.directory().agg(F.sum("n")).first()[0]
+    return table.page(-(-total // 30) // 2, 30)
+
+
 @query("select product_id, k from products where k > 100 order by k limit 50", ("products",))
 def scan_after(t: Tables) -> DataFrame:
     return ranking.scan_after(t.products, "k", 100, 50).select("product_id", "k")
