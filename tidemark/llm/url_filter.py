@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import reduce
+from functools import cache, reduce
 from zlib import crc32
 
 import numpy as np
@@ -17,98 +17,94 @@ from tidemark.llm.common import ascii_lower
 #: (rule, verdict): a host, then a path from its first slash on.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
-#: The small labelled table: addresses of our own invention, none of a host that a table here has.
+#: The small labelled table. It was written down from what link lists and directories on the web commonly hold, without
+#: regard to the tables at hand: no host, host word or ending of theirs was put in.
 LABELLED = tuple((u, "allow") for u in """
-https://www.cityherald.com/en/2024/budget-vote
-https://blog.gardening.org/en/412
-https://docs.toolchain.net/guide/install.html
-http://library.university.org/de/921/
-https://news.riverside.com/fr/77?page=2&ref=x
-https://en.encyclopedia.org/wiki/Granite
-https://m.weather.net/es/18#top
-http://www.museum.org/en/665.html
-https://recipes.kitchen.com/en/bread/1204
-https://blog.tinkerers.net/en/333/
-http://history.archive.org/de/54.html
-https://www.theater.net/fr/981
-https://thermal.energy.com/en/700?utm_source=feed
-http://blog.northern.net/en/12
-https://www.athletics.org/en/430#top
-https://m.needlework.com/en/88
-https://blog.teaching.net/es/230/
-http://www.philosophy.org/en/593?page=2&ref=x
-https://timetable.railways.com/de/342
-https://forum.cyclists.net/en/thread/2201
-http://research.institute.org/papers/1998/17.pdf
-https://www.parliament.net/fr/debates/540.html
-https://notes.mathematics.com/en/671
-https://blog.astronomy.net/en/875?utm_source=feed
-https://health.clinic.org/en/advice/45
-http://www.festival.com/es/programme
-https://court.records.net/en/opinion/90
-https://m.economics.org/en/101/
-https://blog.authors.com/en/369#top
-https://www.shipping.net/de/252.html
-http://twelfth-night.org/en/217?page=2&ref=x
-https://orchestra.com/fr/414
-https://www.birdwatch.net/en/9?utm_source=feed
-http://volcano.org/de/180/
-https://greenhouse.com/en/785.html
-https://www.harbour.net/en/148.html
-http://carpentry.org/en/14
-https://earthworks.com/es/575?utm_source=feed
-https://www.monthly-review.net/en/926/
-http://lighthouse.org/en/231#top
-https://grammar.com/en/680
-https://m.mountain.net/fr/10
+https://www.nationallibrary.ca/catalogue/maps
+https://botany.univ-lyon.fr/cours/plan.php
+http://www.townhall.se/protokoll/2019.pdf
+https://docs.compilerkit.dev/reference/linker
+https://weather.coastguard.is/forecast/south
+https://www.sculpturepark.nl/bezoek/openingstijden
+https://railmuseum.ch/ausstellung/dampf
+http://parish-records.ie/births/1871
+https://www.chessfederation.eu/tournaments/open
+https://bread.kitchentable.uk/sourdough/starter
+https://www.observatory.cl/images/nebula
+https://wetlands.conservation.za/birds/heron
+https://journal.hydrology.at/volume/14/article/3
+https://www.cityorchestra.pl/koncerty/jesien
+http://people.math.edu.au/notes/topology.html
+https://lighthousekeepers.no/historie/fyr
+https://www.beekeeping.nz/guide/spring
+https://forum.woodturners.be/threads/lathe
+https://hospital.region.dk/patient/information
+https://www.glaciology.gl/data/cores
+https://schooldistrict.us/calendar/terms
+https://blog.letterpress.pt/tipos/garamond
+https://www.folkdance.hu/tanc/csardas
+https://translation.institute.jp/seminar/2018
+http://www.ferryport.fi/aikataulu
+https://opera.teatro.it/stagione/programma
+https://www.geology.museum.br/minerais/quartzo
+https://archive.newspaper.in/editorial/monsoon
+https://mountainrescue.sk/rady/laviny
+https://www.astronomers.mx/noticias/eclipse
+https://climate.research.kr/paper/ocean
+https://www.villagebakery.lu/horaires
+https://grammar.language.gr/lessons/verbs
+https://www.canoeclub.cz/vylety/reka
+https://legal.opinions.ar/fallos/1994
+https://pottery.workshop.tr/glaze/recipes
+https://www.forestry.ee/mets/kask
+https://poems.anthology.ro/autori/index
+https://www.harbourmaster.hr/plovidba/karte
+https://textile.heritage.pe/tejidos/alpaca
 """.split()) + tuple((u, "block") for u in """
-http://www.royal-casino.com/en/140?page=2
-https://lucky-slots-casino.net/bonus/spin
-https://www.grand-jackpot-casino.org/fr/17/
-http://poker-vegas-win.com/en/5
-https://mega-win-lottery.net/en/72?utm_source=mail
-http://you-win-a-prize.org/claim/now
-https://discount-pharmacy-pills.com/en/584
-http://diet-pills-store.net/order/9
-http://m.viagra-pills.org/en/27#top
-https://generic-meds-cheap.com/shop/11
-http://cheap-replica-watches.net/en/500
-https://cheap-loans-today.org/apply/60.html
-https://www.payday-cash-fast.com/en/680
-http://sports-bets-online.net/odds/926/
-https://live-bets-odds.org/en/41
-http://www.bets-and-odds.com/es/318
-https://m.free-spins.net/en/77
-http://free-ringtones-free-games.org/de/963
-https://www.free-iphone-offer.com/en/12?ref=x
-http://adult-cams-live.net/en/6
-https://adult-dating-hot.org/en/450?page=2
-http://xxx-adult-videos.com/en/88/
-https://escort-adult-chat.net/de/963?page=2
-http://ads-server-popunder.org/en/115
-https://www.click-ads-network.com/en/231#top
-http://banner-ads-exchange.net/en/471
-https://track-clicks.org/en/9
-http://pixel-track-visitors.com/fr/10
-https://affiliate-track-link.net/en/2
-http://mail-spam-blast.org/en/533/
-https://bulk-spam-sender.com/en/41
-https://www.comment-spam-tool.net/de/77.html
-http://link-farm-exchange.org/en/302#top
-https://m.backlink-farm-seo.com/es/8
-https://seo-spam-links.net/en/61
-http://keygen-crack-warez.org/fr/438
-http://work-from-home-cash.com/en/27#top
-https://miracle-weight-loss.net/buy/3
-http://crypto-doubler-cash.org/en/19
-https://hot-stock-tips-win.com/en/204
-http://casino-bets-bonus.net/en/33
-https://online-casino-reviews.org/en/8
-https://guestbook-spam.org/en/15
-http://spam-bot-service.com/de/6
-https://content-farm-articles.com/en/70
-http://www.click-farm-likes.net/fr/9
-https://adult-toys-shop.com/en/3
+https://royal-roulette-jackpot.ca/bonus/spin
+http://lotto-jackpot-millions.ie/claim
+https://texas-poker-bonus.au/deposit
+http://poker-room-vip.pt/join
+https://slots-of-gold.sk/spins
+http://roulette-system.tr/order
+https://gambling-tips-vip.se/picks
+https://viagra-online-pharmacy.uk/order/9
+http://cialis-generic.nz/buy
+https://no-prescription-pharmacy.jp/meds
+http://miracle-weightloss.kr/buy/now
+https://diet-miracle-secret.ro/offer
+https://payday-loans-fast.is/apply
+http://instant-loans-nocheck.za/apply
+https://credit-repair-secret.dk/signup
+https://forex-signals-vip.it/profit
+http://bitcoin-doubler.gr/invest
+https://crypto-giveaway.pe/claim
+https://replica-rolex-outlet.ch/shop
+http://designer-replica-bags.pl/sale
+https://luxury-outlet-sale.us/deal
+https://hot-webcam-girls.in/live
+http://xxx-porn-tube.ar/watch
+https://porn-videos-hd.fr/watch
+https://escort-girls-tonight.eu/girls
+http://sexy-singles-dating.no/join
+https://singles-hookup.hu/join
+https://warez-keygen-serial.mx/download
+http://crack-serial-keys.ee/download
+https://torrent-movies-hd.dev/download
+http://popunder-traffic.cl/buy
+https://buy-traffic-visitors.be/order
+https://backlinks-seo-boost.fi/order
+http://buy-followers-likes.lu/order
+https://seo-rank-boost.hr/packages
+http://email-blast-lists.nl/buy
+https://bulk-mailer-lists.at/order
+https://prize-giveaway-claim.gl/claim
+http://iphone-prize-survey.br/claim
+https://survey-reward-claim.cz/claim
+https://work-at-home-profit.ca/signup
+http://get-rich-secret.ie/signup
+https://hot-stock-profit.au/signup
+http://psychic-love-reading.pt/order
 """.split())
 
 
@@ -184,19 +180,39 @@ def split_url(url: str) -> tuple[str, str]:
     return rest[:end].lower(), path[:cut]
 
 
-def default_model() -> UrlModel:
-    return train(tuple((*split_url(u), v) for u, v in LABELLED))
+def cross_validated(labelled: tuple[tuple[str, str, str], ...], folds: int = 10) -> tuple[float, float]:
+    """The threshold of the log odds that parts block from allow best in rows that the model wasn't fitted on (mean of the accuracies
+    of both, the middle of the best range), and that accuracy."""
+    scores, block = [], []
+    for k in range(folds):
+        model = train(tuple(r for i, r in enumerate(labelled) if i % folds != k))
+        scores += [model.score(h, p) for h, p, _ in labelled[k::folds]]
+        block += [v == "block" for *_, v in labelled[k::folds]]
+    z, y = np.array(scores), np.array(block)
+    cuts = np.sort(z)
+    cuts = np.concatenate([[cuts[0] - 1], (cuts[1:] + cuts[:-1]) / 2, [cuts[-1] + 1]])
+    right = np.array([((z[y] > c).mean() + (z[~y] <= c).mean()) / 2 for c in cuts])
+    best = cuts[right == right.max()]
+    return float((best.min() + best.max()) / 2), float(right.max())
 
 
-def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, model: UrlModel | None = None, threshold: float = 0.3) -> DataFrame:
+@cache
+def default_model() -> tuple[UrlModel, float]:
+    """The model of LABELLED, and its threshold by cross-validation on that table alone."""
+    rows = tuple((*split_url(u), v) for u, v in LABELLED)
+    return train(rows), cross_validated(rows)[0]
+
+
+def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, model: UrlModel | None = None, threshold: float | None = None) -> DataFrame:
     """page_id, host, path, rule, score, verdict for each row of pages (page_id, url, ...).
 
     A null url or one without '://' has an empty host and path; no rule fits it and the model judges it like any other.
     Repeated rows give a row each; an empty table gives an empty result; further columns are ignored. score is the
-    model's log odds of block, of rows that a rule decides as well; over ``threshold`` the model blocks (above even odds, as addresses to block are
-    rarer than in the labelled table).
+    model's log odds of block, of rows that a rule decides as well; over ``threshold`` the model blocks (by default the one that cross-validation on the
+    labelled table gives; 0, even odds, for another model).
     """
-    fitted = model or default_model()
+    fitted, over = (model, 0.0) if model else default_model()
+    over = over if threshold is None else threshold
 
     @F.pandas_udf("double")
     def score(hosts: pd.Series, paths: pd.Series) -> pd.Series:
@@ -205,5 +221,5 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, mod
     host, path = host_and_path(F.col("url"))
     rule, verdict = best_rule(F.col("host"), F.col("path"), rules)
     rows = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("score", score("host", "path"))
-    method = F.when(F.col("score") > threshold, "block").otherwise("allow")
+    method = F.when(F.col("score") > over, "block").otherwise("allow")
     return rows.select("page_id", "host", "path", rule.alias("rule"), "score", F.coalesce(verdict, method).alias("verdict"))
