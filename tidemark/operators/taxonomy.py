@@ -5,10 +5,13 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import fold
+from tidemark.operators.ranking import global_positions
 from tidemark.operators.tables import unique_names
+from tidemark.sources.shared import stored
 
 CAP = 8
 
@@ -43,6 +46,54 @@ def depth(tree: DataFrame, cap: int = CAP) -> DataFrame:
     return ancestors(tree, cap).groupBy("id").agg(F.max("distance").alias("depth"))
 
 
+def paths(tree: DataFrame) -> DataFrame:
+    """id, path from the root down to the node, for trees of any depth.
+
+    Each round doubles what is known of a path, so a tree of depth d takes log2(d) joins. A parent that isn't in the tree is none. A
+    cycle is cut above its smallest id, which becomes a root.
+    """
+    known = tree.select(F.col("id").alias("_p")).distinct()
+    edges = tree.groupBy("id").agg(F.min("parent_id").alias("_p")).join(known.withColumn("_in", F.lit(True)), "_p", "left")
+    edges = stored(edges.select("id", F.when(F.col("_in"), F.col("_p")).alias("next")), "edges")
+    rows = edges.select("id", F.array("id").alias("path"), "next")
+    while True:
+        # the farthest ancestor met again: from one place to the other the path is the whole cycle
+        again = F.array_position(F.slice("path", 2, F.size("path")), F.get("path", F.lit(0))).cast("int")
+        cut = rows.where(again > 0).select(F.array_min(F.slice("path", 1, again)).alias("id")).distinct()
+        if not cut.isEmpty():
+            cut = stored(cut.withColumn("_cut", F.lit(True)), "cut")
+            edges = stored(edges.join(cut, "id", "left").select("id", F.when(F.col("_cut").isNull(), F.col("next")).alias("next")), "edges")
+            rows = edges.select("id", F.array("id").alias("path"), "next")
+        elif rows.where("next is not null").isEmpty():
+            return rows.select("id", "path")
+        above = rows.select(F.col("id").alias("_id"), F.col("path").alias("_path"), F.col("next").alias("_next"))
+        joined = rows.join(above, F.col("next") == F.col("_id"), "left")
+        rows = stored(joined.select("id", F.when(F.col("_id").isNull(), F.col("path")).otherwise(F.concat("_path", "path")).alias("path"), F.col("_next").alias("next")), "paths")
+
+
+def intervals(tree: DataFrame) -> DataFrame:
+    """id, pre, last, depth: the number of each node in a walk that meets parents before children, and that of the last node
+    below it. Numbered once for a version of the tree; the subtree of a node is then pre..last."""
+    rows = stored(paths(tree), "tree-paths")
+    below = rows.select(F.explode("path").alias("id")).groupBy("id").agg(F.count("*").alias("_n"))
+    placed = global_positions(rows, ["path"], "pre")
+    return placed.join(below, "id").select("id", "pre", (F.col("pre") + F.col("_n") - 1).alias("last"), (F.size("path") - 1).alias("depth"))
+
+
+def rollup_by_intervals(numbered: DataFrame, direct: DataFrame, part: int = 100_000) -> DataFrame:
+    """id, total: direct counts (id, n) summed over each node's subtree, as a difference of running sums; no closure.
+
+    The running sums are made within parts of the walk, and shifted by the sums of the parts before.
+    """
+    each = numbered.join(direct.groupBy("id").agg(F.sum("n").alias("n")), "id", "left").select("id", "pre", "last", F.coalesce("n", F.lit(0)).alias("n"), F.expr(f"pre div {part}").alias("_part"))
+    sums = each.groupBy("_part").agg(F.sum("n").alias("_s"))
+    before = sums.select("_part", (F.sum("_s").over(W.orderBy("_part")) - F.col("_s")).alias("_before"))  # a row a part
+    inner = F.sum("n").over(W.partitionBy("_part").orderBy("pre"))
+    running = each.withColumn("_inner", inner).join(F.broadcast(before), "_part").withColumn("upto", F.col("_inner") + F.col("_before"))
+    ends = running.select(F.col("pre").alias("last"), F.col("upto").alias("_end"))
+    return running.join(ends, "last").select("id", (F.col("_end") - F.col("upto") + F.col("n")).alias("total"))
+
+
 def in_subtree(products: DataFrame, closure: DataFrame, category_id: str | None, path: str = "category_path_ids") -> DataFrame:
     """Products with a path id in the category's subtree; all for a blank one."""
     if not category_id:

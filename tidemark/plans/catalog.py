@@ -11,7 +11,7 @@ from tidemark.operators.search import PagedTable, SearchIndex
 from tidemark.plans.registry import query
 from tidemark.sources import html_pages, snapshots
 from tidemark.sources.fixtures import Tables
-from tidemark.sources.shared import new_folder
+from tidemark.sources.shared import new_folder, stored
 
 CLOSURE = "closure as (select id, id as ancestor, 0 as distance from tree union all select a.id, b.id, 1 from tree a join tree b on b.id = a.parent_id union all select a.id, c.id, 2 from tree a join tree b on b.id = a.parent_id join tree c on c.id = b.parent_id)"
 DIRECT = "direct as (select id, count(*) as n from members group by id)"
@@ -75,6 +75,12 @@ def merged_entries(t: Tables) -> DataFrame:
     return taxonomy.merge_category_entries(bare.unionByName(linked)).select("id", "name", "parent_id")
 
 
+@query(f"with {CLOSURE}, {DIRECT} select c.ancestor as id, cast(coalesce(sum(d.n), 0) as bigint) as total from closure c left join direct d on d.id = c.id group by 1", ("tree", "members"))
+def interval_rollup(t: Tables) -> DataFrame:
+    """Category totals from the numbers of a walk through the tree."""
+    return taxonomy.rollup_by_intervals(stored(taxonomy.intervals(t.tree), "intervals"), _direct(t))
+
+
 @query("select category_id, count(*) as product_count from product_categories group by 1", ("product_categories",))
 def category_path_counts(t: Tables) -> DataFrame:
     return counts.path_counts(t.products)
