@@ -78,6 +78,7 @@ IMAGE_SCORES = {
     "display": {"big": 1200, "medium": 1100, "original": 1000, "small": 700, "other": 400},
     "thumb": {"small": 1200, "medium": 1100, "square": 1000, "tiny": 950, "big": 700, "original": 500, "other": 400},
 }
+#: Where a picture's address is looked for, and what each place is worth.
 ATTRIBUTE_PRIORITY = {"data-origin-src": 100, "data-original": 90, "data-src": 70, "data-lazy": 60, "src": 20}
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -39,20 +40,47 @@ def _meta_checks(meta: DataFrame, contract: int) -> dict[str, Column]:
     return {"navigation_meta": count(navigation), "merchandising_meta": count(merchandising)}
 
 
-def run_battery(t: dict[str, DataFrame], version: str, patterns: list[str], contract: int = 1) -> DataFrame:
+def _leak(df: DataFrame, patterns: list[str]) -> Column:
+    texts = [c for c, kind in df.dtypes if kind == "string"]
+    return reduce(lambda a, b: a | b, [F.lower(F.coalesce(F.col(c), F.lit(""))).contains(x) for c in texts for x in patterns], F.lit(False))
+
+
+def row_checks(t: dict[str, DataFrame], patterns: list[str], contract: int = 1) -> dict[str, dict[str, Column]]:
+    """The checks of a battery that each row of a table answers by itself, as aggregates by table and name."""
+    count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    return {
+        "products": {"products": F.count(F.lit(1)), "leaks": count(_leak(t["products"], patterns))},
+        "intelligence": {"review_required": count(F.col("review_required")), "research_required": count(F.col("research_required")), "conflicts": count(F.col("conflict_count") > 0)},
+        "meta": _meta_checks(t["meta"], contract),
+    }
+
+
+def write_checked(t: dict[str, DataFrame], root: str, patterns: list[str], contract: int = 1) -> tuple[dict[str, DataFrame], dict[str, int]]:
+    """Write the tables of a battery below root and answer its row checks on the way, by observations of the writes: the tables
+    as they are read again, and the totals by check. No table is read for them."""
+    checks, totals, out = row_checks(t, patterns, contract), {}, {}
+    for name, df in t.items():
+        seen = Observation(f"{name}-{uuid.uuid4().hex}") if name in checks else None
+        (df.observe(seen, *[c.alias(k) for k, c in checks[name].items()]) if seen else df).write.parquet(f"{root}/{name}")
+        totals |= {k: int(v or 0) for k, v in seen.get.items()} if seen else {}
+        out[name] = df.sparkSession.read.schema(df.schema).parquet(f"{root}/{name}")
+    return out, totals
+
+
+def run_battery(t: dict[str, DataFrame], version: str, patterns: list[str], contract: int = 1, observed: dict[str, int] | None = None) -> DataFrame:
     """check_no, name, total of each count check, in the order of CHECKS.
 
     t: products (k, category_id, team_id, league_id, image_count, primary_media_id, text columns), categories, teams,
     leagues, facets, product_categories, product_facets, product_media, media, state (k, version, override_applied),
     intelligence (k, version, override_applied, review_required, research_required, conflict_count, state_json),
-    overrides and meta (key, value). Each table is read for one aggregate, with its parents joined to it as flags.
+    overrides and meta (key, value). Each table is read for one aggregate, with its parents joined to it as flags. Totals in
+    ``observed`` (of write_checked) are taken as they are, and what they alone need isn't read.
     """
     flag = lambda df, key, name: df.select(key, F.lit(True).alias(name)).distinct()
     p, m = t["products"], t["media"].where("active")
     has_override = flag(t["overrides"], "k", "_override")
     is_product, is_media = flag(p, "k", "_product"), flag(m, "media_id", "_media")
-    texts = [c for c, kind in p.dtypes if kind == "string"]
-    leak = reduce(lambda a, b: a | b, [F.lower(F.coalesce(F.col(c), F.lit(""))).contains(x) for c in texts for x in patterns], F.lit(False))
+    leak = _leak(p, patterns)
     no = lambda c: F.coalesce(F.col(c), F.lit(False)) == F.lit(False)
     count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
     current = {"state": F.col("version") == version, "intelligence": (F.col("version") == version) & F.try_parse_json("state_json").isNotNull()}
@@ -77,7 +105,11 @@ def run_battery(t: dict[str, DataFrame], version: str, patterns: list[str], cont
         aggregates.append(count_mismatches(dim, facts, key).agg(F.count("*").alias(name)))
     aggregates.append(t["meta"].agg(*[c.alias(name) for name, c in _meta_checks(t["meta"], contract).items()]))
     listed = lambda df: df.select(F.explode(F.array(*[F.struct(F.lit(CHECKS.index(c)).alias("check_no"), F.lit(c).alias("name"), F.col(c).alias("total")) for c in df.columns])).alias("c")).select("c.*")
-    return reduce(DataFrame.unionByName, [listed(df) for df in aggregates])
+    given = observed or {}
+    parts = [listed(df.drop(*given)) for df in aggregates if set(df.columns) - set(given)]
+    if given:
+        parts.append(p.sparkSession.createDataFrame([(CHECKS.index(k), k, v) for k, v in given.items()], "check_no int, name string, total long"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def findings(battery: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.sources.commits import Conflict, commit, latest, remove
+from tidemark.sources.shared import stored
 
 SNAPSHOT = """taxonomy array<struct<id:string,name:string,parentId:string,childIds:array<string>,depth:int>>,
     products array<struct<id:string,name:string,category:string,categoryId:string,categoryPathIds:array<string>,description:string,images:array<string>,
@@ -25,15 +26,16 @@ def read_catalog_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame
 
 
 def flatten_results(df: DataFrame, col: str = "payload") -> DataFrame:
-    """value (JSON text) of each element of the results arrays of a JSON payload, however deep these are nested; a small job a level."""
-    out, now = [], df.select(F.col(col).alias("value"))
+    """value (JSON text) of each element of the results arrays of a JSON payload, however deep these are nested. Each level is
+    stored once, so that a level costs what it holds."""
     inner = F.get_json_object("value", "$.results")
+    now = df.select(F.col(col).alias("value"))
+    out = [now.where(inner.isNull())]
     while True:
-        out.append(now.where(inner.isNull()))
-        deeper = now.where(inner.isNotNull())
-        if deeper.isEmpty():
+        now = stored(now.where(inner.isNotNull()).select(F.explode(F.from_json(inner, "array<string>")).alias("value")), "level")
+        if now.isEmpty():
             return reduce(DataFrame.unionByName, out)
-        now = deeper.select(F.explode(F.from_json(inner, "array<string>")).alias("value"))
+        out.append(now.where(inner.isNull()))
 
 
 def json_array_rows(df: DataFrame, key: str, col: str, schema: str = "array<string>") -> DataFrame:
