@@ -37,22 +37,33 @@ def test_a_run_over_five_batches(spark, tmp_path):
     dealt = [rows[:20], rows[20:30], ended("r1", 0, 60) + rows[:5], rows[30:55], rows[55:], second, observed("r3", 2, range(9))]
     whole = [[*rows, *ended("r1", 0, 60)], second]
     for name, files in (("dealt", dealt), ("whole", whole)):
-        sync.sync_stream(feed(spark, f"{tmp_path}/{name}", OBSERVATIONS, files), f"{tmp_path}/{name}-index", f"{tmp_path}/{name}-check", shards=3).awaitTermination()
+        sync.sync_stream(feed(spark, f"{tmp_path}/{name}", OBSERVATIONS, files), f"{tmp_path}/{name}-index", f"{tmp_path}/{name}-check", shards=3, buckets=4).awaitTermination()
     assert index_of(spark, f"{tmp_path}/dealt-index") == index_of(spark, f"{tmp_path}/whole-index") == sorted((str(i), "active" if i < 50 else "missing", int(i >= 50), "r2") for i in range(60))
     assert sync.promoted_runs(spark, f"{tmp_path}/dealt-index") == ["r1", "r2"]
     # the same feed once more, as after a lost checkpoint
     again = spark.readStream.schema(OBSERVATIONS).parquet(f"{tmp_path}/dealt")
-    sync.sync_stream(again, f"{tmp_path}/dealt-index", f"{tmp_path}/check-2", shards=3).awaitTermination()
+    sync.sync_stream(again, f"{tmp_path}/dealt-index", f"{tmp_path}/check-2", shards=3, buckets=4).awaitTermination()
     assert index_of(spark, f"{tmp_path}/dealt-index") == index_of(spark, f"{tmp_path}/whole-index")
     assert "HDFS" in spark.conf.get(PROVIDER)
 
 
+def test_a_run_waits_while_others_go(spark, tmp_path):
+    """r3 has ended, but lacks rows while r2 is promoted and r1's last rows come late; a run's id may be any text."""
+    files = [observed("r1", 0, range(20)) + ended("r1", 0, 20), observed("r3: a/b%", 1, range(15)) + ended("r3: a/b%", 1, 18), observed("r2", 1, range(19)) + ended("r2", 1, 19), observed("r1", 1, [40])]
+    files += [observed("r3: a/b%", 2, range(15, 18))]
+    root = f"{tmp_path}/index"
+    sync.sync_stream(feed(spark, f"{tmp_path}/feed", OBSERVATIONS, files), root, f"{tmp_path}/check", shards=2, buckets=4).awaitTermination()
+    assert sync.promoted_runs(spark, root) == ["r1", "r2", "r3: a/b%"]
+    assert index_of(spark, root) == sorted((str(i), "active" if i < 18 else "missing", {18: 1, 19: 2}.get(i, 0), "r3: a/b%") for i in range(20))
+    assert spark.read.schema(sync.STAGED).parquet(f"{root}/staged").where("kind = 'row'").isEmpty()
+
+
 def test_blocked_and_unfinished_runs(spark, tmp_path):
     files = [observed("r1", 0, range(300)) + ended("r1", 0, 300), observed("r2", 1, range(10)) + ended("r2", 1, 10)]  # a catastrophe
     files += [observed("r3", 2, range(290)) + ended("r3", 2, 299), observed("r4", 2, range(280)), ended("r5", 2, 0)]  # lacks rows, never ends, is empty
     files += [observed("r6", 3, range(295)) + ended("r6", 3, 295, failures=2), observed("r7", 40, range(285)) + ended("r7", 40, 285)]
     root = f"{tmp_path}/index"
-    sync.sync_stream(feed(spark, f"{tmp_path}/feed", OBSERVATIONS, files), root, f"{tmp_path}/check", shards=2, patience_ms=24 * 3_600_000).awaitTermination()
+    sync.sync_stream(feed(spark, f"{tmp_path}/feed", OBSERVATIONS, files), root, f"{tmp_path}/check", shards=2, buckets=4, patience_ms=24 * 3_600_000).awaitTermination()
     headers = {r["run_id"]: (r["outcome"], r["reason"], r["observed"], r["known"]) for r in sync.run_headers(spark, root).collect()}
     assert headers.pop("r1")[0] == "proceed" and headers.pop("r7") == ("proceed", None, 285, 300)
     assert headers == {"r2": ("quarantine", "sync_catastrophic_volume_drop", 10, 300), "r5": ("quarantine", "sync_scan_empty", 0, 300), "r6": ("preserve_last_known_good", "sync_scan_has_disqualifying_failures", 295, 300)}

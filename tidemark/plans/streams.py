@@ -117,5 +117,5 @@ def stream_sync(t: Tables) -> DataFrame:
     parts = [rows("r1", 1, prev.where("k % 3 < 2")), rows("r1", 1, prev.where("k % 3 = 2")).unionByName(end("r1", 1, prev))]
     parts += [end("r2", 2, cur).unionByName(rows("r2", 2, cur.where("k % 2 = 0"))), rows("r2", 2, cur.where("k % 2 = 1")).unionByName(rows("r2", 2, cur.where("k % 10 = 3")))]  # the end first, and repeated rows
     parts += [rows("r3", 3, few).unionByName(end("r3", 3, few)), end("r4", 4, cur.where("false")).unionByName(rows("r5", 4, cur.where("k % 2 = 0")))]
-    sync.sync_stream(_feed(t, root, parts), f"{root}/index", f"{root}/check", shards=2).awaitTermination()
+    sync.sync_stream(_feed(t, root, parts), f"{root}/index", f"{root}/check", shards=2, buckets=8).awaitTermination()
     return sync.promoted_index(t.spark, f"{root}/index").select("source_id", "status", "miss_count", "version")

@@ -19,6 +19,8 @@ VALUES = "fingerprint string, category_id string, category_path_ids array<string
 NAMES = [c.strip().split(" ")[0] for c in VALUES.split(",")]
 #: Writes after which reading would merge too many versions of a key.
 MOST_WRITES = 8
+#: Labels that a commit remembers.
+MOST_LABELS = 100
 
 
 class ListingIndex:
@@ -33,6 +35,7 @@ class ListingIndex:
         """See what other writers have committed."""
         self.number, state = latest(self.spark, self.root)
         self.base, self.writes, self.buckets = state.get("base"), state.get("writes", []), state.get("buckets", self.buckets)
+        self.labels = state.get("labels", [])
 
     def _opened(self, base: str) -> str:
         if base not in self.names:
@@ -51,16 +54,23 @@ class ListingIndex:
         order = F.array_position(F.array(*[F.lit(w) for w in self.writes]), F.col("_write"))
         return rows.groupBy("source_id").agg(F.max_by(F.struct(*NAMES), order).alias("r")).select("source_id", "r.*")
 
-    def _commit(self, base: str, writes: list[str]) -> None:
-        if not commit(self.spark, self.root, self.number + 1, {"base": base, "writes": writes, "buckets": self.buckets}):
+    def close(self) -> None:
+        """Forget the tables; their files stay."""
+        for name in self.names.values():
+            self.spark.sql(f"drop table if exists {name}")
+        self.names = {}
+
+    def _commit(self, base: str, writes: list[str], label: str | None = None) -> None:
+        labels = [*self.labels, *([label] if label is not None else [])][-MOST_LABELS:]
+        if not commit(self.spark, self.root, self.number + 1, {"base": base, "writes": writes, "buckets": self.buckets, "labels": labels}):
             raise Conflict("another writer has changed the index; refresh and try again")
         self.refresh()
 
-    def _add(self, rows: DataFrame) -> None:
+    def _add(self, rows: DataFrame, label: str | None = None) -> None:
         """Append rows and commit them; rows of a write that fails or loses are never read."""
         write = uuid.uuid4().hex
         rows.select("source_id", *NAMES, F.lit(write).alias("_write")).write.insertInto(self._opened(self.base))
-        self._commit(self.base, [*self.writes, write])
+        self._commit(self.base, [*self.writes, write], label)
         if len(self.writes) > MOST_WRITES:
             self.rewrite(self.table())
 
@@ -71,8 +81,9 @@ class ListingIndex:
         rows.select("source_id", *NAMES, F.lit(write).alias("_write")).repartition(self.buckets, "source_id").write.insertInto(self._opened(base))
         self._commit(base, [write])
 
-    def promote(self, observations: DataFrame, now: Column, threshold: int = 3) -> None:
-        """What sync.promote does with the events of sync.plan_delta; only rows that differ from the index are written."""
+    def promote(self, observations: DataFrame, now: Column, threshold: int = 3, label: str | None = None) -> None:
+        """What sync.promote does with the events of sync.plan_delta; only rows that differ from the index are written. The label, say a
+        run's id, is committed with them."""
         if self.base is None:
             self.rewrite(self.table().limit(0))
         old = self.table().select("source_id", F.struct(*NAMES).alias("p"))
@@ -80,7 +91,7 @@ class ListingIndex:
         both = old.hint("merge").join(new, "source_id", "full_outer")
         kind, misses, _ = change_of(F.col("p"), F.col("c"), threshold)
         rows = both.select("source_id", "p", F.struct(*promoted_row(F.col("p"), F.col("c"), kind, misses, now)).alias("n"))
-        self._add(rows.where(~F.col("n").eqNullSafe(F.col("p"))).select("source_id", "n.*"))
+        self._add(rows.where(~F.col("n").eqNullSafe(F.col("p"))).select("source_id", "n.*"), label)
 
     def upsert(self, rows: DataFrame, columns: list[str]) -> None:
         """Set columns of the keys in rows (source_id and columns); other columns keep their values, new keys have null there."""

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.ranking import latest_per_key
-from tidemark.operators.sync import Policy, decide_safety, plan_delta, promote
+from tidemark.operators.sync import Policy, decide_safety
+from tidemark.sources.commits import latest
+from tidemark.sources.indexes import ListingIndex
 from tidemark.streaming.runs import GATHERED, gather_runs
 from tidemark.streaming.stateful import state_store
 
@@ -25,19 +27,14 @@ def reject_late_runs(batch: DataFrame, promoted: str | None) -> DataFrame:
 
 
 def promoted_runs(spark: SparkSession, index_root: str) -> list[str]:
-    """The ids of the runs whose index is complete below index_root, in order."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(index_root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    done = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("v=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return sorted(p.getName().removeprefix("v=") for p in done)
+    """The ids of the last runs that were promoted into the index below index_root, in order."""
+    return latest(spark, index_root)[1].get("labels", [])
 
 
 def promoted_index(spark: SparkSession, index_root: str) -> DataFrame:
-    """The last promoted index, with the run that it comes from as version."""
-    run = promoted_runs(spark, index_root)[-1]
-    return spark.read.parquet(f"{index_root}/v={run}").withColumn("version", F.lit(run))
+    """The index, with the run that it comes from as version."""
+    index = ListingIndex(spark, index_root)
+    return index.table().withColumn("version", F.lit(index.labels[-1]))
 
 
 STAGED = f"{GATHERED}, batch long"
@@ -55,16 +52,16 @@ def run_headers(spark: SparkSession, index_root: str) -> DataFrame:
 
 
 def _forget_staged(rows: DataFrame) -> None:
-    """Remove the folders of a run's staged rows."""
+    """Remove the folders of the staged rows of a run: one for each batch that brought any."""
     spark = rows.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in rows.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    for (folder,) in rows.select(F.regexp_replace("_metadata.file_path", "/[^/]*$", "")).distinct().collect():
+        path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(folder))
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def sync_stream(source: DataFrame, index_root: str, checkpoint: str, policy: Policy = Policy(), threshold: int = 3, delay: str = "1 hour", patience_ms: int = 86_400_000, shards: int = 32) -> StreamingQuery:
+def sync_stream(source: DataFrame, index_root: str, checkpoint: str, policy: Policy = Policy(), threshold: int = 3, delay: str = "1 hour", patience_ms: int = 86_400_000, shards: int = 32, buckets: int = 64) -> StreamingQuery:
     """Compare each run of a stream of observations (run_id, at, source_id, fingerprint, category_id, category_path_ids) with
-    the last promoted index below index_root (v=<run id>), and write the next one if the run may be trusted.
+    the index below index_root (a ListingIndex of so many buckets), and add what changed if the run may be trusted.
 
     A run may be dealt over any number of micro-batches: its rows are held in keyed state until the marker comes, a row with
     ``expected`` (its number of distinct items) and ``failures``, then staged below index_root/staged, and compared once as
@@ -74,12 +71,9 @@ def sync_stream(source: DataFrame, index_root: str, checkpoint: str, policy: Pol
     is. Each decision leaves a header (run_headers).
     """
 
-    def settle(spark: SparkSession, run: str, now: str | None) -> bool:
+    def settle(spark: SparkSession, run: str) -> bool:
         """Whether the run was promoted."""
         rows = spark.read.schema(STAGED).parquet(f"{index_root}/staged").where(F.col("run_id") == run)
-        if now is not None and run <= now:
-            _forget_staged(rows)
-            return False
         item = F.from_json("payload", OBSERVED)
         seen = rows.where("kind = 'row'").select(item.alias("o")).select("o.*").dropDuplicates(["source_id"])
         on = rows.agg(F.max("expected").alias("expected"), F.max("failures").alias("failures"), F.bool_or(F.col("kind") == "expired").alias("expired")).first()
@@ -87,16 +81,14 @@ def sync_stream(source: DataFrame, index_root: str, checkpoint: str, policy: Pol
         complete = on["expected"] == observed
         if not complete and not on["expired"]:
             return False
-        if now is None:
-            prev = seen.limit(0).selectExpr("source_id", "fingerprint", "category_id", "category_path_ids", "cast(null as string) detail_fingerprint", "'active' status", "0 miss_count", "current_timestamp() changed_at")
-        else:
-            prev = spark.read.parquet(f"{index_root}/v={now}")
-        known = prev.where("status <> 'deleted'").count()
+        index = ListingIndex(spark, index_root, buckets)
+        known = index.table().where("status <> 'deleted'").count()
         scan = spark.createDataFrame([(run, complete, on["failures"] or 0, observed, known)], "scope string, complete boolean, failures int, observed long, known long")
         decision = decide_safety(scan, policy).first()
         ok = decision["outcome"] == "proceed"
         if ok:
-            promote(prev, seen, plan_delta(prev, seen, threshold), F.current_timestamp()).write.mode("overwrite").parquet(f"{index_root}/v={run}")
+            index.promote(seen, F.current_timestamp(), threshold, run)
+        index.close()
         write_header(spark, index_root, run, decision["outcome"], decision["reason"], observed, known)
         _forget_staged(rows)
         return ok
@@ -105,11 +97,13 @@ def sync_stream(source: DataFrame, index_root: str, checkpoint: str, policy: Pol
         spark = df.sparkSession
         path = f"{index_root}/staged/batch={number}"
         df.write.mode("overwrite").partitionBy("run_id").parquet(path)
-        done = promoted_runs(spark, index_root)
-        now = done[-1] if done else None
-        for (run,) in spark.read.schema(GATHERED).parquet(path).select("run_id").distinct().orderBy("run_id").collect():  # a row a run
-            if settle(spark, run, now):
-                now = run
+        came = spark.read.schema(GATHERED).parquet(path)
+        for (run,) in came.select("run_id").distinct().orderBy("run_id").collect():  # a row a run
+            now = (promoted_runs(spark, index_root) or [None])[-1]
+            if reject_late_runs(came.where(F.col("run_id") == run), now).isEmpty():
+                _forget_staged(spark.read.schema(STAGED).parquet(f"{index_root}/staged").where(F.col("run_id") == run))
+            else:
+                settle(spark, run)
 
     gathered = gather_runs(source, "source_id", ["source_id", "fingerprint", "category_id", "category_path_ids"], delay, patience_ms, shards)
     with state_store(source.sparkSession):
