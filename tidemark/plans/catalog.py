@@ -292,7 +292,8 @@ def contract_violations(t: Tables) -> DataFrame:
     return snapshots.check_observations(rows)
 
 
-DECODE = "replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')"
+#: Character references; the last one counts without its semicolon too.
+DECODE = "regexp_replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;?', '&', 'g')"
 TITLE = "substr(trim(regexp_replace(" + DECODE.format(r"regexp_replace(regexp_extract(html, '(?is)<h1\b[^>]*>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g')") + r", '\s+', ' ', 'g')), 1, 240)"
 
 

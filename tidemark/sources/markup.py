@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ BARRIER = frozenset("article aside body div dl footer header main nav ol section
 RAW = frozenset({"script", "style"})
 
 NODE = pa.struct([("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("last", pa.int32()), ("card", pa.int32()), ("text", pa.string())])
+#: Nodes of one batch that tasks give out, beyond those of its last page.
+BATCH_NODES = 20_000
 NODES = "array<struct<tag:string,attrs:map<string,string>,last:int,card:int,text:string>>"
 
 
@@ -98,16 +101,33 @@ def elements(pages: DataFrame, key: str, cards: tuple[str, ...] = ()) -> DataFra
     wanted = frozenset(cards)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.name for f in NODE]
         for b in batches:
-            for i, html in enumerate(b.column("html")):  # a page a batch: its nodes take many times its bytes
-                nodes = [dict(zip(names, n, strict=True)) for n in tokenize(html.as_py(), wanted)]
-                yield pa.RecordBatch.from_arrays([b.column(key).slice(i, 1), b.column("url").slice(i, 1), pa.array([nodes], pa.list_(NODE))], [key, "url", "nodes"])
+            begin, held, count = 0, [], 0
+            for i, html in enumerate(b.column("html")):
+                held.append(tokenize(html.as_py(), wanted))
+                count += len(held[-1])
+                if count >= BATCH_NODES or i == b.num_rows - 1:
+                    rows = b.slice(begin, len(held))
+                    yield pa.RecordBatch.from_arrays([rows.column(key), rows.column("url"), _as_arrow(held)], [key, "url", "nodes"])
+                    begin, held, count = i + 1, [], 0
 
     kind = pages.schema[key].dataType.simpleString()
     return pages.select(key, F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(run, f"`{key}` {kind}, url string, nodes {NODES}")
 
 
+def _as_arrow(pages: list[list[list]]) -> pa.ListArray:
+    """The nodes of several pages as one column."""
+    nodes = [n for page in pages for n in page]
+    ends = np.cumsum([0, *[len(p) for p in pages]])
+    attrs = [n[1] for n in nodes]
+    sizes = np.cumsum([0, *[len(a or ()) for a in attrs]])
+    offsets = pa.array(sizes, pa.int32(), mask=np.array([*[a is None for a in attrs], False]))
+    pairs = [kv for a in attrs for kv in a or ()]
+    maps = pa.MapArray.from_arrays(offsets, pa.array([k for k, _ in pairs], pa.string()), pa.array([v for _, v in pairs], pa.string()))
+    columns = [pa.array([n[0] for n in nodes], pa.string()), maps, *[pa.array([n[i] for n in nodes], NODE[i].type) for i in (2, 3, 4)]]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(NODE)))
+
+
 # -- columns over nodes ---------------------------------------------------------------------------------------------
 
 
