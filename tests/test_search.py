@@ -33,3 +33,11 @@ def test_pages(spark, tmp_path, size):
     for number in (1, 2, 5, 11, 12, 40):
         assert [tuple(r) for r in table.page(number, 10).collect()] == [tuple(r) for r in page(df, number, 10).collect()], number
     assert table.directory().count() == -(-103 // size)
+
+
+def test_pages_beyond_the_hundred_thousandth(spark, tmp_path):
+    df = spark.range(100_005).select(F.col("id").alias("sort_order"), F.col("id").cast("string").alias("product_id"))
+    table = PagedTable(spark, str(tmp_path / "rows"))
+    table.build(df, ["sort_order", "product_id"], 30_000)
+    for found in (table.page(100_003, 1), page(df, 100_003, 1)):
+        assert [tuple(r) for r in found.collect()] == [(100_002, "100002", 100_005, 100_005, True, True)]

@@ -92,7 +92,7 @@ class PagedTable:
 
     def page(self, number: int = 1, limit: int = 15, most: int = 30) -> DataFrame:
         """What ranking.page gives, from the parts that hold the page alone; the total comes from the directory."""
-        number, limit = max(1, min(int(number), 100_000)), max(1, min(int(limit), most))
+        number, limit = max(1, int(number)), max(1, min(int(limit), most))
         on = self.directory().agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.max("size"), F.lit(1)).alias("size")).first()
         total, begin = on["total"], (number - 1) * limit
         pages = max(1, -(-total // limit))
