@@ -148,7 +148,7 @@ def audit_media(products: DataFrame, manifest: DataFrame) -> DataFrame:
     refs = each.groupBy("media_id").agg(F.count("*").alias("actual"))
     parts = (
         ("not_aligned", products.where(F.size("images") != F.size("media_ids")).select(F.col("product_id").alias("id"))),
-        ("unknown_media", each.join(manifest, "media_id", "left_anti").select(F.col("media_id").alias("id")).distinct()),
+        ("unknown_media", refs.join(manifest, "media_id", "left_anti").select(F.col("media_id").alias("id"))),
         ("id_is_not_hash", manifest.where(F.col("media_id") != F.concat(F.lit("m_"), F.substring("hash", 1, 20))).select(F.col("media_id").alias("id"))),
         ("ref_count", manifest.join(refs, "media_id", "left").where("refs <> coalesce(actual, 0)").select(F.col("media_id").alias("id"))),
     )
