@@ -38,3 +38,12 @@ def test_rows_follow_the_hits(spark):
     candidates = classify.rare_gram_candidates(texts, dim).count()
     hits = classify.rare_gram_matches(texts, dim).count()
     assert hits > 1800 and candidates <= 3 * hits
+
+
+def test_hits_of_a_small_file_are_found_by_many_tasks(spark):
+    """Records of one partition are dealt out before their words are; the hits come from as many tasks as a shuffle has."""
+    aliases = spark.createDataFrame([("team", "t", "bolt", 0, 0)], "kind string, id string, alias string, ordinal long, alias_ordinal int")
+    empty = spark.createDataFrame([], "id string, league_id string, national boolean, facet_type string, sort_order int")
+    records = spark.range(40).coalesce(1).selectExpr("id as record", "'red bolt' as name", "'c' as category", "array('p') as path")
+    hits = classify.alias_hits(records, classify.Pack(aliases, empty, empty))
+    assert hits.where("field = 'title'").count() == 40 and len(hits.inputFiles()) > 1
