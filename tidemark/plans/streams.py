@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.plans.registry import query
 from tidemark.sources.fixtures import Tables
@@ -40,11 +42,23 @@ def _feed(t: Tables, root: str, parts: list[DataFrame]) -> DataFrame:
     return t.spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/feed")
 
 
-def _written(t: Tables, root: str, out: DataFrame, idle_batches: bool = True) -> DataFrame:
-    with state_store(t.spark, idle_batches):
-        running = out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/check").trigger(availableNow=True).start()
-    running.awaitTermination()
-    return t.spark.read.schema(out.schema).parquet(f"{root}/out")
+def _fed(t: Tables, root: str, parts: list[DataFrame], start: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Run a stream on these parts one after the other: a part is added to its feed, and it goes on from its checkpoint.
+
+    A part is one batch, however many files it has, so the number of batches doesn't grow with the tables.
+    """
+    for p in parts:
+        p.write.mode("append").parquet(f"{root}/feed")
+        start(t.spark.readStream.schema(p.schema).parquet(f"{root}/feed")).awaitTermination()
+
+
+def _written(t: Tables, root: str, parts: list[DataFrame], states: Callable[[DataFrame], DataFrame], idle_batches: bool = True) -> DataFrame:
+    def start(feed: DataFrame) -> StreamingQuery:
+        with state_store(t.spark, idle_batches):
+            return states(feed).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/check").trigger(availableNow=True).start()
+
+    _fed(t, root, parts, start)
+    return t.spark.read.parquet(f"{root}/out")
 
 
 @query("""with o as (select distinct event_type as scope, user_id as source_id, cast(ts as date) as d from events), r as (select distinct scope, d from o),
@@ -61,9 +75,9 @@ def stream_misses(t: Tables) -> DataFrame:
     rows = seen.withColumn("complete", F.lit(None).cast("boolean"))
     ends = seen.groupBy("scope", "run_id").agg(F.lit(None).cast("string").alias("source_id"), (F.substring(F.first("run_id"), 9, 2) != "13").alias("complete"))
     cuts = ["", "2024-01-08", "2024-01-20", "9"]
-    # a run's rows and its end come in different files, the end last
+    # a run's rows and its end come in different batches, the end last
     parts = [df.where((F.col("run_id") >= a) & (F.col("run_id") < b)) for a, b in zip(cuts, cuts[1:], strict=False) for df in (rows, ends)]
-    return _written(t, root, miss_counter(_feed(t, root, parts), 2, shards=2), False).withColumn("source_id", F.col("source_id").cast("long"))
+    return _written(t, root, parts, lambda feed: miss_counter(feed, 2), False).withColumn("source_id", F.col("source_id").cast("long"))
 
 
 @query("""with recursive e as (select user_id, cast(user_id as varchar) || '-' || cast(cast(floor((epoch_us(ts) - 1704067200000000) / 604800000000) as integer) as varchar) as item, epoch_us(ts) as at, event_type,
@@ -93,7 +107,7 @@ def stream_outcomes(t: Tables) -> DataFrame:
     every = claims.unionByName(outcomes)
     middle = first + (last - first) / 2
     parts = [found, every.where(F.col("at") < F.lit(middle)), every.where(F.col("at") >= F.lit(middle)), tick]
-    return _written(t, root, finished_imports(item_states(_feed(t, root, [p.coalesce(1) for p in parts]))))
+    return _written(t, root, parts, lambda feed: finished_imports(item_states(feed)))
 
 
 @query("""with runs as (select source_id, 1 as seen from cur_obs union all select source_id, 0 from prev_index where source_id not in (select source_id from cur_obs)),

@@ -9,44 +9,57 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from tidemark.streaming.stateful import frames, sharded
+from tidemark.streaming.stateful import CHUNK, frames, sharded
 
 EVENTS = "scope string, source_id string, run_id string, type string, miss_count long"
 COLUMNS = ["scope", "source_id", "run_id", "type", "miss_count"]
 
 
+def _parts(values: list) -> list[list]:
+    return [values[i : i + CHUNK] for i in range(0, len(values), CHUNK)]
+
+
+def _packed(items: dict) -> list[tuple]:
+    return [*zip(_parts(list(items)), _parts(list(items.values())), strict=True)]
+
+
 class Misses(StatefulProcessor):
-    """A shard of one scope. State: misses of each live item, the run that removed each removed one (which expires), the
-    observations of runs that haven't ended, and the last run that has."""
+    """A shard of one scope. State: misses of each live item, when each removed one was removed (which is forgotten after a
+    while), the observations of runs that haven't ended, and the last run that has. A run's end reads and writes all of it,
+    as it concerns each item."""
 
     def __init__(self, threshold: int, keep_removed_ms: int):
         self.threshold, self.keep_removed_ms = threshold, keep_removed_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.live = handle.getMapState("live", "source_id string", "misses long")
-        self.removed = handle.getMapState("removed", "source_id string", "run_id string", self.keep_removed_ms)
-        self.waiting = handle.getListState("waiting", "run_id string, source_id string")
+        # arrays of many items a row: each row and each call costs a round trip to the JVM, whatever it holds
+        self.live = handle.getListState("live", "source_ids array<string>, misses array<long>")
+        self.removed = handle.getListState("removed", "source_ids array<string>, at_ms array<long>")
+        self.waiting = handle.getListState("waiting", "run_id string, source_ids array<string>")
         self.last = handle.getValueState("last", "run_id string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         df = pd.concat(list(rows))
         mark = df["complete"].notna()
         last = self.last.get()[0] if self.last.exists() else ""
-        seen = df.loc[~mark & (df["run_id"] > last) & df["source_id"].notna(), ["run_id", "source_id"]].drop_duplicates()
+        seen = df.loc[~mark & (df["run_id"] > last) & df["source_id"].notna(), ["run_id", "source_id"]].groupby("run_id")["source_id"].unique()
         ends = df.loc[mark & (df["run_id"] > last)].groupby("run_id")["complete"].all().sort_index()
         if not len(ends):
             if len(seen):
-                self.waiting.appendList(list(seen.itertuples(index=False, name=None)))
+                self.waiting.appendList(self._runs(seen.items()))
             return
-        waiting = {(r, s) for r, s in self.waiting.get()} | set(seen.itertuples(index=False, name=None))
-        live = {k[0]: v[0] for k, v in self.live.iterator()}
-        before = dict(live)
+        waiting: dict[str, set] = {}
+        for run, ids in [*self.waiting.get(), *seen.items()]:
+            waiting.setdefault(run, set()).update(ids)
+        now = timerValues.getCurrentProcessingTimeInMs()
+        live = {s: n for ids, misses in self.live.get() for s, n in zip(ids, misses, strict=True)}
+        removed = {s: at for ids, when in self.removed.get() for s, at in zip(ids, when, strict=True) if not self.keep_removed_ms or at + self.keep_removed_ms > now}
         out: list[tuple] = []
         for run, complete in ends.items():
-            observed = {s for r, s in waiting if r == run}
+            observed = waiting.pop(run, set())
             for s in sorted(observed):
-                if s not in live and self.removed.containsKey((s,)):
-                    self.removed.removeKey((s,))
+                if s not in live and s in removed:
+                    del removed[s]
                     out.append((key[0], s, run, "RESTORED", 0))
                 elif live.get(s):
                     out.append((key[0], s, run, "RESTORED", 0))
@@ -57,20 +70,22 @@ class Misses(StatefulProcessor):
                 out.append((key[0], s, run, "REMOVED" if gone else "MISSING", live[s]))
                 if gone:
                     del live[s]
-                    self.removed.updateValue((s,), (run,))
+                    removed[s] = now
             last = run
-        for s in before.keys() - live.keys():
-            self.live.removeKey((s,))
-        for s, n in live.items():
-            if before.get(s) != n:
-                self.live.updateValue((s,), (n,))
-        rest = [(r, s) for r, s in waiting if r > last]
-        self.waiting.clear()
-        if rest:
-            self.waiting.put(rest)
+            while len(out) >= CHUNK:
+                yield from frames(out[:CHUNK], COLUMNS)
+                del out[:CHUNK]
+        for state, rest in ((self.live, _packed(live)), (self.removed, _packed(removed)), (self.waiting, self._runs((r, ids) for r, ids in waiting.items() if r > last))):
+            state.clear()
+            if rest:
+                state.put(rest)
         self.last.update((last,))
         yield from frames(out, COLUMNS)
 
+    @staticmethod
+    def _runs(runs) -> list[tuple]:
+        return [(run, part) for run, ids in runs for part in _parts(list(ids))]
+
     def close(self) -> None:
         pass
 
