@@ -5,22 +5,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from tidemark.streaming.stateful import frames
-
 #: States that are never redone.
 TERMINAL = ("success", "skipped", "deferred")
 ITEMS = "import_id string, item_id string, state string, attempts int, discovered long"
-ITEM_COLUMNS = ["import_id", "item_id", "state", "attempts", "discovered"]
+ITEM = Row("import_id", "item_id", "state", "attempts", "discovered")
 DONE = "import_id string, discovered long, success long, skipped long, deferred long, outcome string"
-DONE_COLUMNS = ["import_id", "discovered", "success", "skipped", "deferred", "outcome"]
+IMPORT = Row("import_id", "discovered", "success", "skipped", "deferred", "outcome")
 
 
 class ItemStates(StatefulProcessor):
-    """One item of an import: claims take a lease, outcomes end it, and a lease that runs out is a failed attempt."""
+    """One item of an import: claims take a lease, outcomes end it, and a lease that runs out is a failed attempt.
+
+    Items are many and their rows few, so they come as rows: a frame for each would cost more than what is done with it."""
 
     def __init__(self, most: int, lease_ms: int):
         self.most, self.lease_ms = most, lease_ms
@@ -32,15 +32,18 @@ class ItemStates(StatefulProcessor):
     def _failed(self, attempts: int) -> str:
         return "deferred" if attempts >= self.most else "failed"
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        df = pd.concat(list(rows)).sort_values(["at_ms", "kind"], ascending=[True, False], kind="stable")  # outcomes before claims
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         if key[1] is None:
-            yield from frames([(key[0], None, None, None, int(n)) for n in df.loc[df["kind"] == "discovered", "total"]], ITEM_COLUMNS)
+            for r in rows:
+                if r["kind"] == "discovered":
+                    yield ITEM(key[0], None, None, None, r["total"])
             return
-        state, attempts, token, lease = self.item.get() if self.item.exists() else ("pending", 0, None, 0)
+        state, attempts, token, lease = self.item.get() or ("pending", 0, None, 0)
         if state in TERMINAL:
             return
-        for kind, at, given, outcome in zip(df["kind"], df["at_ms"], df["token"], df["outcome"], strict=True):
+        found = sorted(rows, key=lambda r: r["kind"] or "", reverse=True)  # outcomes before claims
+        for r in sorted(found, key=lambda r: (r["at_ms"] is None, r["at_ms"])):
+            kind, given, at = r["kind"], r["token"], float("nan") if r["at_ms"] is None else r["at_ms"]
             if state == "processing" and lease <= at:
                 state, token = self._failed(attempts), None
             if state in TERMINAL:
@@ -48,20 +51,20 @@ class ItemStates(StatefulProcessor):
             if kind == "claim" and state != "processing":
                 state, attempts, token, lease = "processing", attempts + 1, given, int(at) + self.lease_ms
             elif kind == "outcome" and state == "processing" and given == token:
-                state, token = outcome if outcome in TERMINAL[:2] else self._failed(attempts), None
+                state, token = r["outcome"] if r["outcome"] in TERMINAL[:2] else self._failed(attempts), None
         self.item.update((state, attempts, token, lease))
         if state == "processing":
             self.handle.registerTimer(lease)
         if state in TERMINAL:
-            yield from frames([(key[0], key[1], state, attempts, None)], ITEM_COLUMNS)
+            yield ITEM(key[0], key[1], state, attempts, None)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         state, attempts, _, lease = self.item.get()
         if state == "processing" and lease <= expiredTimerInfo.getExpiryTimeInMs():
             state = self._failed(attempts)
             self.item.update((state, attempts, None, lease))
             if state in TERMINAL:
-                yield from frames([(key[0], key[1], state, attempts, None)], ITEM_COLUMNS)
+                yield ITEM(key[0], key[1], state, attempts, None)
 
     def close(self) -> None:
         pass
@@ -73,16 +76,16 @@ class Imports(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.totals = handle.getValueState("totals", "discovered long, success long, skipped long, deferred long, done boolean")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        df = pd.concat(list(rows))
-        discovered, *counts, done = self.totals.get() if self.totals.exists() else (None, 0, 0, 0, False)
-        if df["discovered"].notna().any():
-            discovered = int(df["discovered"].max())
-        counts = [n + int(df[s].sum()) for n, s in zip(counts, TERMINAL, strict=True)]
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        discovered, *counts, done = self.totals.get() or (None, 0, 0, 0, False)
+        for r in rows:
+            if r["discovered"] is not None:
+                discovered = r["discovered"] if discovered is None else max(discovered, r["discovered"])
+            counts = [n + r[s] for n, s in zip(counts, TERMINAL, strict=True)]
         ready = not done and discovered is not None and sum(counts) >= discovered
         self.totals.update((discovered, *counts, done or ready))
         if ready:
-            yield from frames([(key[0], discovered, *counts, "success" if sum(counts) == discovered else "invalid")], DONE_COLUMNS)
+            yield IMPORT(key[0], discovered, *counts, "success" if sum(counts) == discovered else "invalid")
 
     def close(self) -> None:
         pass
@@ -99,7 +102,7 @@ def item_states(feed: DataFrame, most: int = 4, lease_ms: int = 300_000, delay:
     """
     rows = feed.withWatermark("at", delay).withColumn("at_ms", F.unix_millis("at"))
     grouped = rows.select("import_id", "item_id", "kind", "token", "outcome", F.col("total").cast("long").alias("total"), "at", "at_ms").groupBy("import_id", "item_id")
-    return grouped.transformWithStateInPandas(ItemStates(most, lease_ms), ITEMS, "Append", "EventTime")
+    return grouped.transformWithState(ItemStates(most, lease_ms), ITEMS, "Append", "EventTime")
 
 
 def _tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -113,4 +116,4 @@ def finished_imports(items: DataFrame) -> DataFrame:
     were discovered (``success``), or more (``invalid``). items is what item_states gives; it is tallied before it is shuffled,
     so that a large import sends a few rows a task."""
     tallied = items.mapInPandas(_tally, "import_id string, discovered long, success long, skipped long, deferred long")
-    return tallied.groupBy("import_id").transformWithStateInPandas(Imports(), DONE, "Append", "None")
+    return tallied.groupBy("import_id").transformWithState(Imports(), DONE, "Append", "None")
