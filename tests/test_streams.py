@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from unittest.mock import Mock
+
+import pandas as pd
 
 from tidemark.streaming import sync
-from tidemark.streaming.misses import miss_counter
+from tidemark.streaming.misses import Misses, miss_counter
 from tidemark.streaming.outcomes import finished_imports, item_states
 from tidemark.streaming.stateful import PROVIDER, state_store
 
@@ -100,3 +103,36 @@ def test_outcomes_fold_to_one_event(spark, tmp_path):
     query.awaitTermination()
     got = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()]
     assert got == [("i", 4, 1, 1, 2, "success")]
+
+
+class CountedList(list):
+    """A list state that counts its calls: each is a round trip."""
+
+    calls = 0
+
+    def get(self):
+        CountedList.calls += 1
+        return iter([*self])
+
+    def put(self, rows):
+        CountedList.calls += 1
+        self[:] = rows
+
+    def appendList(self, rows):  # noqa: N802
+        CountedList.calls += 1
+        self.extend(rows)
+
+    def clear(self):
+        CountedList.calls += 1
+        self[:] = []
+
+
+def test_misses_of_many_items_take_few_calls():
+    state, runs = Misses(2, 1000), [f"r{i}" for i in range(4)]
+    state.live, state.removed, state.waiting = CountedList(), CountedList(), CountedList()
+    state.last = Mock(**{"exists.return_value": False})
+    items = [(r, str(i), None) for r in runs[:1] for i in range(3000)] + [("r3", "7", None)]
+    df = pd.DataFrame(items + [(r, None, True) for r in runs], columns=["run_id", "source_id", "complete"])
+    out = pd.concat(state.handleInputRows(("s", 0), iter([df]), Mock(**{"getCurrentProcessingTimeInMs.return_value": 5})))
+    assert out["type"].value_counts().to_dict() == {"MISSING": 3000, "REMOVED": 3000, "RESTORED": 1}
+    assert CountedList.calls < 20 and {s for ids, _ in state.removed for s in ids} == {str(i) for i in range(3000)} - {"7"}
