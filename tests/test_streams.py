@@ -7,9 +7,11 @@ from unittest.mock import Mock
 
 import pandas as pd
 
+from tidemark.plans import registry, streams
 from tidemark.streaming import sync
 from tidemark.streaming.misses import Misses, miss_counter
 from tidemark.streaming.outcomes import finished_imports, item_states
+from tidemark.streaming.runs import Gatherer
 from tidemark.streaming.stateful import PROVIDER, state_store
 
 OBSERVATIONS = "run_id string, at timestamp, source_id string, fingerprint string, category_id string, category_path_ids array<string>, expected long, failures int"
@@ -136,3 +138,35 @@ def test_misses_of_many_items_take_few_calls():
     out = pd.concat(state.handleInputRows(("s", 0), iter([df]), Mock(**{"getCurrentProcessingTimeInMs.return_value": 5})))
     assert out["type"].value_counts().to_dict() == {"MISSING": 3000, "REMOVED": 3000, "RESTORED": 1}
     assert CountedList.calls < 20 and {s for ids, _ in state.removed for s in ids} == {str(i) for i in range(3000)} - {"7"}
+
+
+def test_a_gathered_run_takes_few_calls():
+    """30,000 rows in frames of 1,000 and their marker in the middle; those before it lie in the state."""
+    state, now = Gatherer(1000), Mock()
+    state.handle, state.held = Mock(), CountedList()
+    state.ended = Mock(**{"exists.return_value": False})
+    CountedList.calls = 0
+    frame = lambda items: pd.DataFrame({"at_ms": 5, "payload": items, "expected": [None] * len(items), "failures": None})
+    rows = [str(i) for i in range(30_000)]
+    parts = [frame(rows[i : i + 1000]) for i in range(0, 30_000, 1000)]
+    assert not [*state.handleInputRows(("r", 0), iter(parts[:25]), now)] and len(state.held) == 3
+    state.ended = Mock(**{"exists.return_value": True, "get.return_value": (False,)})
+    mark = pd.DataFrame({"at_ms": [6], "payload": ["{}"], "expected": [30_000], "failures": [1]})
+    out = pd.concat(state.handleInputRows(("r", 0), iter([parts[25], mark, *parts[26:]]), now))
+    assert sorted(out.loc[out["kind"] == "row", "payload"]) == sorted(rows)
+    assert out.loc[out["kind"] == "end", ["expected", "failures"]].values.tolist() == [[30_000, 1]]
+    assert CountedList.calls < 10 and not state.held
+
+
+def test_batches_of_stream_sync_do_not_grow_with_its_files(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "tables"
+    spark.read.parquet("/root/testdata/sf0.001/part.parquet").repartition(12).write.parquet(f"{folder}/part.parquet")
+    monkeypatch.setattr(streams, "_folder", lambda t: f"{tmp_path}/stream")
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))  # a task a file
+    try:
+        assert registry.queries()["stream_sync"](spark, str(folder)).count() > 0
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    batches = [p for p in (tmp_path / "stream" / "check" / "commits").iterdir() if p.name.isdigit()]
+    assert len(batches) <= 12

@@ -35,13 +35,6 @@ def stream_dedup(t: Tables) -> DataFrame:
     return t.spark.read.schema(messages.schema).parquet(f"{root}/out").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
-def _feed(t: Tables, root: str, parts: list[DataFrame]) -> DataFrame:
-    """A stream of these parts one after the other, one file a trigger."""
-    for p in parts:
-        p.write.mode("append").parquet(f"{root}/feed")
-    return t.spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/feed")
-
-
 def _fed(t: Tables, root: str, parts: list[DataFrame], start: Callable[[DataFrame], StreamingQuery]) -> None:
     """Run a stream on these parts one after the other: a part is added to its feed, and it goes on from its checkpoint.
 
@@ -116,7 +109,7 @@ def stream_outcomes(t: Tables) -> DataFrame:
     select r.source_id, case when blocked then case when seen = 1 then 'active' else 'missing' end when c.k % 10 = 1 then 'active' else 'missing' end as status, case when blocked then 1 - seen when c.k % 10 = 1 then 0 else 2 - seen end as miss_count, case when blocked then 'r2' else 'r3' end as version
     from runs r cross join d left join cur_obs c on c.source_id = r.source_id""", ("prev_index", "cur_obs"))
 def stream_sync(t: Tables) -> DataFrame:
-    """Runs dealt over several files with their markers apart; one is a catastrophe, one empty, and one never ends."""
+    """Runs dealt over several batches with their markers apart; one is a catastrophe, one empty, and one never ends."""
     root = _folder(t)
     cols = ["source_id", "fingerprint", "category_id", "category_path_ids"]
     at = lambda hour: F.lit(f"2024-01-01 {hour:02}:00:00").cast("timestamp").alias("at")
@@ -131,5 +124,5 @@ def stream_sync(t: Tables) -> DataFrame:
     parts = [rows("r1", 1, prev.where("k % 3 < 2")), rows("r1", 1, prev.where("k % 3 = 2")).unionByName(end("r1", 1, prev))]
     parts += [end("r2", 2, cur).unionByName(rows("r2", 2, cur.where("k % 2 = 0"))), rows("r2", 2, cur.where("k % 2 = 1")).unionByName(rows("r2", 2, cur.where("k % 10 = 3")))]  # the end first, and repeated rows
     parts += [rows("r3", 3, few).unionByName(end("r3", 3, few)), end("r4", 4, cur.where("false")).unionByName(rows("r5", 4, cur.where("k % 2 = 0")))]
-    sync.sync_stream(_feed(t, root, parts), f"{root}/index", f"{root}/check", shards=2, buckets=8).awaitTermination()
+    _fed(t, root, parts, lambda feed: sync.sync_stream(feed, f"{root}/index", f"{root}/check", buckets=8))
     return sync.promoted_index(t.spark, f"{root}/index").select("source_id", "status", "miss_count", "version")

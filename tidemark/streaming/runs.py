@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from tidemark.streaming.stateful import frames, sharded
+from tidemark.streaming.stateful import CHUNK, frames, sharded
 
 GATHERED = "run_id string, kind string, payload string, expected long, failures int"
 COLUMNS = ["run_id", "kind", "payload", "expected", "failures"]
@@ -23,27 +23,50 @@ class Gatherer(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", "payload string")
+        # arrays of many items a row: each row and each call costs a round trip to the JVM, whatever it holds
+        self.held = handle.getListState("held", "payloads array<string>")
         self.ended = handle.getValueState("ended", "ended boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        df = pd.concat(list(rows))
-        mark = df["expected"].notna()
-        items = df.loc[~mark, "payload"].tolist()
         known = self.ended.exists()
-        if not known:
-            self.handle.registerTimer(int(df["at_ms"].max()) + self.patience_ms)
-        if mark.any() or (known and self.ended.get()[0]):
-            out = [(key[0], "row", p, None, None) for p in [r[0] for r in self.held.get()] + items]
+        ended = known and self.ended.get()[0]
+        latest, expected, failures = 0, None, 0
+        items: list[str] = []
+        for df in rows:
+            latest = max(latest, int(df["at_ms"].max()))
+            mark = df["expected"].notna()
+            items += df.loc[~mark, "payload"].tolist()
             if mark.any():
-                out.append((key[0], "end", None, int(df.loc[mark, "expected"].max()), int(df.loc[mark, "failures"].fillna(0).max())))
-            self.held.clear()
-            self.ended.update((True,))
-            yield from frames(out, COLUMNS)
-        else:
-            self.held.appendList([(p,) for p in items])
-            if not known:
-                self.ended.update((False,))
+                expected = max(expected or 0, int(df.loc[mark, "expected"].max()))
+                failures = max(failures, int(df.loc[mark, "failures"].fillna(0).max()))
+                if not ended:
+                    ended = True
+                    yield from self._let_go(key)
+            while len(items) >= CHUNK:
+                if ended:
+                    yield from self._rows(key, items[:CHUNK])
+                else:
+                    self.held.appendList([(items[:CHUNK],)])
+                del items[:CHUNK]
+        if not known:
+            self.handle.registerTimer(latest + self.patience_ms)
+        if items and ended:
+            yield from self._rows(key, items)
+        elif items:
+            self.held.appendList([(items,)])
+        if expected is not None:
+            yield from frames([(key[0], "end", None, expected, failures)], COLUMNS)
+        if not known or expected is not None:
+            self.ended.update((ended,))
+
+    def _let_go(self, key) -> Iterator[pd.DataFrame]:
+        for (payloads,) in self.held.get():
+            yield from self._rows(key, list(payloads))
+        self.held.clear()
+
+    @staticmethod
+    def _rows(key, payloads: list[str]) -> Iterator[pd.DataFrame]:
+        yield from frames([(key[0], "row", p, None, None) for p in payloads], COLUMNS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.held.clear()

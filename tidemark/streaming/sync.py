@@ -76,8 +76,11 @@ def sync_stream(source: DataFrame, index_root: str, checkpoint: str, policy: Pol
         rows = spark.read.schema(STAGED).parquet(f"{index_root}/staged").where(F.col("run_id") == run)
         item = F.from_json("payload", OBSERVED)
         seen = rows.where("kind = 'row'").select(item.alias("o")).select("o.*").dropDuplicates(["source_id"])
-        on = rows.agg(F.max("expected").alias("expected"), F.max("failures").alias("failures"), F.bool_or(F.col("kind") == "expired").alias("expired")).first()
-        observed = seen.count()
+        distinct = F.count_distinct(F.struct(item["source_id"])).alias("observed")  # a struct, as null is an item too
+        each = rows.where("kind = 'row'").agg(distinct)
+        marks = rows.where("kind <> 'row'").agg(F.max("expected").alias("expected"), F.max("failures").alias("failures"), F.bool_or(F.col("kind") == "expired").alias("expired"))
+        on = marks.crossJoin(each).first()
+        observed = on["observed"]
         complete = on["expected"] == observed
         if not complete and not on["expired"]:
             return False
