@@ -6,6 +6,7 @@ import re
 
 import corpus_pipeline
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -190,6 +191,28 @@ def test_repeated_words(spark):
     assert all(x["n_removed"] == 0 == x["n_spans"] and x["n_bytes"] == len(rows[x["doc_id"]][1]) for x in texts_left)
 
 
+def test_only_repeating_texts_go_to_python(spark, capsys):
+    rows = [(1, prose(300, 1), ""), (2, prose(300, 1), ""), (3, prose(300, 2), "")]
+    cut = suffix_dedup.without_repeats(spark.createDataFrame(rows, SCHEMA))
+    cut.explain()
+    assert "cut(CASE WHEN" in capsys.readouterr().out
+    assert [(r["n_removed"], r["text"] == rows[i][1]) for i, r in enumerate(cut.orderBy("doc_id").collect())] == [(len(rows[0][1].encode()), False)] * 2 + [(0, True)]
+
+
+def test_anchors_of_texts_in_frames():
+    """Each anchor with its own id, text hash, window identifiers and q-gram, the frames of long columns alone; a null id stays null."""
+    texts = [prose(4000, 1), "short", prose(300, 2), prose(300, 2)]
+    b = pd.DataFrame({"doc_id": pd.array([5, 6, None, 8], "Int64"), "h": [1, 2, 3, 4], "text": texts})
+    got = pd.concat(suffix_dedup._anchored(400, suffix_dedup.OF_BYTES)(iter([b])))
+    assert {str(t) for t in got.dtypes} == {"Int64", "int64"}
+    of = dict(zip(b["h"], texts, strict=True))
+    for doc_id, h, x, lo, hi, _, f1, f2 in got.itertuples(index=False):
+        d = xxhash.xxh3_128_intdigest(of[h].encode()[x - hi : x - lo + 400])
+        assert (f1 % 2**64, f2 % 2**64) == (d >> 64, d % 2**64) and (doc_id is pd.NA) == (h == 3)
+    by = {h: g.drop(columns=["doc_id", "h"]).values.tolist() for h, g in got.groupby("h")}
+    assert set(by) == {1, 3, 4} and by[3] == by[4]
+
+
 def test_pipeline_passage_of_51_words(spark):
     passage = " ".join(f"p{i:03}" for i in range(51))
     rows = [(i, f"{prose(80, 300 + i)} {passage} {prose(80, 400 + i)}", "c") for i in range(2)]

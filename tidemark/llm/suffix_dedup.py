@@ -17,7 +17,7 @@ The same is done with words for bytes, each word being the eight bytes of its ha
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -84,16 +84,17 @@ def bucket_ids(data: np.ndarray, q: int) -> np.ndarray:
         return whole ^ (whole >> np.uint64(32))
 
 
-def anchors(data: bytes, length: int, q: int, size: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Place, least and greatest d of each anchor of a text: the windows at x - d, for d from lo to hi, have their anchor at x."""
+def anchors(data: bytes, length: int, q: int, size: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Place, least and greatest d and q-gram identifier of each anchor of a text: the windows at x - d, for d from lo to hi, have their anchor at x."""
     span = length - q + 1  # q-grams of a window
     units = np.frombuffer(data, np.uint8 if size == 1 else np.uint64)
     n = len(units) - length + 1  # windows
-    xs, los, his = [], [], []
+    xs, los, his, grams = [], [], [], []
     for at in range(0, n, BLOCK):
         count = min(BLOCK, n - at)
         part = units[at : at + count + length - 1]
-        key = bucket_ids(part, q) >> np.uint64(SHIFT) << np.uint64(SHIFT) | np.arange(len(part) - q + 1, dtype=np.uint64)
+        ids = bucket_ids(part, q)
+        key = ids >> np.uint64(SHIFT) << np.uint64(SHIFT) | np.arange(len(part) - q + 1, dtype=np.uint64)
         k = 1
         while 2 * k <= span:
             key = np.minimum(key[:-k], key[k:])
@@ -105,19 +106,16 @@ def anchors(data: bytes, length: int, q: int, size: int = 1) -> tuple[np.ndarray
         xs.append(x[first] + at)
         his.append(x[first] - first)
         los.append(x[first] - last)
+        grams.append(ids[x[first]].view(np.int64))
     if not xs:
         empty = np.zeros(0, np.int64)
-        return empty, empty, empty
-    return np.concatenate(xs), np.concatenate(los), np.concatenate(his)
+        return empty, empty, empty, empty
+    return np.concatenate(xs), np.concatenate(los), np.concatenate(his), np.concatenate(grams)
 
 
-def ident(data: bytes) -> tuple[int, int]:
-    d = xxhash.xxh3_128_intdigest(data)
-    return _signed(d >> 64), _signed(d & (1 << 64) - 1)
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def idents(strings: Iterable[bytes]) -> np.ndarray:
+    """The 128-bit identifier of each string, as a row of two signed numbers."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, strings)), ">i8").astype(np.int64).reshape(-1, 2)
 
 
 def _anchored(length: int, unit: Unit):
@@ -125,19 +123,32 @@ def _anchored(length: int, unit: Unit):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows: list[tuple] = []
-            for doc_id, h, text in zip(b["doc_id"], b["h"], b["text"], strict=True):
+            at, held, size = [], [], 0
+            for i, text in enumerate(b["text"]):
                 data = unit.data(text)
-                for x, lo, hi in zip(*(a.tolist() for a in anchors(data, length, q, u)), strict=True):
-                    rows.append((doc_id, h, x, lo, hi, _signed(xxhash.xxh3_64_intdigest(data[u * x : u * (x + q)])), *ident(data[u * (x - hi) : u * (x - lo + length)])))
-                    if len(rows) >= 20_000:
-                        yield _frame(rows, ANCHOR)
-                        rows = []
-            yield _frame(rows, ANCHOR)
+                x, lo, hi, grams = anchors(data, length, q, u)
+                for j in range(0, len(x), 20_000):
+                    some = slice(j, j + 20_000)
+                    starts, ends = (u * (x[some] - hi[some])).tolist(), (u * (x[some] - lo[some] + length)).tolist()
+                    whole = idents(data[start:end] for start, end in zip(starts, ends, strict=True))
+                    held.append(np.column_stack([x[some], lo[some], hi[some], grams[some], whole]))
+                    at.append(i)
+                    size += len(whole)
+                    if size >= 20_000:
+                        yield _anchor_rows(b, at, held)
+                        at, held, size = [], [], 0
+            if held:
+                yield _anchor_rows(b, at, held)
 
     return run
 
 
+def _anchor_rows(b: pd.DataFrame, at: list[int], held: list[np.ndarray]) -> pd.DataFrame:
+    of = np.repeat(at, [len(r) for r in held])
+    names = [c.split()[0] for c in ANCHOR.split(", ")[2:]]
+    return pd.DataFrame({"doc_id": b["doc_id"].astype("Int64").array[of], "h": b["h"].to_numpy()[of], **dict(zip(names, np.concatenate(held).T, strict=True))})
+
+
 def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")]).astype({"doc_id": "Int64"})
 
@@ -154,7 +165,7 @@ def _split(width: int, length: int, u: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows: list[tuple] = []
+            rows, strings = [], []
             for doc_id, h, x, lo, hi, around in zip(b["doc_id"], b["h"], b["x"], b["lo"], b["hi"], b["around"], strict=True):
                 # byte p of the text is around[p - x + hi]; a word has u bytes
                 for cell in range(lo // width * width, hi + 1, width):
@@ -162,15 +173,23 @@ def _split(width: int, length: int, u: int):
                     far = cell + width - 1  # the common string starts cell bytes before x and ends where a window at far does
                     common = around[u * (hi - cell) : u * (hi - far + length)]
                     whole = around[u * (hi - z) : u * (hi - a + length)]
-                    rows.append((doc_id, h, x, a, z, cell, *ident(common), *ident(whole), whole))
+                    rows.append((doc_id, h, x, a, z, cell, whole))
+                    strings += [common, whole]
                 if len(rows) >= 2_000:
-                    yield _frame(rows, PART)
-                    rows = []
-            yield _frame(rows, PART)
+                    yield _part_rows(rows, strings)
+                    rows, strings = [], []
+            if rows:
+                yield _part_rows(rows, strings)
 
     return run
 
 
+def _part_rows(rows: list[tuple], strings: list[bytes]) -> pd.DataFrame:
+    out = _frame(rows, "doc_id long, h long, x long, lo int, hi int, cell int, around binary")
+    out[["c1", "c2", "f1", "f2"]] = idents(strings).reshape(-1, 4)
+    return out[[c.split()[0] for c in PART.split(", ")]]
+
+
 def _several(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     """The keys that occur more than once, written, so that a join with them may split a key of very many rows."""
     return stored(df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys), name)
@@ -280,12 +299,16 @@ def _without(data: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes
 
 def _cut(length: int, n_words: int = 0):
     """Of a text and its repeated windows of bytes and of words (or null): the number of its bytes, of those that the
-    windows of bytes remove and of the removed runs, the bytes that these leave, and the text that both leave."""
+    windows of bytes remove and of the removed runs, the bytes that these leave, and the text that both leave. A null text
+    gives nothing."""
 
     @F.pandas_udf(CUT)
     def cut(texts: pd.Series, windows: pd.Series, of_words: pd.Series) -> pd.DataFrame:
         out = []
         for text, at, word_at in zip(texts, windows, of_words, strict=True):
+            if text is None:
+                out.append((0, 0, 0, b"", ""))
+                continue
             data = text.encode("utf-8", "surrogatepass")
             # windows from one start to another cover all bytes to the end of the last
             spans = [(m["x"] - m["hi"], m["x"] - m["lo"] + length) for m in (at if at is not None else ())]
@@ -311,6 +334,11 @@ def _marked(docs: DataFrame, length: int, n_words: int = 0) -> DataFrame:
     return _with(rows, both, "left")
 
 
+#: Whether a text has repeated windows, and the text if so: only such texts are sent to Python.
+REPEATS = "at is not null or word_at is not null"
+REPEATING = f"case when {REPEATS} then text end"
+
+
 def without_repeats(docs: DataFrame, length: int = 400, n_words: int = 0) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes left), text for each row of docs (doc_id, text, ...).
 
@@ -321,7 +349,9 @@ def without_repeats(docs: DataFrame, length: int = 400, n_words: int = 0) -> Dat
     out of it besides (see strip_repeats).
     """
     marked = _marked(docs.select("doc_id", "text"), length, n_words)
-    return marked.select("doc_id", _cut(length, n_words)("text", "at", "word_at").alias("cut")).select("doc_id", "cut.*")
+    marked = marked.select("doc_id", "text", F.expr(REPEATS).alias("repeats"), _cut(length, n_words)(F.expr(REPEATING), "at", "word_at").alias("cut"))
+    whole = {"n_bytes": F.octet_length("text").cast("long"), "n_removed": F.lit(0).cast("long"), "n_spans": F.lit(0).cast("long"), "kept": F.col("text").cast("binary"), "text": F.col("text")}
+    return marked.select("doc_id", *[F.when(F.col("repeats"), F.col(f"cut.{c}")).otherwise(v).alias(c) for c, v in whole.items()])
 
 
 def strip_repeats(docs: DataFrame, length: int = 400, n_words: int = 0) -> DataFrame:
@@ -332,8 +362,8 @@ def strip_repeats(docs: DataFrame, length: int = 400, n_words: int = 0) -> DataF
     only a part is removed is removed as a whole.
     """
     given = docs.select(F.struct("*").alias("row"), "doc_id", "text")
-    new = _cut(length, n_words)("text", "at", "word_at")["text"]
-    out = _marked(given, length, n_words).select("row", F.when(F.col("at").isNull() & F.col("word_at").isNull(), F.col("text")).otherwise(new).alias("text"))
+    new = _cut(length, n_words)(F.expr(REPEATING), "at", "word_at")["text"]
+    out = _marked(given, length, n_words).select("row", F.when(F.expr(REPEATS), new).otherwise(F.col("text")).alias("text"))
     changed = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
     return out.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
