@@ -128,6 +128,29 @@ def test_near_copies_of_a_hub(spark):
     assert sorted(r["doc_id"] for r in simhash.near_copies(df).collect()) == expected
 
 
+def test_near_copies_of_a_family(spark, monkeypatch):
+    """Edited copies that mostly stay below 0.8 with each other don't meet pair by pair, and no link is lost."""
+    base = prose(150, 91)
+    half = " ".join([prose(20, 92), *base.split()[20:]])
+    texts = [edited(half if s % 3 else base, 5000 + s, 0.004 * (1 + s % 16)) for s in range(320)]
+    texts += [f"{edited(base, 7000 + s, 0.01)} {prose(24 + s % 9, 8000 + s)}" for s in range(60)]
+    expected = kept_by_brute_force(texts)
+    rows = []
+    for name, at in (("_likely", 1.0), ("verified", None)):
+        was = getattr(simhash, name)
+
+        def spy(pairs, *more, was=was, at=at):
+            if at is None or len(more) == 1:  # not the stars
+                rows.append(pairs.count())
+            return was(pairs, *more)
+
+        monkeypatch.setattr(simhash, name, spy)
+    df = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], SCHEMA)
+    assert sorted(r["doc_id"] for r in simhash.near_copies(df).collect()) == expected
+    assert len(expected) > 20
+    assert max(rows) < 20 * len(texts)
+
+
 def test_short_near_copies(spark):
     r = random.Random(8)
     texts = []

@@ -467,35 +467,143 @@ def prefix_stars(shared: DataFrame, similarity: float) -> DataFrame:
     return _likely(met.where("h_x != h_y").where(_may_reach(similarity, "x", "y")), similarity, 1 / 3)
 
 
-def prefix_pairs(shared: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of texts of different groups (roots: node, root), all of this Jaccard similarity among them.
+def prefix_pairs(shared: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of texts of different groups (groups: node, root, family), all of this Jaccard similarity among them.
 
     shared has the prefix rows (h, n, at, key) of shingles that several texts have. Two similar texts share one of them.
-    Texts of a group needn't meet, so the texts of a shingle's largest group only meet those outside of it, and these
-    each other, in blocks of SALT. Pairs are left out only where sizes, places in the order or the number of shared
-    prefix shingles rule the similarity out.
+    Texts of a group (the same root) or of a family, whose pairs family_pairs has, needn't meet, so the texts of a
+    shingle's largest family only meet those outside of it, and these each other, in blocks of SALT. Pairs are left out
+    only where sizes, places in the order or the number of shared prefix shingles rule the similarity out.
     """
-    rooted = shared.join(roots, F.col("h") == F.col("node"), "left").select("key", "h", "n", "at", F.coalesce("root", "h").alias("root"))
+    root = F.coalesce("root", "h")
+    rooted = shared.join(groups, F.col("h") == F.col("node"), "left").select("key", "h", "n", "at", root.alias("root"), F.coalesce("family", root).alias("family"))
     rooted = stored(rooted, "rooted")
-    groups = rooted.groupBy("key", "root").agg(F.count("*").alias("m"))
-    mixed = groups.groupBy("key").agg(F.count("*").alias("groups"), F.sum("m").alias("size"), F.max("m").alias("largest"), F.max_by("root", F.struct("m", "root")).alias("main")).where("groups > 1")
+    counts = rooted.groupBy("key", "family").agg(F.count("*").alias("m"))
+    mixed = counts.groupBy("key").agg(F.count("*").alias("families"), F.sum("m").alias("size"), F.max("m").alias("largest"), F.max_by("family", F.struct("m", "family")).alias("main")).where("families > 1")
     salts = F.ceil((F.col("size") - F.col("largest")) / SALT).cast("int").alias("salts")
     met = stored(rooted.join(stored(mixed.select("key", "main", salts), "mixed"), "key"), "mixed-prefixes")
-    named = lambda side: [F.col(c).alias(f"{c}_{side}") for c in ("h", "n", "at", "root")]
-    x = met.where("root != main").select("key", F.pmod(F.xxhash64("h"), F.col("salts")).cast("int").alias("salt"), *named("x"))
+    named = lambda side: [F.col(c).alias(f"{c}_{side}") for c in ("h", "n", "at", "root", "family")]
+    x = met.where("family != main").select("key", F.pmod(F.xxhash64("h"), F.col("salts")).cast("int").alias("salt"), *named("x"))
     y = met.select("key", "main", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *named("y"))
-    once = (F.col("root_y") == F.col("main")) | (F.col("h_x") < F.col("h_y"))
-    pairs = x.join(y, ["key", "salt"]).where((F.col("root_x") != F.col("root_y")) & once & _may_reach(similarity, "x", "y"))
+    once = (F.col("family_y") == F.col("main")) | (F.col("h_x") < F.col("h_y"))
+    apart = (F.col("root_x") != F.col("root_y")) & (F.col("family_x") != F.col("family_y"))
+    pairs = x.join(y, ["key", "salt"]).where(apart & once & _may_reach(similarity, "x", "y"))
     return _likely(pairs, similarity)
 
 
-def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The edges (a, b) whose texts have this Jaccard similarity; sets has h and shingles of each."""
+# -- families of texts that are similar, but not enough ---------------------------------------------------------------
+
+#: Groups with a pair of texts of this similarity may be one family. It only makes families, and so the work, larger or smaller.
+LOOSE = 0.5
+#: A family is taken apart from the other texts if so many of its texts at least are outside of its largest group; its shape is
+#: drawn from about so many of its texts.
+FAMILY, SHAPED = 4, 64
+
+
+def family_members(compared: DataFrame, roots: DataFrame) -> DataFrame:
+    """h, root, family, size (texts of the family) of the texts of families of several groups (roots: node, root).
+
+    A group joins its largest neighbour among the compared pairs (a, b, similarity), this one its own, and so on, in at
+    most eight steps. Any choice is a right one.
+    """
+    known = roots.withColumnsRenamed({"node": "h"})
+    of = lambda side: known.select(F.col("h").alias(side), F.col("root").alias(f"root_{side}"))
+    loose = compared.where(F.col("similarity") >= LOOSE).select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    loose = stored(loose.select("a", "b", F.coalesce("root_a", "a").alias("x"), F.coalesce("root_b", "b").alias("y")).where("x != y"), "loose")
+    single = loose.select(F.explode(F.array(F.struct(F.col("a").alias("h"), F.col("x").alias("root")), F.struct(F.col("b").alias("h"), F.col("y").alias("root")))).alias("e")).select("e.*")
+    texts = stored(known.unionByName(single).distinct(), "family-texts")
+    sizes = stored(texts.groupBy("root").agg(F.count("*").alias("m")), "sizes")
+    ways = loose.select("x", "y").unionByName(loose.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
+    rank = lambda c: sizes.select(F.col("root").alias(c), F.struct("m", "root").alias(f"rank_{c}"))
+    up = ways.join(rank("x"), "x").join(rank("y"), "y").where("rank_y > rank_x").groupBy("x").agg(F.max("rank_y")["root"].alias("up"))
+    for _ in range(3):
+        up = stored(up, "up")
+        far = up.select(F.col("x").alias("_x"), F.col("up").alias("_up"))
+        up = up.join(far, F.col("up") == F.col("_x"), "left").select("x", F.coalesce("_up", "up").alias("up"))
+    named = sizes.join(stored(up, "up"), F.col("root") == F.col("x"), "left").select("root", "m", F.coalesce("up", "root").alias("family"))
+    large = named.groupBy("family").agg(F.sum("m").alias("size"), F.max("m").alias("largest")).where(F.col("size") - F.col("largest") >= FAMILY)
+    named = stored(named.join(large.select("family", "size"), "family").select("root", "family", "size"), "families")
+    return texts.join(_sent(named), "root").select("h", "root", "family", "size")
+
+
+def family_shapes(members: DataFrame) -> DataFrame:
+    """family, known (shingles that several of its texts have, sorted), inside (whether over half have it), rarity of each.
+
+    members has h, family, size and shingles. A shape may be any set of shingles; this one is close to most texts.
+    """
+    some = members.where(F.pmod(F.xxhash64("h", F.lit(5)), F.col("size")) < SHAPED)
+    some = stored(some.select("h", "family", F.explode("shingles").alias("s")), "shaped")
+    taken = some.groupBy("family", "h").agg(F.lit(1).alias("one")).groupBy("family").agg(F.count("*").alias("taken"))
+    counts = some.groupBy("family", "s").agg(F.count("*").alias("m")).join(stored(taken, "taken"), "family").where("2 * m > taken or m > 1")
+    each = F.struct("s", (2 * F.col("m") > F.col("taken")).alias("inside"), F.least("m", F.col("taken") - F.col("m")).cast("int").alias("rarity"))
+    shapes = counts.groupBy("family").agg(F.sort_array(F.collect_list(each)).alias("e"))
+    return stored(shapes.select("family", F.col("e.s").alias("known"), F.col("e.inside").alias("inside"), F.col("e.rarity").alias("rarity")), "shapes")
+
+
+def differences(members: DataFrame) -> DataFrame:
+    """h, root, family, n, d, delta: the d shingles in which a text (of n) and its family's shape differ, rare ones first.
+
+    Texts that differ in over half of their number are left out: they don't fit the family.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for h, root, family, s, known, inside, rarity in zip(b["h"], b["root"], b["family"], b["shingles"], b["known"], b["inside"], b["rarity"], strict=True):
+                delta = np.setxor1d(s, known[inside.astype(bool)], assume_unique=True)
+                if 2 * len(delta) <= len(s):
+                    if len(known):
+                        i = np.minimum(np.searchsorted(known, delta), len(known) - 1)
+                        delta = delta[np.argsort(np.where(known[i] == delta, rarity[i], 0), kind="stable")]
+                    out.append((h, root, family, len(s), len(delta), delta))
+            yield pd.DataFrame(out, columns=["h", "root", "family", "n", "d", "delta"])
+
+    return members.mapInPandas(run, "h long, root long, family long, n int, d int, delta array<long>")
+
+
+def family_pairs(near: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of texts of a family (near: what differences gives) that connect all groups which similar pairs in it connect.
+
+    Two texts of n and m shingles are similar just if they differ in at most r * (n + m) of them, r being (1 - similarity) / (1 +
+    similarity). Let x be d - r * n: they differ in at most both d, so texts with x <= -x' are similar to the one with the
+    least x, x', and are paired with it. Others are similar to a text only if both differ from the shape in (x + x_other)
+    / 2 of the same shingles at least, so two such texts share one in prefixes of their differences (shorter ones if neither is
+    paired with the centre). These are mostly what a text has of its own, while prefixes of whole texts hold what all
+    texts of a family have.
+    """
+    r = (1 - similarity) / (1 + similarity)
+    near = near.withColumn("x", F.col("d") - F.lit(r) * F.col("n"))
+    least = near.groupBy("family").agg(F.min(F.struct("x", "h", "root")).alias("centre"))
+    least = stored(least.select(F.col("family").alias("of"), F.col("centre.x").alias("least"), F.col("centre.h").alias("centre"), F.col("centre.root").alias("centre_root")), "centres")
+    placed = stored(near.join(_sent(least), F.col("family") == F.col("of")).withColumn("far", F.col("x") + F.col("least") > 1e-6).drop("of"), "placed")
+    stars = placed.where("not far and h != centre and root != centre_root").select(F.least("h", "centre").alias("a"), F.greatest("h", "centre").alias("b"))
+    edge = stored(placed.where("far").groupBy("family").agg(F.min("x").alias("edge")).select(F.col("family").alias("of"), "edge"), "edges-of-families")
+    both = placed.join(_sent(edge), F.col("family") == F.col("of"))
+    prefix = lambda other: F.greatest(F.lit(0), F.col("d") - F.greatest(F.lit(1), F.ceil((F.col("x") + other) / 2 - 1e-6)) + 1).cast("int")
+    rows = both.withColumn("short", prefix(F.col("edge"))).withColumn("prefix", F.when(F.col("far"), prefix(F.col("least"))).otherwise(F.col("short")))
+    rows = rows.select("family", "h", "root", "d", "x", "far", "short", F.posexplode(F.expr("slice(delta, 1, prefix)")).alias("at", "key"))
+    rows = stored(rows.withColumn("short", F.col("at") < F.col("short")), "differences")
+    named = lambda df, side: df.select("family", "key", *[F.col(c).alias(f"{c}_{side}") for c in ("h", "root", "d", "x", "at")])
+    meet = lambda x, y: named(x, "x").join(named(y, "y"), ["family", "key"])
+    far = rows.where("far and short")
+    # the first shingle that two texts have in common leaves so many for each after it
+    common = F.ceil((F.col("x_x") + F.col("x_y")) / 2 - 1e-6)
+    fits = (F.col("root_x") != F.col("root_y")) & (F.col("at_x") + common <= F.col("d_x")) & (F.col("at_y") + common <= F.col("d_y"))
+    met = meet(rows.where("far"), rows.where("not far")).where(fits).unionByName(meet(far, far).where(fits & (F.col("h_x") < F.col("h_y"))))
+    return stars.unionByName(met.select(F.least("h_x", "h_y").alias("a"), F.greatest("h_x", "h_y").alias("b"))).distinct()
+
+
+def compared(edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, similarity of the texts of edges (a, b); that of texts without shingles is 1."""
     x, y = sets.select(F.col("h").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("h").alias("b"), F.col("shingles").alias("y"))
-    both = edges.select("a", "b").join(x, "a").join(y, "b")
     shared = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - shared
-    return both.where((union == 0) | (shared >= F.lit(similarity) * union - 1e-9)).select("a", "b")
+    return edges.select("a", "b").join(x, "a").join(y, "b").select("a", "b", F.when(union == 0, 1.0).otherwise(shared / union).alias("similarity"))
+
+
+def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The edges (a, b) whose texts have this Jaccard similarity; sets has h and shingles of each."""
+    return compared(edges, sets).where(F.col("similarity") >= similarity - 1e-9).select("a", "b")
 
 
 def _sent(df: DataFrame) -> DataFrame:
@@ -506,8 +614,9 @@ def _sent(df: DataFrame) -> DataFrame:
 def near_groups(texts: DataFrame, fps: DataFrame, k: int, similarity: float) -> DataFrame:
     """(node, root) of the texts (h, text) that are near copies of another; fps has h and fp of each different text.
 
-    Candidates come from SimHash buckets and from stars of prefix shingles; then all pairs between the groups found
-    so far that the prefix filter can't rule out. Each link is verified on the shingles.
+    Candidates come from SimHash buckets and from stars of prefix shingles; then those within families of groups that
+    are similar, but not enough, by what their texts have apart from the rest; then all pairs between the groups and
+    families found so far that the prefix filter can't rule out. Each link is verified on the shingles.
     """
     n, both = co_occurrence(fps, LONGS)
     near = candidate_links(fps, allocate(n, both, PARTS - 1, [PARTS]), LONGS, int(DIFFERING * 64 * LONGS))
@@ -519,9 +628,22 @@ def near_groups(texts: DataFrame, fps: DataFrame, k: int, similarity: float) ->
     # texts without words are one group
     bare = fps.where(F.col("empty")).select("h")
     bare = bare.crossJoin(F.broadcast(bare.agg(F.min("h").alias("b")))).select(F.col("h").alias("a"), "b").where("a != b")
-    links = cut(verified(edges, _sets_of(edges, texts, k), similarity).unionByName(bare))
+    sets = _sets_of(edges, texts, k)
+    held = stored(compared(edges, sets), "compared")
+    links = cut(held.where(F.col("similarity") >= similarity - 1e-9).select("a", "b").unionByName(bare))
     roots = components(links)
-    others = stored(prefix_pairs(shared, roots, similarity), "others")
+    members = stored(family_members(held, roots).join(sets, "h"), "members")
+    shapes = family_shapes(members)
+    sent = F.broadcast(shapes) if (shapes.agg(F.sum(F.size("known"))).first()[0] or 0) <= BROADCAST // 4 else shapes
+    near = stored(differences(members.drop("size").join(sent, "family")), "near")
+    within = stored(family_pairs(near, similarity), "within")
+    more = cut(verified(within, sets, similarity))
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        roots = components(links)
+    families = near.select("h", F.bitwise_not("family").alias("family"))  # never the number of a group
+    groups = roots.join(families, F.col("node") == F.col("h"), "full").select(F.coalesce("node", "h").alias("node"), F.coalesce("root", "h").alias("root"), "family")
+    others = stored(prefix_pairs(shared, stored(groups, "groups"), similarity), "others")
     if others.isEmpty():
         return roots
     more = cut(verified(others, _sets_of(others, texts, k), similarity))
