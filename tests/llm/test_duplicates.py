@@ -222,6 +222,26 @@ def test_only_repeating_texts_go_to_python(spark, capsys):
     assert [(r["n_removed"], r["text"] == rows[i][1]) for i, r in enumerate(cut.orderBy("doc_id").collect())] == [(len(rows[0][1].encode()), False)] * 2 + [(0, True)]
 
 
+def test_windows_of_bytes_and_words_share_their_steps(spark, monkeypatch):
+    """A text is read for anchors once, and what is removed fits a mask of the bytes."""
+    names = []
+    was = suffix_dedup.stored
+    monkeypatch.setattr(suffix_dedup, "stored", lambda df, name: names.append(name) or was(df, name))
+    rows = [(1, f"{prose(60, 1)} {prose(120, 2)}", ""), (2, f"{prose(60, 3)} {prose(120, 2)}", ""), (3, prose(40, 4), "")]
+    out = suffix_dedup.strip_repeats(spark.createDataFrame(rows, SCHEMA), n_words=51).collect()
+    assert names.count("anchors") == 1 and [len(W.findall(x["text"])) for x in sorted(out)] == [60, 60, 40]
+    r = np.random.default_rng(3)
+    for n in range(40):
+        data = r.integers(97, 123, 60, np.uint8).tobytes()
+        starts = r.integers(0, 50, n % 7)
+        stops = starts + r.integers(1, 11, len(starts))
+        gone = np.zeros(61, bool)
+        for a, z in zip(starts, stops, strict=True):
+            gone[a:z] = True
+        runs = int((gone[1:] & ~gone[:-1]).sum() + gone[0])
+        assert suffix_dedup._without(data, starts, stops) == (int(gone.sum()), runs, bytes(c for c, g in zip(data, gone, strict=False) if not g))
+
+
 def test_anchors_of_texts_in_frames():
     """Each anchor with its own id, text hash, window identifiers and q-gram, the frames of long columns alone; a null id stays null."""
     texts = [prose(4000, 1), "short", prose(300, 2), prose(300, 2)]

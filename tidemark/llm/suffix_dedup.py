@@ -11,7 +11,8 @@ exact but for collisions of 128-bit identifiers.
 
 Nothing is compared pair by pair: each step counts identifiers, so a passage may have any number of copies.
 
-The same is done with words for bytes, each word being the eight bytes of its hash, for passages of so many words.
+The same is done with words for bytes, each word being the eight bytes of its hash, for passages of so many words; both
+kinds of windows go through the same steps.
 """
 
 from __future__ import annotations
@@ -60,6 +61,8 @@ class Unit:
 
 
 OF_BYTES, OF_WORDS = Unit(1, 64, (35, 5, 1)), Unit(8, 16, (12, 4, 1))
+#: Lengths of windows, with their units; a window's kind is its place in this list.
+Kinds = list[tuple[int, Unit]]
 
 
 def bucket_ids(data: np.ndarray, q: int) -> np.ndarray:
@@ -143,6 +146,19 @@ def _anchored(length: int, unit: Unit):
     return run
 
 
+def _all_anchored(kinds: Kinds):
+    """The anchors of all kinds of windows, with the kind; a text goes to Python once."""
+    runs = [_anchored(length, unit) for length, unit in kinds]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for kind, anchored in enumerate(runs):
+                for rows in anchored(iter([b])):
+                    yield rows.assign(kind=kind)
+
+    return run
+
+
 def _anchor_rows(b: pd.DataFrame, at: list[int], held: list[np.ndarray]) -> pd.DataFrame:
     of = np.repeat(at, [len(r) for r in held])
     names = [c.split()[0] for c in ANCHOR.split(", ")[2:]]
@@ -157,23 +173,26 @@ def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
 
 #: A part of an anchor's windows: d from lo to hi, within the cell [cell, cell + width) of the step's grid. c1, c2
 #: identify the string that all windows of the cell have in common, f1, f2 all that the windows from lo to hi cover.
-PART = "doc_id long, h long, x long, lo int, hi int, cell int, c1 long, c2 long, f1 long, f2 long, around binary"
+PART = "doc_id long, h long, kind int, x long, lo int, hi int, cell int, c1 long, c2 long, f1 long, f2 long, around binary"
+WINDOW = ["doc_id", "h", "kind", "x", "lo", "hi"]
+AROUND = "doc_id long, h long, kind int, x long, lo int, hi int, around binary"
 
 
-def _split(width: int, length: int, u: int):
-    """Parts of the next step. around holds the bytes from the start of the first window to the end of the last."""
+def _split(step: int, kinds: Kinds):
+    """Parts of a step. around holds the bytes from the start of the first window to the end of the last."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows, strings = [], []
-            for doc_id, h, x, lo, hi, around in zip(b["doc_id"], b["h"], b["x"], b["lo"], b["hi"], b["around"], strict=True):
+            for doc_id, h, kind, x, lo, hi, around in zip(*[b[c] for c in WINDOW], b["around"], strict=True):
+                length, u, width = kinds[kind][0], kinds[kind][1].size, kinds[kind][1].widths[step]
                 # byte p of the text is around[p - x + hi]; a word has u bytes
                 for cell in range(lo // width * width, hi + 1, width):
                     a, z = max(lo, cell), min(hi, cell + width - 1)
                     far = cell + width - 1  # the common string starts cell bytes before x and ends where a window at far does
                     common = around[u * (hi - cell) : u * (hi - far + length)]
                     whole = around[u * (hi - z) : u * (hi - a + length)]
-                    rows.append((doc_id, h, x, a, z, cell, whole))
+                    rows.append((doc_id, h, kind, x, a, z, cell, whole))
                     strings += [common, whole]
                 if len(rows) >= 2_000:
                     yield _part_rows(rows, strings)
@@ -185,7 +204,7 @@ def _split(width: int, length: int, u: int):
 
 
 def _part_rows(rows: list[tuple], strings: list[bytes]) -> pd.DataFrame:
-    out = _frame(rows, "doc_id long, h long, x long, lo int, hi int, cell int, around binary")
+    out = _frame(rows, "doc_id long, h long, kind int, x long, lo int, hi int, cell int, around binary")
     out[["c1", "c2", "f1", "f2"]] = idents(strings).reshape(-1, 4)
     return out[[c.split()[0] for c in PART.split(", ")]]
 
@@ -196,27 +215,29 @@ def _several(df: DataFrame, keys: list[str], name: str) -> DataFrame:
 
 
 def _marks(windows: DataFrame) -> DataFrame:
-    return windows.groupBy("doc_id", "h").agg(F.collect_set(F.struct("x", "lo", "hi")).alias("at"))
+    return windows.groupBy("doc_id", "h").agg(F.collect_set(F.struct(*WINDOW[2:])).alias("at"))
 
 
-def _around(rows: DataFrame, windows: DataFrame, length: int, unit: Unit) -> DataFrame:
-    """doc_id, h, x, lo, hi, around for windows (doc_id, h, x, lo, hi) of rows (doc_id, h, text)."""
+def _around(rows: DataFrame, windows: DataFrame, kinds: Kinds) -> DataFrame:
+    """doc_id, h, kind, x, lo, hi, around for windows (doc_id, h, kind, x, lo, hi) of rows (doc_id, h, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        schema = "doc_id long, h long, x long, lo int, hi int, around binary"
         for b in batches:
             out: list[tuple] = []
-            for doc_id, h, text, at in zip(b["doc_id"], b["h"], b["text"], b["at"], strict=True):
-                data, u = unit.data(text), unit.size
-                for m in at:
-                    x, lo, hi = m["x"], m["lo"], m["hi"]
-                    out.append((doc_id, h, x, lo, hi, data[u * (x - hi) : u * (x - lo + length)]))
+            for doc_id, h, text, *at in zip(b["doc_id"], b["h"], b["text"], *[b[c] for c in WINDOW[2:]], strict=True):
+                data: dict[int, bytes] = {}
+                for kind, x, lo, hi in zip(*[c.tolist() for c in at], strict=True):
+                    length, unit = kinds[kind]
+                    if kind not in data:
+                        data[kind] = unit.data(text)
+                    out.append((doc_id, h, kind, x, lo, hi, data[kind][unit.size * (x - hi) : unit.size * (x - lo + length)]))
                     if len(out) >= 2_000:
-                        yield _frame(out, schema)
+                        yield _frame(out, AROUND)
                         out = []
-            yield _frame(out, schema)
+            yield _frame(out, AROUND)
 
-    return _with(rows, _marks(windows)).mapInPandas(run, "doc_id long, h long, x long, lo int, hi int, around binary")
+    # a column for each field: numbers come as arrays, not as an object for each window
+    return _with(rows, _marks(windows)).select("doc_id", "h", "text", *[F.col(f"at.{c}").alias(c) for c in WINDOW[2:]]).mapInPandas(run, AROUND)
 
 
 def _with(rows: DataFrame, marks: DataFrame, how: str = "inner") -> DataFrame:
@@ -224,39 +245,41 @@ def _with(rows: DataFrame, marks: DataFrame, how: str = "inner") -> DataFrame:
     return rows.join(other, rows["doc_id"].eqNullSafe(other["of_id"]) & (rows["h"] == other["of_h"]), how).drop("of_id", "of_h")
 
 
-def repeated_windows(rows: DataFrame, length: int = 400, unit: Unit = OF_BYTES) -> DataFrame:
-    """(doc_id, h, x, lo, hi): the windows at x - hi to x - lo of these texts are those of length bytes (or words) that start elsewhere too.
+def repeated_windows(rows: DataFrame, kinds: Kinds) -> DataFrame:
+    """(doc_id, h, kind, x, lo, hi): the windows at x - hi to x - lo of these texts are those of the kind's length, in bytes or words, that start elsewhere too.
 
-    rows has doc_id, h (a hash of the text; tells rows of a repeated id apart) and text without nulls. Each of the unit's
-    widths divides the one before; the last is 1.
+    rows has doc_id, h (a hash of the text; tells rows of a repeated id apart) and text without nulls. Each of a unit's
+    widths divides the one before; the last is 1. All kinds are refined in the same steps, so they have as many widths.
     """
-    spans, whole_key = ["doc_id", "h", "x", "lo", "hi"], ["f1", "f2", "lo", "hi"]
-    found = stored(rows.mapInPandas(_anchored(length, unit), ANCHOR), "anchors")
+    spans, whole_key = WINDOW, ["kind", "f1", "f2", "lo", "hi"]
+    found = stored(rows.mapInPandas(_all_anchored(kinds), f"{ANCHOR}, kind int"), "anchors")
     alike = stored(found.join(_several(found, ["q"], "grams"), "q", "left_semi"), "alike")
     forget(found)
     decided, todo, parts = [], None, None
-    for width in (0, *unit.widths):
-        if width == 0:
-            keys, bucket = alike, ["q"]
+    steps = len(kinds[0][1].widths)
+    for step in range(-1, steps):
+        if step < 0:
+            keys, bucket = alike, ["q"]  # two kinds may share one: it only opens buckets
         else:
-            source = _around(rows, todo, length, unit) if parts is None else _semi(parts.select(*spans, "around"), todo, spans)
-            before, parts = parts, stored(source.mapInPandas(_split(width, length, unit.size), PART), "parts")
+            source = _around(rows, todo, kinds) if parts is None else _semi(parts.select(*spans, "around"), todo, spans)
+            before, parts = parts, stored(source.mapInPandas(_split(step, kinds), PART), "parts")
             if before is not None:
                 forget(before)
-            keys, bucket = parts.drop("around"), ["cell", "c1", "c2"]
+            keys, bucket = parts.drop("around"), ["kind", "cell", "c1", "c2"]
             keys = keys.join(_several(keys, bucket, "buckets"), bucket, "left_semi")
-        if width == 1:
+        if step == steps - 1:
             decided.append(stored(keys.select(*spans), "decided"))
             forget(parts)
             break
         whole = _several(keys, whole_key, "whole").withColumn("same", F.lit(True))
         flagged = stored(keys.join(whole, whole_key, "left"), "flagged")
-        if width == 0:
+        if step < 0:
             forget(alike)
         same, rest = flagged.where("same"), flagged.where("same is null")
         decided.append(same.select(*spans))
         # a part of an undecided anchor may equal one of a decided class, for which one member speaks
-        members = same.groupBy(*whole_key, *bucket).agg(F.first(F.struct("doc_id", "h", "x")).alias("m")).select("m.*", *whole_key, *bucket)
+        by = list(dict.fromkeys([*whole_key, *bucket]))
+        members = same.groupBy(*by).agg(F.first(F.struct("doc_id", "h", "x")).alias("m")).select("m.*", *by)
         speak = members.join(stored(rest.select(*bucket).distinct(), "open"), bucket, "left_semi")
         todo = rest.select(*spans).unionByName(speak.select(*spans))
     out = decided[0]
@@ -277,65 +300,67 @@ def _semi(df: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
 CUT = "n_bytes long, n_removed long, n_spans long, kept binary, text string"
 
 
-def _of_words(data: bytes, word_at, n_words: int) -> list[tuple[int, int]]:
-    """The bytes (from, to) of runs of windows of words."""
-    ends = [m.span() for m in re.finditer(rb"\S+", data)]
-    return [(ends[m["x"] - m["hi"]][0], ends[m["x"] - m["lo"] + n_words - 1][1]) for m in word_at]
+def _spans(data: bytes, kind: int, kinds: Kinds, at: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes (from, to) of runs of windows of a kind, which may overlap; at has kind, x, lo and hi of each."""
+    own, length = at[0] == kind, kinds[kind][0]
+    x, lo, hi = (c[own].astype(np.int64) for c in at[1:])
+    starts, stops = x - hi, x - lo + length  # windows from one start to another cover all to the end of the last
+    if kinds[kind][1].size == 1 or not len(x):
+        return starts, stops
+    ends = np.array([m.span() for m in re.finditer(rb"\S+", data)], np.int64)
+    return ends[starts, 0], ends[stops - 1, 1]
 
 
-def _without(data: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
+def _without(data: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[int, int, bytes]:
     """Bytes removed, maximal removed runs, and the bytes left by taking spans, which may overlap, out of data."""
-    kept, end, removed, runs = [], 0, 0, 0
-    for start, stop in sorted(spans):
-        if start > end or not runs:
-            kept.append(data[end:start])
-            runs += 1
-            removed += stop - start
-        else:
-            removed += max(stop - end, 0)
-        end = max(end, stop)
-    return removed, runs, b"".join([*kept, data[end:]])
-
-
-def _cut(length: int, n_words: int = 0):
-    """Of a text and its repeated windows of bytes and of words (or null): the number of its bytes, of those that the
-    windows of bytes remove and of the removed runs, the bytes that these leave, and the text that both leave. A null text
+    if not len(starts):
+        return 0, 0, data
+    by = np.argsort(starts, kind="stable")
+    starts, stops = starts[by], np.maximum.accumulate(stops[by])
+    first = np.flatnonzero(np.r_[True, starts[1:] > stops[:-1]])
+    starts, stops = starts[first], stops[np.r_[first[1:] - 1, len(stops) - 1]]
+    kept = b"".join(data[a:z] for a, z in zip([0, *stops.tolist()], [*starts.tolist(), len(data)], strict=True))
+    return len(data) - len(kept), len(first), kept
+
+
+def _cut(kinds: Kinds):
+    """Of a text and its repeated windows (kind, x, lo and hi of each): the number of its bytes, of those that the windows
+    of bytes remove and of the removed runs, the bytes that these leave, and the text that all windows leave. A null text
     gives nothing."""
 
     @F.pandas_udf(CUT)
-    def cut(texts: pd.Series, windows: pd.Series, of_words: pd.Series) -> pd.DataFrame:
+    def cut(texts: pd.Series, kind: pd.Series, x: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.DataFrame:
         out = []
-        for text, at, word_at in zip(texts, windows, of_words, strict=True):
+        for text, *at in zip(texts, kind, x, lo, hi, strict=True):
             if text is None:
                 out.append((0, 0, 0, b"", ""))
                 continue
             data = text.encode("utf-8", "surrogatepass")
-            # windows from one start to another cover all bytes to the end of the last
-            spans = [(m["x"] - m["hi"], m["x"] - m["lo"] + length) for m in (at if at is not None else ())]
-            removed, runs, kept = _without(data, spans)
-            left = kept if word_at is None else _without(data, spans + _of_words(data, word_at, n_words))[2]
+            spans = [_spans(data, k, kinds, at) for k in range(len(kinds))]
+            removed, runs, left = _without(data, *spans[0])
+            kept = left
+            if any(len(starts) for starts, _ in spans[1:]):
+                left = _without(data, *map(np.concatenate, zip(*spans, strict=True)))[2]
             out.append((len(data), removed, runs, kept, left.decode("utf-8", "ignore")))
         return pd.DataFrame(out, columns=[c.split()[0] for c in CUT.split(", ")])
 
-    return cut
+    return cut(F.expr(REPEATING), *[F.col(f"at.{c}") for c in WINDOW[2:]])
+
+
+def _kinds(length: int, n_words: int) -> Kinds:
+    return [(length, OF_BYTES), *([(n_words, OF_WORDS)] if n_words else [])]
 
 
-def _marked(docs: DataFrame, length: int, n_words: int = 0) -> DataFrame:
-    """docs with h, a text without nulls, and at and word_at: its repeated windows of bytes and of words, or null."""
+def _marked(docs: DataFrame, kinds: Kinds) -> DataFrame:
+    """docs with h, a text without nulls, and at: its repeated windows, or null."""
     small_batches(docs.sparkSession)
     rows = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("h", F.xxhash64("text"))
     texts = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "h", "text")
-    marks = _marks(repeated_windows(texts, length))
-    none = F.lit(None).cast(marks.schema["at"].dataType)
-    if not n_words:
-        return _with(rows, marks, "left").withColumn("word_at", none)
-    of_words = _marks(repeated_windows(texts, n_words, OF_WORDS)).select("doc_id", "h", none.alias("at"), F.col("at").alias("word_at"))
-    both = marks.withColumn("word_at", none).unionByName(of_words).groupBy("doc_id", "h").agg(F.first("at", True).alias("at"), F.first("word_at", True).alias("word_at"))
-    return _with(rows, both, "left")
+    return _with(rows, _marks(repeated_windows(texts, kinds)), "left")
 
 
 #: Whether a text has repeated windows, and the text if so: only such texts are sent to Python.
-REPEATS = "at is not null or word_at is not null"
+REPEATS = "at is not null"
 REPEATING = f"case when {REPEATS} then text end"
 
 
@@ -348,8 +373,9 @@ def without_repeats(docs: DataFrame, length: int = 400, n_words: int = 0) -> Dat
     alone. text is the readable rest: with n_words, what is covered by so many words that start anywhere else too is
     out of it besides (see strip_repeats).
     """
-    marked = _marked(docs.select("doc_id", "text"), length, n_words)
-    marked = marked.select("doc_id", "text", F.expr(REPEATS).alias("repeats"), _cut(length, n_words)(F.expr(REPEATING), "at", "word_at").alias("cut"))
+    kinds = _kinds(length, n_words)
+    marked = _marked(docs.select("doc_id", "text"), kinds)
+    marked = marked.select("doc_id", "text", F.expr(REPEATS).alias("repeats"), _cut(kinds).alias("cut"))
     whole = {"n_bytes": F.octet_length("text").cast("long"), "n_removed": F.lit(0).cast("long"), "n_spans": F.lit(0).cast("long"), "kept": F.col("text").cast("binary"), "text": F.col("text")}
     return marked.select("doc_id", *[F.when(F.col("repeats"), F.col(f"cut.{c}")).otherwise(v).alias(c) for c, v in whole.items()])
 
@@ -362,8 +388,9 @@ def strip_repeats(docs: DataFrame, length: int = 400, n_words: int = 0) -> DataF
     only a part is removed is removed as a whole.
     """
     given = docs.select(F.struct("*").alias("row"), "doc_id", "text")
-    new = _cut(length, n_words)(F.expr(REPEATING), "at", "word_at")["text"]
-    out = _marked(given, length, n_words).select("row", F.when(F.expr(REPEATS), new).otherwise(F.col("text")).alias("text"))
+    kinds = _kinds(length, n_words)
+    new = _cut(kinds)["text"]
+    out = _marked(given, kinds).select("row", F.when(F.expr(REPEATS), new).otherwise(F.col("text")).alias("text"))
     changed = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
     return out.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
